@@ -1,0 +1 @@
+"""The analysis is a batch job over one finished alignment; no operator has a streaming form."""
