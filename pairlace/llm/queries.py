@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlace.llm import decontaminate, mixing, near_dedup, quality_classifier, sharding
+from pairlace.llm import decontaminate, language_id, maxent_lm, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,54 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.v = d.doc_id"""
 def op10_near_dedup(s, d):
     n = near_dedup.near_duplicates(read(s, d, "documents"), width=2, similarity=0.8)
     return n.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+OP1_SQL = r"""
+WITH RECURSIVE rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+link AS (SELECT url src, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1) dst FROM pages
+  UNION ALL SELECT url, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1) FROM pages),
+edge AS (SELECT src, CASE WHEN strpos(dst, '://') > 0 THEN dst WHEN dst LIKE '/%' THEN regexp_extract(src, '(?s)^(.*?://[^/?#]*)', 1) || dst END dst FROM link WHERE dst <> '' AND strpos(src, '://') > 0),
+two AS (SELECT src, dst FROM edge WHERE dst IS NOT NULL UNION SELECT dst, src FROM edge WHERE dst IS NOT NULL),
+u AS (SELECT url FROM pages UNION SELECT dst FROM two),
+ruled AS (SELECT url, host, path, (SELECT max((length(h || p), CASE v WHEN 'allow' THEN 1 ELSE 0 END, h || p, v)) FROM rules WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, p)) m
+  FROM (SELECT url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') path FROM u)),
+reach(v, t) AS (SELECT src, src FROM two UNION SELECT r.v, two.dst FROM reach r JOIN two ON two.src = r.t),
+inh AS (SELECT r.v, max(CASE WHEN m[4] = 'allow' THEN 1 ELSE 0 END) a, max(CASE WHEN m[4] = 'block' THEN 1 ELSE 0 END) b FROM reach r JOIN ruled ON ruled.url = r.t GROUP BY r.v)
+SELECT page_id, host, path, m[3] AS rule, CASE WHEN m IS NOT NULL THEN m[4] WHEN a = 1 THEN 'allow' WHEN b = 1 THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN m IS NOT NULL THEN 'rule' WHEN a = 1 OR b = 1 THEN 'alias' ELSE 'default' END AS by
+FROM pages JOIN ruled ON ruled.url IS NOT DISTINCT FROM pages.url LEFT JOIN inh ON inh.v = pages.url"""
+
+
+@query("op1_url_filter", OP1_SQL)
+def op1_url_filter(s, d):
+    rules = s.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filter.judge(read(s, d, "pages"), rules)
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(s, d):
+    return quality_rules.judge(read(s, d, "documents"))
+
+
+def fold(column: str = "doc_id"):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 5
+
+
+@query("op9_language_id")
+def op9_language_id(s, d):
+    docs = read(s, d, "documents")
+    model = language_id.train(docs.where(fold() != 0))
+    return language_id.identify(docs.withColumn("held_out", fold() == 0), model, ("held_out",))
+
+
+@query("op4_maxent_lm")
+def op4_maxent_lm(s, d):
+    return maxent_lm.score(read(s, d, "documents"), fold() == 1)
+
+
+@query("op8_pii")
+def op8_pii(s, d):
+    found = pii.find(read(s, d, "documents"), pii.train(pii.labelled_table(s)))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
