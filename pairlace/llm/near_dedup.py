@@ -7,9 +7,9 @@ for sets of 2**c and more, repeated under as many permutations as fill 384 regis
 of the next class is sketched in both. Six registers make a band: two sets of similarity 0.8 share none of the 64 bands
 with a probability of 4e-9.
 
-Candidates never are all pairs of a bucket: a bucket's members first meet its least member only; confirmed links give
-components; then those of a bucket that still lie in different components meet each other, so no link is lost and
-none within a component is paid for. Candidates pass the collision-corrected estimate of the Jaccard similarity, then the
+Candidates never are all pairs of a bucket: a bucket's members first meet its hub only, the member that shares most
+buckets with others; confirmed links give components; then those that still share a bucket across components
+meet by an exact prefix join on their rarest shingles, so no link is lost and none within a component is paid for. Candidates pass the collision-corrected estimate of the Jaccard similarity, then the
 full sets decide.
 
 Null, empty or blank text: an empty set, linked with nothing. Equal sets form a class first, so thousands of copies
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlace.llm.common import LOWERED, components, mix, only, stored, text_chunks, word_hashes, words_of
@@ -172,6 +172,35 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float
     return met.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
 
 
+def _prefix_pairs(open_: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``x, y``: pairs of documents of different components that could be similar, of those in ``open_``. With its
+    shingles in order of rarity, a document shares one of its first ``n - ceil(similarity * n) + 1`` with each
+    partner, and the first one shared bounds what both can have in common. So what many documents share, a common
+    passage say, joins nobody whose own words set it apart. Nothing is lost: both rules are exact."""
+    t = round(similarity * 100)
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offs in text_chunks(batch):
+                sets = shingle_sets(data, offs, width)
+                at = pa.array(np.repeat(np.arange(hi - lo), [len(s) for s in sets]))
+                flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+                n = pa.array(np.array([len(s) for s in sets], np.int64))
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("component").take(at), n.take(at), pa.array(flat)], names=["doc_id", "component", "n", "s"])
+
+    mine = texts.join(open_, "doc_id").groupBy("doc_id", "component").agg(F.max("text").alias("text"))
+    each = stored(mine.mapInArrow(run, "doc_id long, component long, n long, s long"))
+    df = each.groupBy("s").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("doc_id").orderBy("df", "s")
+    head = each.join(df, "s").withColumn("p", F.row_number().over(w) - 1)
+    head = head.where(f"p <= n - ceil({t} * n / 100) and df > 1").select("s", "doc_id", "component", "n", "p")
+    one = head.select("s", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("p").alias("px"))
+    two = head.select("s", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("p").alias("py"))
+    can = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + t) >= t * (F.col("nx") + F.col("ny"))
+    return one.join(two, "s").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & can).select("x", "y").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, n_shingles, component_id``, a row for each row of ``docs``: the least doc_id reachable over links
     of ``similarity`` and more."""
@@ -187,19 +216,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     bands = full.select("doc_id", "n", "cls", "regs").mapInArrow(_bands, "key long, doc_id long, n long, cls int")
     texts = d.where("doc_id is not null")
 
-    meets = bands.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("z")).where("x <> z").select("key", "x")
+    meets = bands.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
     kept = stored(bands.join(meets, "key"))  # rows of buckets with company
-    star = kept.where("doc_id <> x").select("x", F.col("doc_id").alias("y"), "cls").distinct()
+    # the text that copies were made from is met in more and larger buckets than any copy, and links to most of them
+    degree = kept.groupBy("doc_id").agg(F.sum("m").alias("deg"))
+    hub = kept.join(degree, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("deg", -F.col("doc_id"))).alias("hub"))
+    star = kept.join(hub, "key").where("doc_id <> hub").select(F.least("doc_id", "hub").alias("x"), F.greatest("doc_id", "hub").alias("y"), "cls").distinct()
     links = stored(_confirmed(_likely(star, full, similarity), texts, width, similarity))
     comp = components(links, "x", "y")
-    left = stored(kept.select("key", "doc_id", "n", "cls").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-    apart = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = left.join(apart, "key", "left_semi")
-    one = left.select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "cls")
-    two = left.select("key", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    near_size = (F.least("nx", "ny") * 100 >= round(similarity * 100) * F.greatest("nx", "ny"))
-    more = one.join(two, "key").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near_size).select("x", "y", "cls").distinct()
-    more = _confirmed(stored(_likely(more, full, similarity)), texts, width, similarity)
+    tied = kept.select("key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    tied = stored(tied)
+    apart = tied.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    open_ = stored(tied.join(apart, "key", "left_semi").select("doc_id", "component").distinct())
+    more = _confirmed(stored(_prefix_pairs(open_, texts, width, similarity)), texts, width, similarity)
     comp = components(links.unionByName(more), "x", "y")
 
     named = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
