@@ -1,9 +1,9 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations alone.
 
 Each window of a benchmark item (ten consecutive words, or all words of a shorter item) is searched by its rarest terms.
-Terms are counted over the whole corpus; the postings ``(term, document, position)`` of each window's three rarest
+Terms are counted over the whole corpus; the postings ``(term, document, position)`` of each window's two rarest
 terms are stored. A window's lists are intersected after each position is shifted by the term's place in the item, the
-rarest term first; what survives all three is compared word by word with the document. Terms that no window asks for
+rarest term first; what survives both is compared word by word with the document. Terms that no window asks for
 need no postings, so the index follows the benchmark's vocabulary, and no window can be missed: a window that
 occurs has each of its terms at its place.
 
@@ -20,7 +20,7 @@ from pairlace.llm.common import lower_ascii, only, stored
 
 # Everything that is no word: ASCII but for digits and small letters, after A to Z are lowered.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW, PROBES = 10, 3
+WINDOW, PROBES, SMALL = 10, 2, 100_000
 
 
 def index_words(text: Column) -> Column:
@@ -56,35 +56,43 @@ def probes(windows: DataFrame, counts: DataFrame, n_probes: int = PROBES) -> Dat
     return once.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n_probes).select("win", "item_id", "at", "term", "off", "k")
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, key, doc_id, pos``: the index of the probe terms, stored in the shared folder."""
-    each = _keyed(docs).select("key", "doc_id", F.posexplode(index_words(F.col("text"))).alias("pos", "term"))
-    return stored(each.join(terms, "term", "left_semi").select("term", "key", "doc_id", "pos"))
-
-
-def alignments(index: DataFrame, probe: DataFrame) -> DataFrame:
-    """``key, item_id, delta, at``: windows all of whose probe terms stand at their places if the item began at
-    position ``delta`` of the document. The list of the rarest terms is shifted first; the others' lists are cut to
-    the documents and shifts that are still open."""
-    lists = index.withColumnRenamed("pos", "p")
-    seats = probe.select("term", "item_id", (F.col("at") + F.col("off")).alias("seat"))
-    shifted = lambda s: lists.join(s.distinct(), "term").select("key", "item_id", (F.col("p") - F.col("seat")).alias("delta"), "seat")
-    anchors = probe.where("k = 1").select("term", "item_id", (F.col("at") + F.col("off")).alias("seat"))
-    open_ = shifted(anchors).select("key", "item_id", "delta").distinct()
-    met = shifted(seats).join(open_, ["key", "item_id", "delta"], "left_semi")
-    held = met.groupBy("key", "item_id", "delta").agg(F.collect_set("seat").alias("seats"))
-    wants = probe.groupBy("item_id", "at").agg(F.collect_set(F.col("at") + F.col("off")).alias("want"))
-    return held.join(wants, "item_id").where(F.size(F.array_except("want", "seats")) == 0).select("key", "item_id", "delta", "at")
-
-
-def phrase_matches(docs: DataFrame, windows: DataFrame, found: DataFrame) -> DataFrame:
-    """``key, doc_id, item_id, start, length``: candidate windows that the document has word by word."""
-    w = windows.select("item_id", "at", "words")
-    cand = stored(found.join(w, ["item_id", "at"]).select("key", "item_id", (F.col("delta") + F.col("at")).alias("start"), "words").where("start >= 0"))
-    need = cand.select("key").distinct()
-    text = _keyed(docs).join(need, "key", "left_semi").dropDuplicates(["key"]).select("key", "doc_id", index_words(F.col("text")).alias("w"))
-    met = cand.join(text, "key").where(F.slice("w", F.col("start") + 1, F.size("words")) == F.col("words"))
-    return met.select("key", "doc_id", "item_id", "start", F.size("words").alias("length"))
+def postings(docs: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``term, key, doc_id, pos, from, context``: the index of the probe terms, stored in the shared folder. ``context``
+    has, for terms that are the rarest of a window, the words around the place, from word ``from`` on, enough for any
+    window that covers it. ``terms`` are ``term, anchor``. A vocabulary of up to
+    ``SMALL`` terms is broadcast; beyond, postings meet it in a shuffle and fetch their context afterwards."""
+    text = _keyed(docs).select("key", "doc_id", index_words(F.col("text")).alias("w"))
+    lo = F.greatest(F.lit(0), F.col("pos") - (window - 1))
+    around = F.slice("w", F.col("from") + 1, F.lit(2 * window - 1))
+    each = text.select("key", "doc_id", "w", F.posexplode("w").alias("pos", "term"))
+    if terms.count() <= SMALL:
+        met = each.join(F.broadcast(terms), "term")
+    else:
+        met = each.drop("w").join(terms, "term").join(text.dropDuplicates(["key"]).select("key", "w"), "key")
+    return stored(met.withColumn("from", lo).select("term", "key", "doc_id", "pos", "from", F.when(F.col("anchor"), around).alias("context")))
+
+
+def phrase_matches(index: DataFrame, windows: DataFrame, probe: DataFrame) -> DataFrame:
+    """``key, doc_id, item_id, start, length``: the windows that occur. The list of each window's rarest term is shifted to
+    where the item would begin; it is intersected with the shifted list of the next rarest; what both agree on is
+    compared word by word with the rarest term's context."""
+    seat = (F.col("at") + F.col("off")).alias("seat")
+    shift = F.xxhash64("key", "item_id", F.col("pos") - F.col("seat"))  # one number for the three; the words decide in the end
+    first = probe.where("k = 1").select("term", "item_id", "at", seat)
+    last = probe.where(f"k = {PROBES}").select("term", "item_id", "at", seat)
+    # a window of one term repeated has no second list; its first stands in
+    last = last.unionByName(first.join(last.select("item_id", "at"), ["item_id", "at"], "left_anti"))
+    seats = lambda p: p.select("term", "item_id", "seat").distinct()
+    open_ = index.join(seats(first), "term").select(shift.alias("a"), "key", "doc_id", "item_id", (F.col("pos") - F.col("seat")).alias("delta"), F.col("seat").alias("s1"), "from", "context")
+    met = index.join(seats(last), "term").select(shift.alias("a"), F.col("seat").alias("s2"))
+    pairs = first.select("item_id", "at", F.col("seat").alias("s1")).join(last.select("item_id", "at", F.col("seat").alias("s2")), ["item_id", "at"])
+    want = stored(pairs.join(windows.select("item_id", "at", "words"), ["item_id", "at"]).distinct())
+    if want.count() <= SMALL:
+        want = F.broadcast(want)
+    cand = open_.join(met, "a").join(want, ["item_id", "s1", "s2"])
+    start = F.col("delta") + F.col("at")
+    same = F.slice("context", F.greatest(start - F.col("from"), F.lit(0)) + 1, F.size("words")) == F.col("words")
+    return cand.where((start >= F.col("from")) & same).select("key", "doc_id", "item_id", start.alias("start"), F.size("words").alias("length")).distinct()
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -92,8 +100,8 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple
     windows = stored(item_windows(benchmark, window))
     vocabulary = stored(windows.select(F.explode("words").alias("term")).distinct())
     probe = stored(probes(windows, stored(term_counts(docs, vocabulary))))
-    index = postings(docs, probe.select("term").distinct())
-    return windows, probe, index, stored(phrase_matches(docs, windows, alignments(index, probe)))
+    index = postings(docs, stored(probe.groupBy("term").agg((F.min("k") == 1).alias("anchor"))), window)
+    return windows, probe, index, stored(phrase_matches(index, windows, probe))
 
 
 def proximity_matches(index: DataFrame, probe: DataFrame, slop: int = 20) -> DataFrame:
@@ -103,14 +111,14 @@ def proximity_matches(index: DataFrame, probe: DataFrame, slop: int = 20) -> Dat
     rare = probe.where("k = 1").select("win", "item_id", "at", "term")
     base = index.join(rare, "term").select("key", "doc_id", "win", "item_id", "at", F.col("pos").alias("p1"))
     near = base.withColumn("cell", F.explode(F.sequence(cell("p1") - 1, cell("p1") + 1)))
-    for k in (2, 3):
+    for k in range(2, PROBES + 1):
         other = index.join(probe.where(F.col("k") == k).select("win", "term"), "term").select("key", "win", F.col("pos").alias("q"), cell("pos").alias("cell"))
         met = near.join(other, ["key", "win", "cell"]).where(F.abs(F.col("q") - F.col("p1")) <= slop)
         # the nearest place of each further term
         met = met.groupBy("key", "win", "p1").agg(F.min_by("q", F.struct(F.abs(F.col("q") - F.col("p1")), F.col("q"))).alias(f"p{k}"))
         has = probe.groupBy("win").agg(F.max("k").alias("_k"))
         near = near.join(met, ["key", "win", "p1"], "left").join(has, "win").where((F.col("_k") < k) | F.col(f"p{k}").isNotNull()).drop("_k")
-    ends = [F.col(f"p{k}") for k in (1, 2, 3)]
+    ends = [F.col(f"p{k}") for k in range(1, PROBES + 1)]
     return near.select("key", "doc_id", "item_id", "at", F.least(*ends).alias("first"), F.greatest(*ends).alias("last")).distinct()
 
 

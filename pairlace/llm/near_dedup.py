@@ -211,13 +211,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     rows = sk.where((F.col("n") == 0) | own).select("doc_id", "n", "h1", "h2")
     sets = rows.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     sets = stored(sets)
-    full = sk.where("n > 0 and doc_id is not null").join(sets, ["n", "h1", "h2"]).where("doc_id = rep").drop("rep", "h1", "h2")
-    full = stored(full.dropDuplicates(["doc_id", "cls", "n"]))
-    bands = full.select("doc_id", "n", "cls", "regs").mapInArrow(_bands, "key long, doc_id long, n long, cls int")
+    full = sk.where("n > 0 and doc_id is not null")
+    named = full.join(sets, ["n", "h1", "h2"]).where("doc_id = rep").drop("rep", "h1", "h2")
+    bands = named.select("doc_id", "n", "cls", "regs").mapInArrow(_bands, "key long, doc_id long, n long, cls int")
     texts = d.where("doc_id is not null")
 
     meets = bands.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
-    kept = stored(bands.join(meets, "key"))  # rows of buckets with company
+    kept = stored(bands.join(meets, "key").distinct())  # rows of buckets with company
     # the text that copies were made from is met in more and larger buckets than any copy, and links to most of them
     degree = kept.groupBy("doc_id").agg(F.sum("m").alias("deg"))
     hub = kept.join(degree, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("deg", -F.col("doc_id"))).alias("hub"))
