@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,18 +90,26 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1\1", w)
 
 
+def _bucket(name: str, v: object) -> int:
+    return zlib.crc32(f"{name}={v}".encode()) % SHAPES
+
+
+def _own_buckets(w: str) -> tuple[int, ...]:
+    """Buckets of the word's shape as its own, as a left and as a right neighbour's, then of its signs."""
+    s, digits = shape(w), sum(map(w.count, "0123456789")) if len(w) <= 64 else 65
+    signs = (w[:1] == "+", w[:1] == "(", "@" in w, "." in w, "-" in w)
+    return _bucket("s", s), _bucket("l", s), _bucket("r", s), _bucket("d", min(digits, 20)), _bucket("f", signs), _bucket("dots", min(w.count("."), 5)), _bucket("n", (digits == len(w), min(len(w), 20)))
+
+
+_remembered = lru_cache(1 << 16)(_own_buckets)
+
+
 def word_features(words: list[str]) -> np.ndarray:
-    """Buckets of each word: its shape, the neighbours' shapes, counts of digits, dots and signs."""
-    bucket = lambda name, v: zlib.crc32(f"{name}={v}".encode()) % SHAPES
-    s = [shape(w) for w in words]
-    out = np.zeros((len(words), FIELDS), np.int64)
-    for k, w in enumerate(words):
-        digits = sum(map(w.count, "0123456789")) if len(w) <= 64 else 65
-        out[k] = (
-            bucket("s", s[k]), bucket("l", s[k - 1] if k else "^"), bucket("r", s[k + 1] if k + 1 < len(s) else "$"), bucket("d", min(digits, 20)),
-            bucket("f", (w[:1] == "+", w[:1] == "(", "@" in w, "." in w, "-" in w)), bucket("dots", min(w.count("."), 5)), bucket("n", (digits == len(w), min(len(w), 20))),
-        )
-    return out
+    """Buckets of each word: its shape, the neighbours' shapes, counts of digits, dots and signs. Short words that come
+    again are looked up."""
+    own = [_remembered(w) if len(w) <= 64 else _own_buckets(w) for w in words]
+    left, right = [_bucket("l", "^"), *[o[1] for o in own[:-1]]], [*[o[2] for o in own[1:]], _bucket("r", "$")]
+    return np.array([(o[0], a, b, *o[3:]) for o, a, b in zip(own, left, right, strict=True)], np.int64).reshape(-1, FIELDS)
 
 
 def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
