@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlace.config import GAP, N_STATES
 from pairlace.functions.scalars import pair_count, xlogx
 from pairlace.operators.alignment import state_presence
 
+SLICE = 8192  # samples in a one-hot matrix
+
 
 def _weighted(cells: DataFrame, weights: DataFrame | None) -> DataFrame:
     if weights is None:
@@ -112,38 +114,47 @@ def with_gap_effect(edges: DataFrame, gap_free: DataFrame) -> DataFrame:
     return out.withColumn("gap_effect", gap_effect(F.col("mi"), F.col("mi_wo_gaps")))
 
 
+def locus_ranks(cells: DataFrame, span: int = 4096) -> DataFrame:
+    """``pos, rank``: the dense rank of each locus from 0. Loci are ranked within spans of positions and spans are laid
+    end to end, so no task sorts them all."""
+    loci = cells.select("pos").distinct().withColumn("_span", F.floor(F.col("pos") / span))
+    sizes = loci.groupBy("_span").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    own = F.row_number().over(Window.partitionBy("_span").orderBy("pos")) - 1
+    return loci.withColumn("_rn", own).join(starts, "_span").select("pos", (F.col("_rn") + F.col("_off")).alias("rank"))
+
+
 def locus_blocks(cells: DataFrame, block: int = 128) -> DataFrame:
-    """``blk, pos array, data array of binary``: loci packed in blocks, a byte a sample in order of sample."""
+    """``blk, pos array, data array of binary``: loci packed in blocks of as many each, however far apart they lie; a
+    byte a sample in order of sample."""
     cell = F.struct("sample", F.col("state").cast("int").alias("state"))
     loci = cells.groupBy("pos").agg(F.array_sort(F.collect_list(cell)).alias("c"))
     packed = loci.select("pos", F.transform("c", lambda x: x["state"].cast("tinyint")).alias("s"))
-    ranked = packed.withColumn("blk", F.floor(F.col("pos") / block).cast("int"))
+    ranked = packed.join(locus_ranks(cells), "pos").withColumn("blk", F.floor(F.col("rank") / block).cast("int"))
     return ranked.groupBy("blk").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("l")).select("blk", F.col("l.pos").alias("pos"), F.col("l.s").alias("data"))
 
 
 def _block_mi(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float, n_states: int, drop: int | None) -> np.ndarray:
-    """MI of each row of x with each row of y, from weighted one-hot products."""
+    """MI of each row of x with each row of y, from weighted one-hot products. Samples are taken ``SLICE`` at a time, so
+    the one-hot matrices stay small however many samples there are."""
     states = [s for s in range(n_states) if s != drop]
-    px = np.stack([(x == s).any(1) for s in states])
-    py = np.stack([(y == s).any(1) for s in states])
-    hot_y = [np.ascontiguousarray((y == b).T, dtype=np.float64) for b in states]
-    z = np.zeros((x.shape[0], y.shape[0]))
-    joint, rows, cols = z.copy(), [z.copy() for _ in states], [z.copy() for _ in states]
-    counts = {}
-    for a, s in enumerate(states):
-        wx = (x == s) * w
-        for b in range(len(states)):
-            here = px[a][:, None] & py[b][None, :]
-            counts[a, b] = np.where(here, wx @ hot_y[b] + alpha, 0.0)
-            z += counts[a, b]
-    z[z == 0] = 1.0
-    ent = lambda p: p * np.log(np.where(p > 0, p, 1.0))
-    for (a, b), n in counts.items():
-        p = n / z
-        joint += ent(p)
-        rows[a] += p
-        cols[b] += p
-    return joint - sum(map(ent, rows)) - sum(map(ent, cols))
+    k = len(states)
+    counts = np.zeros((k, k, x.shape[0], y.shape[0]))
+    for lo in range(0, x.shape[1], SLICE):
+        part, own = slice(lo, lo + SLICE), w[lo : lo + SLICE]
+        hot_y = [(y[:, part] == s).astype(np.float64).T for s in states]
+        for a, s in enumerate(states):
+            hot_x = (x[:, part] == s) * own
+            for b in range(k):
+                counts[a, b] += hot_x @ hot_y[b]
+    here_x, here_y = (np.stack([(v == s).any(1) for s in states]) for v in (x, y))
+    here = here_x[:, None, :, None] & here_y[None, :, None, :]
+    p = np.where(here, counts + alpha, 0.0)
+    z = p.sum((0, 1))
+    p /= np.where(z == 0, 1.0, z)
+    ent = lambda v: v * np.log(np.where(v > 0, v, 1.0))
+    return ent(p).sum((0, 1)) - ent(p.sum(1)).sum(0) - ent(p.sum(0)).sum(0)
 
 
 def block_mi(
@@ -158,7 +169,7 @@ def block_mi(
     samples = cells.select("sample").distinct()
     ws = samples.withColumn("weight", F.lit(1.0)) if weights is None else samples.join(weights, "sample")
     w_row = ws.agg(F.array_sort(F.collect_list(F.struct("sample", F.col("weight").cast("double").alias("w")))).alias("w")).select(F.col("w.w").alias("w"))
-    last = int((cells.agg(F.max("pos")).first()[0] or 0) // block)
+    last = max(0, cells.select("pos").distinct().count() - 1) // block
     later = F.explode(F.sequence(F.col("blk"), F.lit(last)))
     a = blocks.select(F.col("blk").alias("p"), later.alias("q"), F.col("pos").alias("pi"), F.col("data").alias("x"))
     b = blocks.select(F.col("blk").alias("q"), F.col("pos").alias("pj"), F.col("data").alias("y"))

@@ -142,3 +142,19 @@ def test_whole_analysis(spark, cells, tmp_path):
 def test_whole_analysis_of_nothing(spark, cells):
     net = analyse(cells.where("pos = 2"), CouplingConfig())
     assert net.couplings.count() == 0 and net.outliers.count() == 0
+
+
+def test_blocks_of_far_loci(spark, cells, monkeypatch):
+    """Blocks follow the rank of a locus, not its position, and slices of samples add up."""
+    far = cells.withColumn("pos", F.col("pos") * 100_000)
+    assert m.locus_blocks(far, 4).count() == 3
+    assert sorted((r.pos, r["rank"]) for r in m.locus_ranks(far, 50).collect()) == [(k * 100_000, k - 1) for k in range(1, 11)]
+    want = {(r.i * 100_000, r.j * 100_000): r.mi for r in m.mi_pairs(cells).collect()}
+    got = {(r.i, r.j): r.mi for r in m.block_mi(far, block=4).where("kind = 'edge'").collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    monkeypatch.setattr(m, "SLICE", 3)
+    rng = np.random.default_rng(1)
+    x, y, w = rng.integers(0, 5, (4, 20)).astype(np.int8), rng.integers(0, 5, (6, 20)).astype(np.int8), rng.random(20)
+    sliced = m._block_mi(x, y, w, 0.5, 5, None)
+    monkeypatch.setattr(m, "SLICE", 100)
+    assert np.allclose(sliced, m._block_mi(x, y, w, 0.5, 5, None))
