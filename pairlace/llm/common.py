@@ -44,6 +44,13 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).alias(c) for c in columns])
 
 
+def one_row_each(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows with equal ``key`` the greatest alone, so that rows chosen by a bounded set of keys are bounded too."""
+    rest = [c for c in rows.columns if c != key]
+    one = rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r"))
+    return one.select(key, *[F.col("_r")[c].alias(c) for c in rest])
+
+
 # ---- words as arrays -----------------------------------------------------------------------------------------
 
 _BYTE = np.arange(256)

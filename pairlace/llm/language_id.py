@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlace.llm.common import LOWERED, only, text_chunks
+from pairlace.llm.common import LOWERED, one_row_each, only, text_chunks
 
 BUCKETS, SAMPLE, LANDMARKS, RIDGE, SHARP = 8192, 4000, 160, 1e-2, 6.0
 _LETTER = np.zeros(256, np.uint8)
@@ -83,7 +83,8 @@ def train(rows: DataFrame, sample: int = SAMPLE):
                 bits = np.packbits(presence(data, offs).astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array([b.tobytes() for b in bits], pa.binary())], names=["doc_id", "lang", "bits"])
 
-    got = d.join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, lang string, bits binary").collect()  # at most ``sample`` ids
+    chosen = one_row_each(d.where("doc_id is not null").join(F.broadcast(ids), "doc_id"), "doc_id")
+    got = chosen.mapInArrow(run, "doc_id long, lang string, bits binary").collect()  # at most ``sample`` rows
     if not got:
         return None
     got.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.bits)))

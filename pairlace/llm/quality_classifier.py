@@ -6,7 +6,7 @@ those rows of a bounded unlabelled pool it is surest of, and the other view lear
 logistic rule, fitted on labelled rows held back, calibrates and combines the views; it scores every document.
 
 Bounds: ``labelled`` and ``pool`` rows are fitted on, taken by least hash of the id; all documents are scored. Labels of
-an id that disagree are left out. If there are no labels, or of one kind only, each document scores 1. Null text
+an id that disagree are left out; of rows with the same id one is fitted on. If there are no labels, or of one kind only, each document scores 1. Null text
 is an empty text. Repeated rows get a row each. Extra columns are ignored.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlace.llm.common import WHITE, only, text_chunks, word_hashes, words_of
+from pairlace.llm.common import WHITE, one_row_each, only, text_chunks, word_hashes, words_of
 
 TRIGRAMS, SOURCES, FIGURES = 1024, 64, 12
 LANGS = 16
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", labelled:
     known = known.agg(F.min(target).cast("int").alias("y"), F.max(target).cast("int").alias("_z")).where("y = _z and y in (0, 1)").drop("_z")
     ids = d.select("doc_id").distinct().join(known, "doc_id", "left")
     chosen = _sampled(ids.where("y is not null"), labelled, 1).unionByName(_sampled(ids.where("y is null"), pool, 2))
-    xs, y = _collect_views(d.join(F.broadcast(chosen), "doc_id"))  # at most labelled + pool ids
+    xs, y = _collect_views(one_row_each(d.join(F.broadcast(chosen), "doc_id"), "doc_id"))  # at most labelled + pool rows
     have = ~np.isnan(y)
     if len(np.unique(y[have])) < 2:
         return None
