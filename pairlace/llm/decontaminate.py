@@ -135,6 +135,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window of the benchmark occurs; columns as given."""
-    hits = search(docs, benchmark, window)[3].select(F.col("key").alias("_hit")).distinct()
-    keyed = docs.withColumn("_hit", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return keyed.join(hits, "_hit", "left_anti").select(docs.columns)
+    hits = search(docs, benchmark, window)[3].select("key").distinct()
+    return docs.join(hits, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == hits["key"], "left_anti")

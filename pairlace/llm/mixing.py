@@ -122,36 +122,37 @@ def choose(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string") if "text" in docs.columns else F.lit(None).cast("string")
-    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    d = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_size", F.size(space_words(text)).cast("long")).withColumn("_src", source)
-    w = Window.partitionBy("_id").orderBy(F.col("_src").asc_nulls_last(), "_size", F.xxhash64(text))
-    return d.withColumn("_dup", F.row_number().over(w))
+    """``row`` (all columns as given), ``doc_id, source, size, key, dup`` of each row. A row is known by its content's hash
+    and its number among equal ones, so rows without an id don't meet in one task."""
+    have = lambda c, kind: F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)
+    text, source = have("text", "string"), have("source", "string")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    d = docs.select(whole, have("doc_id", "long").alias("doc_id"), source.alias("source"), F.size(space_words(text)).cast("long").alias("size"), F.xxhash64(have("doc_id", "long"), source, text).alias("key"))
+    return d.withColumn("dup", F.row_number().over(Window.partitionBy("key").orderBy(F.col("doc_id").asc_nulls_last(), F.col("source").asc_nulls_last(), "size")))
 
 
 def _plan(narrow: DataFrame, most: int, weights: tuple[int, ...]) -> DataFrame:
-    """``doc_id, dup, size, source_size, target, copies`` from ``doc_id, dup, source, size``."""
+    """``key, dup, doc_id, size, source_size, target, copies`` from ``key, dup, doc_id, source, size``."""
     targets = stored(source_targets(narrow, most, weights))
     rows = narrow.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("rate", F.least(F.lit(float(most)), rate)).withColumn("whole", F.floor(F.col("rate") + 1e-9))
     rows = stored(rows.withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))))
     rows = rows.withColumn("p", F.when(F.col("p") < 1e-9, F.lit(0.0)).otherwise(F.col("p")))
-    picked = choose(rows.select("doc_id", "dup", "source", "size", "p"))
-    one = rows.withColumnRenamed("doc_id", "_d").join(picked.withColumnRenamed("dup", "_dup"), F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("dup") == F.col("_dup")))
-    return one.select("doc_id", "dup", "size", "source_size", "target", (F.col("whole") + F.col("picked")).cast("int").alias("copies"))
+    picked = choose(rows.select(F.col("key").alias("doc_id"), "dup", "source", "size", "p")).withColumnRenamed("doc_id", "key")
+    return rows.join(picked, ["key", "dup"]).select("key", "dup", "doc_id", "size", "source_size", "target", (F.col("whole") + F.col("picked")).cast("int").alias("copies"))
 
 
 def mixture(docs: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """``doc_id, size, source_size, target, copies`` of each row."""
-    narrow = stored(_numbered(only(docs, "doc_id", "text", "source")).select(F.col("_id").alias("doc_id"), F.col("_dup").alias("dup"), F.col("_src").alias("source"), F.col("_size").alias("size")))
-    return _plan(narrow, most, weights).drop("dup")
+    narrow = stored(_numbered(only(docs, "doc_id", "text", "source")).drop("row"))
+    return _plan(narrow, most, weights).drop("key", "dup")
 
 
 def mix_documents(docs: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The documents as the mixture takes them, a row for each copy; columns as given."""
     numbered = _numbered(docs)
-    narrow = stored(numbered.select(F.col("_id").alias("doc_id"), F.col("_dup").alias("dup"), F.col("_src").alias("source"), F.col("_size").alias("size")))
-    copies = _plan(narrow, most, weights).where("copies > 0").select(F.col("doc_id").alias("_cid"), F.col("dup").alias("_cdup"), "copies")
-    met = numbered.join(copies.withColumnRenamed("copies", "_copies"), F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_dup") == F.col("_cdup")))
-    return met.withColumn("_c", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = _plan(stored(numbered.drop("row")), most, weights).where("copies > 0").select("key", "dup", "copies")
+    met = numbered.select("row", "key", "dup").join(copies, ["key", "dup"])
+    each = met.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return each.select(*[F.col("row")[c].alias(c) for c in docs.columns])

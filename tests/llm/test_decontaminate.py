@@ -72,6 +72,7 @@ def test_awkward_and_empty(spark):
     assert len(got) == n and [r.doc_id for r in got if r.contaminated] == [None]
     kept = de.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and kept.count() == n - 1
+    assert {(r.key, r._hit) for r in kept.collect()} == {("x", "x")}
     assert de.contamination(empty(spark), items).count() == 0
     assert not any(r.contaminated for r in de.contamination(docs, items.where("item_id < 0")).collect())
     assert spark.createDataFrame([], DOCS).count() == 0

@@ -84,4 +84,5 @@ def test_documents_are_taken_as_often_as_planned(spark):
     assert plan.count() == n
     out = mx.mix_documents(docs)
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in plan.collect())
+    assert {r._id for r in out.collect()} == {"x"}  # a column of the caller's that bears a name used here
     assert mx.mixture(empty(spark)).count() == 0 and mx.mix_documents(empty(spark)).count() == 0
