@@ -20,7 +20,7 @@ from pairlace.llm.common import lower_ascii, only, stored
 
 # Everything that is no word: ASCII but for digits and small letters, after A to Z are lowered.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW, PROBES, SMALL = 10, 2, 100_000
+WINDOW, PROBES, SMALL, CELL = 10, 2, 100_000, 64
 
 
 def index_words(text: Column) -> Column:
@@ -72,19 +72,21 @@ def postings(docs: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFra
     return stored(met.withColumn("from", lo).select("term", "key", "doc_id", "pos", "from", F.when(F.col("anchor"), around).alias("context")))
 
 
-def phrase_matches(index: DataFrame, windows: DataFrame, probe: DataFrame) -> DataFrame:
+def phrase_matches(index: DataFrame, windows: DataFrame, probe: DataFrame, window: int = WINDOW) -> DataFrame:
     """``key, doc_id, item_id, start, length``: the windows that occur. The list of each window's rarest term is shifted to
     where the item would begin; it is intersected with the shifted list of the next rarest; what both agree on is
-    compared word by word with the rarest term's context."""
+    compared word by word with the rarest term's context. Terms of one window stand near each other in the item, so
+    places meet by cells of ``CELL`` words of it: a long item that occurs whole costs rows in proportion to its length."""
     seat = (F.col("at") + F.col("off")).alias("seat")
-    shift = F.xxhash64("key", "item_id", F.col("pos") - F.col("seat"))  # one number for the three; the words decide in the end
+    cell = lambda away: F.floor((F.col("seat") + away) / CELL)
+    shift = F.xxhash64("key", "item_id", F.col("pos") - F.col("seat"), F.col("cell"))  # one number for the four; the words decide in the end
     first = probe.where("k = 1").select("term", "item_id", "at", seat)
     last = probe.where(f"k = {PROBES}").select("term", "item_id", "at", seat)
     # a window of one term repeated has no second list; its first stands in
     last = last.unionByName(first.join(last.select("item_id", "at"), ["item_id", "at"], "left_anti"))
     seats = lambda p: p.select("term", "item_id", "seat").distinct()
-    open_ = index.join(seats(first), "term").select(shift.alias("a"), "key", "doc_id", "item_id", (F.col("pos") - F.col("seat")).alias("delta"), F.col("seat").alias("s1"), "from", "context")
-    met = index.join(seats(last), "term").select(shift.alias("a"), F.col("seat").alias("s2"))
+    open_ = index.join(seats(first), "term").withColumn("cell", cell(0)).select(shift.alias("a"), "key", "doc_id", "item_id", (F.col("pos") - F.col("seat")).alias("delta"), F.col("seat").alias("s1"), "from", "context")
+    met = index.join(seats(last), "term").withColumn("cell", F.explode(F.sequence(cell(1 - window), cell(window - 1)))).select(shift.alias("a"), F.col("seat").alias("s2"))
     pairs = first.select("item_id", "at", F.col("seat").alias("s1")).join(last.select("item_id", "at", F.col("seat").alias("s2")), ["item_id", "at"])
     want = stored(pairs.join(windows.select("item_id", "at", "words"), ["item_id", "at"]).distinct())
     if want.count() <= SMALL:
@@ -101,7 +103,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple
     vocabulary = stored(windows.select(F.explode("words").alias("term")).distinct())
     probe = stored(probes(windows, stored(term_counts(docs, vocabulary))))
     index = postings(docs, stored(probe.groupBy("term").agg((F.min("k") == 1).alias("anchor"))), window)
-    return windows, probe, index, stored(phrase_matches(index, windows, probe))
+    return windows, probe, index, stored(phrase_matches(index, windows, probe, window))
 
 
 def proximity_matches(index: DataFrame, probe: DataFrame, slop: int = 20) -> DataFrame:

@@ -57,6 +57,16 @@ def test_against_brute_force(spark, small, monkeypatch):
     assert sum(r[-1] for r in want) > 20 and found(spark, docs, items) == want
 
 
+def test_long_items_held_whole(spark):
+    """An item of many cells, whole, in parts across cells' borders, and with words changed."""
+    rng = np.random.default_rng(8)
+    w = [f"t{int(k)}" for k in rng.permutation(700)]
+    docs = [(1, " ".join(w)), (2, " ".join(["pad"] * 33 + w[55:75] + ["pad"] + w[120:140])), (3, " ".join(x if k % 9 else "no" for k, x in enumerate(w))), (4, " ".join(w[:300] + ["no"] + w[300:]))]
+    items = [(1, " ".join(w)), (2, " ".join(w[60:70]))]
+    want = brute(docs, items)
+    assert found(spark, docs, items) == want and [r[2] for r in want] == [700, 40, 0, 700]
+
+
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "zebra quartz common words here")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "quartz is near a zebra here"), (2, "zebra " + "pad " * 50 + "quartz"), (3, "common words here " * 5)], "doc_id long, text string")
