@@ -53,6 +53,14 @@ def test_history_helps_on_held_out_text(spark):
     assert r.s / r.n > r.b / r.n + 0.1
 
 
+def test_heavy_counts_are_bounded(spark):
+    counts = spark.createDataFrame([(k, 1 + 1000 // (k + 1)) for k in range(500)], "h long, c long")
+    top = sorted((r.h, r.c) for r in lm.heavy_counts(counts, 50).collect())
+    assert 30 < len(top) <= 50 and top == [(k, 1 + 1000 // (k + 1)) for k in range(len(top))]
+    assert lm.heavy_counts(counts.where("c = 3"), 5).count() == 0
+    assert lm.heavy_counts(counts).count() == 500
+
+
 def test_classes_sum_to_one():
     rng = np.random.default_rng(3)
     w, b = rng.normal(0, 1, (lm.BUCKETS, lm.CLASSES)).astype(np.float32), rng.normal(0, 1, lm.CLASSES).astype(np.float32)
