@@ -112,7 +112,7 @@ def grouped(rows: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
     mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     names = both.join(lang.withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l")), "left")
     grp = F.when(~small, F.concat_ws("/", mark("lang"), mark("source"))).when(F.col("m") >= least, mark("lang")).otherwise(F.lit("*"))
-    names = names.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), grp.alias("grp"))
+    names = stored(names.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), grp.alias("grp")))  # its size is known when the join is planned
     return rows.join(names, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
 
 
@@ -151,7 +151,7 @@ def fit(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS, least: int
     model = stored(big.join(dev, "grp").select("grp", "mu", inv.alias("inv")))
     for _ in range(steps):
         far = _distance(rows, model).withColumn("key", F.round(F.ln(F.col("d2") + 1e-3), 2))
-        bound = far.groupBy("grp").agg(F.percentile("key", F.lit(subset)).alias("bound"))
+        bound = stored(far.groupBy("grp").agg(F.percentile("key", F.lit(subset)).alias("bound")))  # a row a group, so rows need not be dealt by it
         near = far.join(bound, "grp").where("key <= bound")
         sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)]
         sums += [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}_{j}") for i in range(k) for j in range(i, k)]
