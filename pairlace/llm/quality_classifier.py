@@ -79,7 +79,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1e-4, steps: int = 150, start: np.ndarray | None = None) -> np.ndarray:
-    """Weights, the last one the bias, by accelerated gradient steps; ``w`` are row weights."""
+    """Weights, the last one the bias, by accelerated gradient steps; ``w`` are row weights. Products are taken in the
+    rows' own precision, so that no step copies them."""
     x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = w / w.sum()
     lip = 0.25 * float((w * (x1 * x1).sum(1)).sum()) + l2
@@ -88,13 +89,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1e-4,
     for _ in range(steps):
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z = b + (t - 1) / t2 * (b - prev)
-        grad = x1.T @ (w * (sigmoid(x1 @ z) - y)) + l2 * np.r_[z[:-1], 0]
+        off = w * (sigmoid(x1 @ z.astype(x1.dtype)) - y)
+        grad = x1.T @ off.astype(x1.dtype) + l2 * np.r_[z[:-1], 0]
         prev, b, t = b, z - grad / lip, t2
     return b
 
 
 def apply(b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return x @ b[:-1] + b[-1]
+    return x @ b[:-1].astype(x.dtype) + b[-1]
 
 
 def co_train(xs: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], rounds: int = ROUNDS, added: int = ADDED) -> tuple[list[np.ndarray], np.ndarray]:
