@@ -1,13 +1,18 @@
 """A hashed maximum-entropy language model with class-factored softmax.
 
-``P(word | history) = P(class | history) * P(word | class)``. A word's class comes from its last bytes and length, so any
-word has one. The class is predicted by a softmax over hashed features of the history: the word before, the two
-classes before, and the word before that (a skip). The word within its class follows from counts over all training
-tokens, with half a count for each and for the unknown. Both factors sum to one, so scores are log probabilities.
+``P(word | history) = P(class | history) * P(word | class, history)``. A word's class comes from its last bytes and
+length, so any word has one. The class is predicted by a softmax over hashed features of the history: the word before,
+the two classes before, and the word before that (a skip). Within the class a tree of softmaxes over the same features
+leads to the word: the digits of the word's hash, ``FAN`` ways each, name its path. A branch's bias is the log of the
+counts under it (half a count for each word), so without weights the path gives the word's share of its class. There are
+as many levels as the training vocabulary fills, ``DEPTH`` at most; words that share the whole path (a few of some
+millions, at the full depth of 2**21 paths) are told apart by their counts. Half a count of each class is for the unknown
+word. All factors sum to one, so scores are log probabilities.
 
 Training runs in rounds: each takes one slice of the training documents, tasks sum the gradient over their tokens at the
-current weights, blocks of the gradient are added up by Spark, and the driver steps every weight by the sum over its
-feature's count. All slices together are all training documents. Weights are a table of fixed size.
+current weights, blocks of the gradient are added up by Spark, and the driver steps every weight and the classes' bias by the
+sum over its feature's count. All slices together are all training documents. The tables grow with the training
+vocabulary, from ``BUCKETS`` rows up to ``MOST`` for classes and twice that for branches; (feature, branch) is hashed to a row.
 
 Token counts are exact over the whole corpus. The most frequent tokens, ``HEAVY`` at most, are looked up in each task; the
 others join their counts in a shuffle that has no hot key left. Null text is empty and has the end token alone.
@@ -24,6 +29,8 @@ from pyspark.sql import functions as F
 from pairlace.llm.common import LOWERED, mix, only, stored, text_chunks, word_hashes, words_of
 
 CLASSES, BUCKETS, ROUNDS, HEAVY, BLOCK_ROWS = 32, 1 << 13, 3, 100_000, 256
+FAN_BITS, DEPTH, MOST = 4, 4, 1 << 15
+FAN = 1 << FAN_BITS
 END = np.uint64(0x5EED)
 _CHUNK = 1 << 20
 
@@ -42,8 +49,8 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.insert(h, first[1:], END), np.insert(cls, first[1:], 0), first + np.arange(n + 1)
 
 
-def features(h: np.ndarray, cls: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Three buckets for each token, from what stands before it in its text."""
+def histories(h: np.ndarray, cls: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Three hashes for each token, from what stands before it in its text."""
     n = len(h)
     one, two = np.full(n, END), np.full(n, END)
     c1, c2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
@@ -54,8 +61,55 @@ def features(h: np.ndarray, cls: np.ndarray, first: np.ndarray) -> np.ndarray:
     for at in (start, start + 1):
         at = at[at < n]
         two[at], c2[at] = END, 0
-    out = np.stack([mix(one), mix(c1 * np.uint64(CLASSES) + c2 + np.uint64(1 << 40)), mix(two ^ np.uint64(0xABCDEF))], 1)
-    return (out % np.uint64(BUCKETS)).astype(np.int64)
+    return np.stack([mix(one), mix(c1 * np.uint64(CLASSES) + c2 + np.uint64(1 << 40)), mix(two ^ np.uint64(0xABCDEF))], 1)
+
+
+def features(hist: np.ndarray, rows: int) -> np.ndarray:
+    return (hist % np.uint64(rows)).astype(np.int64)
+
+
+def sizes(kinds: float) -> tuple[int, int, int]:
+    """Rows of the classes' and of the branches' weights, and levels within a class, for so many kinds of words."""
+    grown = lambda most: int(min(most, max(BUCKETS, 2 ** np.ceil(np.log2(max(kinds, 1))))))
+    depth = 1
+    while depth < DEPTH and CLASSES * FAN**depth < 2 * kinds:
+        depth += 1
+    return grown(MOST), grown(2 * MOST), depth
+
+
+def leaves(h: np.ndarray, cls: np.ndarray, depth: int) -> np.ndarray:
+    """The end of each word's path: its class, then ``depth`` digits of its hash."""
+    return (cls.astype(np.int64) << (FAN_BITS * depth)) | (h & np.uint64(FAN**depth - 1)).astype(np.int64)
+
+
+def branch_biases(mass: np.ndarray, depth: int) -> list[np.ndarray]:
+    """For each level ``(node, FAN)``: the log of the counts under each branch; as good as none where there are none."""
+    return [np.log(np.maximum(mass.reshape(CLASSES * FAN**k, FAN, -1).sum(2), 1e-9)).astype(np.float32) for k in range(depth)]
+
+
+def branches(hist: np.ndarray, leaf: np.ndarray, v: np.ndarray, biases: list[np.ndarray]):
+    """``rows, digit, log probability of the digit, odds of all digits, their sum`` of each level on the tokens' paths."""
+    every = np.arange(len(leaf))
+    for k, bias in enumerate(biases):
+        node = leaf >> (FAN_BITS * (len(biases) - k))
+        key = mix(node.astype(np.uint64) + (np.uint64(k + 1) << np.uint64(40)))
+        rows = ((hist ^ key[:, None]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) & (len(v) - 1)
+        z = bias[node]
+        for j in range(3):
+            z += v[rows[:, j]]
+        z -= z.max(1, keepdims=True)
+        digit = (leaf >> (FAN_BITS * (len(biases) - k - 1))) & (FAN - 1)
+        own = z[every, digit]
+        odds = np.exp(z, out=z)
+        total = odds.sum(1)
+        yield rows, digit, own - np.log(total), odds, total
+
+
+def path_log_probs(hist: np.ndarray, leaf: np.ndarray, v: np.ndarray, biases: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(leaf))
+    for _, _, lp, _, _ in branches(hist, leaf, v, biases):
+        out += lp
+    return out
 
 
 def class_log_probs(f: np.ndarray, w: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -66,18 +120,28 @@ def class_log_probs(f: np.ndarray, w: np.ndarray, bias: np.ndarray) -> np.ndarra
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def gradient(h, cls, first, w, bias) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of observed less expected classes by feature and overall, and how often each feature fired."""
-    f = features(h, cls, first)
+def gradient(h, cls, first, w, bias, v, biases, total, inner) -> np.ndarray:
+    """Adds observed less expected classes and branches by feature, with how often each fired, to ``total`` and ``inner``;
+    gives the classes' sums over all tokens."""
+    hist = histories(h, cls, first)
+    f = features(hist, len(w))
     d = -np.exp(class_log_probs(f, w, bias))
     d[np.arange(len(cls)), cls] += 1
-    grad = np.zeros((BUCKETS, CLASSES), np.float32)
     for k in range(3):
         order = np.argsort(f[:, k], kind="stable")
         at = f[order, k]
         cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        grad[at[cut]] += np.add.reduceat(d[order], cut, axis=0)
-    return grad, np.bincount(f.ravel(), minlength=BUCKETS), d.sum(0)
+        total[at[cut], :CLASSES] += np.add.reduceat(d[order], cut, axis=0)
+        total[at[cut], CLASSES] += np.diff(np.append(cut, len(at)))
+    lane, flat = np.arange(FAN + 1), inner.reshape(-1)
+    for rows, digit, lp, odds, odds_sum in branches(hist, leaves(h, cls, len(biases)), v, biases):
+        e = np.ones((len(lp), FAN + 1), np.float32)
+        np.divide(odds, -odds_sum[:, None], out=e[:, :FAN])
+        e[np.arange(len(lp)), digit] += 1
+        e = e.reshape(-1)
+        for j in range(3):
+            np.add.at(flat, (rows[:, j, None] * (FAN + 1) + lane).reshape(-1), e)
+    return d.sum(0)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -124,29 +188,51 @@ def heavy_counts(counts: DataFrame, most: int | None = None) -> DataFrame:
     return counts.where(F.lit(False) if least is None else cls >= least).select("h", "c")
 
 
-def train_classes(docs: DataFrame, bias: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias after one pass over the rows ``doc_id, text`` in slices; gradients are summed by blocks."""
-    w, bias = np.zeros((BUCKETS, CLASSES), np.float32), bias.astype(np.float32)
+def leaf_mass(counts: DataFrame, depth: int) -> np.ndarray:
+    """Counts, with half a one for each word, at the end of each path. Spark sums them by path, then lays them out by block."""
+    n, per = CLASSES * FAN**depth, 1 << 12
+    leaf = F.shiftleft(F.col("cls").cast("long"), FAN_BITS * depth).bitwiseOR(F.col("h").bitwiseAND(F.lit(FAN**depth - 1).cast("long")))
+    sums = counts.groupBy(leaf.alias("leaf")).agg((F.sum("c") + 0.5 * F.count("*")).alias("m"))
+
+    def lay(pdf):
+        out, b = np.zeros(per), pdf.iloc[:1][["blk"]].copy()
+        out[pdf.leaf.to_numpy() % per] = pdf.m.to_numpy()
+        b["g"] = [out.tobytes()]
+        return b
+
+    mass = np.zeros(max(n, per))
+    for r in sums.withColumn("blk", F.floor(F.col("leaf") / per).cast("int")).groupBy("blk").applyInPandas(lay, "blk int, g binary").collect():  # fixed size
+        mass[r.blk * per : (r.blk + 1) * per] = np.frombuffer(bytes(r.g))
+    return mass[:n].astype(np.float32)
+
+
+def train(docs: DataFrame, bias: np.ndarray, mass: np.ndarray, shape: tuple[int, int, int], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class weights, class bias and branch weights after one pass over the rows ``doc_id, text`` in slices; gradients
+    are summed by blocks. Tasks are few and large, as each sends one gradient."""
+    n_rows, n_inner, depth = shape
+    w, bias, v = np.zeros((n_rows, CLASSES), np.float32), bias.astype(np.float32), np.zeros((n_inner, FAN), np.float32)
+    biases = branch_biases(mass, depth)
     schema = pa.schema([("blk", pa.int32()), ("g", pa.binary())])
     sc = docs.sparkSession.sparkContext
+    fixed = sc.broadcast(biases)
     for r in range(rounds):
-        now = sc.broadcast((w, bias))  # fixed size
+        now = sc.broadcast((w, bias, v))  # fixed size
 
         def run(batches, now=now):
-            w, bias = now.value
-            total, fired, over = np.zeros((BUCKETS, CLASSES), np.float64), np.zeros(BUCKETS), np.zeros(CLASSES)
+            w, bias, v = now.value
+            total, inner, over = np.zeros((n_rows, CLASSES + 1), np.float32), np.zeros((n_inner, FAN + 1), np.float32), np.zeros(CLASSES + 1)
             some = False
             for batch in batches:
                 for _, _, data, offs in text_chunks(batch, limit=_CHUNK // 2):
-                    g, n, o = gradient(*tokens(data, offs), w, bias)
-                    total += g
-                    fired += n
-                    over += o
+                    t = tokens(data, offs)
+                    over[:CLASSES] += gradient(*t, w, bias, v, fixed.value, total, inner)
+                    over[CLASSES] += len(t[0])
                     some = True
             if some:
-                full = np.hstack([total, fired[:, None]]).astype(np.float32)
-                blocks = [full[k : k + BLOCK_ROWS].tobytes() for k in range(0, BUCKETS, BLOCK_ROWS)] + [over.astype(np.float32).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], schema=schema)
+                blocks = [x[k : k + BLOCK_ROWS].tobytes() for x in (total, inner) for k in range(0, len(x), BLOCK_ROWS)] + [over.astype(np.float32).tobytes()]
+                for k in range(0, len(blocks), 64):
+                    part = blocks[k : k + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part)), pa.int32()), pa.array(part, pa.binary())], schema=schema)
 
         def add(pdf):
             out = pdf.iloc[:1].copy()
@@ -154,30 +240,41 @@ def train_classes(docs: DataFrame, bias: np.ndarray, rounds: int = ROUNDS) -> tu
             return out
 
         part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds)) == r).select("text")
+        part = part.coalesce(max(sc.defaultParallelism, part.rdd.getNumPartitions() // 8))
         summed = {x.blk: np.frombuffer(bytes(x.g), np.float32) for x in part.mapInArrow(run, "blk int, g binary").groupBy("blk").applyInPandas(add, "blk int, g binary").collect()}
+        now.destroy()  # else each round's weights stay on every executor's disk
         if not summed:
             continue
-        full = np.concatenate([summed[k].reshape(BLOCK_ROWS, CLASSES + 1) for k in range(BUCKETS // BLOCK_ROWS)])
+        cut = n_rows // BLOCK_ROWS
+        full = np.concatenate([summed[k].reshape(BLOCK_ROWS, CLASSES + 1) for k in range(cut)])
+        deep = np.concatenate([summed[k].reshape(BLOCK_ROWS, FAN + 1) for k in range(cut, cut + n_inner // BLOCK_ROWS)])
+        over = summed[cut + n_inner // BLOCK_ROWS]
         n, p = full[:, -1:], np.exp(bias)
-        # three features move together, so each takes a third of its own step
+        # the bias and the three features move together, so each takes a part of its own step
         w = w + (full[:, :CLASSES] / (n * np.maximum(p, 0.01) + 20) / 3).clip(-2, 2).astype(np.float32)
-    return w, bias
+        bias = bias + (over[:CLASSES] / (over[CLASSES] * np.maximum(p, 0.01) + 20) / 3).clip(-2, 2).astype(np.float32)
+        v = v + (deep[:, :FAN] / (0.25 * deep[:, FAN:] + 5) / 3).clip(-2, 2)
+    fixed.destroy()
+    return w, bias, v
 
 
 def _score_batches(now):
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("h", pa.int64()), ("cls", pa.int32()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lm", pa.float64())])
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("h", pa.int64()), ("cls", pa.int32()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lm", pa.float64()), ("path", pa.float64())])
 
     def run(batches):
         from pyspark import TaskContext
 
-        w, bias, heavy, count, base_n, base_v, cls_n, cls_v = now.value
+        w, bias, v, mass, depth, heavy, count, base_n, base_v, cls_n, cls_v = now.value
+        biases, log_mass = branch_biases(mass, depth), np.log10(np.maximum(mass, 0.5))
         uid = TaskContext.get().partitionId() << 40
-        in_class = lambda c, k: np.log10((c + 0.5) / (cls_n[k] + 0.5 * (cls_v[k] + 1)))
+        known = np.log10(1 - 0.5 / (cls_n + 0.5 * (cls_v + 1)).clip(0.75))
         whole = lambda c: np.log10((c + 0.5) / (base_n + 0.5 * (base_v + 1)))
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch, limit=_CHUNK // 2):
                 h, cls, first = tokens(data, offs)
-                lp = class_log_probs(features(h, cls, first), w, bias)[np.arange(len(h)), cls] / np.log(10)
+                hist, leaf = histories(h, cls, first), leaves(h, cls, depth)
+                lp = class_log_probs(features(hist, len(w)), w, bias)[np.arange(len(h)), cls] / np.log(10)
+                path = path_log_probs(hist, leaf, v, biases) / np.log(10) + known[cls] - log_mass[leaf]  # of a known word, but for its count
                 at = np.minimum(np.searchsorted(heavy, h), max(0, len(heavy) - 1))
                 hit = heavy[at] == h if len(heavy) else np.zeros(len(h), bool)
                 row = np.repeat(np.arange(hi - lo), np.diff(first))
@@ -187,18 +284,18 @@ def _score_batches(now):
                 uid += hi - lo
                 part = batch.slice(lo, hi - lo)
                 base = add(np.where(hit, whole(c), 0.0))
-                lm = add(lp + np.where(hit, in_class(c, cls), 0.0))
+                lm = add(lp + np.where(hit, path + np.log10(c + 0.5), 0.0))
                 none = pa.nulls(hi - lo, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), part.column("doc_id"), part.column("held_out"), none, none.cast(pa.int32()), pa.array(np.diff(first)), pa.array(add(hit & (c > 0)).astype(np.int64)), pa.array(base), pa.array(lm)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), part.column("doc_id"), part.column("held_out"), none, none.cast(pa.int32()), pa.array(np.diff(first)), pa.array(add(hit & (c > 0)).astype(np.int64)), pa.array(base), pa.array(lm), pa.nulls(hi - lo, pa.float64())], schema=schema)
                 if (rest := np.flatnonzero(~hit)).size:
                     key = np.stack([row[rest].astype(np.uint64), h[rest]], 1)
                     order = np.lexsort((key[:, 1], key[:, 0]))
-                    key, k = key[order], cls[rest][order]
+                    key, k, path = key[order], cls[rest][order], path[rest][order]
                     cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
                     n = np.diff(np.append(cut, len(key)))
                     m = len(cut)
                     zero = pa.array(np.zeros(m))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[key[cut, 0].astype(np.int64)]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(key[cut, 1].view(np.int64)), pa.array(k[cut], pa.int32()), pa.array(n), pa.array(np.zeros(m, np.int64)), zero, zero], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[key[cut, 0].astype(np.int64)]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(key[cut, 1].view(np.int64)), pa.array(k[cut], pa.int32()), pa.array(n), pa.array(np.zeros(m, np.int64)), zero, zero, pa.array(np.add.reduceat(path, cut))], schema=schema)
 
     return run
 
@@ -214,19 +311,21 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     cls_n = np.array([by.get(k, (0, 0))[0] for k in range(CLASSES)], float)
     cls_v = np.array([by.get(k, (0, 0))[1] for k in range(CLASSES)], float)
     total, kinds = float(cls_n.sum()), float(cls_v.sum())
-    w, bias = train_classes(learn, np.log((cls_n + 1) / (total + CLASSES)))
+    shape = sizes(kinds)
+    mass = leaf_mass(counts, shape[2])
+    w, bias, v = train(learn, np.log((cls_n + 1) / (total + CLASSES)), mass, shape)
     top = heavy_counts(counts).toPandas()  # at most HEAVY rows
     heavy = top.h.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(heavy)
-    now = spark.sparkContext.broadcast((w, bias, heavy[order], top.c.to_numpy(np.int64)[order], total, kinds, cls_n, cls_v))
-    schema = "uid long, doc_id long, held_out boolean, h long, cls int, n long, known long, base double, lm double"
+    now = spark.sparkContext.broadcast((w, bias, v, mass, shape[2], heavy[order], top.c.to_numpy(np.int64)[order], total, kinds, cls_n, cls_v))
+    schema = "uid long, doc_id long, held_out boolean, h long, cls int, n long, known long, base double, lm double, path double"
     parts = stored(d.mapInArrow(_score_batches(now), schema))
-    found = parts.where("h is not null").select("uid", "h", "cls", "n").join(counts.select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    found = parts.where("h is not null").select("uid", "h", "cls", "n", "path").join(counts.select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     in_class = spark.createDataFrame([(k, float(cls_n[k] + 0.5 * (cls_v[k] + 1))) for k in range(CLASSES)], "cls int, z double")
     found = found.join(F.broadcast(in_class), "cls")  # a row a class
     rest = found.groupBy("uid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / (total + 0.5 * (kinds + 1)))).alias("b2"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / F.col("z"))).alias("l2"),
+        F.sum(F.when(F.col("c") > 0, F.col("path") + F.col("n") * F.log10(F.col("c") + 0.5)).otherwise(F.col("n") * F.log10(0.5 / F.col("z")))).alias("l2"),
     )
     out = parts.where("h is null").join(rest, "uid", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))

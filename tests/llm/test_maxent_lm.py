@@ -75,3 +75,30 @@ def test_awkward_and_empty(spark):
     assert lm.score(empty(spark), fold() == 1).count() == 0
     only_held = spark.createDataFrame([(1, "a b", "en", "web", 3)], DOCS)
     assert lm.score(only_held, F.lit(True)).first().n_known == 0
+
+
+def test_history_tells_words_of_one_class_apart(spark):
+    """Which of two words of one class follows is known from the word before."""
+    names = [f"{k:03d}ing" for k in range(1000)]
+    cls = lm.tokens(np.frombuffer(" ".join(names).encode(), np.uint8), np.array([0, 7 * 1000 - 1]))[1][:1000]
+    assert len(set(cls)) == 1
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(f"lead{a} {names[a]}" for a in rng.integers(0, 20, 30))
+    docs = spark.createDataFrame([(k, text()) for k in range(600)], "doc_id long, text string")
+    r = lm.score(docs, fold() == 1).where("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("s")).first()
+    # each second word is free among 20; a word that history does not tell costs another log10(20) / 2
+    assert r.s > -math.log10(20) / 2 - 0.4
+
+
+def test_paths_sum_to_one_and_without_weights_give_counts():
+    rng = np.random.default_rng(5)
+    depth = 2
+    mass = np.where(rng.random(lm.CLASSES * lm.FAN**depth) < 0.3, 0, rng.integers(1, 50, lm.CLASSES * lm.FAN**depth) + 0.5)
+    biases = lm.branch_biases(mass, depth)
+    leaf = np.arange(7 * lm.FAN**depth, 8 * lm.FAN**depth)
+    hist = np.repeat(rng.integers(0, 2**63, (1, 3), dtype=np.uint64), len(leaf), 0)
+    v = rng.normal(0, 1, (lm.BUCKETS, lm.FAN)).astype(np.float32)
+    assert math.isclose(np.exp(lm.path_log_probs(hist, leaf, v, biases)).sum(), 1, rel_tol=1e-5)
+    p = np.exp(lm.path_log_probs(hist, leaf, v * 0, biases))
+    assert np.allclose(p, mass[leaf] / mass[leaf].sum(), atol=1e-6)
+    assert lm.sizes(100)[0] == lm.BUCKETS and lm.sizes(10**7) == (lm.MOST, 2 * lm.MOST, lm.DEPTH)
