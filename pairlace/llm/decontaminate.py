@@ -8,7 +8,7 @@ need no postings, so the index follows the benchmark's vocabulary, and no window
 occurs has each of its terms at its place.
 
 Null and blank texts have no words. Repeated rows and ids each keep their own hits (a row is known by its id and
-text). Empty tables give empty results; extra columns are ignored.
+text). Items without an id are searched too: they count in ``n_items``, all as one, and give no name to ``items``. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +28,12 @@ def index_words(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``item_id string, win, at, words``: each window and its place in the item."""
+    """``win, item, item_id string, at, words``: each window and its place in the item. ``item`` stands for an item with or
+    without an id."""
     items = only(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), index_words(F.col("text")).alias("w")).where("size(w) > 0").distinct()
     places = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
-    wins = items.select("item_id", "w", F.explode(places).alias("at")).select("item_id", "at", F.slice("w", F.col("at") + 1, F.lit(window)).alias("words"))
-    return wins.select(F.xxhash64("item_id", "at", "words").alias("win"), "item_id", "at", "words")
+    wins = items.select(F.xxhash64("item_id", "w").alias("item"), "item_id", "w", F.explode(places).alias("at")).select("item", "item_id", "at", F.slice("w", F.col("at") + 1, F.lit(window)).alias("words"))
+    return wins.select(F.xxhash64("item", "at", "words").alias("win"), "item", "item_id", "at", "words")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -49,11 +50,11 @@ def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def probes(windows: DataFrame, counts: DataFrame, n_probes: int = PROBES) -> DataFrame:
-    """``win, item_id, at, term, off, k``: of each window its rarest terms, once each; k = 1 is the rarest."""
-    each = windows.select("win", "item_id", "at", F.posexplode("words").alias("off", "term")).join(counts, "term")
-    once = each.groupBy("win", "item_id", "at", "term", "n").agg(F.min("off").alias("off"))
+    """``win, item, item_id, at, term, off, k``: of each window its rarest terms, once each; k = 1 is the rarest."""
+    each = windows.select("win", "item", "item_id", "at", F.posexplode("words").alias("off", "term")).join(counts, "term")
+    once = each.groupBy("win", "item", "item_id", "at", "term", "n").agg(F.min("off").alias("off"))
     w = Window.partitionBy("win").orderBy("n", "term")
-    return once.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n_probes).select("win", "item_id", "at", "term", "off", "k")
+    return once.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n_probes).select("win", "item", "item_id", "at", "term", "off", "k")
 
 
 def postings(docs: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -79,19 +80,19 @@ def phrase_matches(index: DataFrame, windows: DataFrame, probe: DataFrame, windo
     places meet by cells of ``CELL`` words of it: a long item that occurs whole costs rows in proportion to its length."""
     seat = (F.col("at") + F.col("off")).alias("seat")
     cell = lambda away: F.floor((F.col("seat") + away) / CELL)
-    shift = F.xxhash64("key", "item_id", F.col("pos") - F.col("seat"), F.col("cell"))  # one number for the four; the words decide in the end
-    first = probe.where("k = 1").select("term", "item_id", "at", seat)
-    last = probe.where(f"k = {PROBES}").select("term", "item_id", "at", seat)
+    shift = F.xxhash64("key", "item", F.col("pos") - F.col("seat"), F.col("cell"))  # one number for the four; the words decide in the end
+    first = probe.where("k = 1").select("term", "item", "at", seat)
+    last = probe.where(f"k = {PROBES}").select("term", "item", "at", seat)
     # a window of one term repeated has no second list; its first stands in
-    last = last.unionByName(first.join(last.select("item_id", "at"), ["item_id", "at"], "left_anti"))
-    seats = lambda p: p.select("term", "item_id", "seat").distinct()
-    open_ = index.join(seats(first), "term").withColumn("cell", cell(0)).select(shift.alias("a"), "key", "doc_id", "item_id", (F.col("pos") - F.col("seat")).alias("delta"), F.col("seat").alias("s1"), "from", "context")
+    last = last.unionByName(first.join(last.select("item", "at"), ["item", "at"], "left_anti"))
+    seats = lambda p: p.select("term", "item", "seat").distinct()
+    open_ = index.join(seats(first), "term").withColumn("cell", cell(0)).select(shift.alias("a"), "key", "doc_id", "item", (F.col("pos") - F.col("seat")).alias("delta"), F.col("seat").alias("s1"), "from", "context")
     met = index.join(seats(last), "term").withColumn("cell", F.explode(F.sequence(cell(1 - window), cell(window - 1)))).select(shift.alias("a"), F.col("seat").alias("s2"))
-    pairs = first.select("item_id", "at", F.col("seat").alias("s1")).join(last.select("item_id", "at", F.col("seat").alias("s2")), ["item_id", "at"])
-    want = stored(pairs.join(windows.select("item_id", "at", "words"), ["item_id", "at"]).distinct())
+    pairs = first.select("item", "at", F.col("seat").alias("s1")).join(last.select("item", "at", F.col("seat").alias("s2")), ["item", "at"])
+    want = stored(pairs.join(windows.select("item", "item_id", "at", "words"), ["item", "at"]).distinct())
     if want.count() <= SMALL:
         want = F.broadcast(want)
-    cand = open_.join(met, "a").join(want, ["item_id", "s1", "s2"])
+    cand = open_.join(met, "a").join(want, ["item", "s1", "s2"])
     start = F.col("delta") + F.col("at")
     same = F.slice("context", F.greatest(start - F.col("from"), F.lit(0)) + 1, F.size("words")) == F.col("words")
     return cand.where((start >= F.col("from")) & same).select("key", "doc_id", "item_id", start.alias("start"), F.size("words").alias("length")).distinct()
@@ -128,11 +129,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """``doc_id, n_words, n_hit, n_items, items, contaminated``, a row for each row of ``docs``."""
     hits = search(docs, benchmark, window)[3]
     words = hits.select("key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("p")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
-    items = hits.groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    items = hits.groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("nameless"))
     rows = _keyed(docs).select("key", "doc_id", F.size(index_words(F.col("text"))).cast("long").alias("n_words"))
     out = rows.join(words.join(items, "key"), "key", "left")
     out = out.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), (F.size("items") + F.coalesce("nameless", F.lit(0))).cast("long").alias("n_items"), "items", (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

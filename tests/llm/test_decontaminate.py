@@ -86,3 +86,11 @@ def test_awkward_and_empty(spark):
     assert de.contamination(empty(spark), items).count() == 0
     assert not any(r.contaminated for r in de.contamination(docs, items.where("item_id < 0")).collect())
     assert spark.createDataFrame([], DOCS).count() == 0
+
+
+def test_items_without_an_id(spark):
+    d = spark.createDataFrame([(1, "a p q r s b"), (2, "x y z p q r s"), (3, "x y q p")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, "p q r s"), (3, "x y z"), (None, "s b")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r["items"], r.contaminated) for r in de.contamination(d, b).collect()}
+    assert got == {1: (5, 1, [], True), 2: (7, 2, ["3"], True), 3: (0, 0, [], False)}
+    assert [r.doc_id for r in de.drop_contaminated(d, b).collect()] == [3]
