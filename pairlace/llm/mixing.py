@@ -3,12 +3,15 @@
 A source's target over its size gives each of its documents whole copies and one fractional inclusion probability. The
 cube method decides the fraction: three open documents at a time move along the direction that keeps both the sum of
 probabilities (documents) and the sum of probability times size (tokens), until one of them is in or out. This
-flight runs in blocks of bounded size; a block leaves at most two open documents, which meet in fewer blocks of the
-next level, until one block a source is left. The last open documents, two at most, land where the totals are nearest.
+flight runs in blocks of bounded size; a block leaves at most two open documents and its few smallest ones, which meet in
+fewer blocks of the next level, until one block a source is left. That block flies from its largest documents to its
+smallest, part by part: what rounding a part's last two open documents moves is spread over the smaller ones to come, and
+the smallest dozen lands where the totals are nearest, by exact search. Of some such samples the nearest is taken.
 
 Draws come from a hash of source, block and level, so reruns agree. Null text has size 0; the null source is a source,
-the last in order. Repeated rows are documents of their own. Sources without words have target 0. Empty tables give no
-rows; extra columns stay with their documents.
+the last in order. Repeated rows are documents of their own; rows of equal size tie and go by their hash. Sources without
+words have target 0. A very long text is one document like any other: its source comes as near its target as its other
+documents allow. Empty tables give no rows; extra columns stay with their documents.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from pairlace.llm.common import only, space_words, stored
 
 BLOCK, MOST_COPIES, WEIGHTS = 2048, 3, (1, 2, 3)
+HOLD, PARTS, SEARCHED, DRAWS = 16, (512, 64), 14, 24
 
 
 def source_targets(sizes: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -75,28 +79,91 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return np.array(p)
 
 
-def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Rounds the open probabilities, two at most, so that tokens, then documents, are nearest to their sums."""
+def land(p: np.ndarray, size: np.ndarray, tokens: float = 0.0, docs: float = 0.0) -> np.ndarray:
+    """Rounds the open probabilities, ``SEARCHED`` at most, so that tokens, then documents, are nearest to their sums;
+    ``tokens`` and ``docs`` are wanted besides."""
     at = np.flatnonzero((p > 0) & (p < 1))
-    best = None
-    for code in range(2 ** len(at)):
-        bits = np.array([code >> k & 1 for k in range(len(at))], float)
-        d = (bits - p[at]) if len(at) else np.zeros(0)
-        cost = (abs(float((d * size[at]).sum())), abs(float(d.sum())), code)
-        if best is None or cost < best[0]:
-            best = (cost, bits)
+    bits = (np.arange(2 ** len(at))[:, None] >> np.arange(len(at)) & 1).astype(float)
+    d = bits - p[at]
+    best = np.lexsort((np.abs(d.sum(1) - docs), np.round(np.abs(d @ size[at] - tokens), 6)))[0]
     out = p.copy()
-    out[at] = best[1]
+    out[at] = bits[best]
     return out
 
 
-def _fly(level: int, last: bool):
+def rounded(p: np.ndarray, size: np.ndarray, up: float, down: float, rng: np.random.Generator) -> np.ndarray:
+    """Rounds the open probabilities, two at most, each by its chance, of the ways whose change of tokens later rows
+    can take: ``up`` more or ``down`` fewer."""
+    at = np.flatnonzero((p > 0) & (p < 1))
+    bits = (np.arange(2 ** len(at))[:, None] >> np.arange(len(at)) & 1).astype(float)
+    owed = (p[at] - bits) @ size[at]
+    beyond = np.round(np.maximum(0, np.maximum(owed - up, -owed - down)), 6)
+    chance = np.where(bits == 1, p[at], 1 - p[at]).prod(1) * (beyond == beyond.min())
+    out = p.copy()
+    out[at] = bits[rng.choice(len(bits), p=chance / chance.sum())]
+    return out
+
+
+def shifted(p: np.ndarray, size: np.ndarray, tokens: float, docs: float) -> np.ndarray:
+    """Open probabilities moved, within 0 and 1, by amounts linear in the size, so that they hold so many more tokens and
+    documents; tokens alone where both can't be."""
+    p = p.copy()
+    for k in range(60):
+        if abs(tokens) < 1e-6 and (abs(docs) < 1e-6 or k >= 30):
+            break
+        free = (p > 0) & (p < 1)
+        s = size[free]
+        if not len(s) or not s.any():
+            break
+        if k < 30 and s.min() < s.max():
+            a, b = np.linalg.lstsq(np.array([[len(s), s.sum()], [s.sum(), (s * s).sum()]]), np.array([docs, tokens]), rcond=None)[0]
+        else:
+            a, b = tokens / s.sum(), 0.0
+        new = p.copy()
+        new[free] = np.clip(p[free] + a + b * s, 0, 1)
+        tokens, docs = tokens - float(((new - p) * size).sum()), docs - float((new - p).sum())
+        p = new
+    return p
+
+
+def settle(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The nearest to the tokens wanted of up to ``DRAWS`` samples; the first that misses by no more than a smallest row."""
+    best, least = None, np.inf
+    for _ in range(DRAWS):
+        out = settled_once(p, size, rng)
+        miss = abs(float(((out - p) * size).sum()))
+        if miss < least:
+            best, least = out, miss
+        if least <= min(size[size > 0], default=0):
+            break
+    return p.copy() if best is None else best
+
+
+def settled_once(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """All probabilities to 0 or 1, from rows in order of size, the smallest last."""
+    p, tokens, docs, start = p.copy(), float((p * size).sum()), float(p.sum()), 0
+    for left in (*PARTS, SEARCHED):
+        end = max(start, len(p) - left)
+        if end > start:
+            later = size[end:]
+            part = flight(p[start:end], size[start:end], rng)
+            p[start:end] = rounded(part, size[start:end], float(((1 - p[end:]) * later).sum()), float((p[end:] * later).sum()), rng)
+            p[end:] = shifted(p[end:], later, tokens - float((p * size).sum()), docs - float(p.sum()))
+            start = end
+    return land(p, size, tokens - float((p * size).sum()), docs - float(p.sum()))
+
+
+def _fly(level: int, last: bool, hold: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)  # small ones are left to land
-        seed = int(np.uint64(np.int64(pdf.seed.iloc[0])))
-        size = pdf["size"].to_numpy(float)
-        p = flight(pdf["p"].to_numpy(float), size, np.random.default_rng([seed, level]))
-        pdf["p"] = land(p, size) if last else p
+        none = (pdf["size"] > 0).rename("some")  # rows without words help no total: they fly first
+        pdf = pdf.assign(some=none).sort_values(["some", "size", "h", "doc_id", "dup"], ascending=[True, False, True, True, True], kind="stable", ignore_index=True).drop(columns="some")
+        rng = np.random.default_rng([int(np.uint64(np.int64(pdf.seed.iloc[0]))), level])
+        p, size = pdf["p"].to_numpy(float), pdf["size"].to_numpy(float)
+        if last:
+            pdf["p"] = settle(p, size, rng)
+        else:
+            far = max(0, len(p) - hold)
+            pdf["p"] = np.concatenate([flight(p[:far], size[:far], rng), p[far:]])
         return pdf
 
     return run
@@ -114,7 +181,7 @@ def choose(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         last = (counts.agg(F.max("blocks")).first()[0] or 1) == 1
         dealt = open_.join(counts.select(F.col("source").alias("_s"), "blocks"), F.col("source").eqNullSafe(F.col("_s")))
         dealt = dealt.withColumn("blk", F.pmod(F.xxhash64(F.lit(level), "h"), F.col("blocks"))).withColumn("seed", F.xxhash64("source", "blk"))
-        flown = stored(dealt.select("doc_id", "dup", "source", "size", "p", "h", "blk", "seed").groupBy("source", "blk").applyInPandas(_fly(level, last), kinds))
+        flown = stored(dealt.select("doc_id", "dup", "source", "size", "p", "h", "blk", "seed").groupBy("source", "blk").applyInPandas(_fly(level, last, min(HOLD, block // 4)), kinds))
         done = done.unionByName(flown.where("p <= 0 or p >= 1").select("doc_id", "dup", F.col("p").cast("int").alias("picked")))
         open_ = flown.where("p > 0 and p < 1").drop("blk", "seed")
         level += 1

@@ -71,6 +71,21 @@ def test_inclusion_follows_probability():
     assert np.abs(mean - p).max() < 0.12  # the landing moves two rows at most
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_settling_is_near_the_best_subset(seed):
+    """Sizes over four orders of magnitude: tokens are within a thousandth and rows within a few; small sets are solved."""
+    rng = np.random.default_rng(seed)
+    for n, most in ((80, 20_000), (600, 20_000), (2000, 3000)):
+        size = np.sort(np.round(np.exp(rng.normal(5, 1.2, n))).clip(1, most))[::-1].astype(float)
+        p = np.full(n, 0.37)
+        out = mx.settle(p, size, rng)
+        assert set(out) <= {0.0, 1.0} and abs(out @ size - p @ size) <= 1e-3 * (p @ size) and abs(out.sum() - p.sum()) <= 0.02 * n + 4
+    size = np.sort(rng.integers(1, 1000, 12))[::-1].astype(float)
+    p = rng.random(12)
+    best = min(abs(sum(s for k, s in enumerate(size) if code >> k & 1) - p @ size) for code in range(1 << 12))
+    assert abs(abs(mx.settle(p, size, rng) @ size - p @ size) - best) < 1e-6
+
+
 def test_levels_of_blocks(spark):
     rows = [(k, 1, "s", 1 + k % 37, 0.37) for k in range(900)]
     got = mx.choose(spark.createDataFrame(rows, "doc_id long, dup int, source string, size long, p double"), block=50)
