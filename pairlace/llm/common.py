@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,13 @@ SPACE_SPLIT = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return found or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    """The folder of spark.checkpoint.dir, or the one that the session was given. Without either there is an error, as a
+    local folder would be a different one on each executor; in local mode, on one machine, the warehouse serves."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return found or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -29,6 +33,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more. What was made from them must be stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("table-"):
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def for_join(table: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A stored table of few narrow columns, to be broadcast if it has at most ``most`` rows (some 50 MB); beyond that
+    Spark shuffles both sides."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def lower_ascii(text: Column) -> Column:
     """A to Z in lower case and nothing else; the fast path takes texts of one byte a character."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -119,21 +139,34 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 # ---- connected components ------------------------------------------------------------------------------------
 
+LEAST_HEAVY, MOST_HEAVY = 1000, 100_000
+
+
+def with_least(pairs: DataFrame) -> DataFrame:
+    """``u, v, m``: the stored rows ``u, v`` with the least ``v`` of their ``u``. Minima combine before the shuffle. Nodes with
+    more rows than a 100,000th of all (and than 1,000) are not shuffled but meet a broadcast: there are 100,000 at most, as
+    their rows add up to no more than all rows."""
+    low = stored(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")))
+    cut = max(LEAST_HEAVY, (low.agg(F.sum("d")).first()[0] or 0) // MOST_HEAVY)
+    heavy = F.broadcast(low.where(F.col("d") > cut).select("u", "m"))  # at most MOST_HEAVY rows
+    light = pairs.join(heavy.select("u"), "u", "left_anti").join(low.where(F.col("d") <= cut).select("u", "m"), "u")
+    return pairs.join(heavy, "u").unionByName(light)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """``node, component`` of each node that has an edge; the component is its least node. Alternates large-star
     and small-star steps (each node's neighbours are tied to its least neighbour), so the rounds follow the log of
-    the longest path. Minima combine before the shuffle and joins split on a hot node; each round is stored. Nulls
+    the longest path. A node with very many neighbours never comes into one task. Each round is stored. Nulls
     and loops are no edges. Raises if ``rounds`` do not suffice, rather than return a partial answer."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     e = stored(e)
     mark = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(least, "u")
-        small = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v")
+        large = stored(large.distinct())
+        tied = with_least(large)
+        small = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(tied.select("u", F.col("m").alias("v")))
         e = stored(small.where("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -155,11 +188,3 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Colu
     inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
     placed = salted.withColumn("_rn", F.row_number().over(inner) - 1).join(offsets, [*keys, "_salt"])
     return placed.withColumn(name, (F.col("_rn") + F.col("_off")).cast("long")).drop("_rn", "_off", "_salt")
-
-
-def concat_batches(rows: Iterable[dict], schema: pa.Schema) -> pa.RecordBatch:
-    cols = {f.name: [] for f in schema}
-    for r in rows:
-        for k, v in r.items():
-            cols[k].append(v)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], type=schema.field(k).type) for k, v in cols.items()], schema=schema)

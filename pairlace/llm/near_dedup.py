@@ -1,19 +1,27 @@
 """MinHash near-dedup with HyperMinHash sketches.
 
-A document's set is its distinct word shingles. A sketch holds 384 registers of two bytes: the count of leading
-zeros and ten mantissa bits of the least hash that fell into the bucket. Sets of different size need different
+A document's set is its distinct word shingles. A sketch holds 384 registers of one byte: the count of leading zeros (four
+bits) and four mantissa bits of the least hash that fell into the bucket. Sets of different size need different
 numbers of buckets for registers to be filled, so there is a scheme for each size class: ``3 * 2**(c - 3)`` buckets
 for sets of 2**c and more, repeated under as many permutations as fill 384 registers. A document that could match one
 of the next class is sketched in both. Six registers make a band: two sets of similarity 0.8 share none of the 64 bands
 with a probability of 4e-9.
 
-Candidates never are all pairs of a bucket: a bucket's members first meet its hub only, the member that shares most
-buckets with others; confirmed links give components; then those that still share a bucket across components
-meet by an exact prefix join on their rarest shingles, so no link is lost and none within a component is paid for. Candidates pass the collision-corrected estimate of the Jaccard similarity, then the
-full sets decide.
-
-Null, empty or blank text: an empty set, linked with nothing. Equal sets form a class first, so thousands of copies
-cost one sketch. Repeated rows and ids are allowed: an id's rows all get its component. Extra columns are ignored.
+The nodes are the distinct sets, known by their size and 128 bits of their hashes, so thousands of copies cost one sketch, and
+a doc_id with several texts is a node for each. Candidates never are all pairs of a bucket: a bucket has a hub, the
+member that shares most buckets with others, and each member first meets the one hub that it shares most buckets with;
+confirmed links give components; then those that still share a bucket across components meet by an exact prefix join on
+their rarest shingles, so no link is lost and none within a component is paid for. Candidates of hubs pass the
+collision-corrected estimate of the Jaccard similarity, then the full sets decide.
+
+What grows with the input: a sketch of 384 bytes a set, 64 rows of two numbers a sketch (each shuffled twice: once to
+count buckets, once to keep those with company), and the texts of sets with company, read from the documents once.
+Tables of node numbers are broadcast up to 2 million rows, beyond which documents are shuffled to meet them.
+A passage that many documents consist of, which are less similar than asked for, still costs a comparison a pair of them.
+
+Null text, empty or blank text: an empty set, linked with nothing. Rows without an id link nothing but get the component of an
+equal set. Repeated rows and ids are allowed; ties of hubs go by node number. A very long text is sketched in
+chunks of its own and compared whole. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlace.llm.common import LOWERED, components, mix, only, stored, text_chunks, word_hashes, words_of
+from pairlace.llm.common import LOWERED, components, for_join, forget, mix, only, stored, text_chunks, word_hashes, words_of
 
-REGISTERS, ROWS_PER_BAND, MANTISSA = 384, 6, 10
+REGISTERS, ROWS_PER_BAND, MANTISSA, MOST_ZEROS = 384, 6, 4, 14
 BANDS = REGISTERS // ROWS_PER_BAND
 TOP_CLASS = 10
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, (REGISTERS, 2), dtype=np.uint64) | np.uint64(1)
@@ -66,7 +74,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> list[np.ndar
 
 
 def sketches(sets: list[np.ndarray], cls: int) -> np.ndarray:
-    """Registers (sets x 384, uint16) under a class's scheme; 0 is an empty bucket."""
+    """Registers (sets x 384, a byte each) under a class's scheme; 0 is an empty bucket."""
     k = buckets_of(cls)
     u = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -78,7 +86,7 @@ def sketches(sets: list[np.ndarray], cls: int) -> np.ndarray:
     top = np.floor(np.log2(np.maximum(least, np.uint64(1)).astype(np.float64))).astype(np.int64).clip(0, 63)
     zeros = (63 - top).astype(np.uint64)
     tail = (least << np.minimum(zeros + np.uint64(1), np.uint64(63))) >> np.uint64(64 - MANTISSA)
-    packed = (((zeros + np.uint64(1)) << np.uint64(MANTISSA)) | tail).astype(np.uint16)
+    packed = (((np.minimum(zeros, MOST_ZEROS) + np.uint64(1)) << np.uint64(MANTISSA)) | tail).astype(np.uint8)
     packed[least == np.uint64(2**64 - 1)] = 0
     return packed.reshape(len(sets), REGISTERS)
 
@@ -97,11 +105,13 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _sketch_batches(width: int, similarity: float):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("cls", pa.int32()), ("regs", pa.binary())])
+    names = ["uid", "doc_id", "th", "n", "h1", "h2", "cls", "regs"]
 
     def run(batches):
+        from pyspark import TaskContext
+
+        uid = TaskContext.get().partitionId() << 36
         for batch in batches:
-            ids = batch.column("doc_id")
             for lo, hi, data, offs in text_chunks(batch):
                 sets = shingle_sets(data, offs, width)
                 n = np.array([len(s) for s in sets])
@@ -111,47 +121,52 @@ def _sketch_batches(width: int, similarity: float):
                 for i, m in enumerate(n.tolist()):
                     for c in classes_of(m, similarity) if m else [-1]:
                         by.setdefault(c, []).append(i)
+                part = batch.slice(lo, hi - lo)
                 for c, rows in by.items():
                     regs = [b""] * len(rows) if c < 0 else [r.tobytes() for r in sketches([sets[i] for i in rows], c)]
                     at = np.array(rows)
-                    yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(at)), pa.array(n[at]), pa.array(h1[at]), pa.array(h2[at]), pa.array(np.full(len(at), c, np.int32)), pa.array(regs, pa.binary())], schema=schema)
+                    own = [part.column(k).take(pa.array(at)) for k in ("doc_id", "th")]
+                    yield pa.RecordBatch.from_arrays([pa.array(at + uid), *own, pa.array(n[at]), pa.array(h1[at]), pa.array(h2[at]), pa.array(np.full(len(at), c, np.int32)), pa.array(regs, pa.binary())], names=names)
+                uid += hi - lo
 
     return run
 
 
 def _bands(batches):
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("nc", pa.int64())])
     band = np.arange(BANDS, dtype=np.uint64)
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):
             b = batch.slice(lo, 2000)
-            regs = np.frombuffer(b"".join(b.column("regs").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS_PER_BAND).astype(np.uint64)
-            cls = b.column("cls").to_numpy()
-            key = mix((regs * _BAND_KEYS).sum(2, dtype=np.uint64) + mix(cls.astype(np.uint64)[:, None] * np.uint64(1000) + band[None, :]))
+            regs = np.frombuffer(b"".join(b.column("regs").to_pylist()), np.uint8).reshape(-1, BANDS, ROWS_PER_BAND).astype(np.uint64)
+            nc = b.column("nc").to_numpy()
+            cls = (nc & 15).astype(np.uint64)
+            key = mix((regs * _BAND_KEYS).sum(2, dtype=np.uint64) + mix(cls[:, None] * np.uint64(1000) + band[None, :]))
             row, col = np.nonzero(regs.any(2))
-            yield pa.RecordBatch.from_arrays([pa.array(key[row, col].view(np.int64)), b.column("doc_id").take(pa.array(row)), b.column("n").take(pa.array(row)), pa.array(cls[row])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(key[row, col].view(np.int64)), pa.array(nc[row])], schema=schema)
 
 
 def _likely(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose estimate is within six standard errors of the similarity asked for."""
+    """Nodes ``x, y`` of the pairs whose estimate is within six standard errors of the similarity asked for. Pairs and
+    sketches are of nodes under a scheme, ``nc``."""
     margin = 6 * (similarity * (1 - similarity) / REGISTERS * 1.3) ** 0.5
 
     def run(batches):
         for batch in batches:
-            x = [np.frombuffer(v, np.uint16) for v in batch.column("rx").to_pylist()]
-            y = [np.frombuffer(v, np.uint16) for v in batch.column("ry").to_pylist()]
-            ok = estimate(np.stack(x), np.stack(y)) >= similarity - margin if x else np.zeros(0, bool)
-            yield batch.select(["x", "y"]).filter(pa.array(ok))
+            for lo in range(0, batch.num_rows, 20_000):
+                b = batch.slice(lo, 20_000)
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("rx", "ry"))
+                yield b.select(["x", "y"]).filter(pa.array(estimate(x, y) >= similarity - margin))
 
-    s = sketched.select("doc_id", "cls", "regs")
-    met = pairs.join(s.select(F.col("doc_id").alias("y"), "cls", F.col("regs").alias("ry")), ["y", "cls"])
-    met = met.join(s.select(F.col("doc_id").alias("x"), "cls", F.col("regs").alias("rx")), ["x", "cls"])
-    return met.select("x", "y", "rx", "ry").mapInArrow(run, "x long, y long").distinct()
+    met = pairs.join(sketched.select(F.col("nc").alias("y"), F.col("regs").alias("ry")), "y")
+    met = met.join(sketched.select(F.col("nc").alias("x"), F.col("regs").alias("rx")), "x")
+    found = met.select("x", "y", "rx", "ry").mapInArrow(run, "x long, y long")
+    return found.select(F.shiftright("x", 4).alias("x"), F.shiftright("y", 4).alias("y")).where("x <> y").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Pairs whose full shingle sets are similar enough, by whole numbers. Texts of candidates alone are moved; the
-    least member's text meets its pairs in the task that compares them."""
+    """Pairs of nodes whose full shingle sets are similar enough, by whole numbers. ``texts`` are ``node, text``; a pair moves
+    the text of ``y``, and the text of ``x`` is joined where pairs are compared."""
     percent = round(similarity * 100)
 
     def run(batches):
@@ -165,18 +180,25 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float
                 ok.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
-    need = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    t = stored(texts.join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
-    met = pairs.join(t.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y")
-    met = met.join(t.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x")
+    met = pairs.join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
+    met = met.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x")
     return met.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
 
 
+def _texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, text`` of the nodes ``node, at, th, many``: the text stands in the row whose id and text hash are ``at`` and
+    ``th``. Where several rows may have both, one is taken."""
+    found = docs.withColumnRenamed("doc_id", "at").join(for_join(nodes), ["at", "th"]).select("node", "many", "text")
+    alone = found.where("not many").select("node", "text")
+    return alone.unionByName(found.where("many").select("node", "text").dropDuplicates(["node"]))
+
+
 def _prefix_pairs(open_: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``x, y``: pairs of documents of different components that could be similar, of those in ``open_``. With its
-    shingles in order of rarity, a document shares one of its first ``n - ceil(similarity * n) + 1`` with each
+    """``x, y``: pairs of nodes of different components that could be similar, of those in ``open_``. With its
+    shingles in order of rarity, a node shares one of its first ``n - ceil(similarity * n) + 1`` with each
     partner, and the first one shared bounds what both can have in common. So what many documents share, a common
-    passage say, joins nobody whose own words set it apart. Nothing is lost: both rules are exact."""
+    passage say, joins nobody whose own words set it apart. Sets meet only those of their own and the next range of sizes,
+    ranges being as wide as the similarity allows. Nothing is lost: all three rules are exact."""
     t = round(similarity * 100)
 
     def run(batches):
@@ -187,60 +209,85 @@ def _prefix_pairs(open_: DataFrame, texts: DataFrame, width: int, similarity: fl
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
                 n = pa.array(np.array([len(s) for s in sets], np.int64))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("component").take(at), n.take(at), pa.array(flat)], names=["doc_id", "component", "n", "s"])
+                yield pa.RecordBatch.from_arrays([part.column("node").take(at), n.take(at), pa.array(flat)], names=["node", "n", "s"])
 
-    mine = texts.join(open_, "doc_id").groupBy("doc_id", "component").agg(F.max("text").alias("text"))
-    each = stored(mine.mapInArrow(run, "doc_id long, component long, n long, s long"))
+    each = stored(texts.join(for_join(open_).select("node"), "node").select("node", "text").mapInArrow(run, "node long, n long, s long"))
     df = each.groupBy("s").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("doc_id").orderBy("df", "s")
+    w = Window.partitionBy("node").orderBy("df", "s")
     head = each.join(df, "s").withColumn("p", F.row_number().over(w) - 1)
-    head = head.where(f"p <= n - ceil({t} * n / 100) and df > 1").select("s", "doc_id", "component", "n", "p")
-    one = head.select("s", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("p").alias("px"))
-    two = head.select("s", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("p").alias("py"))
+    head = head.where(f"p <= n - ceil({t} * n / 100) and df > 1").join(open_, "node")
+    span = F.floor(F.ln("n") / float(np.log(100 / t)) + 1e-9).cast("int") if t < 100 else F.col("n").cast("int")
+    head = stored(head.select("s", "node", "component", "n", "p", span.alias("span")))
+    one = head.select("s", F.explode(F.array(F.col("span"), F.col("span") + 1)).alias("span"), F.col("span").alias("sx"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("p").alias("px"))
+    two = head.select("s", "span", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("p").alias("py"))
     can = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + t) >= t * (F.col("nx") + F.col("ny"))
-    return one.join(two, "s").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & can).select("x", "y").distinct()
+    fits = (t * F.greatest("nx", "ny") <= 100 * F.least("nx", "ny")) & can
+    once = (F.col("sx") < F.col("span")) | (F.col("x") < F.col("y"))
+    met = one.join(two, ["s", "span"]).where(once & (F.col("cx") != F.col("cy")) & fits)
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _linked(full: DataFrame, sets: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``node, component``: the least node of each linked set's component."""
+    firsts = full.join(sets.select(F.col("node").alias("uid")), "uid").select((F.shiftleft("uid", 4) + F.col("cls") + 1).alias("nc"), "regs")
+    bands = firsts.mapInArrow(_bands, "key long, nc long")
+    meets = stored(bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))  # buckets with company
+    kept = stored(bands.join(meets, "key"))
+    # the text that copies were made from is met in more and larger buckets than any copy, and links to most of them
+    degree = kept.groupBy("nc").agg(F.sum("m").alias("deg"))
+    hub = kept.join(degree, "nc").groupBy("key").agg(F.max(F.struct("deg", "nc")).alias("h")).select("key", F.col("h.nc").alias("x"))
+    met = kept.select("key", F.col("nc").alias("y")).join(hub, "key").where("x <> y").groupBy("x", "y").agg(F.count("*").alias("c"))
+    star = stored(met.groupBy("y").agg(F.max(F.struct("c", "x")).alias("h")).select(F.col("h.x").alias("x"), "y"))
+    company = kept.select(F.shiftright("nc", 4).alias("node")).distinct()
+    texts = stored(_texts_of(stored(sets.join(company, "node").select("node", "at", "th", "many")), docs))
+    links = stored(_confirmed(stored(_likely(star, firsts, similarity)), texts, width, similarity))
+    comp = stored(components(links, "x", "y"))
+    tied = kept.select("key", F.shiftright("nc", 4).alias("node")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tied = stored(tied)
+    forget(meets, kept)
+    apart = tied.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    open_ = stored(tied.join(apart, "key", "left_semi").select("node", "component").distinct())
+    forget(tied)
+    more = stored(_confirmed(stored(_prefix_pairs(open_, texts, width, similarity)), texts, width, similarity))
+    found = stored(components(links.unionByName(more), "x", "y"))
+    forget(texts)
+    return found
+
+
+def _components_of(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``doc_id, th, n_shingles, component_id``, a row for each row of ``docs``; ``th`` is the text's hash."""
+    d = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    sk = stored(d.mapInArrow(_sketch_batches(width, similarity), "uid long, doc_id long, th long, n long, h1 long, h2 long, cls int, regs binary"))
+    own = F.col("cls") == F.least(F.lit(TOP_CLASS), F.floor(F.log2("n") + 1e-12)).cast("int")
+    rows = stored(sk.where((F.col("n") == 0) | own).select("uid", "doc_id", "th", "n", "h1", "h2"))
+    named = rows.where("n > 0 and doc_id is not null")
+    first = lambda c: F.min_by(c, "uid")
+    sets = stored(named.groupBy("n", "h1", "h2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("rep"), first("doc_id").alias("at"), first("th").alias("th"), (F.count("*") > 1).alias("many")))
+    found = _linked(sk.where("n > 0 and doc_id is not null"), sets, d, width, similarity)
+    forget(sk)
+    comp = sets.select("n", "h1", "h2", "node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = comp.groupBy("component").agg(F.min("rep").alias("component_id"))
+    out = rows.join(comp.join(least, "component").select("n", "h1", "h2", "component_id"), ["n", "h1", "h2"], "left")
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, n_shingles, component_id``, a row for each row of ``docs``: the least doc_id reachable over links
     of ``similarity`` and more."""
-    d = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = "doc_id long, n long, h1 long, h2 long, cls int, regs binary"
-    sk = stored(d.mapInArrow(_sketch_batches(width, similarity), kinds))
-    own = F.col("cls") == F.least(F.lit(TOP_CLASS), F.floor(F.log2("n") + 1e-12)).cast("int")
-    rows = sk.where((F.col("n") == 0) | own).select("doc_id", "n", "h1", "h2")
-    sets = rows.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    sets = stored(sets)
-    full = sk.where("n > 0 and doc_id is not null")
-    named = full.join(sets, ["n", "h1", "h2"]).where("doc_id = rep").drop("rep", "h1", "h2")
-    bands = named.select("doc_id", "n", "cls", "regs").mapInArrow(_bands, "key long, doc_id long, n long, cls int")
-    texts = d.where("doc_id is not null")
-
-    meets = bands.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
-    kept = stored(bands.join(meets, "key").distinct())  # rows of buckets with company
-    # the text that copies were made from is met in more and larger buckets than any copy, and links to most of them
-    degree = kept.groupBy("doc_id").agg(F.sum("m").alias("deg"))
-    hub = kept.join(degree, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("deg", -F.col("doc_id"))).alias("hub"))
-    star = kept.join(hub, "key").where("doc_id <> hub").select(F.least("doc_id", "hub").alias("x"), F.greatest("doc_id", "hub").alias("y"), "cls").distinct()
-    links = stored(_confirmed(_likely(star, full, similarity), texts, width, similarity))
-    comp = components(links, "x", "y")
-    tied = kept.select("key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    tied = stored(tied)
-    apart = tied.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = stored(tied.join(apart, "key", "left_semi").select("doc_id", "component").distinct())
-    more = _confirmed(stored(_prefix_pairs(open_, texts, width, similarity)), texts, width, similarity)
-    comp = components(links.unionByName(more), "x", "y")
-
-    named = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    out = rows.join(named.select("n", "h1", "h2", "component_id"), ["n", "h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _components_of(docs, width, similarity).drop("th")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without near copies: of each component the row whose doc_id names it stays, of
     repeated rows with that id and text one; rows without an id stay. Columns as given."""
-    comp = near_duplicates(docs, width, similarity)
-    gone = comp.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(kept.where("doc_id is null"))
+    comp = stored(_components_of(docs, width, similarity).where("doc_id is not null"))
+    key = lambda frame, c: (F.xxhash64(frame["text"].cast("string")) if c == "_th" else frame["doc_id"].cast("long"))
+    by = lambda t: (key(docs, "_id") == t["_id"]) & (key(docs, "_th") == t["_th"])
+    gone = for_join(stored(comp.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()))
+    kept = comp.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("_n"))
+    twice = stored(kept.where("_n > 1").drop("_n"))
+    stay = docs.join(gone, by(gone), "left_anti")
+    if twice.isEmpty():
+        return stay
+    twice = for_join(twice)
+    return stay.join(twice, by(twice), "left_anti").unionByName(stay.join(twice, by(twice), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -50,8 +50,8 @@ def test_prefix_join_alone_finds_all(spark):
     """Without any band in common, links between components still come from the prefix join."""
     rng = np.random.default_rng(7)
     docs = list(enumerate(near_copies(rng, 120)))
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    open_ = df.select("doc_id", F.col("doc_id").alias("component"))
+    df = spark.createDataFrame(docs, "node long, text string")
+    open_ = df.select("node", F.col("node").alias("component"))
     pairs = {(r.x, r.y) for r in nd._prefix_pairs(open_, df, 2, 0.8).collect()}
     sets = [shingles(t, 2) for _, t in docs]
     want = {(i, j) for j in range(len(sets)) for i in range(j) if (b := len(sets[i] & sets[j])) and 100 * b >= 80 * (len(sets[i]) + len(sets[j]) - b)}
@@ -71,6 +71,42 @@ def test_estimate(jaccard):
     assert abs(np.mean(err)) < 0.02 and np.std(err) < 0.05
 
 
+def test_one_id_with_several_texts(spark):
+    """Each text of an id has its own links; rows that repeat wholly change nothing."""
+    rng = np.random.default_rng(4)
+    a, z = (" ".join(f"{c}{int(v)}" for v in rng.integers(0, 9999, 40)) for c in "az")
+    docs = [(5, a), (5, z), (9, a + " more"), (11, z + " more"), (5, a), (9, a + " more"), (3, "something else altogether"), (12, z + " More\n")]
+    got = sorted((r.doc_id, r.component_id) for r in nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (5, 5), (5, 5), (5, 5), (9, 5), (9, 5), (11, 5), (12, 5)]
+    kept = sorted((r.doc_id, r.text) for r in nd.keep_one(spark.createDataFrame([*docs, (2, a)], "doc_id long, text string")).collect())
+    assert kept == [(2, a), (3, docs[6][1]), (5, z)]
+
+
+def test_repeated_ids_against_all_pairs(spark):
+    """Every id carries two texts: a component joins what either text reaches."""
+    rng = np.random.default_rng(12)
+    docs = [(k // 2, t) for k, t in enumerate(near_copies(rng, 120))]
+    want = {}
+    sets = [shingles(t, 2) for _, t in docs]
+    up = list(range(len(docs)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for j, b in enumerate(sets):
+        for i in range(j):
+            both = len(sets[i] & b)
+            if both and 100 * both >= 80 * (len(sets[i]) + len(b) - both):
+                up[root(j)] = root(i)
+    for k, (i, _) in enumerate(docs):
+        want.setdefault(root(k), []).append(i)
+    expected = sorted((i, len(sets[k]), min(want[root(k)])) for k, (i, _) in enumerate(docs))
+    got = nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected
+
+
 def test_awkward_and_empty(spark):
     docs, n = awkward(spark)
     assert nd.near_duplicates(docs).count() == n
