@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlace.llm.common import LOWERED, components, for_join, forget, mix, only, stored, text_chunks, word_hashes, words_of
+from pairlace.llm.common import LOWERED, components, for_join, forget, mix, only, stored, text_chunks, with_least, word_hashes, words_of
 
 REGISTERS, ROWS_PER_BAND, MANTISSA, MOST_ZEROS = 384, 6, 4, 14
 BANDS = REGISTERS // ROWS_PER_BAND
@@ -265,9 +265,9 @@ def _components_of(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     sets = stored(named.groupBy("n", "h1", "h2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("rep"), first("doc_id").alias("at"), first("th").alias("th"), (F.count("*") > 1).alias("many")))
     found = _linked(sk.where("n > 0 and doc_id is not null"), sets, d, width, similarity)
     forget(sk)
-    comp = sets.select("n", "h1", "h2", "node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = comp.groupBy("component").agg(F.min("rep").alias("component_id"))
-    out = rows.join(comp.join(least, "component").select("n", "h1", "h2", "component_id"), ["n", "h1", "h2"], "left")
+    linked = stored(found.join(sets.select("node", "rep"), "node").select(F.col("component").alias("u"), F.col("rep").alias("v"), "node"))
+    named = sets.join(with_least(linked).select("node", "m"), "node", "left").select("n", "h1", "h2", F.coalesce("m", "rep").alias("component_id"))
+    out = rows.join(named, ["n", "h1", "h2"], "left")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
