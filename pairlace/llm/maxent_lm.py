@@ -1,26 +1,33 @@
 """A hashed maximum-entropy language model with class-factored softmax.
 
-``P(word | history) = P(class | history) * P(word | class, history)``. A word's class comes from its last bytes and
-length, so any word has one. The class is predicted by a softmax over hashed features of the history: the word before,
-the two classes before, and the word before that (a skip). Within the class a tree of softmaxes over the same features
-leads to the word: the digits of the word's hash, ``FAN`` ways each, name its path. A branch's bias is the log of the
-counts under it (half a count for each word), so without weights the path gives the word's share of its class. There are
-as many levels as the training vocabulary fills, ``DEPTH`` at most; words that share the whole path (a few of some
-millions, at the full depth of 2**21 paths) are told apart by their counts. Half a count of each class is for the unknown
-word. All factors sum to one, so scores are log probabilities.
+``P(word | history) = P(class | history) * P(word | class, history)``. The class is predicted by a softmax over hashed
+features of the history: the word before, the two classes before, and the word before that (a skip). Within the class a
+tree of two-way softmaxes leads to the word: the bits of the word's hash name its path, and each branching has weights of
+its own for the word before and for the skip, one number each, kept in a table of hashed slots. Classes are balanced:
+words go to them by their last two bytes and length, the most frequent such groups first, each to the class least used.
+
+A branch's bias is the log odds of the counts under it (half a count for each word), so without weights the path gives
+the word's share of its class. There are as many levels as the training vocabulary fills, ``DEPTH`` at most; words that
+share the whole path (a few of some millions, at the full depth) are told apart by their counts. Half a count of each class is
+for the unknown word. All factors sum to one, so scores are log probabilities.
 
 Training runs in rounds: each takes one slice of the training documents, tasks sum the gradient over their tokens at the
-current weights, blocks of the gradient are added up by Spark, and the driver steps every weight and the classes' bias by the
-sum over its feature's count. All slices together are all training documents. The tables grow with the training
-vocabulary, from ``BUCKETS`` rows up to ``MOST`` for classes and twice that for branches; (feature, branch) is hashed to a row.
+current weights, blocks of the gradient are added up by Spark in two steps, so no worker gets a record of every task, and the
+driver steps every weight by its sum over how often it fired. All slices together are all training documents. The tables
+grow with the training vocabulary, up to ``MOST_ROWS`` rows for classes and ``MOST_SLOTS`` slots for branches.
 
 Token counts are exact over the whole corpus. The most frequent tokens, ``HEAVY`` at most, are looked up in each task; the
-others join their counts in a shuffle that has no hot key left. Null text is empty and has the end token alone.
-Repeated rows get a row each. Extra columns are ignored. Without training rows counts are 0 and classes alike.
+others join their counts in a shuffle that has no hot key left. Null text is empty and has the end token alone, and so has
+blank text; a row without an id is never held out. A very long text is scored in one chunk of its own, with history
+throughout. Equal counts tie by hash. Repeated rows get a row each. Extra columns are ignored. Without training rows counts
+are 0 and classes alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,29 +35,55 @@ from pyspark.sql import functions as F
 
 from pairlace.llm.common import LOWERED, mix, only, stored, text_chunks, word_hashes, words_of
 
-CLASSES, BUCKETS, ROUNDS, HEAVY, BLOCK_ROWS = 32, 1 << 13, 3, 100_000, 256
-FAN_BITS, DEPTH, MOST = 4, 4, 1 << 15
-FAN = 1 << FAN_BITS
+CLASSES, ROUNDS, HEAVY, TAILS = 32, 3, 100_000, 1 << 19
+SHALLOW, DEPTH, LEAST_ROWS, MOST_ROWS, LEAST_SLOTS, MOST_SLOTS = 7, 16, 1 << 13, 1 << 15, 1 << 16, 1 << 22
+PRIOR, DAMP, CLASS_PRIOR, CLASS_DAMP = 1.0, 1.0, 20.0, 0.8
+BLOCK, FAN_IN, SCALE = 1 << 14, 64, 4096  # gradients travel as half floats of a 4096th, up to 2**28
 END = np.uint64(0x5EED)
-_CHUNK = 1 << 20
+_ODD, _EVEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_CHUNK = 1 << 19
+
+
+class Model(NamedTuple):
+    classes: np.ndarray  #: class of each tail; the last one is the end token's
+    rows: np.ndarray  #: class weights, a row of ``CLASSES`` for each feature
+    bias: np.ndarray  #: class bias
+    slots: np.ndarray  #: branch weights
+    mass: np.ndarray  #: counts at the end of each path, half a one for each word in them
+    depth: int
+    counts: np.ndarray  #: training tokens of each class
+    kinds: np.ndarray  #: distinct training tokens of each class
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``hash, class, first``: A to Z lowered words and an end token for each text."""
+    """``hash, tail, first``: A to Z lowered words and an end token for each text. A tail stands for a word's last two
+    bytes and its length."""
     data = LOWERED[data]
     starts, ends, first = words_of(data, offs)
     h = word_hashes(data, starts, ends)
+    tail = np.zeros(0, np.int64)
     if len(h):
-        tail = data[ends - 1].astype(np.uint64) | (data[np.maximum(ends - 2, starts)].astype(np.uint64) << np.uint64(8))
-        cls = (mix(tail * np.uint64(8) + np.minimum(ends - starts, 7).astype(np.uint64)) % np.uint64(CLASSES - 1)).astype(np.int64) + 1
-    else:
-        cls = np.zeros(0, np.int64)
+        tail = (data[ends - 1].astype(np.int64) << 11) | (data[np.maximum(ends - 2, starts)].astype(np.int64) << 3) | np.minimum(ends - starts, 7)
     n = len(offs) - 1
-    return np.insert(h, first[1:], END), np.insert(cls, first[1:], 0), first + np.arange(n + 1)
+    return np.insert(h, first[1:], END), np.insert(tail, first[1:], TAILS), first + np.arange(n + 1)
+
+
+def balanced_classes(by_tail: np.ndarray) -> np.ndarray:
+    """The class of each tail. The end token has class 0; tails seen go, the most frequent first, to the class with the
+    fewest tokens; tails never seen go by hash."""
+    out = np.zeros(TAILS + 1, np.int64)
+    out[:TAILS] = (mix(np.arange(TAILS, dtype=np.uint64)) % np.uint64(CLASSES - 1)).astype(np.int64) + 1
+    load = [(0.0, k) for k in range(1, CLASSES)]
+    for t in np.argsort(-by_tail, kind="stable")[: np.count_nonzero(by_tail)]:
+        n, k = heapq.heappop(load)
+        out[t] = k
+        heapq.heappush(load, (n + float(by_tail[t]), k))
+    return out
 
 
 def histories(h: np.ndarray, cls: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Three hashes for each token, from what stands before it in its text."""
+    """Three hashes for each token, from what stands before it in its text: the word before, the skipped-to word, both
+    classes."""
     n = len(h)
     one, two = np.full(n, END), np.full(n, END)
     c1, c2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
@@ -61,7 +94,7 @@ def histories(h: np.ndarray, cls: np.ndarray, first: np.ndarray) -> np.ndarray:
     for at in (start, start + 1):
         at = at[at < n]
         two[at], c2[at] = END, 0
-    return np.stack([mix(one), mix(c1 * np.uint64(CLASSES) + c2 + np.uint64(1 << 40)), mix(two ^ np.uint64(0xABCDEF))], 1)
+    return np.stack([mix(one), mix(two ^ np.uint64(0xABCDEF)), mix(c1 * np.uint64(CLASSES) + c2 + np.uint64(1 << 40))], 1)
 
 
 def features(hist: np.ndarray, rows: int) -> np.ndarray:
@@ -69,84 +102,80 @@ def features(hist: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sizes(kinds: float) -> tuple[int, int, int]:
-    """Rows of the classes' and of the branches' weights, and levels within a class, for so many kinds of words."""
-    grown = lambda most: int(min(most, max(BUCKETS, 2 ** np.ceil(np.log2(max(kinds, 1))))))
-    depth = 1
-    while depth < DEPTH and CLASSES * FAN**depth < 2 * kinds:
+    """Rows of class weights, slots of branch weights and levels within a class, for so many kinds of words."""
+    grown = lambda n, least, most: int(min(most, max(least, 2 ** np.ceil(np.log2(max(n, 1))))))
+    depth = SHALLOW
+    while depth < DEPTH and CLASSES << depth < 2 * kinds:
         depth += 1
-    return grown(MOST), grown(2 * MOST), depth
+    return grown(kinds, LEAST_ROWS, MOST_ROWS), grown(32 * kinds, LEAST_SLOTS, MOST_SLOTS), depth
 
 
 def leaves(h: np.ndarray, cls: np.ndarray, depth: int) -> np.ndarray:
-    """The end of each word's path: its class, then ``depth`` digits of its hash."""
-    return (cls.astype(np.int64) << (FAN_BITS * depth)) | (h & np.uint64(FAN**depth - 1)).astype(np.int64)
+    """The end of each word's path: its class, then ``depth`` bits of its hash."""
+    return (cls.astype(np.int64) << depth) | (h & np.uint64((1 << depth) - 1)).astype(np.int64)
 
 
 def branch_biases(mass: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each level ``(node, FAN)``: the log of the counts under each branch; as good as none where there are none."""
-    return [np.log(np.maximum(mass.reshape(CLASSES * FAN**k, FAN, -1).sum(2), 1e-9)).astype(np.float32) for k in range(depth)]
+    """For each level and node the log odds of the counts under its second branch."""
+    out = []
+    for k in range(depth):
+        m = np.maximum(mass.reshape(CLASSES << k, 2, -1).sum(2), 1e-9)
+        out.append(np.log(m[:, 1] / m[:, 0]).clip(-25, 25).astype(np.float32))
+    return out
 
 
-def branches(hist: np.ndarray, leaf: np.ndarray, v: np.ndarray, biases: list[np.ndarray]):
-    """``rows, digit, log probability of the digit, odds of all digits, their sum`` of each level on the tokens' paths."""
-    every = np.arange(len(leaf))
+def branches(hist: np.ndarray, leaf: np.ndarray, slots: np.ndarray, biases: list[np.ndarray]):
+    """``slots fired, bit taken, log odds of the second branch`` at each level of the tokens' paths."""
+    shift = np.uint64(65 - len(slots).bit_length())
     for k, bias in enumerate(biases):
-        node = leaf >> (FAN_BITS * (len(biases) - k))
-        key = mix(node.astype(np.uint64) + (np.uint64(k + 1) << np.uint64(40)))
-        rows = ((hist ^ key[:, None]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) & (len(v) - 1)
+        node = leaf >> (len(biases) - k)
+        key = (node.astype(np.uint64) + (np.uint64(k + 1) << np.uint64(40))) * _EVEN
+        fired = [(((hist[:, j] ^ key) * _ODD) >> shift).astype(np.int64) for j in (0, 1)]
         z = bias[node]
-        for j in range(3):
-            z += v[rows[:, j]]
-        z -= z.max(1, keepdims=True)
-        digit = (leaf >> (FAN_BITS * (len(biases) - k - 1))) & (FAN - 1)
-        own = z[every, digit]
-        odds = np.exp(z, out=z)
-        total = odds.sum(1)
-        yield rows, digit, own - np.log(total), odds, total
-
-
-def path_log_probs(hist: np.ndarray, leaf: np.ndarray, v: np.ndarray, biases: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros(len(leaf))
-    for _, _, lp, _, _ in branches(hist, leaf, v, biases):
-        out += lp
-    return out
+        for at in fired:
+            z += slots[at]
+        yield fired, (leaf >> (len(biases) - k - 1)) & 1, z
+
 
+def path_log_probs(hist: np.ndarray, leaf: np.ndarray, slots: np.ndarray, biases: list[np.ndarray]) -> np.ndarray:
+    p = np.ones(len(leaf))
+    for _, bit, z in branches(hist, leaf, slots, biases):
+        p /= 1 + np.exp(np.where(bit == 1, -z, z).clip(-30, 30))
+    return np.log(np.maximum(p, 1e-300))
 
-def class_log_probs(f: np.ndarray, w: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z = w[f[:, 0]] + w[f[:, 1]]
-    z += w[f[:, 2]]
+
+def class_log_probs(f: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    z = rows[f[:, 0]] + rows[f[:, 1]]
+    z += rows[f[:, 2]]
     z += bias
     z -= z.max(1, keepdims=True)
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def gradient(h, cls, first, w, bias, v, biases, total, inner) -> np.ndarray:
-    """Adds observed less expected classes and branches by feature, with how often each fired, to ``total`` and ``inner``;
-    gives the classes' sums over all tokens."""
+def gradient(h, tail, first, model: Model, biases: list[np.ndarray], total: np.ndarray, inner: np.ndarray, fired_n: np.ndarray) -> np.ndarray:
+    """Adds observed less expected classes (``total``, with how often each feature fired) and branches (``inner``, and
+    ``fired_n``); gives the classes' sums over all tokens."""
+    cls = model.classes[tail]
     hist = histories(h, cls, first)
-    f = features(hist, len(w))
-    d = -np.exp(class_log_probs(f, w, bias))
+    f = features(hist, len(total))
+    d = -np.exp(class_log_probs(f, model.rows, model.bias))
     d[np.arange(len(cls)), cls] += 1
+    lane, flat = np.arange(CLASSES), total.reshape(-1)
     for k in range(3):
-        order = np.argsort(f[:, k], kind="stable")
-        at = f[order, k]
-        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        total[at[cut], :CLASSES] += np.add.reduceat(d[order], cut, axis=0)
-        total[at[cut], CLASSES] += np.diff(np.append(cut, len(at)))
-    lane, flat = np.arange(FAN + 1), inner.reshape(-1)
-    for rows, digit, lp, odds, odds_sum in branches(hist, leaves(h, cls, len(biases)), v, biases):
-        e = np.ones((len(lp), FAN + 1), np.float32)
-        np.divide(odds, -odds_sum[:, None], out=e[:, :FAN])
-        e[np.arange(len(lp)), digit] += 1
-        e = e.reshape(-1)
-        for j in range(3):
-            np.add.at(flat, (rows[:, j, None] * (FAN + 1) + lane).reshape(-1), e)
+        np.add.at(flat, (f[:, k, None] * (CLASSES + 1) + lane).reshape(-1), d.reshape(-1))
+        total[:, CLASSES] += np.bincount(f[:, k], minlength=len(total))
+    one = np.float32(1)
+    for fired, bit, z in branches(hist, leaves(h, cls, model.depth), model.slots, biases):
+        e = bit.astype(np.float32) - one / (one + np.exp(-z.clip(-30, 30)))
+        for at in fired:
+            np.add.at(inner, at, e)
+            np.add.at(fired_n, at, one)
     return d.sum(0)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """``h, cls, c``: each token's count over all rows; tasks sum their own first."""
-    schema = pa.schema([("h", pa.int64()), ("cls", pa.int32()), ("c", pa.int64())])
+    """``h, tail, c``: each token's count over all rows; tasks sum their own first."""
+    schema = pa.schema([("h", pa.int64()), ("tail", pa.int32()), ("c", pa.int64())])
 
     def merged(parts):
         h, k, c = (np.concatenate(v) for v in zip(*parts, strict=True))
@@ -160,8 +189,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
         parts, held = [], 0
         for batch in batches:
             for _, _, data, offs in text_chunks(batch):
-                h, cls, _ = tokens(data, offs)
-                parts.append(merged([(h, cls, np.ones(len(h), np.int64))]))
+                h, tail, _ = tokens(data, offs)
+                parts.append(merged([(h, tail, np.ones(len(h), np.int64))]))
                 held += len(parts[-1][0])
                 if held > 1_000_000:
                     parts = [merged(parts)]
@@ -172,7 +201,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
         if parts:
             yield batch_of(merged(parts))
 
-    return docs.select("text").mapInArrow(run, "h long, cls int, c long").groupBy("h").agg(F.first("cls").alias("cls"), F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "h long, tail int, c long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
 
 
 def heavy_counts(counts: DataFrame, most: int | None = None) -> DataFrame:
@@ -188,11 +217,14 @@ def heavy_counts(counts: DataFrame, most: int | None = None) -> DataFrame:
     return counts.where(F.lit(False) if least is None else cls >= least).select("h", "c")
 
 
-def leaf_mass(counts: DataFrame, depth: int) -> np.ndarray:
+def leaf_mass(counts: DataFrame, classes: np.ndarray, depth: int) -> np.ndarray:
     """Counts, with half a one for each word, at the end of each path. Spark sums them by path, then lays them out by block."""
-    n, per = CLASSES * FAN**depth, 1 << 12
-    leaf = F.shiftleft(F.col("cls").cast("long"), FAN_BITS * depth).bitwiseOR(F.col("h").bitwiseAND(F.lit(FAN**depth - 1).cast("long")))
-    sums = counts.groupBy(leaf.alias("leaf")).agg((F.sum("c") + 0.5 * F.count("*")).alias("m"))
+    n, per = CLASSES << depth, 1 << 12
+
+    def paths(batches):
+        for batch in batches:
+            h, tail = batch.column("h").to_numpy().view(np.uint64), batch.column("tail").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(leaves(h, classes[tail], depth)), pa.array(batch.column("c").to_numpy() + 0.5)], names=["leaf", "m"])
 
     def lay(pdf):
         out, b = np.zeros(per), pdf.iloc[:1][["blk"]].copy()
@@ -200,81 +232,111 @@ def leaf_mass(counts: DataFrame, depth: int) -> np.ndarray:
         b["g"] = [out.tobytes()]
         return b
 
+    sums = counts.select("h", "tail", "c").mapInArrow(paths, "leaf long, m double").groupBy("leaf").agg(F.sum("m").alias("m"))
     mass = np.zeros(max(n, per))
     for r in sums.withColumn("blk", F.floor(F.col("leaf") / per).cast("int")).groupBy("blk").applyInPandas(lay, "blk int, g binary").collect():  # fixed size
         mass[r.blk * per : (r.blk + 1) * per] = np.frombuffer(bytes(r.g))
     return mass[:n].astype(np.float32)
 
 
-def train(docs: DataFrame, bias: np.ndarray, mass: np.ndarray, shape: tuple[int, int, int], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class weights, class bias and branch weights after one pass over the rows ``doc_id, text`` in slices; gradients
-    are summed by blocks. Tasks are few and large, as each sends one gradient."""
-    n_rows, n_inner, depth = shape
-    w, bias, v = np.zeros((n_rows, CLASSES), np.float32), bias.astype(np.float32), np.zeros((n_inner, FAN), np.float32)
-    biases = branch_biases(mass, depth)
-    schema = pa.schema([("blk", pa.int32()), ("g", pa.binary())])
+def _adder(kind: type):
+    """Adds up the vectors of a group, of numbers of ``kind``, as single floats."""
+    def add(pdf):
+        out, total = pdf.iloc[:1].copy(), 0.0
+        for v in pdf.g:
+            total = total + np.frombuffer(v, kind).astype(np.float64)
+        out["g"] = [total.astype(np.float32).tobytes()]
+        return out
+
+    return add
+
+
+def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
+    """The model with its weights after one pass over the rows ``doc_id, text`` in slices; gradients are summed by blocks.
+    Tasks are few and large, as each sends one gradient."""
+    n_rows, n_slots = len(model.rows), len(model.slots)
+    schema = pa.schema([("blk", pa.int32()), ("task", pa.int32()), ("g", pa.binary())])
     sc = docs.sparkSession.sparkContext
-    fixed = sc.broadcast(biases)
+    fixed = sc.broadcast(branch_biases(model.mass, model.depth))
     for r in range(rounds):
-        now = sc.broadcast((w, bias, v))  # fixed size
+        now = sc.broadcast(model)  # fixed size
 
         def run(batches, now=now):
-            w, bias, v = now.value
-            total, inner, over = np.zeros((n_rows, CLASSES + 1), np.float32), np.zeros((n_inner, FAN + 1), np.float32), np.zeros(CLASSES + 1)
-            some = False
+            from pyspark import TaskContext
+
+            total, over = np.zeros((n_rows, CLASSES + 1), np.float32), np.zeros(CLASSES + 1)
+            inner, fired_n = np.zeros(n_slots, np.float32), np.zeros(n_slots, np.float32)
             for batch in batches:
-                for _, _, data, offs in text_chunks(batch, limit=_CHUNK // 2):
+                for _, _, data, offs in text_chunks(batch, limit=_CHUNK):
                     t = tokens(data, offs)
-                    over[:CLASSES] += gradient(*t, w, bias, v, fixed.value, total, inner)
+                    over[:CLASSES] += gradient(*t, now.value, fixed.value, total, inner, fired_n)
                     over[CLASSES] += len(t[0])
-                    some = True
-            if some:
-                blocks = [x[k : k + BLOCK_ROWS].tobytes() for x in (total, inner) for k in range(0, len(x), BLOCK_ROWS)] + [over.astype(np.float32).tobytes()]
-                for k in range(0, len(blocks), 64):
-                    part = blocks[k : k + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part)), pa.int32()), pa.array(part, pa.binary())], schema=schema)
-
-        def add(pdf):
-            out = pdf.iloc[:1].copy()
-            out["g"] = [np.sum([np.frombuffer(v, np.float32).astype(np.float64) for v in pdf.g], axis=0).astype(np.float32).tobytes()]
-            return out
+            if over[CLASSES]:
+                flat = (np.concatenate([total.reshape(-1), inner, fired_n, over.astype(np.float32)]) / np.float32(SCALE)).astype(np.float16)
+                for k in range(0, len(flat), 64 * BLOCK):
+                    part = [flat[j : j + BLOCK].tobytes() for j in range(k, min(len(flat), k + 64 * BLOCK), BLOCK)]
+                    at = np.arange(len(part)) + k // BLOCK
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.full(len(part), TaskContext.get().partitionId()), pa.int32()), pa.array(part, pa.binary())], schema=schema)
 
         part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds)) == r).select("text")
-        part = part.coalesce(max(sc.defaultParallelism, part.rdd.getNumPartitions() // 8))
-        summed = {x.blk: np.frombuffer(bytes(x.g), np.float32) for x in part.mapInArrow(run, "blk int, g binary").groupBy("blk").applyInPandas(add, "blk int, g binary").collect()}
+        tasks = max(sc.defaultParallelism, part.rdd.getNumPartitions() // 8)
+        sent = part.coalesce(tasks).mapInArrow(run, "blk int, task int, g binary")
+        kind = np.float16
+        if tasks > FAN_IN:  # no worker gets a record of every task
+            sent = sent.withColumn("task", F.pmod("task", F.lit(-(-tasks // FAN_IN)))).groupBy("blk", "task").applyInPandas(_adder(kind), "blk int, task int, g binary")
+            kind = np.float32
+        summed = sorted(sent.groupBy("blk").applyInPandas(_adder(kind), "blk int, task int, g binary").collect(), key=lambda x: x.blk)
         now.destroy()  # else each round's weights stay on every executor's disk
-        if not summed:
-            continue
-        cut = n_rows // BLOCK_ROWS
-        full = np.concatenate([summed[k].reshape(BLOCK_ROWS, CLASSES + 1) for k in range(cut)])
-        deep = np.concatenate([summed[k].reshape(BLOCK_ROWS, FAN + 1) for k in range(cut, cut + n_inner // BLOCK_ROWS)])
-        over = summed[cut + n_inner // BLOCK_ROWS]
-        n, p = full[:, -1:], np.exp(bias)
-        # the bias and the three features move together, so each takes a part of its own step
-        w = w + (full[:, :CLASSES] / (n * np.maximum(p, 0.01) + 20) / 3).clip(-2, 2).astype(np.float32)
-        bias = bias + (over[:CLASSES] / (over[CLASSES] * np.maximum(p, 0.01) + 20) / 3).clip(-2, 2).astype(np.float32)
-        v = v + (deep[:, :FAN] / (0.25 * deep[:, FAN:] + 5) / 3).clip(-2, 2)
+        if summed:
+            flat = np.concatenate([np.frombuffer(bytes(x.g), np.float32) for x in summed]) * np.float32(SCALE)
+            model = stepped(model, *np.split(flat, np.cumsum([n_rows * (CLASSES + 1), n_slots, n_slots])))
     fixed.destroy()
-    return w, bias, v
+    return model
+
+
+def stepped(model: Model, total: np.ndarray, inner: np.ndarray, fired_n: np.ndarray, over: np.ndarray) -> Model:
+    """Every weight moved by its gradient over how often it fired. Features that fire together each take a part."""
+    full, p = total.reshape(-1, CLASSES + 1), np.maximum(np.exp(model.bias), 0.01)
+    rows = model.rows + (full[:, :CLASSES] * CLASS_DAMP / (full[:, CLASSES:] * p + CLASS_PRIOR)).clip(-2, 2)
+    bias = model.bias + (over[:CLASSES] * CLASS_DAMP / (over[CLASSES] * p + CLASS_PRIOR)).clip(-2, 2)
+    slots = model.slots + (DAMP * inner / (0.25 * fired_n + PRIOR)).clip(-3, 3)
+    return model._replace(rows=rows.astype(np.float32), bias=bias.astype(np.float32), slots=slots.astype(np.float32))
+
+
+def fit(counts: DataFrame, learn: DataFrame) -> Model:
+    """The model from the stored token counts and the rows they were counted in. A row a tail comes to the driver, ``TAILS``
+    at most."""
+    tails = counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
+    by_tail, kinds = np.zeros(TAILS + 1), np.zeros(TAILS + 1)
+    at = tails.column("tail").to_numpy()
+    by_tail[at], kinds[at] = tails.column("c").to_numpy(), tails.column("n").to_numpy()
+    classes = balanced_classes(by_tail[:TAILS])
+    cls_n, cls_v = (np.bincount(classes, weights=v, minlength=CLASSES) for v in (by_tail, kinds))
+    n_rows, n_slots, depth = sizes(float(cls_v.sum()))
+    bias = np.log((cls_n + 1) / (cls_n.sum() + CLASSES)).astype(np.float32)
+    start = Model(classes, np.zeros((n_rows, CLASSES), np.float32), bias, np.zeros(n_slots, np.float32), leaf_mass(counts, classes, depth), depth, cls_n, cls_v)
+    return train(learn, start)
 
 
 def _score_batches(now):
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("h", pa.int64()), ("cls", pa.int32()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lm", pa.float64()), ("path", pa.float64())])
+    names = ["uid", "doc_id", "held_out", "h", "cls", "n", "known", "base", "lm", "path"]
 
     def run(batches):
         from pyspark import TaskContext
 
-        w, bias, v, mass, depth, heavy, count, base_n, base_v, cls_n, cls_v = now.value
-        biases, log_mass = branch_biases(mass, depth), np.log10(np.maximum(mass, 0.5))
+        m, heavy, count = now.value
+        biases, log_mass = branch_biases(m.mass, m.depth), np.log10(np.maximum(m.mass, 0.5))
         uid = TaskContext.get().partitionId() << 40
-        known = np.log10(1 - 0.5 / (cls_n + 0.5 * (cls_v + 1)).clip(0.75))
-        whole = lambda c: np.log10((c + 0.5) / (base_n + 0.5 * (base_v + 1)))
+        total, kinds = m.counts.sum(), m.kinds.sum()
+        known = np.log10(1 - 0.5 / (m.counts + 0.5 * (m.kinds + 1)).clip(0.75))
+        whole = lambda c: np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
         for batch in batches:
-            for lo, hi, data, offs in text_chunks(batch, limit=_CHUNK // 2):
-                h, cls, first = tokens(data, offs)
-                hist, leaf = histories(h, cls, first), leaves(h, cls, depth)
-                lp = class_log_probs(features(hist, len(w)), w, bias)[np.arange(len(h)), cls] / np.log(10)
-                path = path_log_probs(hist, leaf, v, biases) / np.log(10) + known[cls] - log_mass[leaf]  # of a known word, but for its count
+            for lo, hi, data, offs in text_chunks(batch, limit=_CHUNK):
+                h, tail, first = tokens(data, offs)
+                cls = m.classes[tail]
+                hist, leaf = histories(h, cls, first), leaves(h, cls, m.depth)
+                lp = class_log_probs(features(hist, len(m.rows)), m.rows, m.bias)[np.arange(len(h)), cls] / np.log(10)
+                path = path_log_probs(hist, leaf, m.slots, biases) / np.log(10) + known[cls] - log_mass[leaf]  # of a known word, but for its count
                 at = np.minimum(np.searchsorted(heavy, h), max(0, len(heavy) - 1))
                 hit = heavy[at] == h if len(heavy) else np.zeros(len(h), bool)
                 row = np.repeat(np.arange(hi - lo), np.diff(first))
@@ -286,16 +348,16 @@ def _score_batches(now):
                 base = add(np.where(hit, whole(c), 0.0))
                 lm = add(lp + np.where(hit, path + np.log10(c + 0.5), 0.0))
                 none = pa.nulls(hi - lo, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), part.column("doc_id"), part.column("held_out"), none, none.cast(pa.int32()), pa.array(np.diff(first)), pa.array(add(hit & (c > 0)).astype(np.int64)), pa.array(base), pa.array(lm), pa.nulls(hi - lo, pa.float64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), part.column("doc_id"), part.column("held_out"), none, none.cast(pa.int32()), pa.array(np.diff(first)), pa.array(add(hit & (c > 0)).astype(np.int64)), pa.array(base), pa.array(lm), pa.nulls(hi - lo, pa.float64())], names=names)
                 if (rest := np.flatnonzero(~hit)).size:
                     key = np.stack([row[rest].astype(np.uint64), h[rest]], 1)
                     order = np.lexsort((key[:, 1], key[:, 0]))
                     key, k, path = key[order], cls[rest][order], path[rest][order]
                     cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
                     n = np.diff(np.append(cut, len(key)))
-                    m = len(cut)
-                    zero = pa.array(np.zeros(m))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[key[cut, 0].astype(np.int64)]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(key[cut, 1].view(np.int64)), pa.array(k[cut], pa.int32()), pa.array(n), pa.array(np.zeros(m, np.int64)), zero, zero, pa.array(np.add.reduceat(path, cut))], schema=schema)
+                    some = len(cut)
+                    zero = pa.array(np.zeros(some))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[key[cut, 0].astype(np.int64)]), pa.nulls(some, pa.int64()), pa.nulls(some, pa.bool_()), pa.array(key[cut, 1].view(np.int64)), pa.array(k[cut], pa.int32()), pa.array(n), pa.array(np.zeros(some, np.int64)), zero, zero, pa.array(np.add.reduceat(path, cut))], names=names)
 
     return run
 
@@ -307,21 +369,16 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     d = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     learn = d.where(~F.col("held_out"))
     counts = stored(token_counts(learn))
-    by = {r.cls: (r.n, r.v) for r in counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # a row a class
-    cls_n = np.array([by.get(k, (0, 0))[0] for k in range(CLASSES)], float)
-    cls_v = np.array([by.get(k, (0, 0))[1] for k in range(CLASSES)], float)
-    total, kinds = float(cls_n.sum()), float(cls_v.sum())
-    shape = sizes(kinds)
-    mass = leaf_mass(counts, shape[2])
-    w, bias, v = train(learn, np.log((cls_n + 1) / (total + CLASSES)), mass, shape)
-    top = heavy_counts(counts).toPandas()  # at most HEAVY rows
-    heavy = top.h.to_numpy(np.int64).view(np.uint64)
+    model = fit(counts, learn)
+    total, kinds = float(model.counts.sum()), float(model.kinds.sum())
+    top = heavy_counts(counts).toArrow()  # at most HEAVY rows
+    heavy = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(heavy)
-    now = spark.sparkContext.broadcast((w, bias, v, mass, shape[2], heavy[order], top.c.to_numpy(np.int64)[order], total, kinds, cls_n, cls_v))
+    now = spark.sparkContext.broadcast((model, heavy[order], top.column("c").to_numpy()[order]))
     schema = "uid long, doc_id long, held_out boolean, h long, cls int, n long, known long, base double, lm double, path double"
     parts = stored(d.mapInArrow(_score_batches(now), schema))
     found = parts.where("h is not null").select("uid", "h", "cls", "n", "path").join(counts.select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    in_class = spark.createDataFrame([(k, float(cls_n[k] + 0.5 * (cls_v[k] + 1))) for k in range(CLASSES)], "cls int, z double")
+    in_class = spark.createDataFrame([(k, float(model.counts[k] + 0.5 * (model.kinds[k] + 1))) for k in range(CLASSES)], "cls int, z double")
     found = found.join(F.broadcast(in_class), "cls")  # a row a class
     rest = found.groupBy("uid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / (total + 0.5 * (kinds + 1)))).alias("b2"),

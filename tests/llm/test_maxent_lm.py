@@ -63,8 +63,8 @@ def test_heavy_counts_are_bounded(spark):
 
 def test_classes_sum_to_one():
     rng = np.random.default_rng(3)
-    w, b = rng.normal(0, 1, (lm.BUCKETS, lm.CLASSES)).astype(np.float32), rng.normal(0, 1, lm.CLASSES).astype(np.float32)
-    p = np.exp(lm.class_log_probs(rng.integers(0, lm.BUCKETS, (50, 3)), w, b)).sum(1)
+    w, b = rng.normal(0, 1, (lm.LEAST_ROWS, lm.CLASSES)).astype(np.float32), rng.normal(0, 1, lm.CLASSES).astype(np.float32)
+    p = np.exp(lm.class_log_probs(rng.integers(0, lm.LEAST_ROWS, (50, 3)), w, b)).sum(1)
     assert np.allclose(p, 1, atol=1e-5)
 
 
@@ -80,8 +80,8 @@ def test_awkward_and_empty(spark):
 def test_history_tells_words_of_one_class_apart(spark):
     """Which of two words of one class follows is known from the word before."""
     names = [f"{k:03d}ing" for k in range(1000)]
-    cls = lm.tokens(np.frombuffer(" ".join(names).encode(), np.uint8), np.array([0, 7 * 1000 - 1]))[1][:1000]
-    assert len(set(cls)) == 1
+    tail = lm.tokens(np.frombuffer(" ".join(names).encode(), np.uint8), np.array([0, 7 * 1000 - 1]))[1][:1000]
+    assert len(set(tail)) == 1
     rng = np.random.default_rng(4)
     text = lambda: " ".join(f"lead{a} {names[a]}" for a in rng.integers(0, 20, 30))
     docs = spark.createDataFrame([(k, text()) for k in range(600)], "doc_id long, text string")
@@ -92,13 +92,104 @@ def test_history_tells_words_of_one_class_apart(spark):
 
 def test_paths_sum_to_one_and_without_weights_give_counts():
     rng = np.random.default_rng(5)
-    depth = 2
-    mass = np.where(rng.random(lm.CLASSES * lm.FAN**depth) < 0.3, 0, rng.integers(1, 50, lm.CLASSES * lm.FAN**depth) + 0.5)
+    depth = 8
+    mass = np.where(rng.random(lm.CLASSES << depth) < 0.3, 0, rng.integers(1, 50, lm.CLASSES << depth) + 0.5)
     biases = lm.branch_biases(mass, depth)
-    leaf = np.arange(7 * lm.FAN**depth, 8 * lm.FAN**depth)
+    leaf = np.arange(7 << depth, 8 << depth)
     hist = np.repeat(rng.integers(0, 2**63, (1, 3), dtype=np.uint64), len(leaf), 0)
-    v = rng.normal(0, 1, (lm.BUCKETS, lm.FAN)).astype(np.float32)
+    v = rng.normal(0, 1, lm.LEAST_SLOTS).astype(np.float32)
     assert math.isclose(np.exp(lm.path_log_probs(hist, leaf, v, biases)).sum(), 1, rel_tol=1e-5)
     p = np.exp(lm.path_log_probs(hist, leaf, v * 0, biases))
     assert np.allclose(p, mass[leaf] / mass[leaf].sum(), atol=1e-6)
-    assert lm.sizes(100)[0] == lm.BUCKETS and lm.sizes(10**7) == (lm.MOST, 2 * lm.MOST, lm.DEPTH)
+    assert lm.sizes(100) == (lm.LEAST_ROWS, lm.LEAST_SLOTS, lm.SHALLOW) and lm.sizes(10**7) == (lm.MOST_ROWS, lm.MOST_SLOTS, lm.DEPTH)
+
+
+def test_classes_are_balanced():
+    n = np.zeros(lm.TAILS)
+    n[:400] = 1 + 4000 // (1 + np.arange(400))
+    classes = lm.balanced_classes(n)
+    load = np.bincount(classes[:400], weights=n[:400], minlength=lm.CLASSES)
+    assert classes[lm.TAILS] == 0 and load[0] == 0 and load[1:].max() <= max(n.max(), 1.5 * n.sum() / (lm.CLASSES - 1))
+    assert set(classes[:-1]) <= set(range(1, lm.CLASSES))
+
+
+def small_model(rng, texts):
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    h, tail, first = lm.tokens(data, offs)
+    u, at, c = np.unique(h, return_index=True, return_counts=True)
+    classes = lm.balanced_classes(np.bincount(tail, minlength=lm.TAILS + 1)[: lm.TAILS])
+    cls, depth = classes[tail[at]], 4
+    mass = np.bincount(lm.leaves(u, cls, depth), weights=c + 0.5, minlength=lm.CLASSES << depth)
+    rows, slots = rng.normal(0, 0.3, (64, lm.CLASSES)), rng.normal(0, 0.3, 1 << 10)
+    counts, kinds = np.bincount(cls, weights=c, minlength=lm.CLASSES), np.bincount(cls, minlength=lm.CLASSES)
+    return lm.Model(classes, rows, rng.normal(0, 0.3, lm.CLASSES), slots, mass, depth, counts.astype(float), kinds.astype(float)), (h, tail, first)
+
+
+def log_likelihood(m, t):
+    h, tail, first = t
+    cls = m.classes[tail]
+    hist = lm.histories(h, cls, first)
+    lp = lm.class_log_probs(lm.features(hist, len(m.rows)), m.rows, m.bias)[np.arange(len(h)), cls]
+    return float((lp + lm.path_log_probs(hist, lm.leaves(h, cls, m.depth), m.slots, lm.branch_biases(m.mass, m.depth))).sum())
+
+
+def test_gradient_against_finite_differences():
+    rng = np.random.default_rng(6)
+    m, t = small_model(rng, [sentences(rng, 0) for _ in range(8)])
+    total, inner, n = np.zeros((64, lm.CLASSES + 1)), np.zeros(1 << 10, np.float32), np.zeros(1 << 10, np.float32)
+    over = lm.gradient(*t, m, lm.branch_biases(m.mass, m.depth), total, inner, n)
+    eps = 1e-4
+    for at in zip(rng.integers(0, 64, 12), rng.integers(0, lm.CLASSES, 12), strict=True):
+        up, down = m.rows.copy(), m.rows.copy()
+        up[at] += eps
+        down[at] -= eps
+        assert math.isclose(total[at], (log_likelihood(m._replace(rows=up), t) - log_likelihood(m._replace(rows=down), t)) / 2 / eps, abs_tol=2e-3)
+    for at in np.argsort(-n)[:12]:
+        up, down = m.slots.copy(), m.slots.copy()
+        up[at] += eps
+        down[at] -= eps
+        assert math.isclose(inner[at], (log_likelihood(m._replace(slots=up), t) - log_likelihood(m._replace(slots=down), t)) / 2 / eps, abs_tol=5e-3)
+    assert total[:, lm.CLASSES].sum() == 3 * len(t[0]) and n.sum() == 2 * m.depth * len(t[0]) and abs(over.sum()) < 1e-3
+
+
+def test_score_against_a_plain_sum(spark):
+    """The query's scores, token by token in plain Python, from the model that it trains."""
+    rng = np.random.default_rng(8)
+    docs = [(k, sentences(rng, k) + (f" only{k}" if k % 3 else "")) for k in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(df, fold() == 1).collect()}
+    learn = df.where(fold() != 1)
+    m = lm.fit(lm.token_counts(learn).persist(), learn)
+    seen = Counter(t for i, text in docs if zlib.crc32(str(i).encode()) % 5 != 1 for t in tokens(text))
+    biases = lm.branch_biases(m.mass, m.depth)
+    for i, text in docs[::7]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        h, tail, first = lm.tokens(data, np.array([0, len(data)]))
+        cls = m.classes[tail]
+        hist, total = lm.histories(h, cls, first), 0.0
+        for k, word in enumerate(tokens(text)):
+            z = m.bias + sum(m.rows[int(x) % len(m.rows)] for x in hist[k])
+            p = math.exp(z[cls[k]]) / sum(math.exp(v) for v in z)
+            full = m.counts[cls[k]] + 0.5 * (m.kinds[cls[k]] + 1)
+            if not seen[word]:
+                total += math.log10(p * 0.5 / full)
+                continue
+            leaf = (int(cls[k]) << m.depth) | (int(h[k]) & ((1 << m.depth) - 1))
+            for level in range(m.depth):
+                node = leaf >> (m.depth - level)
+                key = (node + ((level + 1) << 40)) * int(lm._EVEN) % 2**64
+                logit = biases[level][node] + sum(m.slots[((int(hist[k, j]) ^ key) * int(lm._ODD) % 2**64) >> (65 - len(m.slots).bit_length())] for j in (0, 1))
+                p /= 1 + math.exp(-logit if leaf >> (m.depth - level - 1) & 1 else logit)
+            total += math.log10(p * (1 - 0.5 / full) * (seen[word] + 0.5) / m.mass[leaf])
+        assert math.isclose(total, got[i], rel_tol=1e-4)
+
+
+def test_gradients_of_many_tasks_add_up_in_two_steps(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(k, sentences(rng, k)) for k in range(100)], "doc_id long, text string").repartition(8)
+    counts = lm.token_counts(docs).persist()
+    one = lm.fit(counts, docs)
+    monkeypatch.setattr(lm, "FAN_IN", 3)
+    two = lm.fit(counts, docs)
+    assert np.allclose(one.rows, two.rows, atol=1e-4) and np.allclose(one.slots, two.slots, atol=1e-4)
