@@ -14,7 +14,8 @@ N_STATES = 5
 @dataclass(frozen=True)
 class CouplingConfig:
     """``mi_threshold``: None or below 0 estimates it, 0 keeps every positive pair. ``mi_values``: 0 takes
-    min(10 million, 100 per locus). ``threshold_pairs``: 0 takes the schedule of ``sample_pair_count``."""
+    min(10 million, 100 per locus). ``threshold_pairs``: 0 takes the schedule of ``sample_pair_count``. ``mi_digits`` rounds MI
+    before it is compared, since sums in another order differ in their last bits."""
 
     mi_threshold: float | None = None
     mi_values: int = 0
@@ -33,11 +34,11 @@ class CouplingConfig:
     sample_reweighting: bool = True
     topology: str = "circular"
     genome_size: int | None = None
-    input_base: int = 1
     output_base: int = 1
     n_states: int = N_STATES
     gap_state: int | None = GAP
     block_loci: int = 128
+    mi_digits: int | None = 12
 
     def __post_init__(self) -> None:
         if self.threshold_iterations < 1:

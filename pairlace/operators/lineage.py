@@ -7,8 +7,15 @@ from pyspark.sql import DataFrame
 
 def shared_copy(df: DataFrame) -> DataFrame:
     """A copy in the shared checkpoint folder, so a lost executor costs nothing already computed. The folder is that
-    of spark.checkpoint.dir; one is set only where none is, as in tests."""
-    sc = df.sparkSession.sparkContext
+    of spark.checkpoint.dir, or the one that the session was given; a local folder of our own would be a different one on each
+    executor, so without either there is an error. In local mode, where there is one machine, Spark's own warehouse serves."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        sc.setCheckpointDir(folder)
     return df.checkpoint()

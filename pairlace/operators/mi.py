@@ -2,7 +2,8 @@
 
 ``sql``: the samples' cells meet by an equi-join; rows are samples times pairs, so it suits up to some 200 loci.
 ``sparse``: only cells off the most frequent state meet; the rest follows from the marginals.
-``block``: loci packed as bytes, pairs of blocks in an Arrow kernel; one row a saved pair leaves the kernel.
+``block``: loci packed as bytes and dealt to tiles of blocks, one-hot products in an Arrow kernel; one row a saved pair
+leaves the kernel. Beyond ``SAMPLES`` samples the kernel takes slices of them and counts are added up before entropies.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 from pairlace.config import GAP, N_STATES
 from pairlace.functions.scalars import pair_count, xlogx
 from pairlace.operators.alignment import state_presence
+from pairlace.operators.lineage import shared_copy
+from pairlace.operators.tiles import ZERO, deal, packed, tile_side
 
 SLICE = 8192  # samples in a one-hot matrix
+SAMPLES = 1 << 20  # samples that one tile sees
 
 
 def _weighted(cells: DataFrame, weights: DataFrame | None) -> DataFrame:
@@ -78,14 +82,19 @@ def mi_from_crosstable(table: DataFrame, presence: DataFrame, alpha: float = 0.5
         here = (F.col("pi").bitwiseAND(1 << a) != 0) & (F.col("pj").bitwiseAND(1 << b) != 0)
         return F.when(here, F.coalesce(F.col("c")[F.lit(a * n_states + b)], F.lit(0.0)) + alpha).otherwise(F.lit(0.0))
 
-    rows = rows.select("i", "j", F.array(*[cell(a, b) for a in range(n_states) for b in range(n_states)]).alias("x"))
+    return _mi_of_cells(rows.select("i", "j", F.array(*[cell(a, b) for a in range(n_states) for b in range(n_states)]).alias("x")), n_states)
+
+
+def _mi_of_cells(rows: DataFrame, n_states: int) -> DataFrame:
+    """``i, j, mi`` from ``i, j, x``: the table's cells in one array, the pseudocounts in it; other columns stay."""
+    rest = [c for c in rows.columns if c != "x"]
     rows = rows.withColumn("z", F.aggregate("x", F.lit(0.0), lambda s, v: s + v))
-    rows = rows.select("i", "j", F.transform("x", lambda v: F.when(F.col("z") > 0, v / F.col("z")).otherwise(F.lit(0.0))).alias("x"))
+    rows = rows.select(*rest, F.transform("x", lambda v: F.when(F.col("z") > 0, v / F.col("z")).otherwise(F.lit(0.0))).alias("x"))
     total = lambda xs: F.aggregate(F.transform(xs, xlogx), F.lit(0.0), lambda s, v: s + v)
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, v: s + v)
     row = F.array(*[add(F.slice("x", a * n_states + 1, n_states)) for a in range(n_states)])
     col = F.array(*[add(F.array(*[F.col("x")[a * n_states + b] for a in range(n_states)])) for b in range(n_states)])
-    return rows.select("i", "j", (total(F.col("x")) - total(row) - total(col)).alias("mi"))
+    return rows.select(*rest, (total(F.col("x")) - total(row) - total(col)).alias("mi"))
 
 
 def mi_pairs(cells: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, pairs: DataFrame | None = None, plan: str = "sql") -> DataFrame:
@@ -125,31 +134,41 @@ def locus_ranks(cells: DataFrame, span: int = 4096) -> DataFrame:
     return loci.withColumn("_rn", own).join(starts, "_span").select("pos", (F.col("_rn") + F.col("_off")).alias("rank"))
 
 
-def locus_blocks(cells: DataFrame, block: int = 128) -> DataFrame:
-    """``blk, pos array, data array of binary``: loci packed in blocks of as many each, however far apart they lie; a
-    byte a sample in order of sample."""
+def packed_loci(cells: DataFrame, block: int = 128, slices: int = 1) -> DataFrame:
+    """``blk, pos, slice, data``: a byte a sample in order of sample, a row for each locus and slice of the samples. Loci
+    are dealt to blocks of as many each, however far apart they lie."""
+    cut = F.pmod(F.xxhash64("sample"), F.lit(slices)).cast("int") if slices > 1 else F.lit(0)
     cell = F.struct("sample", F.col("state").cast("int").alias("state"))
-    loci = cells.groupBy("pos").agg(F.array_sort(F.collect_list(cell)).alias("c"))
-    packed = loci.select("pos", F.transform("c", lambda x: x["state"].cast("tinyint")).alias("s"))
-    ranked = packed.join(locus_ranks(cells), "pos").withColumn("blk", F.floor(F.col("rank") / block).cast("int"))
-    return ranked.groupBy("blk").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("l")).select("blk", F.col("l.pos").alias("pos"), F.col("l.s").alias("data"))
+    loci = cells.groupBy("pos", cut.alias("slice")).agg(F.array_sort(F.collect_list(cell)).alias("c"))  # one slice of samples
+    rows = loci.select("pos", "slice", packed(F.col("c.state")).alias("data"))
+    return rows.join(locus_ranks(cells), "pos").select(F.floor(F.col("rank") / block).cast("int").alias("blk"), "pos", "slice", "data")
 
 
-def _block_mi(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float, n_states: int, drop: int | None) -> np.ndarray:
-    """MI of each row of x with each row of y, from weighted one-hot products. Samples are taken ``SLICE`` at a time, so
-    the one-hot matrices stay small however many samples there are."""
-    states = [s for s in range(n_states) if s != drop]
-    k = len(states)
-    counts = np.zeros((k, k, x.shape[0], y.shape[0]))
+def weight_rows(cells: DataFrame, weights: DataFrame | None, slices: int = 1) -> DataFrame:
+    """``slice, w``: the samples' weights in order of sample, a row for each slice."""
+    samples = cells.select("sample").distinct()
+    ws = samples.withColumn("weight", F.lit(1.0)) if weights is None else samples.join(weights, "sample")
+    cut = F.pmod(F.xxhash64("sample"), F.lit(slices)).cast("int") if slices > 1 else F.lit(0)
+    one = F.array_sort(F.collect_list(F.struct("sample", F.col("weight").cast("double").alias("w"))))
+    return ws.groupBy(cut.alias("slice")).agg(one.alias("w")).select("slice", F.col("w.w").alias("w"))
+
+
+def _counts(x: np.ndarray, y: np.ndarray, w: np.ndarray, states: list[int]) -> np.ndarray:
+    """Weighted counts (state of x, state of y, row of x, row of y) by one-hot products. Samples are taken ``SLICE`` at a
+    time, so the one-hot matrices stay small however many samples there are."""
+    counts = np.zeros((len(states), len(states), x.shape[0], y.shape[0]))
     for lo in range(0, x.shape[1], SLICE):
         part, own = slice(lo, lo + SLICE), w[lo : lo + SLICE]
         hot_y = [(y[:, part] == s).astype(np.float64).T for s in states]
         for a, s in enumerate(states):
             hot_x = (x[:, part] == s) * own
-            for b in range(k):
+            for b in range(len(states)):
                 counts[a, b] += hot_x @ hot_y[b]
-    here_x, here_y = (np.stack([(v == s).any(1) for s in states]) for v in (x, y))
-    here = here_x[:, None, :, None] & here_y[None, :, None, :]
+    return counts
+
+
+def _entropies(counts: np.ndarray, here: np.ndarray, alpha: float) -> np.ndarray:
+    """MI from counts; ``here`` marks the cells that get the pseudocount."""
     p = np.where(here, counts + alpha, 0.0)
     z = p.sum((0, 1))
     p /= np.where(z == 0, 1.0, z)
@@ -157,30 +176,81 @@ def _block_mi(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float, n_state
     return ent(p).sum((0, 1)) - ent(p.sum(1)).sum(0) - ent(p.sum(0)).sum(0)
 
 
+def _block_mi(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float, n_states: int, drop: int | None) -> np.ndarray:
+    """MI of each row of x with each row of y."""
+    states = [s for s in range(n_states) if s != drop]
+    here_x, here_y = (np.stack([(v == s).any(1) for s in states]) for v in (x, y))
+    return _entropies(_counts(x, y, w, states), here_x[:, None, :, None] & here_y[None, :, None, :], alpha)
+
+
+def _pair_counts(x: np.ndarray, y: np.ndarray, w: np.ndarray, n_states: int) -> np.ndarray:
+    """Weighted counts (state of x, state of y, pair) of rows of x with the rows of y beside them."""
+    cells = n_states * n_states
+    return np.stack([np.bincount(a.astype(np.int64) * n_states + b, weights=w, minlength=cells) for a, b in zip(x, y, strict=True)], 1).reshape(n_states, n_states, len(x))
+
+
+def tiled_loci(cells: DataFrame, weights: DataFrame | None, block: int, pairs: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """``ti, tj, slice, at, pos, data, w, q`` and the number of slices: what each tile of loci needs, in rows. ``at`` is 0 or
+    1 for a locus on either side, 2 for the weights, and 3 for an asked pair (``pos`` with ``q``) where ``pairs`` are given."""
+    n_loci = cells.select("pos").distinct().count()
+    n_samples = cells.select("sample").distinct().count()
+    slices, n_blocks = max(1, -(-n_samples // SAMPLES)), max(1, -(-n_loci // block))
+    side = tile_side(n_blocks, block * -(-n_samples // slices), cells.sparkSession.sparkContext.defaultParallelism)
+    none = lambda kind: F.lit(None).cast(kind)
+    loci = deal(packed_loci(cells, block, slices), n_blocks, side).select("ti", "tj", "slice", "at", F.col("pos").cast("long").alias("pos"), "data", none("array<double>").alias("w"), none("long").alias("q"))
+    last = (n_blocks - 1) // side
+    grid = cells.sparkSession.range(last + 1).select(F.col("id").cast("int").alias("ti")).select("ti", F.explode(F.sequence("ti", F.lit(last))).alias("tj"))
+    if pairs is not None:
+        at = locus_ranks(cells).select("pos", F.floor(F.col("rank") / (block * side)).cast("int").alias("tile"))
+        asked = pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+        asked = asked.join(at.select(F.col("pos").alias("i"), F.col("tile").alias("ti")), "i").join(at.select(F.col("pos").alias("j"), F.col("tile").alias("tj")), "j")
+        grid = grid.join(asked.select("ti", "tj").distinct(), ["ti", "tj"])
+        loci = loci.join(F.broadcast(grid), ["ti", "tj"], "left_semi")  # a row a tile
+        each = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        loci = loci.unionByName(each.select("ti", "tj", "slice", F.lit(3).alias("at"), F.col("i").cast("long").alias("pos"), none("binary").alias("data"), none("array<double>").alias("w"), F.col("j").cast("long").alias("q")))
+    ws = weight_rows(cells, weights, slices).crossJoin(F.broadcast(grid))  # a row a slice, a row a tile
+    return loci.unionByName(ws.select("ti", "tj", "slice", F.lit(2).alias("at"), none("long").alias("pos"), none("binary").alias("data"), "w", none("long").alias("q"))), slices
+
+
+def _sides(pdf: pd.DataFrame):
+    """The two sides of a tile as ``positions, matrix``, and the weights. On the diagonal both sides are one."""
+    def side(at: int):
+        rows = pdf[pdf["at"] == at].sort_values("pos")
+        if not len(rows):
+            return np.zeros(0, np.int64), np.zeros((0, 0), np.int8)
+        raw = np.frombuffer(b"".join(rows["data"]), np.int8).reshape(len(rows), -1)
+        return rows["pos"].to_numpy(np.int64), raw - np.int8(ZERO)
+
+    w = pdf[pdf["at"] == 2]
+    left = side(0)
+    right = left if pdf.ti.iloc[0] == pdf.tj.iloc[0] else side(1)
+    return left, right, np.asarray(w["w"].iloc[0], float) if len(w) else np.zeros(0)
+
+
+EDGES = "kind string, i long, j long, mi double, mi_wo_gaps double"
+
+
 def block_mi(
     cells: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, threshold: float | None = None, block: int = 128,
-    ld: int = 0, genome_size: int | None = None, n_states: int = N_STATES, gap_state: int | None = GAP,
+    ld: int = 0, genome_size: int | None = None, n_states: int = N_STATES, gap_state: int | None = GAP, digits: int | None = None,
 ) -> DataFrame:
-    """One pass over all pairs of blocks: rows ``kind, i, j, mi, mi_wo_gaps``. Kind ``edge`` is a pair above the
+    """One pass over all pairs of loci, tile by tile: rows ``kind, i, j, mi, mi_wo_gaps``. Kind ``edge`` is a pair above the
     threshold (all pairs if None), with its gap-free MI where a locus has gaps; kind ``max`` has, for each locus i
-    of a block pair, the largest MI with a locus further away than ``ld`` (on a circle if ``genome_size`` is given).
-    The weights are one double a sample in each task; a locus is one row of a byte a sample."""
-    blocks = locus_blocks(cells, block)
-    samples = cells.select("sample").distinct()
-    ws = samples.withColumn("weight", F.lit(1.0)) if weights is None else samples.join(weights, "sample")
-    w_row = ws.agg(F.array_sort(F.collect_list(F.struct("sample", F.col("weight").cast("double").alias("w")))).alias("w")).select(F.col("w.w").alias("w"))
-    last = max(0, cells.select("pos").distinct().count() - 1) // block
-    later = F.explode(F.sequence(F.col("blk"), F.lit(last)))
-    a = blocks.select(F.col("blk").alias("p"), later.alias("q"), F.col("pos").alias("pi"), F.col("data").alias("x"))
-    b = blocks.select(F.col("blk").alias("q"), F.col("pos").alias("pj"), F.col("data").alias("y"))
-    met = a.join(b, "q").crossJoin(w_row)
-
-    def kernel(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                x, y, w = np.array([*r.x], np.int8), np.array([*r.y], np.int8), np.asarray(r.w, float)
-                pi, pj = np.asarray(r.pi, np.int64), np.asarray(r.pj, np.int64)
+    of a tile, the largest MI with a locus further away than ``ld`` (on a circle if ``genome_size`` is given). ``digits``
+    rounds MI before anything is compared, so that plans that add in another order agree."""
+    rows, slices = tiled_loci(cells, weights, block)
+    if slices > 1:
+        return _sliced_mi(rows, cells, alpha, threshold, block, ld, genome_size, n_states, gap_state, digits)
+
+    def kernel(pdf):
+        (pi_all, x_all), (pj_all, y_all), w = _sides(pdf)
+        own = pi_all is pj_all
+        out = []
+        for p in range(0, len(pi_all), block):
+            for q in range(p if own else 0, len(pj_all), block):
+                pi, x, pj, y = pi_all[p : p + block], x_all[p : p + block], pj_all[q : q + block], y_all[q : q + block]
                 mi = _block_mi(x, y, w, alpha, n_states, None)
+                mi = mi if digits is None else np.round(mi, digits)
                 upper = pi[:, None] < pj[None, :]
                 d = np.abs(pi[:, None] - pj[None, :])
                 if genome_size is not None:
@@ -188,23 +258,101 @@ def block_mi(
                 far = np.where(upper & (d > ld), mi, -np.inf)
                 best = pd.DataFrame({"i": np.r_[pi, pj], "mi": np.r_[far.max(1), far.max(0)]})
                 best = best[np.isfinite(best.mi)]
-                yield pd.DataFrame({"kind": "max", "i": best.i, "j": best.i, "mi": best.mi, "mi_wo_gaps": np.nan})
-                keep = upper if threshold is None else upper & (mi > threshold)
-                if not keep.any():
-                    continue
-                u, v = np.nonzero(keep)
+                out.append(pd.DataFrame({"kind": "max", "i": best.i, "j": best.i, "mi": best.mi, "mi_wo_gaps": np.nan}))
+                u, v = np.nonzero(upper if threshold is None else upper & (mi > threshold))
                 wo = np.full(len(u), np.nan)
-                if gap_state is not None:
+                if gap_state is not None and len(u):
                     gx, gy = (x == gap_state).any(1), (y == gap_state).any(1)
                     touched = gx[u] | gy[v]
                     if touched.any():
                         ru, rv = np.unique(u[touched]), np.unique(v[touched])
                         free = _block_mi(x[ru], y[rv], w, alpha, n_states, gap_state)
                         wo[touched] = free[np.searchsorted(ru, u[touched]), np.searchsorted(rv, v[touched])]
-                yield pd.DataFrame({"kind": "edge", "i": pi[u], "j": pj[v], "mi": mi[u, v], "mi_wo_gaps": wo})
+                        wo = wo if digits is None else np.round(wo, digits)
+                out.append(pd.DataFrame({"kind": "edge", "i": pi[u], "j": pj[v], "mi": mi[u, v], "mi_wo_gaps": wo}))
+        every = pd.concat(out, ignore_index=True)
+        tops = every[every.kind == "max"].groupby("i", as_index=False).mi.max()
+        tops = pd.DataFrame({"kind": "max", "i": tops.i, "j": tops.i, "mi": tops.mi, "mi_wo_gaps": np.nan})
+        return pd.concat([tops, every[every.kind == "edge"]], ignore_index=True)
+
+    found = rows.groupBy("ti", "tj").applyInPandas(kernel, EDGES)
+    return found.withColumn("mi_wo_gaps", F.when(~F.isnan("mi_wo_gaps"), F.col("mi_wo_gaps")))
+
+
+def _sliced_counts(rows: DataFrame, block: int, n_states: int) -> DataFrame:
+    """``i, j, c``: each pair's counts as one array, added up over the slices of samples."""
+    told = lambda i, j, c: pd.DataFrame({"i": i, "j": j, "c": pd.Series(list(c.T), dtype=object)})
+
+    def kernel(pdf):
+        (pi_all, x_all), (pj_all, y_all), w = _sides(pdf)
+        asked = pdf[pdf["at"] == 3]
+        if len(asked):
+            i, j = asked["pos"].to_numpy(np.int64), asked["q"].to_numpy(np.int64)
+            counts = _pair_counts(x_all[np.searchsorted(pi_all, i)], y_all[np.searchsorted(pj_all, j)], w, n_states)
+            return told(i, j, counts.reshape(n_states * n_states, -1))
+        own, out = pi_all is pj_all, []
+        for p in range(0, len(pi_all), block):
+            for q in range(p if own else 0, len(pj_all), block):
+                pi, pj = pi_all[p : p + block], pj_all[q : q + block]
+                u, v = np.nonzero(pi[:, None] < pj[None, :])
+                counts = _counts(x_all[p : p + block], y_all[q : q + block], w, list(range(n_states)))
+                out.append(told(pi[u], pj[v], counts.reshape(n_states * n_states, len(pi), len(pj))[:, u, v]))
+        return pd.concat(out, ignore_index=True)
+
+    part = rows.groupBy("ti", "tj", "slice").applyInPandas(kernel, "i long, j long, c array<double>")
+    return part.groupBy("i", "j").agg(F.array(*[F.sum(F.col("c")[k]) for k in range(n_states * n_states)]).alias("c"))
+
+
+def _mi_of_counts(counts: DataFrame, presence: DataFrame, alpha: float, n_states: int, mask: str, drop: int | None = None) -> DataFrame:
+    """Adds ``mi`` from ``i, j, c`` and the loci's masks of states present; ``drop`` leaves a state out."""
+    p = presence.select("pos", F.col(mask).alias("_p"))
+    met = counts.join(p.withColumnsRenamed({"pos": "i", "_p": "_pi"}), "i").join(p.withColumnsRenamed({"pos": "j", "_p": "_pj"}), "j")
 
-    out = met.select("p", "q", "pi", "x", "pj", "y", "w").mapInPandas(kernel, "kind string, i long, j long, mi double, mi_wo_gaps double")
-    return out.withColumn("mi_wo_gaps", F.when(~F.isnan("mi_wo_gaps"), F.col("mi_wo_gaps")))
+    def cell(a: int, b: int):
+        here = (F.col("_pi").bitwiseAND(1 << a) != 0) & (F.col("_pj").bitwiseAND(1 << b) != 0)
+        return F.lit(0.0) if drop in (a, b) else F.when(here, F.col("c")[a * n_states + b] + alpha).otherwise(F.lit(0.0))
+
+    x = F.array(*[cell(a, b) for a in range(n_states) for b in range(n_states)])
+    return _mi_of_cells(met.withColumn("x", x).drop("_pi", "_pj"), n_states)
+
+
+def _sliced_mi(rows, cells, alpha, threshold, block, ld, genome_size, n_states, gap_state, digits) -> DataFrame:
+    """The result of ``block_mi`` where no task may see all samples: counts of each slice, then entropies as expressions."""
+    presence = state_presence(cells, gap_state)
+    near = lambda c: c if digits is None else F.round(c, digits)
+    mi = shared_copy(_mi_of_counts(_sliced_counts(rows, block, n_states), presence, alpha, n_states, "mask").withColumn("mi", near(F.col("mi"))))
+    d = F.abs(F.col("i") - F.col("j"))
+    d = d if genome_size is None else F.least(d, F.lit(genome_size) - d)
+    tops = mi.where(d > ld).select(F.explode(F.array("i", "j")).alias("i"), "mi").groupBy("i").agg(F.max("mi").alias("mi"))
+    kept = mi if threshold is None else mi.where(F.col("mi") > threshold)
+    gappy = presence.where("mask <> mask_wo_gaps").select("pos", F.lit(1).alias("_g"))
+    kept = kept.join(gappy.withColumnsRenamed({"pos": "i", "_g": "_gi"}), "i", "left").join(gappy.withColumnsRenamed({"pos": "j", "_g": "_gj"}), "j", "left")
+    free = _mi_of_counts(kept.withColumnRenamed("mi", "_mi"), presence, alpha, n_states, "mask_wo_gaps", gap_state)
+    wo = F.when(F.col("_gi").isNotNull() | F.col("_gj").isNotNull(), near(F.col("mi")))
+    edges = free.select(F.lit("edge").alias("kind"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("_mi").alias("mi"), wo.alias("mi_wo_gaps"))
+    return edges.unionByName(tops.select(F.lit("max").alias("kind"), F.col("i").cast("long").alias("i"), F.col("i").cast("long").alias("j"), "mi", F.lit(None).cast("double").alias("mi_wo_gaps")))
+
+
+def listed_mi(cells: DataFrame, pairs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, block: int = 128, n_states: int = N_STATES) -> DataFrame:
+    """``i, j, mi`` of the listed pairs alone, on packed loci: a pair goes to the tile of its loci, and a locus only to tiles
+    that have pairs, so rows follow loci and pairs, not samples times pairs."""
+    rows, slices = tiled_loci(cells, weights, block, pairs)
+    if slices > 1:
+        return _mi_of_counts(_sliced_counts(rows, block, n_states), state_presence(cells, None), alpha, n_states, "mask").select("i", "j", "mi")
+
+    def kernel(pdf):
+        (pi, x), (pj, y), w = _sides(pdf)
+        asked = pdf[pdf["at"] == 3]
+        i, j = asked["pos"].to_numpy(np.int64), asked["q"].to_numpy(np.int64)
+        here_x, here_y = (np.stack([(v == s).any(1) for s in range(n_states)]) for v in (x, y))
+        out = []
+        for lo in range(0, len(i), 4096):
+            u, v = np.searchsorted(pi, i[lo : lo + 4096]), np.searchsorted(pj, j[lo : lo + 4096])
+            mi = _entropies(_pair_counts(x[u], y[v], w, n_states), here_x[:, None, u] & here_y[None, :, v], alpha)
+            out.append(pd.DataFrame({"i": i[lo : lo + 4096], "j": j[lo : lo + 4096], "mi": mi}))
+        return pd.concat(out, ignore_index=True)
+
+    return rows.groupBy("ti", "tj").applyInPandas(kernel, "i long, j long, mi double")
 
 
 def all_pairs_kept(n_loci: int, keep: int) -> bool:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlace.config import N_STATES
 from pairlace.functions.scalars import lower_median_index, pair_hash, percentile_index, sample_pair_count
 from pairlace.operators.lineage import shared_copy
-from pairlace.operators.mi import all_pairs_kept, mi_pairs
+from pairlace.operators.mi import all_pairs_kept, listed_mi
 
 
 def sampled_pairs(loci: DataFrame, iterations: int, drawn: int) -> DataFrame:
@@ -35,9 +36,9 @@ def nth_value(values: DataFrame, column: str, index: int, by: str | None = None)
     return values.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == index + 1).select(by, column)
 
 
-def estimate_threshold(cells: DataFrame, weights: DataFrame | None, keep: int, alpha: float = 0.5, iterations: int = 10, drawn: int = 0, digits: int | None = None) -> DataFrame:
+def estimate_threshold(cells: DataFrame, weights: DataFrame | None, keep: int, alpha: float = 0.5, iterations: int = 10, drawn: int = 0, digits: int | None = None, block: int = 128, n_states: int = N_STATES) -> DataFrame:
     """One row, ``threshold``: the lower median over iterations of each sample's percentile. Null means all pairs
-    are kept. Only the sampled pairs are evaluated; those are rows of a bounded number."""
+    are kept. Only the sampled pairs are evaluated, on packed loci; those are rows of a bounded number."""
     loci = cells.select("pos").distinct()
     n = loci.count()
     spark = cells.sparkSession
@@ -45,7 +46,7 @@ def estimate_threshold(cells: DataFrame, weights: DataFrame | None, keep: int, a
         return spark.range(1).select(F.lit(None).cast("double").alias("threshold"))
     m = sample_pair_count(n, keep, drawn)
     drawn_pairs = shared_copy(sampled_pairs(loci, iterations, m))
-    found = mi_pairs(cells, weights, alpha, pairs=drawn_pairs.select("i", "j").distinct())
+    found = listed_mi(cells, drawn_pairs.select("i", "j"), weights, alpha, block, n_states)
     if digits is not None:
         found = found.withColumn("mi", F.round("mi", digits))
     by_iter = nth_value(drawn_pairs.join(shared_copy(found), ["i", "j"]), "mi", percentile_index(n, keep, m), "iter")

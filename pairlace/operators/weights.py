@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairlace.operators.lineage import shared_copy
+from pairlace.operators.tiles import deal, packed, tile_side
+
 
 def hamming_distances(cells: DataFrame) -> DataFrame:
     """``s, t, n_loci, distance`` for each pair of samples s < t: equi-join on the locus, one row a pair out."""
@@ -16,34 +19,44 @@ def hamming_distances(cells: DataFrame) -> DataFrame:
 
 
 def sample_rows(cells: DataFrame) -> DataFrame:
-    """``sample, states``: each sample's states in order of position, as bytes; one row a sample."""
+    """``sample, data``: each sample's states in order of position, a byte each; one row a sample."""
     cell = F.struct("pos", F.col("state").cast("int").alias("state"))
-    return cells.groupBy("sample").agg(F.array_sort(F.collect_list(cell)).alias("c")).select("sample", F.transform("c", lambda x: x["state"]).alias("states"))
+    return cells.groupBy("sample").agg(F.array_sort(F.collect_list(cell)).alias("c")).select("sample", packed(F.col("c.state")).alias("data"))
 
 
 def similar_counts(cells: DataFrame, identity: float, block: int = 256) -> DataFrame:
     """``sample, n``: how many samples, itself included, share at least ``identity`` of their loci with it.
-    Samples are packed in blocks; pairs of blocks meet by an equi-join on the pair's key, and a matrix product
-    counts the equal loci, so no row for a pair of samples is ever made."""
-    rows = sample_rows(cells)
-    n = rows.count()
+    Samples are dealt to tiles of blocks, and a matrix product counts the equal loci, so no row for a pair of samples is
+    ever made."""
+    rows = shared_copy(sample_rows(cells))
+    n, loci = rows.agg(F.count("*"), F.max(F.length("data"))).first()
     n_blocks = max(1, -(-n // block))
-    rows = rows.withColumn("blk", F.expr(f"cast(pmod(xxhash64(sample), {n_blocks}) as int)"))
-    blocks = rows.groupBy("blk").agg(F.collect_list("sample").alias("samples"), F.collect_list("states").alias("states"))
-    a = blocks.select(F.col("blk").alias("p"), F.explode(F.expr(f"sequence(blk, {n_blocks - 1})")).alias("q"), F.col("samples").alias("s"), F.col("states").alias("x"))
-    b = blocks.select(F.col("blk").alias("q"), F.col("samples").alias("t"), F.col("states").alias("y"))
-
-    def count(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                x, y = np.array([*r.x], np.int8), np.array([*r.y], np.int8)
-                same = sum((x == v).astype(np.float32) @ (y == v).astype(np.float32).T for v in np.union1d(np.unique(x), np.unique(y)))
-                near = same >= identity * x.shape[1] - 1e-6
-                yield pd.DataFrame({"sample": r.s, "n": near.sum(1)})
-                if r.p != r.q:
-                    yield pd.DataFrame({"sample": r.t, "n": near.sum(0)})
-
-    return a.join(b, "q").select("p", "q", "s", "x", "t", "y").mapInPandas(count, "sample long, n long").groupBy("sample").agg(F.sum("n").alias("n"))
+    side = tile_side(n_blocks, block * (loci or 1), cells.sparkSession.sparkContext.defaultParallelism)
+    dealt = deal(rows.withColumn("blk", F.pmod(F.xxhash64("sample"), F.lit(n_blocks)).cast("int")), n_blocks, side)
+
+    def count(pdf):
+        own = pdf.ti.iloc[0] == pdf.tj.iloc[0]
+        sides = []
+        for at in (0, 0) if own else (0, 1):
+            part = pdf[pdf["at"] == at]
+            sides.append((part["sample"].to_numpy(), np.frombuffer(b"".join(part["data"]), np.int8).reshape(len(part), -1) if len(part) else np.zeros((0, 0), np.int8)))
+        (s, x), (t, y) = sides
+        found = np.zeros(len(s), np.int64), np.zeros(len(t), np.int64)
+        if len(s) and len(t):
+            states = np.union1d(np.unique(x), np.unique(y))
+            for p in range(0, len(s), block):
+                for q in range(0, len(t), block):
+                    same = np.zeros((len(s[p : p + block]), len(t[q : q + block])), np.float32)
+                    for lo in range(0, x.shape[1], 1 << 16):
+                        a, b = x[p : p + block, lo : lo + (1 << 16)], y[q : q + block, lo : lo + (1 << 16)]
+                        same += sum((a == v).astype(np.float32) @ (b == v).astype(np.float32).T for v in states)
+                    near = same >= identity * x.shape[1] - 1e-6
+                    found[0][p : p + block] += near.sum(1)
+                    found[1][q : q + block] += near.sum(0)
+        out = pd.DataFrame({"sample": s, "n": found[0]})
+        return out if own else pd.concat([out, pd.DataFrame({"sample": t, "n": found[1]})], ignore_index=True)
+
+    return dealt.groupBy("ti", "tj").applyInPandas(count, "sample long, n long").groupBy("sample").agg(F.sum("n").alias("n"))
 
 
 def sample_weights(cells: DataFrame, identity: float = 0.9) -> DataFrame:

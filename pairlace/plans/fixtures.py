@@ -21,10 +21,17 @@ def from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """48 loci: the first characters of each document that has so many. A fixture of the alignment's shape."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 48).select(F.col("doc_id").cast("long").alias("sample"), "text")
-    at = d.select("sample", "text", F.explode(F.sequence(F.lit(1), F.lit(48))).alias("pos"))
-    return at.select("sample", "pos", symbol_state(F.expr("substring(text, pos, 1)")).alias("state"))
+    """A sample a document, a locus a character, over whole texts: texts differ in length, so far loci have few samples."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("sample"), F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("p", "c"))
+    return d.select("sample", (F.col("p") + 1).alias("pos"), symbol_state(F.col("c")).alias("state"))
+
+
+def from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample a part: its name, brand and type, padded with gaps to the longest."""
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("sample"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("t"))
+    longest = t.agg(F.max(F.length("t")).alias("longest"))
+    rows = t.crossJoin(longest).select("sample", F.posexplode(F.split(F.expr("rpad(t, longest, ' ')"), "")).alias("p", "c"))  # one row
+    return rows.where("c <> ''").select("sample", (F.col("p") + 1).alias("pos"), symbol_state(F.col("c")).alias("state"))
 
 
 def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

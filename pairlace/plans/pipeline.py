@@ -33,13 +33,14 @@ def analyse(
     samples: DataFrame | None = None, weights: DataFrame | None = None,
 ) -> Network:
     """Include, exclude, filter, sample subset, weights, threshold, all pairs, fences, pruning, listings. The filter
-    sees all samples unweighted; weights see the filtered loci only. Positions are shifted by the bases."""
+    sees all samples unweighted; weights see the filtered loci only. The genome's length is that of the alignment as given,
+    before any list; listings are shifted by the output base."""
     c = cells
+    genome = config.genome_size or (c.agg(F.max("pos")).first()[0] or 0) + 1
     if include is not None:
         c = al.include_loci(c, include)
     if exclude is not None:
         c = al.exclude_loci(c, exclude)
-    genome = config.genome_size or (c.agg(F.max("pos")).first()[0] or 0) + 1
     if config.filter_alignment:
         c = al.filter_positions(c, maf=config.maf_threshold, gap=config.gap_threshold, denominator=config.maf_denominator, n_states=config.n_states, gap_state=config.gap_state)
     if samples is not None:
@@ -52,9 +53,9 @@ def analyse(
     tau = config.mi_threshold
     if tau is None or tau < 0:
         keep = pairs_to_save(n_loci, config.mi_values)
-        tau = th.estimate_threshold(c, weights, keep, config.pseudocount, config.threshold_iterations, config.threshold_pairs).first()[0]
+        tau = th.estimate_threshold(c, weights, keep, config.pseudocount, config.threshold_iterations, config.threshold_pairs, config.mi_digits, config.block_loci, config.n_states).first()[0]
     circle = genome if config.topology == "circular" else None
-    both = shared_copy(m.block_mi(c, weights, config.pseudocount, None if config.exact_threshold else tau, config.block_loci, config.ld_threshold, circle, config.n_states, config.gap_state))
+    both = shared_copy(m.block_mi(c, weights, config.pseudocount, None if config.exact_threshold else tau, config.block_loci, config.ld_threshold, circle, config.n_states, config.gap_state, config.mi_digits))
     edges = both.where("kind = 'edge'").drop("kind")
     if config.exact_threshold and n_loci:
         tau = th.exact_threshold(edges, pairs_to_save(n_loci, config.mi_values)).first()[0]

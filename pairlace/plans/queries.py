@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlace.config import CouplingConfig
 from pairlace.functions import scalars as fn
 from pairlace.operators import alignment as al
 from pairlace.operators import aracne as ar
@@ -16,8 +19,9 @@ from pairlace.operators import plotdata as pl
 from pairlace.operators import threshold as th
 from pairlace.operators import weights as we
 from pairlace.operators.lineage import shared_copy
-from pairlace.plans.fixtures import from_documents, from_embeddings, from_lineitem
-from pairlace.sources import writers
+from pairlace.plans.fixtures import from_documents, from_embeddings, from_lineitem, from_parts
+from pairlace.plans.pipeline import Network, analyse
+from pairlace.sources import readers, writers
 
 GENOME, LD, KEEP, TOP, TOL = 64, 2, 200, 200, 1e-9
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,9 +32,12 @@ SQL: dict[str, str] = {}
 E1 = """cells AS (SELECT CAST(vec_id AS BIGINT) AS sample, CAST(p AS INTEGER) AS pos,
   CASE WHEN abs(x) < 0.02 THEN 4 WHEN x < -0.08 THEN 0 WHEN x < 0 THEN 1 WHEN x < 0.08 THEN 2 ELSE 3 END AS state
   FROM (SELECT vec_id, p, CAST(embedding[p] AS DOUBLE) AS x FROM embeddings, range(1, 65) r(p)) t)"""
-E2 = """cells AS (SELECT CAST(doc_id AS BIGINT) AS sample, CAST(p AS INTEGER) AS pos,
-  CASE upper(substring(text, CAST(p AS BIGINT), 1)) WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END AS state
-  FROM documents, range(1, 49) r(p) WHERE length(text) >= 48)"""
+SYMBOL = "CASE upper(c) WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END AS state"
+E2 = f"""cells AS (SELECT CAST(doc_id AS BIGINT) AS sample, CAST(p AS INTEGER) AS pos, {SYMBOL}
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) c, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) p FROM documents) t)"""
+E4 = f"""txt AS (SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_type) t FROM part), longest AS (SELECT max(length(t)) m FROM txt),
+  cells AS (SELECT CAST(p_partkey AS BIGINT) AS sample, CAST(p AS INTEGER) AS pos, {SYMBOL}
+  FROM (SELECT p_partkey, substring(t, p, 1) c, p FROM (SELECT p_partkey, t, unnest(range(1, m + 1)) p FROM txt, longest) u) v)"""
 E3 = """rows_ AS (SELECT CAST(l_orderkey AS BIGINT) * 1000 + row_number() OVER (PARTITION BY l_orderkey
     ORDER BY l_linenumber, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS sample,
     l_returnflag rf, l_linestatus ls, CAST(l_linenumber AS INTEGER) ln, CAST(l_discount AS DOUBLE) di, CAST(l_tax AS DOUBLE) tx, CAST(l_quantity AS DOUBLE) q FROM lineitem),
@@ -54,7 +61,7 @@ FREE = "freecells AS (SELECT * FROM cells WHERE state <> 4)"
 def xt_sql(name: str = "xt", cells: str = "cells", weights: str | None = None) -> str:
     w = f" JOIN {weights} w ON w.sample = l.sample" if weights else ""
     s = "sum(w.weight)" if weights else "CAST(count(*) AS DOUBLE)"
-    return f"""{name} AS (SELECT l.pos i, r.pos j, l.state a, r.state b, {s} n FROM {cells} l JOIN {cells} r ON l.sample = r.sample AND l.pos < r.pos{w} GROUP BY 1, 2, 3, 4)"""
+    return f"""{name} AS MATERIALIZED (SELECT l.pos i, r.pos j, l.state a, r.state b, {s} n FROM {cells} l JOIN {cells} r ON l.sample = r.sample AND l.pos < r.pos{w} GROUP BY 1, 2, 3, 4)"""
 
 
 def mi_sql(name: str = "mi", xt: str = "xt", cells: str = "cells", alpha: float = 0.5, digits: int | None = 6) -> str:
@@ -68,12 +75,12 @@ def mi_sql(name: str = "mi", xt: str = "xt", cells: str = "cells", alpha: float
     LEFT JOIN {xt} x ON x.i = g.i AND x.j = g.j AND x.a = pa_.state AND x.b = pb_.state),
   {name}_p AS (SELECT i, j, a, b, n / sum(n) OVER (PARTITION BY i, j) p, sum(n) OVER (PARTITION BY i, j, a) / sum(n) OVER (PARTITION BY i, j) pa,
     sum(n) OVER (PARTITION BY i, j, b) / sum(n) OVER (PARTITION BY i, j) pb FROM {name}_grid),
-  {name} AS (SELECT i, j, {value} mi FROM {name}_p WHERE p > 0 GROUP BY i, j)"""
+  {name} AS MATERIALIZED (SELECT i, j, {value} mi FROM {name}_p WHERE p > 0 GROUP BY i, j)"""
 
 
-def weights_sql(theta: float) -> str:
-    return f"""ham AS (SELECT l.sample s, r.sample t, count(*) k, sum(CASE WHEN l.state = r.state THEN 1 ELSE 0 END) same FROM cells l JOIN cells r ON l.pos = r.pos AND l.sample < r.sample GROUP BY 1, 2),
-  near AS (SELECT s sample FROM ham WHERE same >= {theta} * k - 1e-6 UNION ALL SELECT t FROM ham WHERE same >= {theta} * k - 1e-6 UNION ALL SELECT DISTINCT sample FROM cells),
+def weights_sql(theta: float, cells: str = "cells") -> str:
+    return f"""ham AS (SELECT l.sample s, r.sample t, count(*) k, sum(CASE WHEN l.state = r.state THEN 1 ELSE 0 END) same FROM {cells} l JOIN {cells} r ON l.pos = r.pos AND l.sample < r.sample GROUP BY 1, 2),
+  near AS (SELECT s sample FROM ham WHERE same >= {theta} * k - 1e-6 UNION ALL SELECT t FROM ham WHERE same >= {theta} * k - 1e-6 UNION ALL SELECT DISTINCT sample FROM {cells}),
   wts AS (SELECT sample, 1.0 / count(*) weight FROM near GROUP BY sample)"""
 
 
@@ -105,7 +112,7 @@ def tau_sql(n: int = GENOME, keep: int = KEEP, iterations: int = 10) -> str:
   tau AS (SELECT mi threshold FROM tm WHERE rn = {fn.lower_median_index(iterations) + 1})"""
 
 
-def aracne_sql(edges: str = "top") -> str:
+def aracne_sql(edges: str = "edges") -> str:
     return f"""tri AS (SELECT x.i a, x.j b, y.j c, x.mi m_ab, y.mi m_ac, z.mi m_bc FROM {edges} x JOIN {edges} y ON x.i = y.i AND x.j < y.j JOIN {edges} z ON z.i = x.j AND z.j = y.j),
   lows AS (SELECT *, list_sort([m_ab, m_ac, m_bc]) s FROM tri),
   hits AS (SELECT a i, b j FROM lows WHERE s[2] - s[1] >= {TOL} AND m_ab = s[1] UNION SELECT a, c FROM lows WHERE s[2] - s[1] >= {TOL} AND m_ac = s[1] UNION SELECT b, c FROM lows WHERE s[2] - s[1] >= {TOL} AND m_bc = s[1]),
@@ -147,7 +154,7 @@ def e1_top(s: SparkSession, d: str) -> DataFrame:
 
 
 def e1_couplings(s: SparkSession, d: str) -> DataFrame:
-    flagged = ar.aracne(e1_top(s, d), TOL)
+    flagged = ar.aracne(e1_edges(s, d), TOL)
     return flagged.select(F.col("i").alias("pos1"), F.col("j").alias("pos2"), "distance", F.col("direct").cast("int").alias("direct"), "mi")
 
 
@@ -182,9 +189,16 @@ def gap_presence(s, d):
     return al.gap_presence(from_lineitem(s, d))
 
 
-for _name, _cells, _frame in (("position_filter", E1, from_embeddings), ("position_filter_text", E2, from_documents), ("position_filter_lines", E3, from_lineitem)):
+for _name, _cells, _frame in (("position_filter", E1, from_embeddings), ("position_filter_lines", E3, from_lineitem)):
     query(_name, with_(_cells, PROFILE, select="pos, n, n_gap, alleles, second FROM kept"))(lambda s, d, f=_frame: al.position_filter(f(s, d)))
 
+
+@query("position_filter_text", with_(E2, PROFILE.replace("n_gap <= 0.15 * n", "n_gap <= 0.75 * n"), select="pos, n, n_gap, alleles, second FROM kept"))
+def position_filter_text(s, d):
+    """Most characters of a text are gaps, so the share allowed is wider than the default."""
+    return al.position_filter(from_documents(s, d), gap=0.75)
+
+
 LOCI = "SELECT p AS pos FROM range(1, 65) r(p) WHERE p % 3 = 1"
 
 
@@ -228,9 +242,9 @@ def sample_weights(s, d):
     return we.sample_weights(from_embeddings(s, d), 0.35).withColumn("weight", F.round("weight", 6))
 
 
-@query("sample_weights_text", with_(E2, weights_sql(0.9), select="sample, round(weight, 6) AS weight FROM wts"))
+@query("sample_weights_text", with_(E4, weights_sql(0.9), select="sample, round(weight, 6) AS weight FROM wts"))
 def sample_weights_text(s, d):
-    return we.sample_weights(from_documents(s, d), 0.9).withColumn("weight", F.round("weight", 6))
+    return we.sample_weights(from_parts(s, d), 0.9).withColumn("weight", F.round("weight", 6))
 
 
 @query("effective_size", with_(E1, weights_sql(0.35), select="round(sum(weight), 6) AS effective_size FROM wts"))
@@ -288,11 +302,11 @@ def mi_without_gaps(s, d):
     return m.mi_without_gaps(c, e1_mi(s, d)).withColumn("mi_wo_gaps", F.round("mi_wo_gaps", 6))
 
 
-@query("gap_effect", with_(E1, xt_sql(), mi_sql(), WO, EDGES, TOP_SQL, select="t.i, t.j, t.mi, coalesce(miw.mi, t.mi) AS mi_wo_gaps, round((1 - coalesce(miw.mi, t.mi) / t.mi) * 100, 4) AS gap_effect FROM top t LEFT JOIN miw ON miw.i = t.i AND miw.j = t.j"))
+@query("gap_effect", with_(E1, xt_sql(), mi_sql(), WO, EDGES, select="t.i, t.j, t.mi, coalesce(miw.mi, t.mi) AS mi_wo_gaps, round((1 - coalesce(miw.mi, t.mi) / t.mi) * 100, 4) AS gap_effect FROM edges t LEFT JOIN miw ON miw.i = t.i AND miw.j = t.j"))
 def gap_effect(s, d):
-    top = e1_top(s, d).select("i", "j", "mi")
-    free = m.mi_without_gaps(from_embeddings(s, d), top).withColumn("mi_wo_gaps", F.round("mi_wo_gaps", 6))
-    return m.with_gap_effect(top, free).withColumn("gap_effect", F.round("gap_effect", 4))
+    edges = e1_mi(s, d).select("i", "j", "mi")
+    free = m.mi_without_gaps(from_embeddings(s, d), edges).withColumn("mi_wo_gaps", F.round("mi_wo_gaps", 6))
+    return m.with_gap_effect(edges, free).withColumn("gap_effect", F.round("gap_effect", 4))
 
 
 @query("distance_linear", with_(E1, xt_sql(), select="DISTINCT i, j, CAST(abs(i - j) AS BIGINT) AS distance FROM xt"))
@@ -341,17 +355,17 @@ def exact_threshold(s, d):
     return th.exact_threshold(e1_edges(s, d), KEEP)
 
 
-@query("aracne_triangles", with_(E1, xt_sql(), mi_sql(), EDGES, TOP_SQL, aracne_sql(), select="CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, m_ab, m_ac, m_bc FROM tri"))
+@query("aracne_triangles", with_(E1, xt_sql(), mi_sql(), EDGES, aracne_sql(), select="CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, m_ab, m_ac, m_bc FROM tri"))
 def aracne_triangles(s, d):
-    return ar.triangles(e1_top(s, d))
+    return ar.triangles(shared_copy(e1_edges(s, d)))
 
 
-@query("aracne_edges", with_(E1, xt_sql(), mi_sql(), EDGES, TOP_SQL, aracne_sql(), select="CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, mi, direct FROM flagged"))
+@query("aracne_edges", with_(E1, xt_sql(), mi_sql(), EDGES, aracne_sql(), select="CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, mi, direct FROM flagged"))
 def aracne_edges(s, d):
-    return ar.aracne(e1_top(s, d).select("i", "j", "mi"), TOL).select("i", "j", "mi", F.col("direct").cast("int").alias("direct"))
+    return ar.aracne(e1_mi(s, d).select("i", "j", "mi"), TOL).select("i", "j", "mi", F.col("direct").cast("int").alias("direct"))
 
 
-@query("aracne_lines", with_(E3, xt_sql(), mi_sql(), "top AS (SELECT i, j, mi FROM mi WHERE mi > 0.01)", aracne_sql(), select="CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, mi, direct FROM flagged"))
+@query("aracne_lines", with_(E3, xt_sql(), mi_sql(), "top AS (SELECT i, j, mi FROM mi WHERE mi > 0.01)", aracne_sql("top"), select="CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, mi, direct FROM flagged"))
 def aracne_lines(s, d):
     e = m.mi_pairs(from_lineitem(s, d)).withColumn("mi", F.round("mi", 6))
     return ar.aracne(th.saved_edges(e, 0.01), TOL).select("i", "j", "mi", F.col("direct").cast("int").alias("direct"))
@@ -360,12 +374,12 @@ def aracne_lines(s, d):
 COUPLINGS = "CAST(i AS BIGINT) AS pos1, CAST(j AS BIGINT) AS pos2, distance, direct, mi FROM flagged"
 
 
-@query("couplings", with_(E1, xt_sql(), mi_sql(), EDGES, TOP_SQL, aracne_sql(), select=COUPLINGS))
+@query("couplings", with_(E1, xt_sql(), mi_sql(), EDGES, aracne_sql(), select=COUPLINGS))
 def couplings(s, d):
     return e1_couplings(s, d)
 
 
-@query("couplings_lines", with_(E1, xt_sql(), mi_sql(), EDGES, TOP_SQL, aracne_sql(), select="concat_ws(' ', i, j, distance, direct, printf('%.6f', mi)) AS value FROM flagged"))
+@query("couplings_lines", with_(E1, xt_sql(), mi_sql(), EDGES, aracne_sql(), select="concat_ws(' ', i, j, distance, direct, printf('%.6f', mi)) AS value FROM flagged"))
 def couplings_lines(s, d):
     return writers.couplings_lines(e1_couplings(s, d))
 
@@ -401,6 +415,226 @@ def plot_extent(s, d):
     return pl.plot_extent(e1_couplings(s, d), TOP)
 
 
-@query("plot_points", with_(E1, xt_sql(), mi_sql(), EDGES, TOP_SQL, aracne_sql(), select="distance, mi, direct FROM flagged"))
+@query("plot_points", with_(E1, xt_sql(), mi_sql(), EDGES, aracne_sql(), select="distance, mi, direct FROM flagged"))
 def plot_points(s, d):
     return ints(pl.plot_points(e1_couplings(s, d)), "direct")
+
+
+# ---- the whole analysis --------------------------------------------------------------------------------------
+
+THETA = 0.35
+SETUP = CouplingConfig(mi_values=KEEP, ld_threshold=LD, aracne_tolerance=TOL, reweighting_threshold=THETA, genome_size=GENOME, output_base=0, mi_digits=6, block_loci=16)
+KEPT = "c2 AS (SELECT cells.* FROM cells JOIN kept USING (pos))"
+#: The estimated threshold over as many loci as the filter keeps: indices as in ``draws_sql``, with its constants counted.
+RANKS = "rks AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 k FROM kept)"
+COUNTED = f"""par AS (SELECT n, tot, dr, ((tot - {KEEP}) * dr) // tot idx FROM (SELECT n, tot, least(100000, tot // 10) dr FROM (SELECT count(*) n, count(*) * (count(*) - 1) // 2 tot FROM kept) a) b)"""
+DRAWN = f"""dr AS (SELECT it, d, {HASH("d", "1", "it")} % n u, {HASH("d", "2", "it")} % n v, dr m FROM (SELECT n, dr, unnest(range(1, 2 * dr + 101)) d FROM par) p, range(1, 11) s(it)),
+  un AS (SELECT it, m, least(u, v) u, greatest(u, v) v, min(d) d FROM dr WHERE u <> v GROUP BY 1, 2, 3, 4),
+  rk AS (SELECT it, m, u, v, row_number() OVER (PARTITION BY it ORDER BY d) rn FROM un),
+  drawn AS (SELECT it AS iter, a.pos i, b.pos j FROM rk JOIN rks a ON a.k = u JOIN rks b ON b.k = v WHERE rn <= m),
+  tv AS (SELECT iter, mi, row_number() OVER (PARTITION BY iter ORDER BY mi) rn FROM drawn JOIN mi USING (i, j)),
+  tm AS (SELECT mi, row_number() OVER (ORDER BY mi) rn FROM tv, par WHERE rn = idx + 1),
+  tau AS (SELECT mi threshold FROM tm WHERE rn = {fn.lower_median_index(10) + 1})"""
+ANALYSIS = (
+    E1, PROFILE, KEPT, weights_sql(THETA, "c2"), xt_sql(cells="c2", weights="wts"), mi_sql(cells="c2"), EDGES, MAXIMA, FENCES, RANKS, COUNTED, DRAWN,
+    "free2 AS (SELECT * FROM c2 WHERE state <> 4)", xt_sql("xf", "free2", "wts"), mi_sql("miw", "xf", "free2"),
+    "saved AS (SELECT * FROM edges WHERE mi > (SELECT threshold FROM tau))", aracne_sql("saved"),
+)
+PAIR = "CAST(e.i AS BIGINT) AS pos1, CAST(e.j AS BIGINT) AS pos2, e.distance, e.direct, e.mi"
+
+
+def network(s: SparkSession, d: str, **options) -> Network:
+    return analyse(from_embeddings(s, d), replace(SETUP, **options))
+
+
+def listed(df: DataFrame) -> DataFrame:
+    return ints(df, "direct").select("pos1", "pos2", "distance", "direct", "mi")
+
+
+@query("analysis", with_(*ANALYSIS, select=f"{PAIR} FROM flagged e"))
+def analysis(s, d):
+    """Filter, weights, estimated threshold, all pairs by the packed kernel, pruning."""
+    return listed(network(s, d).couplings)
+
+
+@query("analysis_unpruned", with_(*ANALYSIS[:-1], select="CAST(i AS BIGINT) AS pos1, CAST(j AS BIGINT) AS pos2, distance, 0 AS direct, mi FROM saved"))
+def analysis_unpruned(s, d):
+    return listed(network(s, d, run_aracne=False).couplings)
+
+
+@query("analysis_unfiltered", with_(E1, xt_sql(), mi_sql(), EDGES, aracne_sql(), select=f"{PAIR} FROM flagged e WHERE e.mi > 0"))
+def analysis_unfiltered(s, d):
+    """Without filter and weights, every positive pair saved."""
+    return listed(network(s, d, filter_alignment=False, sample_reweighting=False, mi_threshold=0.0).couplings)
+
+
+@query("analysis_threshold", with_(*ANALYSIS, select="threshold FROM tau"))
+def analysis_threshold(s, d):
+    return s.createDataFrame([(network(s, d, run_aracne=False).save_threshold,)], "threshold double")
+
+
+@query("analysis_outliers", with_(*ANALYSIS, select=f"{PAIR}, coalesce(miw.mi, e.mi) AS mi_wo_gaps, round((1 - coalesce(miw.mi, e.mi) / e.mi) * 100, 4) AS gap_effect, CASE WHEN e.mi > f.extreme THEN 1 ELSE 0 END AS extreme FROM flagged e CROSS JOIN fences f LEFT JOIN miw ON miw.i = e.i AND miw.j = e.j WHERE e.mi >= f.outlier AND e.distance > {LD}"))
+def analysis_outliers(s, d):
+    return ints(network(s, d).outliers, "direct", "extreme").withColumn("gap_effect", F.round("gap_effect", 4))
+
+
+@query("analysis_lines", with_(E3, xt_sql(), mi_sql(), "edges AS (SELECT i, j, mi, abs(i - j) distance FROM mi WHERE mi > 0.01)", "free3 AS (SELECT * FROM cells WHERE state <> 4)", xt_sql("xf", "free3"), mi_sql("miw", "xf", "free3"), "gappy AS (SELECT DISTINCT pos FROM cells WHERE state = 4)", aracne_sql(), select="CAST(e.i AS BIGINT) AS i, CAST(e.j AS BIGINT) AS j, CAST(e.distance AS BIGINT) AS distance, e.direct, e.mi, CASE WHEN e.i IN (FROM gappy) OR e.j IN (FROM gappy) THEN miw.mi ELSE e.mi END AS mi_wo_gaps FROM flagged e LEFT JOIN miw ON miw.i = e.i AND miw.j = e.j"))
+def analysis_lines(s, d):
+    """Loci with and without gaps: only saved pairs that touch a gap are counted again."""
+    found = m.block_mi(from_lineitem(s, d), threshold=0.01, block=3, digits=6).where("kind = 'edge'").drop("kind")
+    flagged = ar.aracne(found.withColumn("distance", fn.linear_distance(F.col("i"), F.col("j"))), TOL)
+    return ints(flagged.withColumn("mi_wo_gaps", F.coalesce("mi_wo_gaps", "mi")), "direct").select("i", "j", "distance", "direct", "mi", "mi_wo_gaps")
+
+
+LINE_FENCES = "fences AS (SELECT 0.3 outlier, 0.6 extreme)"
+
+
+@query("outliers_many", with_(E3, xt_sql(), mi_sql(), "edges AS (SELECT i, j, mi, abs(i - j) distance FROM mi)", LINE_FENCES, select="CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(distance AS BIGINT) AS distance, mi, CASE WHEN mi > extreme THEN 1 ELSE 0 END AS extreme FROM edges, fences WHERE mi >= outlier AND distance > 4"))
+def outliers_many(s, d):
+    """Given fences with pairs on both sides of each and of the distance."""
+    e = m.mi_pairs(from_lineitem(s, d)).withColumn("mi", F.round("mi", 6)).withColumn("distance", fn.linear_distance(F.col("i"), F.col("j")))
+    fences = s.createDataFrame([(0.3, 0.6)], "outlier double, extreme double")
+    return ints(ou.outliers(e, fences, 4), "extreme").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "distance", "mi", "extreme")
+
+
+@query("pruning_above", with_(E1, xt_sql(), mi_sql(), "strong AS MATERIALIZED (SELECT * FROM mi WHERE mi >= 0.02)", aracne_sql("strong"), select="CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, mi, direct FROM flagged"))
+def pruning_above(s, d):
+    """Pruning of an edge list made elsewhere: weaker edges go first."""
+    return ar.aracne(e1_mi(s, d).select("i", "j", "mi"), TOL, min_mi=0.02).select("i", "j", "mi", F.col("direct").cast("int").alias("direct"))
+
+
+@query("nothing_kept", with_(E1, PROFILE.replace("second >= 0.01 * n", "second > n"), KEPT, xt_sql(cells="c2"), select="CAST(i AS BIGINT) AS pos1, CAST(j AS BIGINT) AS pos2, CAST(0 AS BIGINT) AS distance, 0 AS direct, n AS mi FROM xt"))
+def nothing_kept(s, d):
+    """No locus has a second allele in all samples: the listing is empty, with its columns."""
+    return listed(network(s, d, maf_threshold=1.0).couplings)
+
+
+# ---- sources and sinks: written to the shared folder, read back ----------------------------------------------
+
+def folder(s: SparkSession) -> str:
+    """A new folder beside the checkpoints."""
+    shared_copy(s.range(1))
+    return f"{s.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+
+
+def written(s: SparkSession, lines: DataFrame, name: str = "lines") -> str:
+    return writers.write_lines(lines, f"{folder(s)}/{name}")
+
+
+def named(s: SparkSession, d: str) -> DataFrame:
+    return from_embeddings(s, d).select("sample", F.col("sample").cast("string").alias("name")).distinct()
+
+
+@query("fasta_scan", with_(E1, select="CAST(dense_rank() OVER (ORDER BY sample) - 1 AS BIGINT) AS sample, sample AS name, CAST(pos - 1 AS INTEGER) AS pos, CAST(state AS INTEGER) AS state FROM cells"))
+def fasta_scan(s, d):
+    """The alignment as a file, then read: samples are numbered in the file's order."""
+    got = readers.read_sequences(s, writers.write_alignment(from_embeddings(s, d), f"{folder(s)}/alignment", named(s, d)))
+    cells = readers.cells_of(got).join(got.select("sample", F.col("name").cast("long").alias("name")), "sample")
+    return ints(cells, "state").select("sample", "name", "pos", "state")
+
+
+@query("fasta_scan_files", with_(E1, select="CAST(dense_rank() OVER (ORDER BY sample % 2 DESC, sample) - 1 AS BIGINT) AS sample, sample AS name FROM (SELECT DISTINCT sample FROM cells) t"))
+def fasta_scan_files(s, d):
+    """Odd samples, then even ones, in two files: numbers follow the list of files."""
+    to, c = folder(s), from_embeddings(s, d)
+    paths = [writers.write_alignment(c.where(F.col("sample") % 2 == odd), f"{to}/part", named(s, d)) for odd in (1, 0)]
+    return readers.read_sequences(s, paths).select("sample", F.col("name").cast("long").alias("name"))
+
+
+@query("alignment_lines", with_(E1, select="sample, '>' || sample || chr(10) || string_agg(substring('ACGT-', state + 1, 1), '' ORDER BY pos) AS value FROM cells GROUP BY sample"))
+def alignment_lines(s, d):
+    return writers.alignment_lines(from_embeddings(s, d))
+
+
+@query("filtered_alignment_lines", with_(E1, PROFILE, KEPT, select="sample, '>' || sample || chr(10) || string_agg(substring('ACGT-', state + 1, 1), '' ORDER BY pos) AS value FROM c2 GROUP BY sample"))
+def filtered_alignment_lines(s, d):
+    return writers.alignment_lines(al.filter_positions(from_embeddings(s, d)))
+
+
+@query("outlier_alignment_lines", with_(E1, xt_sql(), mi_sql(), EDGES, MAXIMA, FENCES, NODES, select="sample, '>' || sample || chr(10) || string_agg(substring('ACGT-', state + 1, 1), '' ORDER BY pos) AS value FROM cells WHERE pos IN (SELECT pos FROM nodes) GROUP BY sample"))
+def outlier_alignment_lines(s, d):
+    return writers.alignment_lines(ou.outlier_alignment(from_embeddings(s, d), outlier_nodes(s, d)))
+
+
+@query("include_list_scan", with_(E1, select=f"pos, count(*) AS n, CAST(sum(state) AS BIGINT) AS s FROM cells WHERE pos IN ({LOCI}) GROUP BY pos"))
+def include_list_scan(s, d):
+    """A list of loci counted from 5, several a line, some twice."""
+    lines = third_loci(s).select(F.concat_ws(" ", F.col("pos") + 5, F.lit("  "), F.col("pos") + 5).alias("value"))
+    return al.include_loci(from_embeddings(s, d), readers.read_loci_list(s, written(s, lines), 5)).groupBy("pos").agg(F.count("*").alias("n"), F.sum("state").alias("s"))
+
+
+@query("exclude_list_scan", with_(E1, select=f"pos, count(*) AS n FROM cells WHERE pos NOT IN ({LOCI}) GROUP BY pos"))
+def exclude_list_scan(s, d):
+    lines = third_loci(s).select((F.col("pos") + 1).cast("string").alias("value"))
+    return al.exclude_loci(from_embeddings(s, d), readers.read_loci_list(s, written(s, lines))).groupBy("pos").agg(F.count("*").alias("n"))
+
+
+@query("sample_list_scan", with_(E1, select="pos, count(*) AS n, CAST(sum(state) AS BIGINT) AS s FROM cells WHERE sample % 3 = 0 GROUP BY pos"))
+def sample_list_scan(s, d):
+    lines = from_embeddings(s, d).select("sample").distinct().where("sample % 3 = 0").select(F.col("sample").cast("string").alias("value"))
+    keep = readers.read_loci_list(s, written(s, lines), 0, "sample")
+    return al.subsample(from_embeddings(s, d), keep).groupBy("pos").agg(F.count("*").alias("n"), F.sum("state").alias("s"))
+
+
+@query("weights_scan", with_(E1, weights_sql(THETA), select="CAST(row_number() OVER (ORDER BY sample) - 1 AS BIGINT) AS sample, round(weight, 6) AS weight FROM wts"))
+def weights_scan(s, d):
+    """Weights written in order of sample and read back by place."""
+    w = shared_copy(we.sample_weights(from_embeddings(s, d), THETA))
+    path = writers.write_weights(w, f"{folder(s)}/weights")
+    return readers.read_indexed_list(s, path, "sample", "weight", expected=w.count()).withColumn("weight", F.round("weight", 6))
+
+
+@query("weights_lines", with_(E1, weights_sql(0.9), select="sample, printf('%.6f', weight) AS value FROM wts"))
+def weights_lines(s, d):
+    return we.sample_weights(from_embeddings(s, d), 0.9).select("sample", F.format_string("%.6f", "weight").alias("value"))
+
+
+@query("mapping_scan", with_(E1, select="sample, CAST(3 * pos + 7 AS BIGINT) AS pos, CAST(state AS INTEGER) AS state FROM cells"))
+def mapping_scan(s, d):
+    """The genome position of each column from a list, in order of the columns."""
+    lines = s.range(0, GENOME, 1, 3).select((3 * (F.col("id") + 1) + 7).cast("string").alias("value"))
+    mapping = readers.read_indexed_list(s, written(s, lines), "idx", "pos", "long", expected=GENOME)
+    cells = from_embeddings(s, d).withColumn("pos", F.col("pos") - 1)
+    return ints(al.translate_loci(cells, mapping), "state")
+
+
+@query("couplings_scan", with_(E1, xt_sql(), mi_sql(), EDGES, aracne_sql(), select=COUPLINGS))
+def couplings_scan(s, d):
+    return readers.read_couplings(s, written(s, writers.couplings_lines(e1_couplings(s, d)), "couplings"))
+
+
+@query("edge_parts_scan", with_(E1, xt_sql(), mi_sql(), EDGES, aracne_sql(), select="CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, mi, direct FROM flagged"))
+def edge_parts_scan(s, d):
+    """One network kept in two files, read as one and pruned."""
+    e = shared_copy(e1_mi(s, d).select("i", "j", "mi"))
+    parts = [written(s, e.where((F.col("i") < 20) == first).select(F.concat_ws(" ", "i", "j", F.format_string("%.6f", "mi")).alias("value"))) for first in (True, False)]
+    return ar.aracne(readers.read_edges(s, parts), TOL).select("i", "j", "mi", F.col("direct").cast("int").alias("direct"))
+
+
+@query("outliers_lines", OUTLIERS.replace("SELECT CAST(e.i AS BIGINT) AS i", "SELECT concat_ws(' ', i, j, distance, direct, printf('%.6f', mi), printf('%.6f', mi_wo_gaps), printf('%.1f', gap_effect), extreme) AS value FROM (SELECT CAST(e.i AS BIGINT) AS i") + ") listed")
+def outliers_lines(s, d):
+    return writers.outliers_lines(outliers(s, d).withColumnsRenamed({"i": "pos1", "j": "pos2"}))
+
+
+@query("frequency_lines", with_(E1, select="concat_ws(' ', pos, state, count(*), printf('%.6f', count(*) / CAST(sum(count(*)) OVER (PARTITION BY pos) AS DOUBLE))) AS value FROM cells GROUP BY pos, state"))
+def frequency_lines(s, d):
+    return s.read.text(writers.write_frequencies(al.state_frequencies(from_embeddings(s, d)), f"{folder(s)}/frequencies"))
+
+
+@query("distance_lines", with_(E1, select="concat_ws(' ', l.sample, r.sample, sum(CASE WHEN l.state <> r.state THEN 1 ELSE 0 END)) AS value FROM cells l JOIN cells r ON l.pos = r.pos AND l.sample < r.sample GROUP BY l.sample, r.sample"))
+def distance_lines(s, d):
+    return s.read.text(writers.write_distances(we.hamming_distances(from_embeddings(s, d)), f"{folder(s)}/distances"))
+
+
+@query("distance_matrix_lines", with_(E1, "ham AS (SELECT l.sample s, r.sample t, sum(CASE WHEN l.state <> r.state THEN 1 ELSE 0 END) k FROM cells l JOIN cells r ON l.pos = r.pos GROUP BY 1, 2)", select="s AS sample, string_agg(CAST(CAST(k AS BIGINT) AS VARCHAR), ' ' ORDER BY t) AS value FROM ham GROUP BY s"))
+def distance_matrix_lines(s, d):
+    return writers.distance_matrix_lines(we.hamming_distances(from_embeddings(s, d)))
+
+
+@query("unique_names", "SELECT * FROM (VALUES (0, 'a.64.couplings.1-based.9edges'), (1, 'a.64.couplings.1-based.9edges.1'), (2, 'a.64.couplings.1-based.9edges.outliers')) t(k, name)")
+def unique_names(s, d):
+    """The same output twice, then its outliers: nothing is overwritten."""
+    to, one = folder(s), s.range(1).select(F.lit("1 2 1 1 0.5").alias("value"))
+    names = [writers.couplings_name("a", GENOME, 1, 9), writers.couplings_name("a", GENOME, 1, 9), writers.couplings_name("a", GENOME, 1, 9, outliers=True)]
+    paths = [writers.write_lines(one, f"{to}/{name}") for name in names]
+    return s.createDataFrame([(k, p.rsplit("/", 1)[1]) for k, p in enumerate(paths)], "k int, name string")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlace.functions.scalars import symbol_state
@@ -12,35 +14,40 @@ class EmptyAlignmentError(ValueError):
     """The input holds no sequence."""
 
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """Adds the 0-based place of each row in file order. Only one count a partition is gathered; it is joined by
-    the partition's number, so no task sees more rows than it read."""
-    tagged = df.withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_m", 33))
-    counts = tagged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select(F.sort_array(F.collect_list(F.struct("_part", "_n")).over(_everything())).alias("_all"), "_part")
-    offsets = before.select(
-        "_part",
-        F.aggregate(F.filter("_all", lambda x: x["_part"] < F.col("_part")), F.lit(0).cast("long"), lambda acc, x: acc + x["_n"]).alias("_off"),
-    )
-    place = F.col("_off") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return tagged.join(offsets, "_part").withColumn(name, place).drop("_m", "_part", "_off")
+def _lines(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
+    """``value`` of each record with where it stands: the path's place in the list, the file, the split and the row. Spark
+    reads files in an order of its own, so the row number alone says nothing across splits."""
+    parts = []
+    for k, path in enumerate([paths] if isinstance(paths, str) else paths):
+        read = spark.read.text(path, **options)
+        parts.append(read.select("value", F.lit(k).alias("_src"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_blk")))
+    return reduce(DataFrame.unionByName, parts)
+
 
+SPLIT = ["_src", "_file", "_blk"]
 
-def _everything():
-    from pyspark.sql import Window
 
-    return Window.partitionBy(F.lit(0))  # over one row for each input partition
+def _numbered(rows: DataFrame, name: str, size: Column | None = None) -> DataFrame:
+    """Adds each row's place, from 0 in file order, where a row takes ``size`` places (one if None). Rows are counted within
+    their split; splits are laid end to end by a window over one row a split."""
+    tagged = rows.withColumn("_m", F.monotonically_increasing_id()).withColumn("_size", F.lit(1) if size is None else size)
+    sizes = tagged.groupBy(*SPLIT).agg(F.sum("_size").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.coalesce(F.sum("_size").over(Window.partitionBy(*SPLIT).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = tagged.withColumn("_in", inside).join(starts, SPLIT)
+    return placed.withColumn(name, (F.col("_off") + F.col("_in")).cast("long")).drop(*SPLIT, "_m", "_size", "_off", "_in")
 
 
 def read_sequences(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``sample long, name string, sequence string``. Wrapped lines, CRLF and blank lines are allowed; samples are
-    numbered from 0 in file order. Raises EmptyAlignmentError if there is no sequence."""
-    records = spark.read.text(path, lineSep="\n>").where(F.length(F.trim("value")) > 0)
+    numbered from 0 in the order of the list and of each file. Raises EmptyAlignmentError if there is no sequence."""
+    records = _lines(spark, path, lineSep="\n>").where(F.length(F.trim("value")) > 0)
     record = F.regexp_replace("value", r"^\s*>", "")
-    out = records.select(
-        F.trim(F.regexp_replace(F.regexp_extract(record, r"^[^\n]*", 0), "\r", "")).alias("name"),
-        F.regexp_replace(F.regexp_replace(record, r"^[^\n]*", ""), r"\s", "").alias("sequence"),
-    ).where(F.length("sequence") > 0)
+    out = records.withColumns({
+        "name": F.trim(F.regexp_replace(F.regexp_extract(record, r"^[^\n]*", 0), "\r", "")),
+        "sequence": F.regexp_replace(F.regexp_replace(record, r"^[^\n]*", ""), r"\s", ""),
+    }).where(F.length("sequence") > 0)
     if out.isEmpty():
         raise EmptyAlignmentError(f"no sequence in {path}")
     return _numbered(out, "sample").select("sample", "name", "sequence")
@@ -58,7 +65,10 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _words(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")).alias("idx", "word")).where("word <> ''")
+    """``idx, word``: the words of a white-space list and their places in it, whatever the line breaks."""
+    lines = _lines(spark, path).withColumn("words", F.filter(F.split("value", r"\s+"), lambda x: x != "")).where("size(words) > 0")
+    numbered = _numbered(lines, "_at", F.size("words"))
+    return numbered.select("_at", F.posexplode("words").alias("_k", "word")).select((F.col("_at") + F.col("_k")).alias("idx"), "word")
 
 
 def read_loci_list(spark: SparkSession, path: str, base: int = 1, name: str = "pos") -> DataFrame:

@@ -75,7 +75,10 @@ def write_distances(distances: DataFrame, path: str) -> str:
     return write_lines(distances.orderBy("s", "t").select(F.concat_ws(" ", "s", "t", "distance").alias("value")), path)
 
 
-def distance_matrix(distances: DataFrame, samples: list[int]) -> DataFrame:
-    """The square form for a named list of samples: one row and one column for each."""
+def distance_matrix_lines(distances: DataFrame) -> DataFrame:
+    """``sample, value``: the square form, a line of distances for each sample in order of the other; its own is 0. One
+    line's distances come together, no more."""
     both = distances.select("s", "t", "distance").unionByName(distances.select(F.col("t").alias("s"), F.col("s").alias("t"), "distance"))
-    return both.groupBy("s").pivot("t", samples).agg(F.first("distance")).na.fill(0)
+    own = both.select("s").distinct().select("s", F.col("s").alias("t"), F.lit(0).cast("long").alias("distance"))
+    line = both.unionByName(own).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("t", "distance"))).alias("l"))
+    return line.select(F.col("s").alias("sample"), F.array_join(F.col("l.distance").cast("array<string>"), " ").alias("value"))

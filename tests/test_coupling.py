@@ -12,6 +12,7 @@ from pairlace.operators import aracne as ar
 from pairlace.operators import mi as m
 from pairlace.operators import outliers as ou
 from pairlace.operators import threshold as th
+from pairlace.operators import tiles
 from pairlace.operators import weights as we
 from pairlace.plans.pipeline import analyse
 from pairlace.sources import readers, writers
@@ -147,7 +148,7 @@ def test_whole_analysis_of_nothing(spark, cells):
 def test_blocks_of_far_loci(spark, cells, monkeypatch):
     """Blocks follow the rank of a locus, not its position, and slices of samples add up."""
     far = cells.withColumn("pos", F.col("pos") * 100_000)
-    assert m.locus_blocks(far, 4).count() == 3
+    assert m.packed_loci(far, 4).select("blk").distinct().count() == 3
     assert sorted((r.pos, r["rank"]) for r in m.locus_ranks(far, 50).collect()) == [(k * 100_000, k - 1) for k in range(1, 11)]
     want = {(r.i * 100_000, r.j * 100_000): r.mi for r in m.mi_pairs(cells).collect()}
     got = {(r.i, r.j): r.mi for r in m.block_mi(far, block=4).where("kind = 'edge'").collect()}
@@ -158,3 +159,56 @@ def test_blocks_of_far_loci(spark, cells, monkeypatch):
     sliced = m._block_mi(x, y, w, 0.5, 5, None)
     monkeypatch.setattr(m, "SLICE", 100)
     assert np.allclose(sliced, m._block_mi(x, y, w, 0.5, 5, None))
+
+
+@pytest.mark.parametrize("threshold", [None, 0.1])
+def test_slices_of_samples_agree(cells, monkeypatch, threshold):
+    """No task sees all samples: counts of the slices add up to the same edges, maxima and listed pairs."""
+    w = we.sample_weights(cells, 0.8)
+    rows = lambda df: {(r.kind, r.i, r.j): (round(r.mi, 9), r.mi_wo_gaps and round(r.mi_wo_gaps, 9)) for r in df.collect()}
+    whole = m.block_mi(cells, w, threshold=threshold, block=3, ld=1, genome_size=10)
+    top = lambda df: {r.i: round(r.mi, 9) for r in df.where("kind = 'max'").groupBy("i").agg(F.max("mi").alias("mi")).collect()}
+    tops = top(whole)
+    pairs = m.mi_pairs(cells).select("i", "j")
+    one = {(r.i, r.j): round(r.mi, 9) for r in m.listed_mi(cells, pairs, w, block=3).collect()}
+    monkeypatch.setattr(m, "SAMPLES", 3)
+    sliced = m.block_mi(cells, w, threshold=threshold, block=3, ld=1, genome_size=10)
+    cut = rows(sliced)
+    assert {k: v for k, v in cut.items() if k[0] == "edge"} == {k: v for k, v in rows(whole).items() if k[0] == "edge"}
+    assert top(sliced) == tops
+    assert {(r.i, r.j): round(r.mi, 9) for r in m.listed_mi(cells, pairs, w, block=3).collect()} == one
+    want = {(r.i, r.j): round(r.mi, 9) for r in m.mi_pairs(cells, w).collect()}
+    assert one == want
+
+
+def test_tiles_cover_each_pair_once(spark):
+    blocks = spark.range(7).select(F.col("id").cast("int").alias("blk"))
+    for side in (1, 2, 3, 9):
+        seen = {}
+        for r in tiles.deal(blocks, 7, side).collect():
+            seen.setdefault((r.ti, r.tj), ([], []))[r["at"]].append(r.blk)
+        met = [tuple(sorted((a, b))) for (ti, tj), (x, y) in seen.items() for a in x for b in (x if ti == tj else y) if ti < tj or a <= b]
+        assert sorted(met) == [(a, b) for a in range(7) for b in range(a, 7)]
+
+
+def test_files_are_numbered_in_the_order_of_the_list(spark, tmp_path):
+    """Spark reads large files first; samples keep the order of the list all the same, over several splits too."""
+    (tmp_path / "a").write_text("".join(f">a{k}\nACGT\n" for k in range(3)))
+    (tmp_path / "b").write_text("".join(f">b{k}\nACGTACGT\n" for k in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = readers.read_sequences(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).orderBy("sample").collect()
+        (tmp_path / "w").write_text("".join(f"{k} {k + 0.5}\n\n" for k in range(600)))
+        w = readers.read_indexed_list(spark, str(tmp_path / "w"), "sample", "weight").orderBy("sample").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["sample"], r.name) for r in got] == [(k, n) for k, n in enumerate([f"a{k}" for k in range(3)] + [f"b{k}" for k in range(400)])]
+    assert [(r["sample"], r.weight) for r in w] == [(2 * k + h, k + h / 2) for k in range(600) for h in (0, 1)]
+
+
+def test_genome_length_is_that_of_the_input(spark, cells):
+    """Lists of loci don't shorten the circle: positions 0 and 8 of ten are 2 apart, whatever is left out."""
+    zero = cells.withColumn("pos", F.col("pos") - 1)
+    gone = spark.createDataFrame([(9,)], "pos int")
+    net = analyse(zero, CouplingConfig(filter_alignment=False, output_base=0, mi_threshold=0.0), exclude=gone)
+    assert {(r.pos1, r.pos2): r.distance for r in net.couplings.collect()}[0, 8] == 2
