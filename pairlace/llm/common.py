@@ -142,15 +142,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 LEAST_HEAVY, MOST_HEAVY = 1000, 100_000
 
 
+def meet(rows: DataFrame, table: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``inner``) with the stored ``table``, or those it lacks (``left_anti``). The table has a row a key, with
+    the number ``n`` of rows that the key has. Keys with more rows than a 100,000th of all (and than 1,000) are not shuffled
+    but broadcast: there are 100,000 at most, as their rows add up to no more than all rows."""
+    cut = max(LEAST_HEAVY, (table.agg(F.sum(n)).first()[0] or 0) // MOST_HEAVY)
+    heavy, light = F.broadcast(table.where(F.col(n) > cut)), table.where(F.col(n) <= cut)  # heavy: at most MOST_HEAVY rows
+    rest = rows.join(heavy.select(key), key, "left_anti")
+    if how == "left_anti":
+        return rest.join(light.select(key), key, "left_anti")
+    return rows.join(heavy, key).unionByName(rest.join(light, key))
+
+
 def with_least(pairs: DataFrame) -> DataFrame:
-    """``u, v, m``: the stored rows ``u, v`` with the least ``v`` of their ``u``. Minima combine before the shuffle. Nodes with
-    more rows than a 100,000th of all (and than 1,000) are not shuffled but meet a broadcast: there are 100,000 at most, as
-    their rows add up to no more than all rows."""
-    low = stored(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")))
-    cut = max(LEAST_HEAVY, (low.agg(F.sum("d")).first()[0] or 0) // MOST_HEAVY)
-    heavy = F.broadcast(low.where(F.col("d") > cut).select("u", "m"))  # at most MOST_HEAVY rows
-    light = pairs.join(heavy.select("u"), "u", "left_anti").join(low.where(F.col("d") <= cut).select("u", "m"), "u")
-    return pairs.join(heavy, "u").unionByName(light)
+    """The stored rows ``u, v`` with ``m``, the least ``v`` of their ``u``. Minima combine before the shuffle, and nodes with
+    very many rows are not shuffled."""
+    return meet(pairs, stored(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))), "u", "d").drop("d")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

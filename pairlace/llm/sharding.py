@@ -7,8 +7,10 @@ count)``, so a group of any size is at most 40 rows and a round's joins are smal
 are dealt to the shards with room in order of their group, so they lie in few shards. Unlinked documents, which have no
 neighbours, then fill each shard to its quota. The law is ``rows``: shard sizes differ by at most one.
 
-Null text is a group of its own with no bytes. Repeated rows are documents like any other. Empty tables give no
-rows; extra columns are ignored.
+Groups that hold a large part of all rows are not shuffled by their key, and sums before a row go by cells, so no task
+sees all rows of a group or of a shard. Null text is a group of its own with no bytes, and so is empty text. A very long text
+is hashed and measured where it is read. Ties go by hash, then by number. Repeated rows are documents like any other. Empty
+tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlace.llm.common import gapless_rank, only, stored
+from pairlace.llm.common import gapless_rank, meet, only, stored
 
 SHARDS, ROUNDS, SALTS = 40, 16, 64
 
@@ -30,6 +32,17 @@ def _quotas(spark, total: int, shards: int) -> DataFrame:
     return spark.range(shards).select(F.col("id").cast("int").alias("shard"), (F.floor((F.col("id") + 1) * total / shards) - F.floor(F.col("id") * total / shards)).cast("long").alias("quota"))
 
 
+def _sums_before(rows: DataFrame, key: str, n: str, name: str) -> DataFrame:
+    """Adds the sum of ``n`` over the rows before, of those with equal ``key``, the largest first. Rows are summed by cells (of
+    like size, then of the group's hash) and cells laid end to end, so no task sorts all rows of a key."""
+    cell = (F.lit(64) - F.floor(F.log2(n))) * 64 + F.pmod(F.xxhash64("grp"), F.lit(64))
+    each = rows.withColumn("_cell", cell.cast("int"))
+    sums = each.groupBy(key, "_cell").agg(F.sum(n).alias("_s"))
+    starts = sums.withColumn("_off", F.coalesce(F.sum("_s").over(_before(Window.partitionBy(key).orderBy("_cell"))), F.lit(0))).drop("_s")
+    inside = F.coalesce(F.sum(n).over(_before(Window.partitionBy(key, "_cell").orderBy(F.desc(n), "grp"))), F.lit(0))
+    return each.withColumn("_in", inside).join(starts, [key, "_cell"]).withColumn(name, F.col("_off") + F.col("_in")).drop("_cell", "_off", "_in")
+
+
 def propagate(state: DataFrame, quotas: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``grp, shard, n``: how many members of each group lie where after the rounds. Ties go to the shard of the
     smaller hash with the group. A group is accepted by a shard while the sum of the movers before it, in order of
@@ -74,13 +87,12 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -
     linked_groups = stored(sizes.where("members > 1"))
     total = rows.count()
     quotas = stored(_quotas(spark, total, shards))
-    linked = rows.join(linked_groups.select("grp"), "grp")
+    linked = stored(meet(rows, linked_groups, "grp", "members"))
     state = stored(linked.groupBy("grp", first.alias("shard")).agg(F.count("*").alias("n")))
     state = propagate(state, quotas, rounds)
 
-    # what exceeds a quota leaves, the last groups of the shard first; it and the unlinked fill what is free
-    w = _before(Window.partitionBy("shard").orderBy(F.desc("n"), "grp"))
-    over = state.join(quotas, "shard").withColumn("sofar", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    # what exceeds a quota leaves, the smallest groups of the shard first; it and the unlinked fill what is free
+    over = _sums_before(state.join(F.broadcast(quotas), "shard"), "shard", "n", "sofar")  # quotas: one row a shard
     state = over.withColumn("stay", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("sofar"))))
     state = stored(state.select("grp", "shard", F.col("stay").alias("n")).where("n > 0"))
     held = state.groupBy("shard").agg(F.sum("n").alias("held"))
@@ -90,17 +102,17 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -
 
     # members of a group take its places in order
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    member = gapless_rank(linked, ["grp"], [F.col("doc_id"), F.col("size")], salt, "m")
+    member = gapless_rank(linked.drop("members"), ["grp"], [F.col("doc_id"), F.col("size")], salt, "m")
     places = state.withColumn("lo", F.coalesce(F.sum("n").over(_before(Window.partitionBy("grp").orderBy("shard"))), F.lit(0)))
     seats = places.groupBy("grp").agg(F.collect_list(F.struct("shard", "lo", (F.col("lo") + F.col("n")).alias("hi"))).alias("seats"))  # at most one a shard
-    member = member.join(seats, "grp", "left")
+    member = meet(member, stored(linked_groups.join(seats, "grp", "left")), "grp", "members")
     seat = F.filter("seats", lambda x: (x["lo"] <= F.col("m")) & (F.col("m") < x["hi"]))
-    member = member.withColumn("shard", F.get(seat, F.lit(0))["shard"]).select("doc_id", "size", "text_crc32", "grp", "shard")
-    single = rows.join(linked_groups.select("grp"), "grp", "left_anti").select("doc_id", "size", "text_crc32", "grp", F.lit(None).cast("int").alias("shard"))
+    member = member.withColumn("shard", F.get(seat, F.lit(0))["shard"]).select("doc_id", "size", "text_crc32", "grp", "members", "shard")
+    single = meet(rows, linked_groups, "grp", "members", "left_anti").select("doc_id", "size", "text_crc32", "grp", F.lit(None).cast("long").alias("members"), F.lit(None).cast("int").alias("shard"))
     placed = stored(member.unionByName(single))
 
     # the rest in one order: linked ones by group, then the others; each takes the place of its rank
-    rest = placed.where("shard is null").join(linked_groups, "grp", "left").withColumn("kind", F.when(F.col("members").isNotNull(), 0).otherwise(1))
+    rest = placed.where("shard is null").withColumn("kind", F.when(F.col("members").isNotNull(), 0).otherwise(1))
     rest = rest.withColumn("cell", (F.col("kind") * 256 + F.pmod(F.xxhash64("grp"), F.lit(256))) * 16 + F.pmod(F.xxhash64("doc_id"), F.lit(16)))
     rest = gapless_rank(rest.withColumn("one", F.lit(0)), ["one"], [F.col("grp"), F.col("doc_id"), F.col("size")], F.col("cell"), "r").drop("one")
     span = free.agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "shard"))).alias("spans"))  # one row, one entry a shard
