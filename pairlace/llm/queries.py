@@ -87,20 +87,38 @@ def op10_near_dedup(s, d):
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
-OP1_SQL = r"""
+UPPER_TO_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def node_sql(url: str) -> str:
+    """The url's node: forms that commonly redirect to each other have one."""
+    u = f"regexp_replace(trim({url}), '(?s)#.*$', '')"
+    host = f"regexp_replace(regexp_replace(translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), {UPPER_TO_LOWER}), ':(80|443)$', ''), '^www\\.', '')"
+    scheme = f"lower(regexp_extract({u}, '(?s)^(.*?)://', 1))"
+    query = f"array_to_string(list_filter(string_split(regexp_extract({u}, '(?s)^.*?://[^?]*\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{url_filter.TRACKING}')), '&')"
+    path = f"regexp_replace(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/+$', '')"
+    return f"CASE WHEN strpos({url}, '://') > 0 AND {host} <> '' THEN CASE WHEN {scheme} IN ('http', 'https') THEN '' ELSE {scheme} || '://' END || {host} || {path} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END END"
+
+
+FOLDED = """list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(CASE WHEN dir = '' THEN '/' ELSE dir END || regexp_extract(link, '(?s)^[^?#]*'), '/'), lambda x: [x])),
+  lambda a, x: CASE WHEN x[1] = '.' THEN a WHEN x[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] ELSE list_concat(a, x) END)"""
+OP1_SQL = rf"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
-link AS (SELECT url src, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1) dst FROM pages
-  UNION ALL SELECT url, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1) FROM pages),
-edge AS (SELECT src, CASE WHEN strpos(dst, '://') > 0 THEN dst WHEN dst LIKE '/%' THEN regexp_extract(src, '(?s)^(.*?://[^/?#]*)', 1) || dst END dst FROM link WHERE dst <> '' AND strpos(src, '://') > 0),
-two AS (SELECT src, dst FROM edge WHERE dst IS NOT NULL UNION SELECT dst, src FROM edge WHERE dst IS NOT NULL),
-u AS (SELECT url FROM pages UNION SELECT dst FROM two),
-ruled AS (SELECT url, host, path, (SELECT max((length(h || p), CASE v WHEN 'allow' THEN 1 ELSE 0 END, h || p, v)) FROM rules WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, p)) m
-  FROM (SELECT url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') path FROM u)),
-reach(v, t) AS (SELECT src, src FROM two UNION SELECT r.v, two.dst FROM reach r JOIN two ON two.src = r.t),
-inh AS (SELECT r.v, max(CASE WHEN m[4] = 'allow' THEN 1 ELSE 0 END) a, max(CASE WHEN m[4] = 'block' THEN 1 ELSE 0 END) b FROM reach r JOIN ruled ON ruled.url = r.t GROUP BY r.v)
+tag AS (SELECT url, 'href' k, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) t FROM pages WHERE strpos(url, '://') > 0 UNION ALL SELECT url, 'url', unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')) FROM pages WHERE strpos(url, '://') > 0),
+link AS (SELECT url src, regexp_replace(CASE k WHEN 'href' THEN regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1) ELSE regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1) END, '(?i)&(?:amp|#38|#x26);', '&', 'g') link FROM tag
+  WHERE CASE k WHEN 'href' THEN regexp_matches(t, '(?is)\brel\s*=\s*(?:["''][^"''>]*\bcanonical\b|canonical\b)') ELSE regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') END),
+base AS (SELECT src, link, regexp_extract(src, '(?s)^(.*?://[^/?#]*)', 1) origin, regexp_extract(src, '(?s)^(.*?://[^?#]*)', 1) bare, regexp_extract(regexp_extract(src, '(?s)^(.*?://[^?#]*)', 1), '(?s)^.*?://[^/]*(/(?:.*/)?)', 1) dir FROM link WHERE link <> ''),
+edge AS (SELECT src, CASE WHEN strpos(link, '://') > 0 THEN link WHEN starts_with(link, '//') THEN regexp_extract(src, '(?s)^(.*?:)//', 1) || link WHEN starts_with(link, '/') THEN origin || link WHEN starts_with(link, '?') THEN bare || link
+  WHEN starts_with(link, '#') OR regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE origin || array_to_string({FOLDED}, '/') || regexp_replace(link, '(?s)^[^?#]*', '') END dst FROM base),
+two AS (SELECT {node_sql("src")} s, {node_sql("dst")} t FROM edge WHERE dst IS NOT NULL UNION SELECT {node_sql("dst")}, {node_sql("src")} FROM edge WHERE dst IS NOT NULL),
+u AS (SELECT url FROM pages UNION SELECT src FROM edge WHERE dst IS NOT NULL UNION SELECT dst FROM edge WHERE dst IS NOT NULL),
+ruled AS (SELECT url, {node_sql("url")} node, host, path, (SELECT max((length(h || p), CASE v WHEN 'allow' THEN 1 ELSE 0 END, h || p, v)) FROM rules WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, p)) m
+  FROM (SELECT url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), {UPPER_TO_LOWER}) host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') path FROM u)),
+reach(v, t) AS (SELECT node, node FROM ruled WHERE node IS NOT NULL UNION SELECT r.v, two.t FROM reach r JOIN two ON two.s = r.t WHERE two.t IS NOT NULL),
+inh AS (SELECT r.v, max(CASE WHEN m[4] = 'allow' THEN 1 ELSE 0 END) a, max(CASE WHEN m[4] = 'block' THEN 1 ELSE 0 END) b FROM reach r JOIN ruled ON ruled.node = r.t GROUP BY r.v)
 SELECT page_id, host, path, m[3] AS rule, CASE WHEN m IS NOT NULL THEN m[4] WHEN a = 1 THEN 'allow' WHEN b = 1 THEN 'block' ELSE 'allow' END AS verdict,
   CASE WHEN m IS NOT NULL THEN 'rule' WHEN a = 1 OR b = 1 THEN 'alias' ELSE 'default' END AS by
-FROM pages JOIN ruled ON ruled.url IS NOT DISTINCT FROM pages.url LEFT JOIN inh ON inh.v = pages.url"""
+FROM pages JOIN ruled ON ruled.url IS NOT DISTINCT FROM pages.url LEFT JOIN inh ON inh.v = ruled.node"""
 
 
 @query("op1_url_filter", OP1_SQL)
