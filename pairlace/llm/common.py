@@ -90,9 +90,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``first row, row after the last, bytes, offsets``: whole texts, about ``limit`` bytes at a time; null is
-    empty. A text longer than the limit comes alone."""
+def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20, rows: int = 4000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``first row, row after the last, bytes, offsets``: whole texts, about ``limit`` bytes and at most ``rows`` texts at a
+    time; null is empty. A text longer than the limit comes alone."""
     a = pc.fill_null(pc.cast(batch.column(column), pa.large_string()), "")
     n = len(a)
     offs = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + n + 1] if n else np.zeros(1, np.int64)
@@ -101,7 +101,7 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 2
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + rows)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 

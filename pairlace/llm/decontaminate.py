@@ -7,8 +7,9 @@ rarest term first; what survives both is compared word by word with the document
 need no postings, so the index follows the benchmark's vocabulary, and no window can be missed: a window that
 occurs has each of its terms at its place.
 
-Null and blank texts have no words. Repeated rows and ids each keep their own hits (a row is known by its id and
-text). Items without an id are searched too: they count in ``n_items``, all as one, and give no name to ``items``. Empty tables give empty results; extra columns are ignored.
+Null and blank texts have no words. Repeated rows and ids each keep their own hits (a row is known by its id and a hash of
+id and text). A very long text is split where it is read, and its postings are rows like any others. Equally rare terms go by
+name. Items without an id are searched too: they count in ``n_items``, all as one, and give no name to ``items``. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -128,15 +129,17 @@ def proximity_matches(index: DataFrame, probe: DataFrame, slop: int = 20) -> Dat
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items, contaminated``, a row for each row of ``docs``."""
     hits = search(docs, benchmark, window)[3]
-    words = hits.select("key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("p")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
-    items = hits.groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("nameless"))
+    words = hits.select("key", "doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("p")).distinct().groupBy("key", "doc_id").agg(F.count("*").alias("n_hit"))
+    items = hits.groupBy(F.col("key").alias("_k"), F.col("doc_id").alias("_i")).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("nameless"))
     rows = _keyed(docs).select("key", "doc_id", F.size(index_words(F.col("text"))).cast("long").alias("n_words"))
-    out = rows.join(words.join(items, "key"), "key", "left")
+    found = words.join(items, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_i"))).select("_k", "_i", "n_hit", "items", "nameless")
+    out = rows.join(found, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left")
     out = out.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), (F.size("items") + F.coalesce("nameless", F.lit(0))).cast("long").alias("n_items"), "items", (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window of the benchmark occurs; columns as given."""
-    hits = search(docs, benchmark, window)[3].select("key").distinct()
-    return docs.join(hits, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == hits["key"], "left_anti")
+    hits = search(docs, benchmark, window)[3].select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")).distinct()
+    doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    return docs.join(hits, (F.xxhash64(doc_id, text) == hits["_key"]) & doc_id.eqNullSafe(hits["_id"]), "left_anti")

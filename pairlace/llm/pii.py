@@ -5,7 +5,8 @@ the spans that no pattern span touches. It is trained on a small labelled table,
 and decoded by Viterbi in numpy batches. A word without digit and ``@`` whose neighbours have none either is outside
 any span by definition; such words cut a text into short chains, which are decoded together by length.
 
-Null text is empty. Whole texts are searched, of any length, each in one pass. Repeated rows get a row each. Offsets
+Null text is empty. Whole texts are searched, of any length, each in one pass. Repeated rows get a row each; an empty table
+gives no rows. Labels that score alike go by their order, spans that start alike by kind. Offsets
 are code points, ends exclusive. Extra columns are ignored.
 """
 

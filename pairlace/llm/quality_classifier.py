@@ -7,7 +7,8 @@ logistic rule, fitted on labelled rows held back, calibrates and combines the vi
 
 Bounds: ``labelled`` and ``pool`` rows are fitted on, taken by least hash of the id; all documents are scored. Labels of
 an id that disagree are left out; of rows with the same id one is fitted on. If there are no labels, or of one kind only, each document scores 1. Null text
-is an empty text. Repeated rows get a row each. Extra columns are ignored.
+is an empty text. A very long text is one chunk, counted whole. Scores at the threshold stay. Repeated rows get a row each;
+an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ medians, and each step refits on the rows nearest by Mahalanobis distance. Rows
 Steps are aggregates by group: sums of products, and quantiles over values rounded to hundredths, so that what a
 group gathers is bounded however many rows it has. A pair of language and source with few rows shares the group of its
 language, and a language with few rows the common one; a group that is still small rejects nothing. Null text has
-no words and fails the base rules. Null language and source are values of their own. Repeated rows get a row each.
-Extra columns are ignored.
+no words and fails the base rules. Null language and source are values of their own. A very long text is measured in one chunk of its own. Rows at
+the same distance are taken or left together. Repeated rows get a row each; an empty table gives no rows. Extra columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -140,7 +140,7 @@ def fold(column: str = "doc_id"):
 def op9_language_id(s, d):
     docs = read(s, d, "documents")
     model = language_id.train(docs.where(fold() != 0))
-    return language_id.identify(docs.withColumn("held_out", fold() == 0), model, ("held_out",))
+    return language_id.identify(docs.withColumn("held_out", F.coalesce(fold() == 0, F.lit(False))), model, ("held_out",))
 
 
 @query("op4_maxent_lm")
