@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages: quality, near duplicates, benchmark passages, mixture, shards."""
+"""A corpus pipeline of five stages: quality, near duplicates, benchmark passages, mixture, shards.
+
+Each stage sees all that the one before kept. Null and empty texts, rows without an id, repeated rows, very long texts and ties
+are dealt with as the stage's operator says: a null text is scored as an empty one, has no near copies and no passages, is
+taken no words from and gets a shard. Empty tables pass through as empty tables. Extra columns stay up to the mixture; the
+shards have columns of their own.
+"""
 
 from __future__ import annotations
 
