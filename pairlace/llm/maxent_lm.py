@@ -1,15 +1,15 @@
 """A hashed maximum-entropy language model with class-factored softmax.
 
 ``P(word | history) = P(class | history) * P(word | class, history)``. The class is predicted by a softmax over hashed
-features of the history: the word before, the two classes before, and the word before that (a skip). Within the class a
+features of the history: the word before, and the word before that (a skip). Within the class a
 tree of two-way softmaxes leads to the word: the bits of the word's hash name its path, and each branching has weights of
 its own for the word before and for the skip, one number each, kept in a table of hashed slots. Classes are balanced:
 words go to them by their last two bytes and length, the most frequent such groups first, each to the class least used.
 
 A branch's bias is the log odds of the counts under it (half a count for each word), so without weights the path gives
-the word's share of its class. There are as many levels as the training vocabulary fills, ``DEPTH`` at most; words that
-share the whole path (a few of some millions, at the full depth) are told apart by their counts. Half a count of each class is
-for the unknown word. All factors sum to one, so scores are log probabilities.
+the word's share of its class. There are ``DEPTH`` levels, 256 paths in each of 32 classes; words that share the whole path
+are told apart by their counts. Half a count of each class is for the unknown word. All factors sum to one, so scores are log
+probabilities.
 
 Training runs in rounds: each takes one slice of the training documents, tasks sum the gradient over their tokens at the
 current weights, blocks of the gradient are added up by Spark in two steps, so no worker gets a record of every task, and the
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from pairlace.llm.common import LOWERED, mix, only, stored, text_chunks, word_hashes, words_of
 
 CLASSES, ROUNDS, HEAVY, TAILS = 32, 3, 100_000, 1 << 19
-SHALLOW, DEPTH, LEAST_ROWS, MOST_ROWS, LEAST_SLOTS, MOST_SLOTS = 7, 16, 1 << 13, 1 << 15, 1 << 16, 1 << 22
-PRIOR, DAMP, CLASS_PRIOR, CLASS_DAMP = 1.0, 1.0, 20.0, 0.8
+DEPTH, LEAST_ROWS, MOST_ROWS, LEAST_SLOTS, MOST_SLOTS = 8, 1 << 13, 1 << 14, 1 << 16, 1 << 22
+PRIOR, DAMP, CLASS_PRIOR, CLASS_DAMP = 0.7, 1.0, 20.0, 1.0
 BLOCK, FAN_IN, SCALE = 1 << 14, 64, 4096  # gradients travel as half floats of a 4096th, up to 2**28
 END = np.uint64(0x5EED)
 _ODD, _EVEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -81,33 +81,26 @@ def balanced_classes(by_tail: np.ndarray) -> np.ndarray:
     return out
 
 
-def histories(h: np.ndarray, cls: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Three hashes for each token, from what stands before it in its text: the word before, the skipped-to word, both
-    classes."""
+def histories(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two hashes for each token, from what stands before it in its text: the word before, and the one before that."""
     n = len(h)
     one, two = np.full(n, END), np.full(n, END)
-    c1, c2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     one[1:], two[2:] = h[:-1], h[:-2]
-    c1[1:], c2[2:] = cls[:-1], cls[:-2]
     start = first[:-1]
-    one[start], c1[start] = END, 0
+    one[start] = END
     for at in (start, start + 1):
-        at = at[at < n]
-        two[at], c2[at] = END, 0
-    return np.stack([mix(one), mix(two ^ np.uint64(0xABCDEF)), mix(c1 * np.uint64(CLASSES) + c2 + np.uint64(1 << 40))], 1)
+        two[at[at < n]] = END
+    return np.stack([mix(one), mix(two ^ np.uint64(0xABCDEF))], 1)
 
 
 def features(hist: np.ndarray, rows: int) -> np.ndarray:
     return (hist % np.uint64(rows)).astype(np.int64)
 
 
-def sizes(kinds: float) -> tuple[int, int, int]:
-    """Rows of class weights, slots of branch weights and levels within a class, for so many kinds of words."""
+def sizes(kinds: float) -> tuple[int, int]:
+    """Rows of class weights and slots of branch weights for so many kinds of words."""
     grown = lambda n, least, most: int(min(most, max(least, 2 ** np.ceil(np.log2(max(n, 1))))))
-    depth = SHALLOW
-    while depth < DEPTH and CLASSES << depth < 2 * kinds:
-        depth += 1
-    return grown(kinds, LEAST_ROWS, MOST_ROWS), grown(32 * kinds, LEAST_SLOTS, MOST_SLOTS), depth
+    return grown(kinds, LEAST_ROWS, MOST_ROWS), grown(32 * kinds, LEAST_SLOTS, MOST_SLOTS)
 
 
 def leaves(h: np.ndarray, cls: np.ndarray, depth: int) -> np.ndarray:
@@ -125,12 +118,14 @@ def branch_biases(mass: np.ndarray, depth: int) -> list[np.ndarray]:
 
 
 def branches(hist: np.ndarray, leaf: np.ndarray, slots: np.ndarray, biases: list[np.ndarray]):
-    """``slots fired, bit taken, log odds of the second branch`` at each level of the tokens' paths."""
-    shift = np.uint64(65 - len(slots).bit_length())
+    """``slots fired, bit taken, log odds of the second branch`` at each level of the tokens' paths. A level has a region of
+    the slots to itself, small enough to stay in a core's cache while a chunk of tokens passes it."""
+    per = len(slots) // (1 << (len(biases) - 1).bit_length())
+    shift = np.uint64(65 - per.bit_length())
     for k, bias in enumerate(biases):
         node = leaf >> (len(biases) - k)
         key = (node.astype(np.uint64) + (np.uint64(k + 1) << np.uint64(40))) * _EVEN
-        fired = [(((hist[:, j] ^ key) * _ODD) >> shift).astype(np.int64) for j in (0, 1)]
+        fired = [(((hist[:, j] ^ key) * _ODD) >> shift).astype(np.int64) + k * per for j in (0, 1)]
         z = bias[node]
         for at in fired:
             z += slots[at]
@@ -144,24 +139,26 @@ def path_log_probs(hist: np.ndarray, leaf: np.ndarray, slots: np.ndarray, biases
     return np.log(np.maximum(p, 1e-300))
 
 
-def class_log_probs(f: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z = rows[f[:, 0]] + rows[f[:, 1]]
-    z += rows[f[:, 2]]
+def class_odds(f: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The odds of each class, and their sum. Weights are bounded by their steps, so that no odds overflow."""
+    z = rows[f[:, 0]]
+    z += rows[f[:, 1]]
     z += bias
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    np.exp(z, out=z)
+    return z, z.sum(1)
 
 
 def gradient(h, tail, first, model: Model, biases: list[np.ndarray], total: np.ndarray, inner: np.ndarray, fired_n: np.ndarray) -> np.ndarray:
     """Adds observed less expected classes (``total``, with how often each feature fired) and branches (``inner``, and
     ``fired_n``); gives the classes' sums over all tokens."""
     cls = model.classes[tail]
-    hist = histories(h, cls, first)
+    hist = histories(h, first)
     f = features(hist, len(total))
-    d = -np.exp(class_log_probs(f, model.rows, model.bias))
+    d, whole = class_odds(f, model.rows, model.bias)
+    d *= (-1 / whole)[:, None]
     d[np.arange(len(cls)), cls] += 1
     lane, flat = np.arange(CLASSES), total.reshape(-1)
-    for k in range(3):
+    for k in (0, 1):
         np.add.at(flat, (f[:, k, None] * (CLASSES + 1) + lane).reshape(-1), d.reshape(-1))
         total[:, CLASSES] += np.bincount(f[:, k], minlength=len(total))
     one = np.float32(1)
@@ -312,9 +309,9 @@ def fit(counts: DataFrame, learn: DataFrame) -> Model:
     by_tail[at], kinds[at] = tails.column("c").to_numpy(), tails.column("n").to_numpy()
     classes = balanced_classes(by_tail[:TAILS])
     cls_n, cls_v = (np.bincount(classes, weights=v, minlength=CLASSES) for v in (by_tail, kinds))
-    n_rows, n_slots, depth = sizes(float(cls_v.sum()))
+    n_rows, n_slots = sizes(float(cls_v.sum()))
     bias = np.log((cls_n + 1) / (cls_n.sum() + CLASSES)).astype(np.float32)
-    start = Model(classes, np.zeros((n_rows, CLASSES), np.float32), bias, np.zeros(n_slots, np.float32), leaf_mass(counts, classes, depth), depth, cls_n, cls_v)
+    start = Model(classes, np.zeros((n_rows, CLASSES), np.float32), bias, np.zeros(n_slots, np.float32), leaf_mass(counts, classes, DEPTH), DEPTH, cls_n, cls_v)
     return train(learn, start)
 
 
@@ -334,8 +331,9 @@ def _score_batches(now):
             for lo, hi, data, offs in text_chunks(batch, limit=_CHUNK):
                 h, tail, first = tokens(data, offs)
                 cls = m.classes[tail]
-                hist, leaf = histories(h, cls, first), leaves(h, cls, m.depth)
-                lp = class_log_probs(features(hist, len(m.rows)), m.rows, m.bias)[np.arange(len(h)), cls] / np.log(10)
+                hist, leaf = histories(h, first), leaves(h, cls, m.depth)
+                odds, sums = class_odds(features(hist, len(m.rows)), m.rows, m.bias)
+                lp = np.log10(odds[np.arange(len(h)), cls] / sums.astype(float))
                 path = path_log_probs(hist, leaf, m.slots, biases) / np.log(10) + known[cls] - log_mass[leaf]  # of a known word, but for its count
                 at = np.minimum(np.searchsorted(heavy, h), max(0, len(heavy) - 1))
                 hit = heavy[at] == h if len(heavy) else np.zeros(len(h), bool)

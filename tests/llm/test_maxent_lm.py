@@ -64,8 +64,10 @@ def test_heavy_counts_are_bounded(spark):
 def test_classes_sum_to_one():
     rng = np.random.default_rng(3)
     w, b = rng.normal(0, 1, (lm.LEAST_ROWS, lm.CLASSES)).astype(np.float32), rng.normal(0, 1, lm.CLASSES).astype(np.float32)
-    p = np.exp(lm.class_log_probs(rng.integers(0, lm.LEAST_ROWS, (50, 3)), w, b)).sum(1)
-    assert np.allclose(p, 1, atol=1e-5)
+    f = rng.integers(0, lm.LEAST_ROWS, (50, 2))
+    odds, sums = lm.class_odds(f, w, b)
+    plain = np.exp(w[f].astype(float).sum(1) + b)
+    assert np.allclose(odds / sums[:, None], plain / plain.sum(1, keepdims=True), atol=1e-5)
 
 
 def test_awkward_and_empty(spark):
@@ -96,12 +98,12 @@ def test_paths_sum_to_one_and_without_weights_give_counts():
     mass = np.where(rng.random(lm.CLASSES << depth) < 0.3, 0, rng.integers(1, 50, lm.CLASSES << depth) + 0.5)
     biases = lm.branch_biases(mass, depth)
     leaf = np.arange(7 << depth, 8 << depth)
-    hist = np.repeat(rng.integers(0, 2**63, (1, 3), dtype=np.uint64), len(leaf), 0)
+    hist = np.repeat(rng.integers(0, 2**63, (1, 2), dtype=np.uint64), len(leaf), 0)
     v = rng.normal(0, 1, lm.LEAST_SLOTS).astype(np.float32)
     assert math.isclose(np.exp(lm.path_log_probs(hist, leaf, v, biases)).sum(), 1, rel_tol=1e-5)
     p = np.exp(lm.path_log_probs(hist, leaf, v * 0, biases))
     assert np.allclose(p, mass[leaf] / mass[leaf].sum(), atol=1e-6)
-    assert lm.sizes(100) == (lm.LEAST_ROWS, lm.LEAST_SLOTS, lm.SHALLOW) and lm.sizes(10**7) == (lm.MOST_ROWS, lm.MOST_SLOTS, lm.DEPTH)
+    assert lm.sizes(100) == (lm.LEAST_ROWS, lm.LEAST_SLOTS) and lm.sizes(10**7) == (lm.MOST_ROWS, lm.MOST_SLOTS)
 
 
 def test_classes_are_balanced():
@@ -129,8 +131,9 @@ def small_model(rng, texts):
 def log_likelihood(m, t):
     h, tail, first = t
     cls = m.classes[tail]
-    hist = lm.histories(h, cls, first)
-    lp = lm.class_log_probs(lm.features(hist, len(m.rows)), m.rows, m.bias)[np.arange(len(h)), cls]
+    hist = lm.histories(h, first)
+    odds, sums = lm.class_odds(lm.features(hist, len(m.rows)), m.rows, m.bias)
+    lp = np.log(odds[np.arange(len(h)), cls] / sums)
     return float((lp + lm.path_log_probs(hist, lm.leaves(h, cls, m.depth), m.slots, lm.branch_biases(m.mass, m.depth))).sum())
 
 
@@ -150,7 +153,7 @@ def test_gradient_against_finite_differences():
         up[at] += eps
         down[at] -= eps
         assert math.isclose(inner[at], (log_likelihood(m._replace(slots=up), t) - log_likelihood(m._replace(slots=down), t)) / 2 / eps, abs_tol=5e-3)
-    assert total[:, lm.CLASSES].sum() == 3 * len(t[0]) and n.sum() == 2 * m.depth * len(t[0]) and abs(over.sum()) < 1e-3
+    assert total[:, lm.CLASSES].sum() == 2 * len(t[0]) and n.sum() == 2 * m.depth * len(t[0]) and abs(over.sum()) < 1e-3
 
 
 def test_score_against_a_plain_sum(spark):
@@ -167,7 +170,7 @@ def test_score_against_a_plain_sum(spark):
         data = np.frombuffer(text.encode(), np.uint8)
         h, tail, first = lm.tokens(data, np.array([0, len(data)]))
         cls = m.classes[tail]
-        hist, total = lm.histories(h, cls, first), 0.0
+        hist, total = lm.histories(h, first), 0.0
         for k, word in enumerate(tokens(text)):
             z = m.bias + sum(m.rows[int(x) % len(m.rows)] for x in hist[k])
             p = math.exp(z[cls[k]]) / sum(math.exp(v) for v in z)
@@ -179,7 +182,8 @@ def test_score_against_a_plain_sum(spark):
             for level in range(m.depth):
                 node = leaf >> (m.depth - level)
                 key = (node + ((level + 1) << 40)) * int(lm._EVEN) % 2**64
-                logit = biases[level][node] + sum(m.slots[((int(hist[k, j]) ^ key) * int(lm._ODD) % 2**64) >> (65 - len(m.slots).bit_length())] for j in (0, 1))
+                per = len(m.slots) // 8
+                logit = biases[level][node] + sum(m.slots[level * per + (((int(hist[k, j]) ^ key) * int(lm._ODD) % 2**64) >> (65 - per.bit_length()))] for j in (0, 1))
                 p /= 1 + math.exp(-logit if leaf >> (m.depth - level - 1) & 1 else logit)
             total += math.log10(p * (1 - 0.5 / full) * (seen[word] + 0.5) / m.mass[leaf])
         assert math.isclose(total, got[i], rel_tol=1e-4)
