@@ -148,9 +148,9 @@ def class_odds(f: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.nd
     return z, z.sum(1)
 
 
-def gradient(h, tail, first, model: Model, biases: list[np.ndarray], total: np.ndarray, inner: np.ndarray, fired_n: np.ndarray) -> np.ndarray:
-    """Adds observed less expected classes (``total``, with how often each feature fired) and branches (``inner``, and
-    ``fired_n``); gives the classes' sums over all tokens."""
+def gradient(h, tail, first, model: Model, biases: list[np.ndarray], total: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Adds observed less expected classes (``total``, with how often each feature fired) and branches (``inner``, complex:
+    the gradient, and how often the slot fired); gives the classes' sums over all tokens."""
     cls = model.classes[tail]
     hist = histories(h, first)
     f = features(hist, len(total))
@@ -163,10 +163,10 @@ def gradient(h, tail, first, model: Model, biases: list[np.ndarray], total: np.n
         total[:, CLASSES] += np.bincount(f[:, k], minlength=len(total))
     one = np.float32(1)
     for fired, bit, z in branches(hist, leaves(h, cls, model.depth), model.slots, biases):
-        e = bit.astype(np.float32) - one / (one + np.exp(-z.clip(-30, 30)))
+        e = (bit.astype(np.float32) - one / (one + np.exp(-z))).astype(np.complex64)
+        e.imag = one
         for at in fired:
-            np.add.at(inner, at, e)
-            np.add.at(fired_n, at, one)
+            np.add.at(inner, at, e)  # one visit to the slot for both
     return d.sum(0)
 
 
@@ -262,14 +262,14 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             from pyspark import TaskContext
 
             total, over = np.zeros((n_rows, CLASSES + 1), np.float32), np.zeros(CLASSES + 1)
-            inner, fired_n = np.zeros(n_slots, np.float32), np.zeros(n_slots, np.float32)
+            inner = np.zeros(n_slots, np.complex64)
             for batch in batches:
                 for _, _, data, offs in text_chunks(batch, limit=_CHUNK):
                     t = tokens(data, offs)
-                    over[:CLASSES] += gradient(*t, now.value, fixed.value, total, inner, fired_n)
+                    over[:CLASSES] += gradient(*t, now.value, fixed.value, total, inner)
                     over[CLASSES] += len(t[0])
             if over[CLASSES]:
-                flat = (np.concatenate([total.reshape(-1), inner, fired_n, over.astype(np.float32)]) / np.float32(SCALE)).astype(np.float16)
+                flat = (np.concatenate([total.reshape(-1), inner.real, inner.imag, over.astype(np.float32)]) / np.float32(SCALE)).astype(np.float16)
                 for k in range(0, len(flat), 64 * BLOCK):
                     part = [flat[j : j + BLOCK].tobytes() for j in range(k, min(len(flat), k + 64 * BLOCK), BLOCK)]
                     at = np.arange(len(part)) + k // BLOCK
