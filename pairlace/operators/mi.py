@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlace.config import GAP, N_STATES
@@ -87,14 +87,21 @@ def mi_from_crosstable(table: DataFrame, presence: DataFrame, alpha: float = 0.5
 
 def _mi_of_cells(rows: DataFrame, n_states: int) -> DataFrame:
     """``i, j, mi`` from ``i, j, x``: the table's cells in one array, the pseudocounts in it; other columns stay."""
-    rest = [c for c in rows.columns if c != "x"]
-    rows = rows.withColumn("z", F.aggregate("x", F.lit(0.0), lambda s, v: s + v))
-    rows = rows.select(*rest, F.transform("x", lambda v: F.when(F.col("z") > 0, v / F.col("z")).otherwise(F.lit(0.0))).alias("x"))
-    total = lambda xs: F.aggregate(F.transform(xs, xlogx), F.lit(0.0), lambda s, v: s + v)
+    def bound(value: Column, f) -> Column:
+        """``f(value)`` with the value computed once, also where a filter on the result is pushed below the projection."""
+        return F.transform(F.array(value), f)[0]
+
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, v: s + v)
-    row = F.array(*[add(F.slice("x", a * n_states + 1, n_states)) for a in range(n_states)])
-    col = F.array(*[add(F.array(*[F.col("x")[a * n_states + b] for a in range(n_states)])) for b in range(n_states)])
-    return rows.select(*rest, (total(F.col("x")) - total(row) - total(col)).alias("mi"))
+    total = lambda xs: add(F.transform(xs, xlogx))
+
+    def entropies(p: Column) -> Column:
+        row = F.array(*[add(F.slice(p, a * n_states + 1, n_states)) for a in range(n_states)])
+        col = F.array(*[add(F.array(*[p[a * n_states + b] for a in range(n_states)])) for b in range(n_states)])
+        return total(p) - total(row) - total(col)
+
+    share = lambda x, z: F.transform(x, lambda v: F.when(z > 0, v / z).otherwise(F.lit(0.0)))
+    mi = bound(F.col("x"), lambda x: bound(add(x), lambda z: bound(share(x, z), entropies)))
+    return rows.withColumn("mi", mi).drop("x")
 
 
 def mi_pairs(cells: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, pairs: DataFrame | None = None, plan: str = "sql") -> DataFrame:
