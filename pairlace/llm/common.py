@@ -146,7 +146,10 @@ def meet(rows: DataFrame, table: DataFrame, key: str, n: str, how: str = "inner"
     """``rows`` joined (``inner``) with the stored ``table``, or those it lacks (``left_anti``). The table has a row a key, with
     the number ``n`` of rows that the key has. Keys with more rows than a 100,000th of all (and than 1,000) are not shuffled
     but broadcast: there are 100,000 at most, as their rows add up to no more than all rows."""
-    cut = max(LEAST_HEAVY, (table.agg(F.sum(n)).first()[0] or 0) // MOST_HEAVY)
+    total, most = table.agg(F.sum(n), F.max(n)).first()
+    cut = max(LEAST_HEAVY, (total or 0) // MOST_HEAVY)
+    if (most or 0) <= cut:  # no such key: a plain join does, and a smaller plan
+        return rows.join(table, key) if how == "inner" else rows.join(table.select(key), key, "left_anti")
     heavy, light = F.broadcast(table.where(F.col(n) > cut)), table.where(F.col(n) <= cut)  # heavy: at most MOST_HEAVY rows
     rest = rows.join(heavy.select(key), key, "left_anti")
     if how == "left_anti":
