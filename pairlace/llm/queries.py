@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlace.llm import decontaminate, language_id, maxent_lm, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, url_filter
+from pairlace.llm import decontaminate, filter_audit, language_id, maxent_lm, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -152,3 +152,25 @@ def op4_maxent_lm(s, d):
 def op8_pii(s, d):
     found = pii.find(read(s, d, "documents"), pii.train(pii.labelled_table(s)))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') t FROM documents),
+w AS (SELECT doc_id, part, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') w, min(doc_id) OVER (PARTITION BY t) m FROM d),
+f AS (SELECT doc_id, part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > m, false)::INT mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) g, max((toxic = 1)::INT) x FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) n, sum(coalesce(g, 0)) g, sum(coalesce(x, 0)) x FROM f LEFT JOIN l ON l.doc_id = f.doc_id GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) f, unnest([1, 2, 4, 8, 16]) b),
+orders AS (SELECT o.f || p.f || q.f || r.f || s.f o, [o.b, p.b, q.b, r.b, s.b] bs FROM letters o JOIN letters p ON p.f <> o.f JOIN letters q ON q.f NOT IN (o.f, p.f) JOIN letters r ON r.f NOT IN (o.f, p.f, q.f) JOIN letters s ON s.f NOT IN (o.f, p.f, q.f, r.f)),
+steps AS (SELECT o, s step, bs[s] b, coalesce(list_sum(bs[1:s - 1]), 0) pre FROM orders, range(1, 6) t(s)),
+r AS (SELECT part, o, step, b, sum(CASE WHEN mask & (pre + b)::BIGINT = 0 THEN n ELSE 0 END) kept, sum(CASE WHEN mask & pre::BIGINT = 0 AND mask & b > 0 THEN n ELSE 0 END) removed,
+  sum(CASE WHEN mask & pre::BIGINT > 0 AND mask & b > 0 THEN n ELSE 0 END) redundant, sum(CASE WHEN mask = b THEN n ELSE 0 END) unique_fails,
+  sum(CASE WHEN mask & pre::BIGINT = 0 AND mask & b > 0 THEN g ELSE 0 END) good_lost, sum(CASE WHEN mask & pre::BIGINT = 0 AND mask & b > 0 THEN x ELSE 0 END) toxic_lost FROM c, steps GROUP BY ALL)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley FROM r"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12_filter_audit(s, d):
+    return filter_audit.audit(read(s, d, "documents"), read(s, d, "labels"))
