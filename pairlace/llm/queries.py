@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlace.llm import decontaminate, filter_audit, language_id, maxent_lm, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, url_filter
+from pairlace.llm import decontaminate, filter_audit, language_id, maxent_lm, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -174,3 +174,23 @@ SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGI
 @query("op12_filter_audit", OP12_SQL)
 def op12_filter_audit(s, d):
     return filter_audit.audit(read(s, d, "documents"), read(s, d, "labels"))
+
+
+# Each string of 50 bytes as 100 hexadecimal digits, met by equality; runs of places that are not removed by islands.
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+s AS (SELECT k, doc_id, p, substr(h, 2 * p + 1, 100) s FROM (SELECT k, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) p FROM d)),
+m AS (SELECT s, min(doc_id) m FROM s GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT k, p, p - lag(p) OVER (PARTITION BY k ORDER BY p) gap FROM s JOIN m ON m.s = s.s WHERE s.doc_id > m.m),
+run AS (SELECT k, p, sum(CASE WHEN gap IS NULL OR gap > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY p) r FROM hit),
+span AS (SELECT k, min(p) a, max(p) + 50 b FROM run GROUP BY k, r),
+edge AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) c FROM span),
+cut AS (SELECT e.k, sum(b - a) n, count(*) s, string_agg(substr(d.h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) kept, max(b) z FROM edge e JOIN d ON d.k = e.k GROUP BY e.k)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE kept || substr(h, 2 * z + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.k = d.k"""
+
+
+@query("op13_suffix_dedup", OP13_SQL)
+def op13_suffix_dedup(s, d):
+    return suffix_dedup.dedup(read(s, d, "documents"))
