@@ -7,8 +7,8 @@ Copies are found on a fingerprint-routed RDD. A partition of the input first set
 keeps the least id and tells the other ids at once, so a text that fills a third of the table leaves each partition once. What is
 kept goes to the partition of its xxhash64, into a chain of the texts with that fingerprint, each with its full text and its
 least id so far; every other id is emitted. ``combineByKey`` then merges vectors of counts by mask of failed filters, 96 numbers a
-part, from which all orders follow. A partition holds the distinct texts dealt to it (a quarter of an input split on
-average); labels join rows of a few numbers, never texts.
+part, from which all orders follow. A partition holds the distinct texts dealt to it, whose
+number follows the bytes of all texts; labels join rows of a few numbers, never texts.
 
 A null text is an empty one. A null id is no smaller than another and has none smaller, so it fails no E; rows with equal ids and
 texts fail it together or not at all. A document is good or toxic if any of its labels says so; labels without an id
@@ -32,6 +32,7 @@ from pairlace.llm.common import only
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 FLUSH_BYTES = 64 << 20  # of distinct texts that an input partition holds before it passes them on
+ROUTED_BYTES = 16 << 20  # of texts dealt to a partition, were they all different
 _NO_CAPITAL = bytes(b for b in range(256) if not 65 <= b <= 90)
 _FIRST_BYTE = bytes(b for b in range(256) if b & 0xC0 != 0x80)  # each code point has one
 _MARK = re.compile(rb"[#$%&*|]")
@@ -108,8 +109,9 @@ def document_masks(docs: DataFrame) -> DataFrame:
     non-minimum ids of their text."""
     d = only(docs, "doc_id", "text", "lang")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = d.agg(F.sum(F.octet_length(text))).first()[0] or 0
     rows: RDD = d.select(F.xxhash64(text), text, F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit(""))).rdd.map(tuple)
-    parts = max(4 * rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(-(-size // ROUTED_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = rows.mapPartitions(_settled).partitionBy(parts, int).mapPartitions(_met)
     return docs.sparkSession.createDataFrame(met, "doc_id long, part string, mask int, n long").groupBy("doc_id", "part", "mask").agg(F.sum("n").alias("n"))
 
