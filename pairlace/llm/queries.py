@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlace.llm import decontaminate, filter_audit, language_id, maxent_lm, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
+from pairlace.llm import decontaminate, filter_audit, language_id, maxent_lm, mixing, near_dedup, phrase_mining, pii, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -154,6 +154,27 @@ def op8_pii(s, d):
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
 
 
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) t FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(t, '[\x20\x09]+'), lambda x: x <> '') w FROM p),
+tot AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) i FROM w, range(1, 6) r(k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, g, k, CAST(count(*) AS HUGEINT) n FROM g GROUP BY lang, g, k HAVING count(*) >= 100),
+sub AS (SELECT lang, string_split(g, ' ') s, k, n FROM f WHERE k > 2),
+inner_ AS (SELECT lang, array_to_string(list_slice(s, i, i + m - 1), ' ') g, max(n) m FROM sub, range(2, 5) a(m), range(1, 5) b(i) WHERE m < k AND i + m - 1 <= k GROUP BY 1, 2),
+c AS (SELECT f.lang, f.g, f.k, f.n a, string_split(f.g, ' ') s FROM f LEFT JOIN inner_ x ON x.lang = f.lang AND x.g = f.g WHERE f.k > 1 AND (x.m IS NULL OR 100 * x.m < 100 * f.n)),
+cut AS (SELECT c.lang, c.g, c.a, q.cut, l.n l, r.n r, tot.n, (1000 * c.a * tot.n) // (l.n * r.n) score FROM c JOIN range(1, 5) q(cut) ON q.cut < c.k
+  JOIN f l ON l.lang = c.lang AND l.g = array_to_string(c.s[1:q.cut], ' ') JOIN f r ON r.lang = c.lang AND r.g = array_to_string(c.s[q.cut + 1:], ' ') JOIN tot ON tot.lang = c.lang),
+worst AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) o FROM cut),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) rank FROM worst WHERE o = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, g AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
+
+
+@query("op11_phrase_mining", OP11_SQL)
+def op11_phrase_mining(s, d):
+    return phrase_mining.collocations(read(s, d, "documents"))
+
+
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') t FROM documents),
 w AS (SELECT doc_id, part, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') w, min(doc_id) OVER (PARTITION BY t) m FROM d),
