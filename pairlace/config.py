@@ -15,7 +15,8 @@ N_STATES = 5
 class CouplingConfig:
     """``mi_threshold``: None or below 0 estimates it, 0 keeps every positive pair. ``mi_values``: 0 takes
     min(10 million, 100 per locus). ``threshold_pairs``: 0 takes the schedule of ``sample_pair_count``. ``mi_digits`` rounds MI
-    before it is compared, since sums in another order differ in their last bits."""
+    before it is compared, since sums in another order differ in their last bits. ``gap_mode``: how MI without gaps is taken
+    (``kernels.without_gaps``)."""
 
     mi_threshold: float | None = None
     mi_values: int = 0
@@ -37,6 +38,7 @@ class CouplingConfig:
     output_base: int = 1
     n_states: int = N_STATES
     gap_state: int | None = GAP
+    gap_mode: str = "clean"
     block_loci: int = 128
     mi_digits: int | None = 12
 
@@ -45,6 +47,8 @@ class CouplingConfig:
             raise ValueError("threshold_iterations must be at least 1")
         if self.topology not in ("circular", "linear"):
             raise ValueError("topology is 'circular' or 'linear'")
+        if self.gap_mode not in ("clean", "literal"):
+            raise ValueError("gap_mode is 'clean' or 'literal'")
         if self.maf_denominator not in ("all", "non_gap"):
             raise ValueError("maf_denominator is 'all' or 'non_gap'")
         for name in ("maf_threshold", "gap_threshold", "reweighting_threshold"):

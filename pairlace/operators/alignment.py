@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pairlace.config import GAP
 
 
+class RaggedAlignmentError(ValueError):
+    """Samples or loci that should have as many cells as each other don't."""
+
+
 def include_loci(cells: DataFrame, loci: DataFrame) -> DataFrame:
     return cells.join(loci.select("pos").distinct(), "pos", "left_semi").select(cells.columns)
 

@@ -2,25 +2,24 @@
 
 ``sql``: the samples' cells meet by an equi-join; rows are samples times pairs, so it suits up to some 200 loci.
 ``sparse``: only cells off the most frequent state meet; the rest follows from the marginals.
-``block``: loci packed as bytes and dealt to tiles of blocks, one-hot products in an Arrow kernel; one row a saved pair
-leaves the kernel. Beyond ``SAMPLES`` samples the kernel takes slices of them and counts are added up before entropies.
+``block``: loci packed as bytes and dealt to tiles of blocks, one-hot products in an Arrow kernel that takes a slice of the samples
+at a time; one row a saved pair leaves the kernel.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlace.config import GAP, N_STATES
 from pairlace.functions.scalars import pair_count, xlogx
 from pairlace.operators.alignment import state_presence
-from pairlace.operators.lineage import shared_copy
-from pairlace.operators.tiles import ZERO, deal, packed, tile_side
-
-SLICE = 8192  # samples in a one-hot matrix
-SAMPLES = 1 << 20  # samples that one tile sees
+from pairlace.operators.kernels import block_counts, entropies, listed_counts, marginal_bound, presence, without_gaps
+from pairlace.operators.packed import Packed, Slice, pack, read_tile, tile_rows
 
 
 def _weighted(cells: DataFrame, weights: DataFrame | None) -> DataFrame:
@@ -71,12 +70,14 @@ def crosstable_sparse(cells: DataFrame, weights: DataFrame | None = None) -> Dat
     return grid.select("i", "j", "a", "b", n.alias("n")).where("n > 1e-9")
 
 
-def mi_from_crosstable(table: DataFrame, presence: DataFrame, alpha: float = 0.5, mask: str = "mask", n_states: int = N_STATES) -> DataFrame:
-    """``i, j, mi``. The pseudocount goes to each pair of states present in the two loci, met or not. A pair of
+def mi_from_crosstable(table: DataFrame, presence: DataFrame, alpha: float = 0.5, mask: str = "mask", n_states: int = N_STATES, literal: int | None = None) -> DataFrame:
+    """``i, j, mi``, or with the gap state as ``literal`` the gap-free MI by two passes over one table. The pseudocount goes to each pair of states present in the two loci, met or not. A pair of
     loci is one group of at most n_states squared counts, folded as an array; no window is needed."""
     p = presence.select("pos", F.col(mask).alias("p"))
     counts = table.groupBy("i", "j").agg(F.map_from_entries(F.collect_list(F.struct((F.col("a") * n_states + F.col("b")).alias("k"), "n"))).alias("c"))
     rows = counts.join(p.select(F.col("pos").alias("i"), F.col("p").alias("pi")), "i").join(p.select(F.col("pos").alias("j"), F.col("p").alias("pj")), "j")
+    if literal is not None:
+        return _literal_mi(rows, alpha, n_states, literal)
 
     def cell(a: int, b: int):
         here = (F.col("pi").bitwiseAND(1 << a) != 0) & (F.col("pj").bitwiseAND(1 << b) != 0)
@@ -104,19 +105,40 @@ def _mi_of_cells(rows: DataFrame, n_states: int) -> DataFrame:
     return rows.withColumn("mi", mi).drop("x")
 
 
+def _literal_mi(rows: DataFrame, alpha: float, n_states: int, gap: int) -> DataFrame:
+    """``i, j, mi`` from ``i, j, c, pi, pj``: counts of all states as a map, and the states present. See ``without_gaps``."""
+    states, real = range(n_states), [s for s in range(n_states) if s != gap]
+    k = lambda a, b: a * n_states + b
+    add = lambda xs: F.aggregate(F.array(*xs), F.lit(0.0), lambda s, v: s + v)
+    here = lambda a, b: (F.col("pi").bitwiseAND(1 << a) != 0) & (F.col("pj").bitwiseAND(1 << b) != 0)
+    first = F.array(*[F.when(here(a, b), F.coalesce(F.col("c")[F.lit(k(a, b))], F.lit(0.0)) + alpha).otherwise(F.lit(0.0)) for a in states for b in states])
+    rows = rows.withColumn("x", first).withColumn("z", F.aggregate("x", F.lit(0.0), lambda s, v: s + v))
+    rows = rows.withColumn("p", F.transform("x", lambda v: F.when(F.col("z") > 0, v / F.col("z")).otherwise(F.lit(0.0))))
+    rows = rows.withColumn("q", F.array(*[F.when(here(a, b) & F.lit(gap not in (a, b)), F.col("p")[k(a, b)] + alpha).otherwise(F.lit(0.0)) for a in states for b in states]))
+    rows = rows.withColumn("z", F.aggregate("q", F.lit(0.0), lambda s, v: s + v)).withColumn("z", F.when(F.col("z") > 0, F.col("z")).otherwise(F.lit(1.0)))
+    joint = add([xlogx(F.col("q")[k(a, b)] / F.col("z")) for a in real for b in real])
+    second = add([xlogx(add([F.col("q")[k(a, b)] for a in real] + [F.col("p")[k(gap, b)]]) / F.col("z")) for b in real])
+    one = add([xlogx(add([F.col("q")[k(a, b)] for b in real]) / F.col("z")) for a in real])
+    return rows.select("i", "j", (joint - second - one).alias("mi"))
+
+
 def mi_pairs(cells: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, pairs: DataFrame | None = None, plan: str = "sql") -> DataFrame:
     """``i, j, mi`` of all pairs or of ``pairs``, by ``sql`` or ``sparse``. Pairs that share no sample are absent."""
     table = crosstable_sparse(cells, weights) if plan == "sparse" else crosstable(cells, weights, pairs)
     return mi_from_crosstable(table, state_presence(cells, None), alpha)
 
 
-def mi_without_gaps(cells: DataFrame, edges: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, gap_state: int = GAP) -> DataFrame:
+def mi_without_gaps(cells: DataFrame, edges: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, gap_state: int = GAP, gap_mode: str = "clean") -> DataFrame:
     """``i, j, mi_wo_gaps`` of the edges that have a gap in either locus: samples with a gap at either locus are
-    left out, and the pseudocount goes to the states present without gaps. Others have no row."""
+    left out, and the pseudocount goes to the states present without gaps; in ``literal`` mode the table with gaps is gone over a
+    second time (``kernels.without_gaps``). Others have no row."""
     presence = state_presence(cells, gap_state)
     gappy = presence.where("mask <> mask_wo_gaps").select("pos")
     touched = edges.select("i", "j").join(gappy.select(F.col("pos").alias("i"), F.lit(1).alias("gi")), "i", "left")
     touched = touched.join(gappy.select(F.col("pos").alias("j"), F.lit(1).alias("gj")), "j", "left").where("gi is not null or gj is not null").select("i", "j")
+    if gap_mode == "literal":
+        found = mi_from_crosstable(crosstable(cells, weights, touched), presence, alpha, "mask", literal=gap_state)
+        return touched.join(found, ["i", "j"], "left").select("i", "j", F.coalesce("mi", F.lit(0.0)).alias("mi_wo_gaps"))
     real = cells.where(F.col("state") != gap_state)
     found = mi_from_crosstable(crosstable(real, weights, touched), presence, alpha, "mask_wo_gaps")
     return touched.join(found, ["i", "j"], "left").select("i", "j", F.coalesce("mi", F.lit(0.0)).alias("mi_wo_gaps"))
@@ -130,236 +152,169 @@ def with_gap_effect(edges: DataFrame, gap_free: DataFrame) -> DataFrame:
     return out.withColumn("gap_effect", gap_effect(F.col("mi"), F.col("mi_wo_gaps")))
 
 
-def locus_ranks(cells: DataFrame, span: int = 4096) -> DataFrame:
-    """``pos, rank``: the dense rank of each locus from 0. Loci are ranked within spans of positions and spans are laid
-    end to end, so no task sorts them all."""
-    loci = cells.select("pos").distinct().withColumn("_span", F.floor(F.col("pos") / span))
-    sizes = loci.groupBy("_span").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    own = F.row_number().over(Window.partitionBy("_span").orderBy("pos")) - 1
-    return loci.withColumn("_rn", own).join(starts, "_span").select("pos", (F.col("_rn") + F.col("_off")).alias("rank"))
-
-
-def packed_loci(cells: DataFrame, block: int = 128, slices: int = 1) -> DataFrame:
-    """``blk, pos, slice, data``: a byte a sample in order of sample, a row for each locus and slice of the samples. Loci
-    are dealt to blocks of as many each, however far apart they lie."""
-    cut = F.pmod(F.xxhash64("sample"), F.lit(slices)).cast("int") if slices > 1 else F.lit(0)
-    cell = F.struct("sample", F.col("state").cast("int").alias("state"))
-    loci = cells.groupBy("pos", cut.alias("slice")).agg(F.array_sort(F.collect_list(cell)).alias("c"))  # one slice of samples
-    rows = loci.select("pos", "slice", packed(F.col("c.state")).alias("data"))
-    return rows.join(locus_ranks(cells), "pos").select(F.floor(F.col("rank") / block).cast("int").alias("blk"), "pos", "slice", "data")
-
-
-def weight_rows(cells: DataFrame, weights: DataFrame | None, slices: int = 1) -> DataFrame:
-    """``slice, w``: the samples' weights in order of sample, a row for each slice."""
-    samples = cells.select("sample").distinct()
-    ws = samples.withColumn("weight", F.lit(1.0)) if weights is None else samples.join(weights, "sample")
-    cut = F.pmod(F.xxhash64("sample"), F.lit(slices)).cast("int") if slices > 1 else F.lit(0)
-    one = F.array_sort(F.collect_list(F.struct("sample", F.col("weight").cast("double").alias("w"))))
-    return ws.groupBy(cut.alias("slice")).agg(one.alias("w")).select("slice", F.col("w.w").alias("w"))
-
-
-def _counts(x: np.ndarray, y: np.ndarray, w: np.ndarray, states: list[int]) -> np.ndarray:
-    """Weighted counts (state of x, state of y, row of x, row of y) by one-hot products. Samples are taken ``SLICE`` at a
-    time, so the one-hot matrices stay small however many samples there are."""
-    counts = np.zeros((len(states), len(states), x.shape[0], y.shape[0]))
-    for lo in range(0, x.shape[1], SLICE):
-        part, own = slice(lo, lo + SLICE), w[lo : lo + SLICE]
-        hot_y = [(y[:, part] == s).astype(np.float64).T for s in states]
-        for a, s in enumerate(states):
-            hot_x = (x[:, part] == s) * own
-            for b in range(len(states)):
-                counts[a, b] += hot_x @ hot_y[b]
-    return counts
-
-
-def _entropies(counts: np.ndarray, here: np.ndarray, alpha: float) -> np.ndarray:
-    """MI from counts; ``here`` marks the cells that get the pseudocount."""
-    p = np.where(here, counts + alpha, 0.0)
-    z = p.sum((0, 1))
-    p /= np.where(z == 0, 1.0, z)
-    ent = lambda v: v * np.log(np.where(v > 0, v, 1.0))
-    return ent(p).sum((0, 1)) - ent(p.sum(1)).sum(0) - ent(p.sum(0)).sum(0)
-
-
-def _block_mi(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float, n_states: int, drop: int | None) -> np.ndarray:
-    """MI of each row of x with each row of y."""
-    states = [s for s in range(n_states) if s != drop]
-    here_x, here_y = (np.stack([(v == s).any(1) for s in states]) for v in (x, y))
-    return _entropies(_counts(x, y, w, states), here_x[:, None, :, None] & here_y[None, :, None, :], alpha)
-
-
-def _pair_counts(x: np.ndarray, y: np.ndarray, w: np.ndarray, n_states: int) -> np.ndarray:
-    """Weighted counts (state of x, state of y, pair) of rows of x with the rows of y beside them."""
-    cells = n_states * n_states
-    return np.stack([np.bincount(a.astype(np.int64) * n_states + b, weights=w, minlength=cells) for a, b in zip(x, y, strict=True)], 1).reshape(n_states, n_states, len(x))
-
-
-def tiled_loci(cells: DataFrame, weights: DataFrame | None, block: int, pairs: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """``ti, tj, slice, at, pos, data, w, q`` and the number of slices: what each tile of loci needs, in rows. ``at`` is 0 or
-    1 for a locus on either side, 2 for the weights, and 3 for an asked pair (``pos`` with ``q``) where ``pairs`` are given."""
-    n_loci = cells.select("pos").distinct().count()
-    n_samples = cells.select("sample").distinct().count()
-    slices, n_blocks = max(1, -(-n_samples // SAMPLES)), max(1, -(-n_loci // block))
-    side = tile_side(n_blocks, block * -(-n_samples // slices), cells.sparkSession.sparkContext.defaultParallelism)
-    none = lambda kind: F.lit(None).cast(kind)
-    loci = deal(packed_loci(cells, block, slices), n_blocks, side).select("ti", "tj", "slice", "at", F.col("pos").cast("long").alias("pos"), "data", none("array<double>").alias("w"), none("long").alias("q"))
-    last = (n_blocks - 1) // side
-    grid = cells.sparkSession.range(last + 1).select(F.col("id").cast("int").alias("ti")).select("ti", F.explode(F.sequence("ti", F.lit(last))).alias("tj"))
-    if pairs is not None:
-        at = locus_ranks(cells).select("pos", F.floor(F.col("rank") / (block * side)).cast("int").alias("tile"))
-        asked = pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
-        asked = asked.join(at.select(F.col("pos").alias("i"), F.col("tile").alias("ti")), "i").join(at.select(F.col("pos").alias("j"), F.col("tile").alias("tj")), "j")
-        grid = grid.join(asked.select("ti", "tj").distinct(), ["ti", "tj"])
-        loci = loci.join(F.broadcast(grid), ["ti", "tj"], "left_semi")  # a row a tile
-        each = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-        loci = loci.unionByName(each.select("ti", "tj", "slice", F.lit(3).alias("at"), F.col("i").cast("long").alias("pos"), none("binary").alias("data"), none("array<double>").alias("w"), F.col("j").cast("long").alias("q")))
-    ws = weight_rows(cells, weights, slices).crossJoin(F.broadcast(grid))  # a row a slice, a row a tile
-    return loci.unionByName(ws.select("ti", "tj", "slice", F.lit(2).alias("at"), none("long").alias("pos"), none("binary").alias("data"), "w", none("long").alias("q"))), slices
-
-
-def _sides(pdf: pd.DataFrame):
-    """The two sides of a tile as ``positions, matrix``, and the weights. On the diagonal both sides are one."""
-    def side(at: int):
-        rows = pdf[pdf["at"] == at].sort_values("pos")
-        if not len(rows):
-            return np.zeros(0, np.int64), np.zeros((0, 0), np.int8)
-        raw = np.frombuffer(b"".join(rows["data"]), np.int8).reshape(len(rows), -1)
-        return rows["pos"].to_numpy(np.int64), raw - np.int8(ZERO)
-
-    w = pdf[pdf["at"] == 2]
-    left = side(0)
-    right = left if pdf.ti.iloc[0] == pdf.tj.iloc[0] else side(1)
-    return left, right, np.asarray(w["w"].iloc[0], float) if len(w) else np.zeros(0)
+EDGES = "kind string, i long, j long, mi double, mi_wo_gaps double"
 
 
-EDGES = "kind string, i long, j long, mi double, mi_wo_gaps double"
+def _rounded(v: np.ndarray, digits: int | None) -> np.ndarray:
+    return v if digits is None else np.round(v, digits)
+
+
+class _Tile:
+    """The loci of a tile, the states that they have, and the counts of its pairs of blocks where samples come in slices."""
+
+    def __init__(self, block: int, n_states: int) -> None:
+        self.block, self.n_states = block, n_states
+        self.counts: dict[tuple[int, int], np.ndarray] = {}
+        self.here_x = self.here_y = None
+
+    def see(self, s: Slice) -> None:
+        here = presence(s.x, self.n_states), presence(s.y, self.n_states)
+        self.i, self.j, self.own = s.i, s.j, s.own
+        self.here_x, self.here_y = here if self.here_x is None else (self.here_x | here[0], self.here_y | here[1])
+
+    def add(self, s: Slice) -> None:
+        self.see(s)
+        for p, q in self.blocks():
+            c = block_counts(s.x[p : p + self.block], s.y[q : q + self.block], s.w, self.n_states)
+            self.counts[p, q] = self.counts[p, q] + c if (p, q) in self.counts else c
+
+    def blocks(self) -> list[tuple[int, int]]:
+        return [(p, q) for p in range(0, len(self.i), self.block) for q in range(p if self.own else 0, len(self.j), self.block)]
+
+
+class _Found:
+    """What a tile tells: its edges, each locus's largest MI, and how many pairs were not evaluated."""
+
+    def __init__(self, alpha, threshold, ld, genome_size, gap_state, gap_mode, digits, top) -> None:
+        self.alpha, self.threshold, self.ld, self.genome_size, self.gap_state, self.gap_mode, self.digits, self.top = alpha, threshold, ld, genome_size, gap_state, gap_mode, digits, top
+        self.floor = -np.inf  # with ``top`` strongest edges at hand, weaker ones are of no use
+        self.edges: list[tuple[np.ndarray, ...]] = []
+        self.best: dict[int, float] = {}
+        self.skipped = 0
+
+    def most(self, pos: np.ndarray) -> np.ndarray:
+        return np.array([self.best.get(k, -np.inf) for k in pos.tolist()])
+
+    def take(self, pi, pj, hx, hy, counts) -> None:
+        here = hx[:, None, :, None] & hy[None, :, None, :]
+        mi = _rounded(entropies(counts, here, self.alpha), self.digits)
+        upper = pi[:, None] < pj[None, :]
+        d = np.abs(pi[:, None] - pj[None, :])
+        d = d if self.genome_size is None else np.minimum(d, self.genome_size - d)
+        far = np.where(upper & (d > self.ld), mi, -np.inf)
+        for k, m in zip(np.r_[pi, pj].tolist(), np.r_[far.max(1), far.max(0)].tolist(), strict=True):
+            if m > self.best.get(k, -np.inf):
+                self.best[k] = m
+        u, v = np.nonzero(upper & (mi >= self.floor) if self.threshold is None else upper & (mi > self.threshold) & (mi >= self.floor))
+        wo = np.full(len(u), np.nan)
+        if self.gap_state is not None and len(u):
+            touched = hx[self.gap_state][u] | hy[self.gap_state][v]
+            if touched.any():
+                a, b = u[touched], v[touched]
+                wo[touched] = _rounded(without_gaps(counts[:, :, a, b], here[:, :, a, b], self.alpha, self.gap_state, self.gap_mode), self.digits)
+        self.edges.append((pi[u], pj[v], mi[u, v], wo))
+        if self.top is not None and sum(len(e[0]) for e in self.edges) > 2 * self.top:
+            self.strongest()
+
+    def strongest(self) -> None:
+        i, j, mi, wo = (np.concatenate(x) for x in zip(*self.edges, strict=True))
+        if self.top is not None and len(i) > self.top:
+            keep = np.lexsort((j, i, -mi))[: self.top]
+            i, j, mi, wo = i[keep], j[keep], mi[keep], wo[keep]
+            self.floor = float(mi[-1])
+        self.edges = [(i, j, mi, wo)]
+
+    def rows(self) -> pd.DataFrame:
+        if self.edges:
+            self.strongest()
+        i, j, mi, wo = self.edges[0] if self.edges else [np.zeros(0)] * 4
+        parts = [pd.DataFrame({"kind": "max", "i": list(self.best), "j": list(self.best), "mi": list(self.best.values()), "mi_wo_gaps": np.nan}), pd.DataFrame({"kind": "edge", "i": i, "j": j, "mi": mi, "mi_wo_gaps": wo})]
+        if self.skipped:
+            parts.append(pd.DataFrame({"kind": "skipped", "i": [self.skipped], "j": [self.skipped], "mi": np.nan, "mi_wo_gaps": np.nan}))
+        return pd.concat(parts, ignore_index=True)
+
+
+def _bounded_scan(tile: _Tile, s: Slice, found: _Found, maxima: bool) -> None:
+    """All pairs of a tile but for those that can change nothing: MI is at most the smaller of two loci's bounds, so a pair
+    counts only if that exceeds the threshold or, where maxima are wanted, the largest MI known of either locus. Blocks with
+    the largest bounds come first, as they raise what is known. A locus whose best partner is far from its bound meets all others
+    for the sake of its maximum; without maxima few loci meet at a high threshold."""
+    slack = 1e-9
+    bound = lambda x, here: marginal_bound(np.stack([((x == a) * (1.0 if s.w is None else s.w)).sum(1) for a in range(tile.n_states)]), here, found.alpha, tile.n_states) + slack
+    bx = bound(s.x, tile.here_x)
+    by = bx if s.own else bound(s.y, tile.here_y)
+    n, tau = tile.block, -np.inf if found.threshold is None else found.threshold
+    for p, q in sorted(tile.blocks(), key=lambda b: -min(bx[b[0] : b[0] + n].max(), by[b[1] : b[1] + n].max())):
+        most = np.minimum(bx[p : p + n, None], by[None, q : q + n])
+        need = most > tau
+        if maxima:
+            need |= (most > found.most(s.i[p : p + n])[:, None]) | (most > found.most(s.j[q : q + n])[None])
+        rows, cols = np.flatnonzero(need.any(1)), np.flatnonzero(need.any(0))
+        found.skipped += need.size - len(rows) * len(cols)
+        if len(rows) and len(cols):
+            found.take(s.i[p + rows], s.j[q + cols], tile.here_x[:, p + rows], tile.here_y[:, q + cols], block_counts(s.x[p + rows], s.y[q + cols], s.w, tile.n_states))
 
 
 def block_mi(
-    cells: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, threshold: float | None = None, block: int = 128,
+    cells: DataFrame | Packed, weights: DataFrame | None = None, alpha: float = 0.5, threshold: float | None = None, block: int = 128,
     ld: int = 0, genome_size: int | None = None, n_states: int = N_STATES, gap_state: int | None = GAP, digits: int | None = None,
+    gap_mode: str = "clean", top: int | None = None, tiles: Column | None = None, maxima: bool = True,
 ) -> DataFrame:
     """One pass over all pairs of loci, tile by tile: rows ``kind, i, j, mi, mi_wo_gaps``. Kind ``edge`` is a pair above the
     threshold (all pairs if None), with its gap-free MI where a locus has gaps; kind ``max`` has, for each locus i
-    of a tile, the largest MI with a locus further away than ``ld`` (on a circle if ``genome_size`` is given). ``digits``
-    rounds MI before anything is compared, so that plans that add in another order agree."""
-    rows, slices = tiled_loci(cells, weights, block)
-    if slices > 1:
-        return _sliced_mi(rows, cells, alpha, threshold, block, ld, genome_size, n_states, gap_state, digits)
-
-    def kernel(pdf):
-        (pi_all, x_all), (pj_all, y_all), w = _sides(pdf)
-        own = pi_all is pj_all
-        out = []
-        for p in range(0, len(pi_all), block):
-            for q in range(p if own else 0, len(pj_all), block):
-                pi, x, pj, y = pi_all[p : p + block], x_all[p : p + block], pj_all[q : q + block], y_all[q : q + block]
-                mi = _block_mi(x, y, w, alpha, n_states, None)
-                mi = mi if digits is None else np.round(mi, digits)
-                upper = pi[:, None] < pj[None, :]
-                d = np.abs(pi[:, None] - pj[None, :])
-                if genome_size is not None:
-                    d = np.minimum(d, genome_size - d)
-                far = np.where(upper & (d > ld), mi, -np.inf)
-                best = pd.DataFrame({"i": np.r_[pi, pj], "mi": np.r_[far.max(1), far.max(0)]})
-                best = best[np.isfinite(best.mi)]
-                out.append(pd.DataFrame({"kind": "max", "i": best.i, "j": best.i, "mi": best.mi, "mi_wo_gaps": np.nan}))
-                u, v = np.nonzero(upper if threshold is None else upper & (mi > threshold))
-                wo = np.full(len(u), np.nan)
-                if gap_state is not None and len(u):
-                    gx, gy = (x == gap_state).any(1), (y == gap_state).any(1)
-                    touched = gx[u] | gy[v]
-                    if touched.any():
-                        ru, rv = np.unique(u[touched]), np.unique(v[touched])
-                        free = _block_mi(x[ru], y[rv], w, alpha, n_states, gap_state)
-                        wo[touched] = free[np.searchsorted(ru, u[touched]), np.searchsorted(rv, v[touched])]
-                        wo = wo if digits is None else np.round(wo, digits)
-                out.append(pd.DataFrame({"kind": "edge", "i": pi[u], "j": pj[v], "mi": mi[u, v], "mi_wo_gaps": wo}))
-        every = pd.concat(out, ignore_index=True)
-        tops = every[every.kind == "max"].groupby("i", as_index=False).mi.max()
-        tops = pd.DataFrame({"kind": "max", "i": tops.i, "j": tops.i, "mi": tops.mi, "mi_wo_gaps": np.nan})
-        return pd.concat([tops, every[every.kind == "edge"]], ignore_index=True)
-
-    found = rows.groupBy("ti", "tj").applyInPandas(kernel, EDGES)
-    return found.withColumn("mi_wo_gaps", F.when(~F.isnan("mi_wo_gaps"), F.col("mi_wo_gaps")))
-
-
-def _sliced_counts(rows: DataFrame, block: int, n_states: int) -> DataFrame:
-    """``i, j, c``: each pair's counts as one array, added up over the slices of samples."""
-    told = lambda i, j, c: pd.DataFrame({"i": i, "j": j, "c": pd.Series(list(c.T), dtype=object)})
-
-    def kernel(pdf):
-        (pi_all, x_all), (pj_all, y_all), w = _sides(pdf)
-        asked = pdf[pdf["at"] == 3]
-        if len(asked):
-            i, j = asked["pos"].to_numpy(np.int64), asked["q"].to_numpy(np.int64)
-            counts = _pair_counts(x_all[np.searchsorted(pi_all, i)], y_all[np.searchsorted(pj_all, j)], w, n_states)
-            return told(i, j, counts.reshape(n_states * n_states, -1))
-        own, out = pi_all is pj_all, []
-        for p in range(0, len(pi_all), block):
-            for q in range(p if own else 0, len(pj_all), block):
-                pi, pj = pi_all[p : p + block], pj_all[q : q + block]
-                u, v = np.nonzero(pi[:, None] < pj[None, :])
-                counts = _counts(x_all[p : p + block], y_all[q : q + block], w, list(range(n_states)))
-                out.append(told(pi[u], pj[v], counts.reshape(n_states * n_states, len(pi), len(pj))[:, u, v]))
-        return pd.concat(out, ignore_index=True)
-
-    part = rows.groupBy("ti", "tj", "slice").applyInPandas(kernel, "i long, j long, c array<double>")
-    return part.groupBy("i", "j").agg(F.array(*[F.sum(F.col("c")[k]) for k in range(n_states * n_states)]).alias("c"))
-
-
-def _mi_of_counts(counts: DataFrame, presence: DataFrame, alpha: float, n_states: int, mask: str, drop: int | None = None) -> DataFrame:
-    """Adds ``mi`` from ``i, j, c`` and the loci's masks of states present; ``drop`` leaves a state out."""
-    p = presence.select("pos", F.col(mask).alias("_p"))
-    met = counts.join(p.withColumnsRenamed({"pos": "i", "_p": "_pi"}), "i").join(p.withColumnsRenamed({"pos": "j", "_p": "_pj"}), "j")
-
-    def cell(a: int, b: int):
-        here = (F.col("_pi").bitwiseAND(1 << a) != 0) & (F.col("_pj").bitwiseAND(1 << b) != 0)
-        return F.lit(0.0) if drop in (a, b) else F.when(here, F.col("c")[a * n_states + b] + alpha).otherwise(F.lit(0.0))
-
-    x = F.array(*[cell(a, b) for a in range(n_states) for b in range(n_states)])
-    return _mi_of_cells(met.withColumn("x", x).drop("_pi", "_pj"), n_states)
-
-
-def _sliced_mi(rows, cells, alpha, threshold, block, ld, genome_size, n_states, gap_state, digits) -> DataFrame:
-    """The result of ``block_mi`` where no task may see all samples: counts of each slice, then entropies as expressions."""
-    presence = state_presence(cells, gap_state)
-    near = lambda c: c if digits is None else F.round(c, digits)
-    mi = shared_copy(_mi_of_counts(_sliced_counts(rows, block, n_states), presence, alpha, n_states, "mask").withColumn("mi", near(F.col("mi"))))
-    d = F.abs(F.col("i") - F.col("j"))
-    d = d if genome_size is None else F.least(d, F.lit(genome_size) - d)
-    tops = mi.where(d > ld).select(F.explode(F.array("i", "j")).alias("i"), "mi").groupBy("i").agg(F.max("mi").alias("mi"))
-    kept = mi if threshold is None else mi.where(F.col("mi") > threshold)
-    gappy = presence.where("mask <> mask_wo_gaps").select("pos", F.lit(1).alias("_g"))
-    kept = kept.join(gappy.withColumnsRenamed({"pos": "i", "_g": "_gi"}), "i", "left").join(gappy.withColumnsRenamed({"pos": "j", "_g": "_gj"}), "j", "left")
-    free = _mi_of_counts(kept.withColumnRenamed("mi", "_mi"), presence, alpha, n_states, "mask_wo_gaps", gap_state)
-    wo = F.when(F.col("_gi").isNotNull() | F.col("_gj").isNotNull(), near(F.col("mi")))
-    edges = free.select(F.lit("edge").alias("kind"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("_mi").alias("mi"), wo.alias("mi_wo_gaps"))
-    return edges.unionByName(tops.select(F.lit("max").alias("kind"), F.col("i").cast("long").alias("i"), F.col("i").cast("long").alias("j"), "mi", F.lit(None).cast("double").alias("mi_wo_gaps")))
-
-
-def listed_mi(cells: DataFrame, pairs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, block: int = 128, n_states: int = N_STATES) -> DataFrame:
+    of a tile, the largest MI with a locus further away than ``ld`` (on a circle if ``genome_size`` is given): over the tiles, the
+    largest of all; none if ``maxima`` is off. Kind ``skipped`` counts the pairs of a tile that the loci's entropies rule out, with a threshold. ``digits``
+    rounds MI before anything is compared, so that plans that add in another order agree. With ``top`` a tile tells only its ``top``
+    strongest edges (ties by position); ``tiles`` is a condition on ``ti, tj``. Rows that leave the kernel are edges and maxima,
+    however many slices the samples have."""
+    if gap_mode not in ("clean", "literal"):
+        raise ValueError("gap_mode is 'clean' or 'literal'")
+    packed_ = cells if isinstance(cells, Packed) else pack(cells, weights, block)
+    side, whole = packed_.block, packed_.slices == 1
+
+    def kernel(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, found = _Tile(side, n_states), _Found(alpha, threshold, ld, genome_size, gap_state, gap_mode, digits, top)
+        for s in read_tile(batches, key[0] == key[1]):
+            if not whole:
+                tile.add(s)
+            elif len(s.i) and len(s.j):
+                tile.see(s)
+                _bounded_scan(tile, s, found, maxima)
+        for (p, q), counts in tile.counts.items():
+            found.take(tile.i[p : p + side], tile.j[q : q + side], tile.here_x[:, p : p + side], tile.here_y[:, q : q + side], counts)
+        if not maxima:
+            found.best = {}
+        yield found.rows()
+
+    rows = tile_rows(packed_, n_states)
+    rows = rows if tiles is None else rows.where(tiles)
+    out = rows.groupBy("ti", "tj").applyInPandas(kernel, EDGES)
+    return out.withColumn("mi_wo_gaps", F.when(~F.isnan("mi_wo_gaps"), F.col("mi_wo_gaps")))
+
+
+def listed_mi(cells: DataFrame | Packed, pairs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, block: int = 128, n_states: int = N_STATES) -> DataFrame:
     """``i, j, mi`` of the listed pairs alone, on packed loci: a pair goes to the tile of its loci, and a locus only to tiles
     that have pairs, so rows follow loci and pairs, not samples times pairs."""
-    rows, slices = tiled_loci(cells, weights, block, pairs)
-    if slices > 1:
-        return _mi_of_counts(_sliced_counts(rows, block, n_states), state_presence(cells, None), alpha, n_states, "mask").select("i", "j", "mi")
-
-    def kernel(pdf):
-        (pi, x), (pj, y), w = _sides(pdf)
-        asked = pdf[pdf["at"] == 3]
-        i, j = asked["pos"].to_numpy(np.int64), asked["q"].to_numpy(np.int64)
-        here_x, here_y = (np.stack([(v == s).any(1) for s in range(n_states)]) for v in (x, y))
-        out = []
-        for lo in range(0, len(i), 4096):
-            u, v = np.searchsorted(pi, i[lo : lo + 4096]), np.searchsorted(pj, j[lo : lo + 4096])
-            mi = _entropies(_pair_counts(x[u], y[v], w, n_states), here_x[:, None, u] & here_y[None, :, v], alpha)
-            out.append(pd.DataFrame({"i": i[lo : lo + 4096], "j": j[lo : lo + 4096], "mi": mi}))
-        return pd.concat(out, ignore_index=True)
-
-    return rows.groupBy("ti", "tj").applyInPandas(kernel, "i long, j long, mi double")
+    packed_ = cells if isinstance(cells, Packed) else pack(cells, weights, block)
+    side = packed_.block
+
+    def kernel(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = here_x = here_y = asked = u = v = None
+        for s in read_tile(batches, key[0] == key[1]):
+            if isinstance(s, pd.DataFrame):
+                asked = s
+                continue
+            if counts is None:
+                i, j = asked["pos"].to_numpy(), asked["q"].to_numpy()
+                u, v = np.searchsorted(s.i, i), np.searchsorted(s.j, j)
+                counts, here_x, here_y = 0.0, False, False
+            counts = counts + listed_counts(s.x, s.y, u, v, s.w, n_states, side)
+            here_x, here_y = here_x | presence(s.x, n_states), here_y | presence(s.y, n_states)
+        for lo in range(0, len(i), 1 << 16):
+            at = slice(lo, lo + (1 << 16))
+            yield pd.DataFrame({"i": i[at], "j": j[at], "mi": entropies(counts[:, :, at], here_x[:, None, u[at]] & here_y[None, :, v[at]], alpha)})
+
+    return tile_rows(packed_, n_states, pairs).groupBy("ti", "tj").applyInPandas(kernel, "i long, j long, mi double")
 
 
 def all_pairs_kept(n_loci: int, keep: int) -> bool:

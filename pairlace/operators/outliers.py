@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairlace.operators.lineage import shared_copy
+from pairlace.operators.selection import values_at
+
 
 def column_max(edges: DataFrame, ld: int = 0) -> DataFrame:
     """``pos, mi``: each locus's largest MI over evaluated pairs further apart than ``ld``. Needs ``distance``.
@@ -15,11 +18,12 @@ def column_max(edges: DataFrame, ld: int = 0) -> DataFrame:
 
 def outlier_thresholds(maxima: DataFrame) -> DataFrame:
     """One row ``q1, q3, outlier, extreme``: quartiles by index and the fences 1.5 and 3 ranges above the third.
-    Nulls if no locus is left. The window runs over one number a locus."""
-    ranked = maxima.select("mi", F.row_number().over(Window.orderBy("mi")).alias("rn"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
-    pick = lambda q: F.max(F.when(F.col("rn") == F.expr(f"(n div 4) * {q} + 1"), F.col("mi")))
-    iqr = F.col("q3") - F.col("q1")
-    return ranked.agg(pick(1).alias("q1"), pick(3).alias("q3")).select("q1", "q3", (F.col("q3") + 1.5 * iqr).alias("outlier"), (F.col("q3") + 3 * iqr).alias("extreme"))
+    Nulls if no locus is left. The quartiles are found by counting intervals, so no task sorts all loci."""
+    maxima = shared_copy(maxima.select("mi"))  # some passes over one number a locus
+    quarter = maxima.where("mi is not null").count() // 4
+    q1, q3 = values_at(maxima, "mi", [quarter, 3 * quarter])
+    row = (None,) * 4 if q1 is None else (q1, q3, q3 + 1.5 * (q3 - q1), q3 + 3 * (q3 - q1))
+    return maxima.sparkSession.createDataFrame([row], "q1 double, q3 double, outlier double, extreme double")
 
 
 def outliers(edges: DataFrame, thresholds: DataFrame, ld: int = 0) -> DataFrame:

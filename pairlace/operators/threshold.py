@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pairlace.config import N_STATES
 from pairlace.functions.scalars import lower_median_index, pair_hash, percentile_index, sample_pair_count
 from pairlace.operators.lineage import shared_copy
-from pairlace.operators.mi import all_pairs_kept, listed_mi
+from pairlace.operators.mi import all_pairs_kept, block_mi, listed_mi
+from pairlace.operators.packed import Packed, locus_ranks, pack
+from pairlace.operators.selection import values_at
 
 
 def sampled_pairs(loci: DataFrame, iterations: int, drawn: int) -> DataFrame:
@@ -16,7 +18,8 @@ def sampled_pairs(loci: DataFrame, iterations: int, drawn: int) -> DataFrame:
     takes two indices from an arithmetic hash of d and the iteration, so any engine gives the same pairs, and the
     work follows the draws, not the number of pairs. Twice as many draws as needed are made: at most a tenth of
     all pairs is wanted, so these suffice."""
-    ranked = loci.select("pos").distinct().select((F.row_number().over(Window.orderBy("pos")) - 1).alias("k"), "pos")
+    ranked = loci if "rank" in loci.columns else shared_copy(locus_ranks(loci))
+    ranked = ranked.select(F.col("rank").alias("k"), "pos")
     n = ranked.count()
     spark = loci.sparkSession
     draws = spark.range(1, 2 * drawn + 101).select(F.col("id").alias("d"), F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iter"))
@@ -31,22 +34,21 @@ def sampled_pairs(loci: DataFrame, iterations: int, drawn: int) -> DataFrame:
 def nth_value(values: DataFrame, column: str, index: int, by: str | None = None) -> DataFrame:
     """The value at ``index`` (from 0) in ascending order, for each ``by``; never interpolated."""
     if by is None:
-        return values.orderBy(column).limit(index + 1).agg(F.max(column).alias(column))
+        return values.sparkSession.createDataFrame([(values_at(values, column, [index])[0],)], f"{column} double")
     w = Window.partitionBy(by).orderBy(column)
     return values.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == index + 1).select(by, column)
 
 
-def estimate_threshold(cells: DataFrame, weights: DataFrame | None, keep: int, alpha: float = 0.5, iterations: int = 10, drawn: int = 0, digits: int | None = None, block: int = 128, n_states: int = N_STATES) -> DataFrame:
+def estimate_threshold(cells: DataFrame | Packed, weights: DataFrame | None, keep: int, alpha: float = 0.5, iterations: int = 10, drawn: int = 0, digits: int | None = None, block: int = 128, n_states: int = N_STATES) -> DataFrame:
     """One row, ``threshold``: the lower median over iterations of each sample's percentile. Null means all pairs
     are kept. Only the sampled pairs are evaluated, on packed loci; those are rows of a bounded number."""
-    loci = cells.select("pos").distinct()
-    n = loci.count()
-    spark = cells.sparkSession
+    packed = cells if isinstance(cells, Packed) else pack(cells, weights, block)
+    n, spark = packed.n_loci, packed.ranks.sparkSession
     if all_pairs_kept(n, keep):
         return spark.range(1).select(F.lit(None).cast("double").alias("threshold"))
     m = sample_pair_count(n, keep, drawn)
-    drawn_pairs = shared_copy(sampled_pairs(loci, iterations, m))
-    found = listed_mi(cells, drawn_pairs.select("i", "j"), weights, alpha, block, n_states)
+    drawn_pairs = shared_copy(sampled_pairs(packed.ranks, iterations, m))
+    found = listed_mi(packed, drawn_pairs.select("i", "j"), None, alpha, block, n_states)
     if digits is not None:
         found = found.withColumn("mi", F.round("mi", digits))
     by_iter = nth_value(drawn_pairs.join(shared_copy(found), ["i", "j"]), "mi", percentile_index(n, keep, m), "iter")
@@ -55,7 +57,25 @@ def estimate_threshold(cells: DataFrame, weights: DataFrame | None, keep: int, a
 
 def exact_threshold(edges: DataFrame, keep: int) -> DataFrame:
     """One row, ``threshold``: the MI of the strongest pair that is not among the first ``keep``; null if all are."""
-    return edges.orderBy(F.desc("mi"), "i", "j").limit(keep + 1).agg(F.min("mi").alias("m"), F.count("*").alias("n")).select(F.when(F.col("n") > keep, F.col("m")).alias("threshold"))
+    mi = shared_copy(edges.select("mi"))
+    tau = values_at(mi, "mi", [mi.count() - keep - 1])[0]
+    return edges.sparkSession.createDataFrame([(tau,)], "threshold double")
+
+
+def exact_scan(packed: Packed, keep: int, waves: int = 4, **options) -> tuple[DataFrame, float | None]:
+    """What ``block_mi`` gives, with the edges above the exact threshold of ``keep`` edges alone, and that threshold. Tiles
+    are scanned in waves; a tile tells its ``keep + 1`` strongest edges at most, and those of later waves only what beats the
+    bound that all waves before have set. So at most tiles times ``keep + 1`` edges are ever written."""
+    if not packed.n_loci:
+        return shared_copy(block_mi(packed, **options)), None
+    tau, parts = None, None
+    for wave in range(waves):
+        own = F.pmod(F.col("ti") * 7 + F.col("tj"), F.lit(waves)) == wave
+        found = shared_copy(block_mi(packed, threshold=tau, top=keep + 1, tiles=own, **options))
+        parts = found if parts is None else parts.unionByName(found)
+        edges = parts.where("kind = 'edge'").select("mi")
+        tau = values_at(edges, "mi", [edges.count() - keep - 1])[0]
+    return parts.where((F.col("kind") != "edge") | (F.col("mi") > (-1.0 if tau is None else tau))), tau
 
 
 def top_edges(edges: DataFrame, k: int) -> DataFrame:

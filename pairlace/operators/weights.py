@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairlace.operators.alignment import RaggedAlignmentError
 from pairlace.operators.lineage import shared_copy
 from pairlace.operators.tiles import deal, packed, tile_side
 
@@ -19,49 +22,146 @@ def hamming_distances(cells: DataFrame) -> DataFrame:
 
 
 def sample_rows(cells: DataFrame) -> DataFrame:
-    """``sample, data``: each sample's states in order of position, a byte each; one row a sample."""
+    """``sample, data``: each sample's states in order of position, a byte each; one row a sample. Stored. Raises
+    RaggedAlignmentError where samples don't have the same positions."""
     cell = F.struct("pos", F.col("state").cast("int").alias("state"))
-    return cells.groupBy("sample").agg(F.array_sort(F.collect_list(cell)).alias("c")).select("sample", packed(F.col("c.state")).alias("data"))
-
-
-def similar_counts(cells: DataFrame, identity: float, block: int = 256) -> DataFrame:
-    """``sample, n``: how many samples, itself included, share at least ``identity`` of their loci with it.
-    Samples are dealt to tiles of blocks, and a matrix product counts the equal loci, so no row for a pair of samples is
-    ever made."""
-    rows = shared_copy(sample_rows(cells))
+    rows = cells.groupBy("sample").agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    rows = shared_copy(rows.select("sample", packed(F.col("c.state")).alias("data"), F.xxhash64("c.pos").alias("_p"), F.size("c").alias("_n")))
+    one, other = rows.agg(F.min(F.struct("_n", "_p", "sample")), F.max(F.struct("_n", "_p", "sample"))).first()
+    if one is not None and (one["_n"], one["_p"]) != (other["_n"], other["_p"]):
+        raise RaggedAlignmentError(f"samples {one['sample']} and {other['sample']} have {one['_n']} and {other['_n']} loci, or different ones")
+    return rows.select("sample", "data")
+
+
+def similar_counts(cells: DataFrame, identity: float, plan: str = "auto", block: int = 256) -> DataFrame:
+    """``sample, n``: how many samples, itself included, share at least ``identity`` of their loci with it. Equal samples count
+    as one row with their number. ``tiles`` compares all pairs of rows by matrix products; ``parts`` only those that agree in some part of
+    the loci (``part_groups``); ``auto`` takes the parts where they leave a quarter of the pairs or fewer. No row for a pair of
+    samples is ever made."""
+    if plan not in ("auto", "tiles", "parts"):
+        raise ValueError("plan is 'auto', 'tiles' or 'parts'")
+    named = sample_rows(cells).withColumn("who", F.sha2("data", 256))
+    rows = shared_copy(named.groupBy("who").agg(F.min("sample").cast("long").alias("id"), F.count("*").alias("copies"), F.first("data").alias("data")))
     n, loci = rows.agg(F.count("*"), F.max(F.length("data"))).first()
+    loci = loci or 0
+    apart = loci - need_equal(identity, loci)  # loci in which a similar sample may differ
+    groups = None
+    if plan != "tiles" and 0 <= apart < loci:
+        groups = shared_copy(part_groups(rows, apart + 1))
+        pairs = groups.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+        groups = groups if plan == "parts" or pairs * 4 <= float(n) * n else None
+    found = _met_in_parts(rows, groups, apart, loci) if groups is not None else _met_in_tiles(rows, n, loci, identity, block)
+    total = rows.select("id", "copies").unionByName(found).groupBy("id").agg(F.sum("copies").alias("n"))
+    return named.select("sample", "who").join(rows.select("who", "id"), "who").join(total, "id").select("sample", "n")
+
+
+def need_equal(identity: float, loci: int) -> int:
+    """Equal loci that make two samples similar."""
+    return max(0, int(np.ceil(identity * loci - 1e-6)))
+
+
+def part_keys(rows: DataFrame, parts: int) -> DataFrame:
+    """``part, key, id``: a hash of each row's states in each of ``parts`` parts of the loci. Locus k is in part k mod
+    ``parts``, so that neighbours, which vary together, are in different parts."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for id_, data in zip(pdf["id"], pdf["data"], strict=True):
+                x = np.frombuffer(data, np.uint8).astype(np.uint64)
+                x = np.r_[x, np.zeros(-len(x) % parts, np.uint64)].reshape(-1, parts)
+                h = np.zeros(parts, np.uint64)
+                for line in x:
+                    h = (h ^ line) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(29)
+                yield pd.DataFrame({"part": np.arange(parts, dtype=np.int32), "key": h.view(np.int64), "id": id_})
+
+    return rows.select("id", "data").mapInPandas(keys, "part int, key long, id long")
+
+
+def part_groups(rows: DataFrame, parts: int) -> DataFrame:
+    """``part, key, id, n``: the rows that agree with another in a part, with their number. Two rows that differ in fewer loci than there
+    are parts agree in one part at least, so no similar pair is missed."""
+    keys = shared_copy(part_keys(rows, parts))
+    sizes = keys.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return keys.join(sizes, ["part", "key"])
+
+
+UNIT, BUCKET_BYTES, AT_ONCE = 512, 16 << 20, 1 << 24
+
+
+def _met_in_parts(rows: DataFrame, groups: DataFrame, apart: int, loci: int) -> DataFrame:
+    """``id, copies``: for each row the copies of a similar one, met in a part. Groups are cut into units of two blocks of ``UNIT`` rows,
+    and units dealt to buckets of bounded size; a pair counts in the first part in which it agrees."""
+    parts = apart + 1
+    blocks = F.ceil(F.col("n") / UNIT).cast("int")
+    blk = F.pmod(F.xxhash64("id", "part"), blocks).cast("int")
+    units = groups.withColumn("nb", blocks).withColumn("blk", blk)
+    left = units.withColumn("ti", F.col("blk")).withColumn("tj", F.explode(F.sequence(F.col("blk"), F.col("nb") - 1))).withColumn("at", F.lit(0))
+    right = units.withColumn("tj", F.col("blk")).withColumn("ti", F.explode(F.sequence(F.lit(0), F.col("blk")))).where("ti < tj").withColumn("at", F.lit(1))
+    dealt = left.unionByName(right).select("part", "key", "ti", "tj", "at", "id")
+    buckets = max(1, -(-dealt.count() * max(1, loci) // BUCKET_BYTES))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("part", "key", "ti", "tj"), F.lit(buckets))).join(rows.select("id", "copies", "data"), "id")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        out_id, out_n = [], []
+        for (part, _, ti, tj), unit in pdf.groupby(["part", "key", "ti", "tj"], sort=False):
+            sides = [unit[unit["at"] == k] for k in ((0, 0) if ti == tj else (0, 1))]
+            (s, x, cx), (t, y, cy) = ((u["id"].to_numpy(), np.frombuffer(b"".join(u["data"]), np.uint8).reshape(len(u), loci), u["copies"].to_numpy()) for u in sides)
+            step = max(1, AT_ONCE // max(1, len(t) * loci))
+            for lo in range(0, len(s), step):
+                differ = x[lo : lo + step, None, :] != y[None]
+                near = differ.sum(-1) <= apart
+                if ti == tj:
+                    near &= s[lo : lo + step, None] < t[None]
+                a, b = np.nonzero(near)
+                if len(a):
+                    d = differ[a, b]
+                    d = np.pad(d, ((0, 0), (0, -loci % parts))).reshape(len(a), -1, parts).any(1)
+                    first = (~d).argmax(1) == part
+                    a, b = a[first] + lo, b[first]
+                    out_id += [s[a], t[b]]
+                    out_n += [cy[b], cx[a]]
+        if not out_id:
+            return pd.DataFrame({"id": [], "copies": []}, dtype="int64")
+        return pd.DataFrame({"id": np.concatenate(out_id), "copies": np.concatenate(out_n)}).groupby("id", as_index=False)["copies"].sum()
+
+    return dealt.groupBy("bucket").applyInPandas(meet, "id long, copies long")
+
+
+def _met_in_tiles(rows: DataFrame, n: int, loci: int, identity: float, block: int) -> DataFrame:
+    """As ``_met_in_parts``, by products of all pairs of blocks, dealt to tiles."""
     n_blocks = max(1, -(-n // block))
-    side = tile_side(n_blocks, block * (loci or 1), cells.sparkSession.sparkContext.defaultParallelism)
-    dealt = deal(rows.withColumn("blk", F.pmod(F.xxhash64("sample"), F.lit(n_blocks)).cast("int")), n_blocks, side)
+    side = tile_side(n_blocks, block * max(1, loci), rows.sparkSession.sparkContext.defaultParallelism)
+    dealt = deal(rows.select("id", "copies", "data").withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")), n_blocks, side)
+    need = need_equal(identity, loci)
 
-    def count(pdf):
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.ti.iloc[0] == pdf.tj.iloc[0]
         sides = []
         for at in (0, 0) if own else (0, 1):
             part = pdf[pdf["at"] == at]
-            sides.append((part["sample"].to_numpy(), np.frombuffer(b"".join(part["data"]), np.int8).reshape(len(part), -1) if len(part) else np.zeros((0, 0), np.int8)))
-        (s, x), (t, y) = sides
+            sides.append((part["id"].to_numpy(), np.frombuffer(b"".join(part["data"]), np.int8).reshape(len(part), loci), part["copies"].to_numpy()))
+        (s, x, cx), (t, y, cy) = sides
         found = np.zeros(len(s), np.int64), np.zeros(len(t), np.int64)
-        if len(s) and len(t):
-            states = np.union1d(np.unique(x), np.unique(y))
-            for p in range(0, len(s), block):
-                for q in range(0, len(t), block):
-                    same = np.zeros((len(s[p : p + block]), len(t[q : q + block])), np.float32)
-                    for lo in range(0, x.shape[1], 1 << 16):
-                        a, b = x[p : p + block, lo : lo + (1 << 16)], y[q : q + block, lo : lo + (1 << 16)]
-                        same += sum((a == v).astype(np.float32) @ (b == v).astype(np.float32).T for v in states)
-                    near = same >= identity * x.shape[1] - 1e-6
-                    found[0][p : p + block] += near.sum(1)
-                    found[1][q : q + block] += near.sum(0)
-        out = pd.DataFrame({"sample": s, "n": found[0]})
-        return out if own else pd.concat([out, pd.DataFrame({"sample": t, "n": found[1]})], ignore_index=True)
-
-    return dealt.groupBy("ti", "tj").applyInPandas(count, "sample long, n long").groupBy("sample").agg(F.sum("n").alias("n"))
-
-
-def sample_weights(cells: DataFrame, identity: float = 0.9) -> DataFrame:
+        states = np.union1d(np.unique(x), np.unique(y))
+        for p in range(0, len(s), block):
+            for q in range(0, len(t), block):
+                same = np.zeros((len(s[p : p + block]), len(t[q : q + block])), np.float32)
+                for lo in range(0, x.shape[1], 1 << 16):
+                    a, b = x[p : p + block, lo : lo + (1 << 16)], y[q : q + block, lo : lo + (1 << 16)]
+                    same += sum((a == v).astype(np.float32) @ (b == v).astype(np.float32).T for v in states)
+                near = (same >= need) & (s[p : p + block, None] != t[None, q : q + block])
+                found[0][p : p + block] += near @ cy[q : q + block]
+                found[1][q : q + block] += cx[p : p + block] @ near
+        out = pd.DataFrame({"id": s, "copies": found[0]})
+        return out if own else pd.concat([out, pd.DataFrame({"id": t, "copies": found[1]})], ignore_index=True)
+
+    return dealt.groupBy("ti", "tj").applyInPandas(count, "id long, copies long")
+
+
+def sample_weights(cells: DataFrame, identity: float = 0.9, plan: str = "auto") -> DataFrame:
     """``sample, weight``: one over the number of samples that count as equal, itself included."""
-    return similar_counts(cells, identity).select("sample", (1.0 / F.col("n")).alias("weight"))
+    return similar_counts(cells, identity, plan).select("sample", (1.0 / F.col("n")).alias("weight"))
 
 
 def unit_weights(cells: DataFrame) -> DataFrame:

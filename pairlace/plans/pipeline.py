@@ -16,6 +16,7 @@ from pairlace.operators import outliers as ou
 from pairlace.operators import threshold as th
 from pairlace.operators import weights as we
 from pairlace.operators.lineage import shared_copy
+from pairlace.operators.packed import pack
 
 
 @dataclass(frozen=True)
@@ -49,17 +50,18 @@ def analyse(
     if weights is None:
         weights = we.sample_weights(c, config.reweighting_threshold) if config.sample_reweighting else we.unit_weights(c)
     weights = shared_copy(weights)
-    n_loci = c.select("pos").distinct().count()
-    tau = config.mi_threshold
-    if tau is None or tau < 0:
+    packed = pack(c, weights, config.block_loci)
+    n_loci, tau = packed.n_loci, config.mi_threshold
+    if (tau is None or tau < 0) and not config.exact_threshold:
         keep = pairs_to_save(n_loci, config.mi_values)
-        tau = th.estimate_threshold(c, weights, keep, config.pseudocount, config.threshold_iterations, config.threshold_pairs, config.mi_digits, config.block_loci, config.n_states).first()[0]
+        tau = th.estimate_threshold(packed, None, keep, config.pseudocount, config.threshold_iterations, config.threshold_pairs, config.mi_digits, config.block_loci, config.n_states).first()[0]
     circle = genome if config.topology == "circular" else None
-    both = shared_copy(m.block_mi(c, weights, config.pseudocount, None if config.exact_threshold else tau, config.block_loci, config.ld_threshold, circle, config.n_states, config.gap_state, config.mi_digits))
+    how = {"alpha": config.pseudocount, "ld": config.ld_threshold, "genome_size": circle, "n_states": config.n_states, "gap_state": config.gap_state, "digits": config.mi_digits, "gap_mode": config.gap_mode}
+    if config.exact_threshold:
+        both, tau = th.exact_scan(packed, pairs_to_save(n_loci, config.mi_values), **how)
+    else:
+        both = shared_copy(m.block_mi(packed, threshold=tau, **how))
     edges = both.where("kind = 'edge'").drop("kind")
-    if config.exact_threshold and n_loci:
-        tau = th.exact_threshold(edges, pairs_to_save(n_loci, config.mi_values)).first()[0]
-        edges = th.saved_edges(edges, tau)
     edges = edges.withColumn("distance", genome_distance(F.col("i"), F.col("j"), config.topology, genome))
     maxima = both.where("kind = 'max'").groupBy(F.col("i").alias("pos")).agg(F.max("mi").alias("mi"))
     fences = ou.outlier_thresholds(maxima)

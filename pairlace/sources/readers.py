@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlace.functions.scalars import symbol_state
+from pairlace.operators.alignment import RaggedAlignmentError
 
 
 class EmptyAlignmentError(ValueError):
@@ -61,7 +62,12 @@ def cells_of(sequences: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return cells_of(read_sequences(spark, path))
+    """The cells of an alignment. Raises RaggedAlignmentError where sequences differ in length."""
+    rows = read_sequences(spark, path)
+    short, long = rows.select(F.struct(F.length("sequence").alias("n"), "name").alias("r")).agg(F.min("r"), F.max("r")).first()
+    if short.n != long.n:
+        raise RaggedAlignmentError(f"sequence {short.name!r} has {short.n} symbols and {long.name!r} has {long.n}")
+    return cells_of(rows)
 
 
 def _words(spark: SparkSession, path: str) -> DataFrame:

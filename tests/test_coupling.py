@@ -9,8 +9,10 @@ from pairlace.config import CouplingConfig
 from pairlace.functions import scalars as fn
 from pairlace.operators import alignment as al
 from pairlace.operators import aracne as ar
+from pairlace.operators import kernels as kn
 from pairlace.operators import mi as m
 from pairlace.operators import outliers as ou
+from pairlace.operators import packed as pk
 from pairlace.operators import threshold as th
 from pairlace.operators import tiles
 from pairlace.operators import weights as we
@@ -148,17 +150,26 @@ def test_whole_analysis_of_nothing(spark, cells):
 def test_blocks_of_far_loci(spark, cells, monkeypatch):
     """Blocks follow the rank of a locus, not its position, and slices of samples add up."""
     far = cells.withColumn("pos", F.col("pos") * 100_000)
-    assert m.packed_loci(far, 4).select("blk").distinct().count() == 3
-    assert sorted((r.pos, r["rank"]) for r in m.locus_ranks(far, 50).collect()) == [(k * 100_000, k - 1) for k in range(1, 11)]
+    assert pk.pack(far, None, 4).loci.select("blk").distinct().count() == 3
+    assert sorted((r.pos, r["rank"]) for r in pk.locus_ranks(far, 50).collect()) == [(k * 100_000, k - 1) for k in range(1, 11)]
     want = {(r.i * 100_000, r.j * 100_000): r.mi for r in m.mi_pairs(cells).collect()}
     got = {(r.i, r.j): r.mi for r in m.block_mi(far, block=4).where("kind = 'edge'").collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
-    monkeypatch.setattr(m, "SLICE", 3)
     rng = np.random.default_rng(1)
     x, y, w = rng.integers(0, 5, (4, 20)).astype(np.int8), rng.integers(0, 5, (6, 20)).astype(np.int8), rng.random(20)
-    sliced = m._block_mi(x, y, w, 0.5, 5, None)
-    monkeypatch.setattr(m, "SLICE", 100)
-    assert np.allclose(sliced, m._block_mi(x, y, w, 0.5, 5, None))
+    u, v = (k.ravel() for k in np.meshgrid(np.arange(4), np.arange(6), indexing="ij"))
+    for weights in (w, None):
+        want = np.zeros((5, 5, 4, 6))
+        for a, b in zip(*np.nonzero(np.ones((4, 6))), strict=True):
+            np.add.at(want[:, :, a, b], (x[a], y[b]), 1.0 if weights is None else weights)
+        for size in (3, 100):
+            monkeypatch.setattr(kn, "SLICE", size)
+            monkeypatch.setattr(kn, "AT_ONCE", 5 * size)
+            assert np.allclose(kn.block_counts(x, y, weights, 5), want)
+            assert np.allclose(kn.pair_counts(x, y, u, v, weights, 5), want[:, :, u, v])
+            for dense in (1, 8, 1000):  # by whole blocks, and pair by pair
+                monkeypatch.setattr(kn, "DENSE", dense)
+                assert np.allclose(kn.listed_counts(x, y, u[::3], v[::3], weights, 5, 2), want[:, :, u[::3], v[::3]])
 
 
 @pytest.mark.parametrize("threshold", [None, 0.1])
@@ -171,7 +182,8 @@ def test_slices_of_samples_agree(cells, monkeypatch, threshold):
     tops = top(whole)
     pairs = m.mi_pairs(cells).select("i", "j")
     one = {(r.i, r.j): round(r.mi, 9) for r in m.listed_mi(cells, pairs, w, block=3).collect()}
-    monkeypatch.setattr(m, "SAMPLES", 3)
+    monkeypatch.setattr(pk, "TILE_BYTES", 18)
+    assert pk.pack(cells, w, 3).slices == 3
     sliced = m.block_mi(cells, w, threshold=threshold, block=3, ld=1, genome_size=10)
     cut = rows(sliced)
     assert {k: v for k, v in cut.items() if k[0] == "edge"} == {k: v for k, v in rows(whole).items() if k[0] == "edge"}
