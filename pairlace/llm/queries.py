@@ -197,10 +197,11 @@ def op12_filter_audit(s, d):
     return filter_audit.audit(read(s, d, "documents"), read(s, d, "labels"))
 
 
-# Each string of 50 bytes as 100 hexadecimal digits, met by equality; runs of places that are not removed by islands.
+# Each string of 50 bytes as 100 hexadecimal digits, cut from parts of 500 starts, met by equality; runs of places that are not removed by islands.
 OP13_SQL = """
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
-s AS (SELECT k, doc_id, p, substr(h, 2 * p + 1, 100) s FROM (SELECT k, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) p FROM d)),
+part AS (SELECT k, doc_id, i, substr(h, 1000 * i + 1, 1098) b FROM (SELECT k, doc_id, h, unnest(range(0, length(h) // 1000 + 1)) i FROM d)),
+s AS (SELECT k, doc_id, 500 * i + p p, substr(b, 2 * p + 1, 100) s FROM (SELECT k, doc_id, i, b, unnest(range(0, greatest(length(b) // 2 - 49, 0))) p FROM part)),
 m AS (SELECT s, min(doc_id) m FROM s GROUP BY s HAVING count(*) > 1),
 hit AS (SELECT k, p, p - lag(p) OVER (PARTITION BY k ORDER BY p) gap FROM s JOIN m ON m.s = s.s WHERE s.doc_id > m.m),
 run AS (SELECT k, p, sum(CASE WHEN gap IS NULL OR gap > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY p) r FROM hit),

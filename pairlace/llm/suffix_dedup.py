@@ -39,10 +39,10 @@ from pairlace.llm.common import BYTE_KEY, forget, meet, mix, only, stored, text_
 WIDTH, PIECE = 50, 32
 SPREAD = WIDTH - PIECE  # a string starts at most so many bytes before its anchor
 BLOCK = 1 << 16  # places hashed at a time: arrays that stay in the cache
-CHUNK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+CHUNK_BYTES, KEY_RANGE_BYTES, RANGE_BYTES = 8 << 20, 12 << 20, 4 << 20
 VERY_MANY = 2000  # documents with one anchor, beyond which its strings are dealt by their own hash
 _FACTORS = np.random.default_rng(20240613).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
-_LOW = np.uint64((1 << 32) - 1)
+_LOW, _TURN = np.uint64((1 << 32) - 1), np.uint64(0x9E3779B97F4A7C15)
 
 
 def piece_hashes(data: np.ndarray) -> np.ndarray:
@@ -78,7 +78,7 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, ..
         a = at[start]
         new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1)])
         q, first, last = a[new], start[new], start[np.r_[new[1:], len(start)] - 1]
-        yield q + lo, first + lo, last + lo, h[q], h[first], h[last + SPREAD]
+        yield q + lo, first + lo, last + lo, mix(h[q] ^ _TURN), h[first], h[last + SPREAD]  # least hashes are small ones: spread them
 
 
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -103,7 +103,7 @@ def unsqueezed(raw: bytes, size: int, kind) -> np.ndarray:
 #: A task's anchors of a range: sorted hashes as differences, with the chunk of each and its documents there.
 KEYS = "range long, size long, data binary, chunks binary, counts binary"
 _KEYS = pa.schema([("range", pa.int64()), ("size", pa.int64()), ("data", pa.binary()), ("chunks", pa.binary()), ("counts", pa.binary())])
-FLUSH_ANCHORS = 4_000_000
+FLUSH_ANCHORS = 1_000_000
 
 
 def columns_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -132,11 +132,11 @@ def _emit_keys(ranges: int):
             return columns_of(list(_key_rows(key, chunk, own)), _KEYS).to_batches()
 
         for batch in batches:
-            chunks = batch.column("chunk").to_numpy(zero_copy_only=False)
+            chunks = batch.column("chunk").to_numpy(zero_copy_only=False).astype(np.uint32)
             for lo, _, data, offs in text_chunks(batch, limit=4 * BLOCK):
                 for q, _, _, h, _, _ in anchors(data, offs):
                     own = lo + np.searchsorted(offs, q, "right") - 1
-                    held.append((in_range(h, ranges), chunks[own], row + own))
+                    held.append((in_range(h, ranges), chunks[own], (row + own).astype(np.int32)))
                     n += len(q)
             row += batch.num_rows
             if n > FLUSH_ANCHORS:
@@ -207,7 +207,7 @@ def _pack_texts(batches):
     yield from told()
 
 
-def _around(ranges: int):
+def _around(ranges: int, parts: int):
     """A chunk: the surroundings of its shared anchors, a row a range."""
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -253,7 +253,7 @@ def _around(ranges: int):
         doc = np.searchsorted(offs, first, "right") - 1
         ids_ = np.array(ids, np.int64)
         shape = (first - base) * 64 + (last - base)
-        r = range_of(route.astype(np.uint64), ranges)
+        r = range_of(route.astype(np.uint64), parts)
         order = np.lexsort((ids_[doc], shape, c2, c1, r))
         base, first, last, doc, shape, r, c1, c2 = (x[order] for x in (base, first, last, doc, shape, r, c1, c2))
         new = np.r_[True, (r[1:] != r[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]) | (shape[1:] != shape[:-1])]
@@ -281,12 +281,17 @@ def suffix_order(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of equally long byte strings (a row each), and whether each shares all its bytes with the one before it in
     that order; ties stay in order of the rows."""
     n, m = texts.shape
-    words = np.zeros((n, -(-m // 8) * 8), np.uint8)
-    words[:, :m] = texts
-    words = words.view(">u8").astype(np.uint64)
-    order = np.lexsort(words.T[::-1])
-    s = words[order]
-    return order, np.r_[False, (s[1:] == s[:-1]).all(1)] if n else np.zeros(0, bool)
+    words = []
+    for at in range(0, m, 8):
+        eight = np.zeros((n, 8), np.uint8)
+        eight[:, : min(8, m - at)] = texts[:, at : at + 8]
+        words.append(eight.view(">u8")[:, 0].astype(np.uint64))
+    order = np.lexsort(words[::-1])
+    tied = np.ones(n, bool)
+    tied[:1] = False
+    for w in words:
+        tied[1:] &= w[order][1:] == w[order][:-1]
+    return order, tied
 
 
 def _smaller_before(key: np.ndarray, tied: np.ndarray) -> np.ndarray:
@@ -397,7 +402,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = _read(docs).select("doc_id", "text", fingerprint(F.col("text")).alias("print"))
     small = stored(texts.select("doc_id", "print", F.octet_length("text").cast("long").alias("bytes")).where(F.col("doc_id").isNotNull() & (F.col("bytes") >= WIDTH)))
     total = small.agg(F.sum("bytes")).first()[0] or 0
-    chunks, ranges = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // RANGE_BYTES))
+    chunks, ranges, parts = (max(1, -(-total // b)) for b in (CHUNK_BYTES, KEY_RANGE_BYTES, RANGE_BYTES))
     firsts = stored(small.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     copies = stored(meet(small, firsts, "print", "n").where("doc_id > least").select("doc_id", "print", "bytes").distinct())
     chunk = F.pmod(F.xxhash64("doc_id", "print"), F.lit(chunks)).alias("chunk")
@@ -406,7 +411,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
     dealt = long.mapInArrow(_pack_texts, DEALT).unionByName(stored(shared).select("*", *none("binary", "ids", "prints")))
     dealt = dealt.unionByName(copies.select(chunk, F.lit(2).alias("kind"), *none("long", "range"), F.col("doc_id").alias("size"), *none("binary", "data", "also", "ids"), F.col("print").alias("prints")))
-    around = stored(dealt.groupBy("chunk").applyInArrow(_around(ranges), AROUND))
+    around = stored(dealt.groupBy("chunk").applyInArrow(_around(ranges, parts), AROUND))
     factors = around.where("range >= 0").select("range", "chunk", "size", "data", "own").groupBy("range").applyInArrow(_range_factors, FACTORS)
     uses = around.select("range", "chunk", F.lit(0).alias("kind"), "size", "uses", F.when(F.col("range") < 0, F.col("data")).alias("data"), "own", "also")
     back = factors.select("range", "chunk", F.lit(1).alias("kind"), "size", *none("long", "uses"), "data", *none("binary", "own", "also"))

@@ -56,7 +56,8 @@ def test_against_plain(spark, monkeypatch, very):
     rows = [(int(k), t) for k, t in zip(rng.permutation(len(texts)), texts, strict=True)]
     monkeypatch.setattr(sd, "VERY_MANY", very)
     monkeypatch.setattr(sd, "CHUNK_BYTES", 3000)
-    monkeypatch.setattr(sd, "RANGE_BYTES", 5000)
+    monkeypatch.setattr(sd, "KEY_RANGE_BYTES", 5000)
+    monkeypatch.setattr(sd, "RANGE_BYTES", 2000)
     assert sum(r[2] for r in same(spark, rows)) > 1000
 
 
