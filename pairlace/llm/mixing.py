@@ -6,7 +6,9 @@ probabilities (documents) and the sum of probability times size (tokens), until
 flight runs in blocks of bounded size; a block leaves at most two open documents and its few smallest ones, which meet in
 fewer blocks of the next level, until one block a source is left. That block flies from its largest documents to its
 smallest, part by part: what rounding a part's last two open documents moves is spread over the smaller ones to come, and
-the smallest dozen lands where the totals are nearest, by exact search. Of some such samples the nearest is taken.
+the smallest dozen lands where the totals are nearest, by exact search. Of some such samples the nearest is taken, and a few
+of its documents, of all sizes, are turned over, four at a time, where that comes nearer: sources of a few dozen documents with a heavy tail
+land within a word of their target.
 
 Draws come from a hash of source, block and level, so reruns agree. Null text has size 0; the null source is a source,
 the last in order. Repeated rows are documents of their own; rows of equal size tie and go by their hash. Sources without
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pairlace.llm.common import only, space_words, stored
 
 BLOCK, MOST_COPIES, WEIGHTS = 2048, 3, (1, 2, 3)
-HOLD, PARTS, SEARCHED, DRAWS = 16, (512, 64), 14, 24
+HOLD, PARTS, SEARCHED, DRAWS, REPAIRED, REPAIRS = 16, (512, 64), 14, 6, 256, 60
 
 
 def source_targets(sizes: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -126,8 +128,42 @@ def shifted(p: np.ndarray, size: np.ndarray, tokens: float, docs: float) -> np.n
     return p
 
 
+def repaired(out: np.ndarray, p: np.ndarray, size: np.ndarray, most: int = REPAIRED) -> np.ndarray:
+    """``out`` with up to four rows turned over, so that tokens, then documents, come nearest to those of ``p``. Rows from all over
+    the order of size, ``most`` at the most, are taken two at a time; each two meet the other twos that make good what is
+    left. Sizes are whole numbers, so tokens within half a word of each other tie."""
+    some = np.flatnonzero(size > 0)
+    spread = lambda rows, n: rows[np.unique(np.linspace(0, len(rows) - 1, min(n, len(rows))).astype(int))] if len(rows) else rows
+    few = min(some[out[some] > 0], some[out[some] == 0], key=len)  # nearly all may be in, or out
+    pick = np.union1d(spread(some, most), spread(few, most // 4))
+    turn = np.where(out[pick] > 0, -1, 1)
+    change = np.r_[0.0, turn * size[pick]]  # the first is no row at all
+    count = np.r_[0, turn]
+    a, b = np.triu_indices(len(change), 1)
+    a, b = np.r_[0, a], np.r_[0, b]
+    two, docs = change[a] + change[b], count[a] + count[b]
+    order = np.argsort(two, kind="stable")
+    miss, far = float(((out - p) * size).sum()), float((out - p).sum())
+    at = np.searchsorted(two[order], -miss - two)
+    best, least = None, (np.floor(abs(miss) + 0.5), abs(far), abs(miss))
+    for near in range(-4, 4):
+        k = order[np.clip(at + near, 0, len(order) - 1)]
+        apart = ((a != a[k]) | (a == 0)) & ((b != b[k]) | (b == 0)) & ((a != b[k]) | (a == 0)) & ((b != a[k]) | (b == 0))
+        left = np.where(apart, np.abs(miss + two + two[k]), np.inf)
+        whole, off = np.floor(left + 0.5), np.abs(far + docs + docs[k])
+        j = int(np.lexsort((left, off, whole))[0])
+        if (whole[j], off[j], left[j]) < least:
+            best, least = (a[j], b[j], a[k[j]], b[k[j]]), (whole[j], off[j], left[j])
+    out = out.copy()
+    if best is not None:
+        rows = pick[np.array([x for x in best if x], int) - 1]
+        out[rows] = 1 - out[rows]
+    return out
+
+
 def settle(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The nearest to the tokens wanted of up to ``DRAWS`` samples; the first that misses by no more than a smallest row."""
+    """The nearest to the tokens wanted of up to ``DRAWS`` samples, or the first that misses by no more than a smallest row; a few
+    rows turned over then make good what it misses."""
     best, least = None, np.inf
     for _ in range(DRAWS):
         out = settled_once(p, size, rng)
@@ -136,6 +172,11 @@ def settle(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
             best, least = out, miss
         if least <= min(size[size > 0], default=0):
             break
+    for _ in range(REPAIRS if best is not None else 0):
+        better = repaired(best, p, size)
+        if (better == best).all():
+            break
+        best = better
     return p.copy() if best is None else best
 
 
