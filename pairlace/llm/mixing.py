@@ -181,10 +181,12 @@ def settle(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def settled_once(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """All probabilities to 0 or 1, from rows in order of size, the smallest last."""
+    """All probabilities to 0 or 1, from rows in order of size, the smallest last. Rows with more than a 64th of all tokens are
+    a part of their own, so that all others make room for them."""
     p, tokens, docs, start = p.copy(), float((p * size).sum()), float(p.sum()), 0
-    for left in (*PARTS, SEARCHED):
-        end = max(start, len(p) - left)
+    large = int((size * 64 > size.sum()).sum())
+    for left in (len(p) - large, *PARTS, SEARCHED):
+        end = max(start, len(p) - max(left, SEARCHED))
         if end > start:
             later = size[end:]
             part = flight(p[start:end], size[start:end], rng)
