@@ -18,13 +18,14 @@ GROUP_EDGES, PROBES = 200_000, 1 << 22
 def _colour_groups(edges: DataFrame, colours: int | None) -> DataFrame:
     """``c1, c2, c3, i, j, mi``: vertices fall in colour classes, and an edge goes to each triple of colours that its triangles
     can have, once. A hub's edges spread over all triples with its colour. An edge is sent once a colour; no wedge is ever a row."""
-    e = edges.select(F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j"), F.col("mi").cast("double").alias("mi")).where("i <> j")
+    more = [c for c in edges.columns if c == "fresh"]
+    e = edges.select(F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j"), F.col("mi").cast("double").alias("mi"), *more).where("i <> j")
     if colours is None:
         colours = max(1, int((6 * e.count() / GROUP_EDGES) ** 0.5 + 0.999))
     colour = lambda c: F.pmod(F.xxhash64(c), F.lit(colours)).cast("int")
     third = F.explode(F.sequence(F.lit(0), F.lit(colours - 1))).alias("x")
     three = F.sort_array(F.array(colour("i"), colour("j"), F.col("x")))
-    return e.select("i", "j", "mi", third).select(*[three[k].alias(f"c{k + 1}") for k in range(3)], colour("i").alias("ci"), colour("j").alias("cj"), "i", "j", "mi")
+    return e.select("i", "j", "mi", third, *more).select(*[three[k].alias(f"c{k + 1}") for k in range(3)], colour("i").alias("ci"), colour("j").alias("cj"), "i", "j", "mi", *more)
 
 
 def _local_triangles(i: np.ndarray, j: np.ndarray, mi: np.ndarray):
@@ -102,11 +103,16 @@ def triangles_by_joins(edges: DataFrame) -> DataFrame:
 def indirect_edges(edges: DataFrame, tolerance: float = sys.float_info.epsilon, colours: int | None = None) -> DataFrame:
     """``i, j`` of each edge that is the weakest of some triangle by at least ``tolerance``. With tolerance 0 a tie
     for the weakest marks each of its edges, with a positive one it marks none. Triangles are judged where they are found; a
-    group tells each edge once at most."""
+    group tells each edge once at most. With a column ``fresh`` only triangles that hold a fresh edge are judged."""
+    some = "fresh" in edges.columns
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         bad = np.zeros(len(pdf), bool)
+        fresh = pdf["fresh"].to_numpy(bool) if some else None
         for _, _, mi, *three in _each_triple(pdf):
+            if some:
+                use = fresh[three[0]] | fresh[three[1]] | fresh[three[2]]
+                three = [k[use] for k in three]
             m = np.stack([mi[k] for k in three])
             s = np.sort(m, axis=0)
             for k, own in zip(three, m, strict=True):
@@ -123,3 +129,18 @@ def aracne(edges: DataFrame, tolerance: float = sys.float_info.epsilon, min_mi:
     e = shared_copy(e)  # read five times below
     flags = indirect_edges(e, tolerance).withColumn("_hit", F.lit(True))
     return e.join(flags, ["i", "j"], "left").withColumn("direct", F.col("_hit").isNull()).drop("_hit")
+
+
+def extend_network(known: DataFrame, part: DataFrame, tolerance: float = sys.float_info.epsilon) -> DataFrame:
+    """``i, j, mi, direct`` of a network and an appended part of edges, as pruning of all at once would give. ``known`` is a pruned
+    network (``i, j, mi, direct``). Marks only ever add up, and a new mark needs a triangle with a new edge, so old edges take part
+    only where they touch a new one's end. Edges that are known already are not new."""
+    same = lambda df, *more: df.select(F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j"), F.col("mi").cast("double").alias("mi"), *more)
+    old = shared_copy(same(known, "direct"))
+    new = shared_copy(same(part).dropDuplicates(["i", "j"]).join(old.select("i", "j"), ["i", "j"], "left_anti"))
+    ends = shared_copy(new.select(F.explode(F.array("i", "j")).alias("v")).distinct())
+    near = old.join(ends.withColumnRenamed("v", "i"), "i", "left_semi").select("i", "j", "mi").unionByName(old.join(ends.withColumnRenamed("v", "j"), "j", "left_semi").select("i", "j", "mi")).distinct()
+    met = near.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True)))
+    marks = indirect_edges(shared_copy(met), tolerance).withColumn("_hit", F.lit(True))
+    every = old.unionByName(new.withColumn("direct", F.lit(True)))
+    return every.join(marks, ["i", "j"], "left").withColumn("direct", F.col("direct") & F.col("_hit").isNull()).drop("_hit")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairlace.config import CouplingConfig
 from pairlace.functions import scalars as fn
+from pairlace.functions.sql_surface import register
 from pairlace.operators import alignment as al
 from pairlace.operators import aracne as ar
 from pairlace.operators import mi as m
@@ -19,7 +20,8 @@ from pairlace.operators import plotdata as pl
 from pairlace.operators import threshold as th
 from pairlace.operators import weights as we
 from pairlace.operators.lineage import shared_copy
-from pairlace.plans.fixtures import from_documents, from_embeddings, from_lineitem, from_parts
+from pairlace.operators.packed import pack
+from pairlace.plans.fixtures import from_documents, from_embeddings, from_lineitem, from_lineitem_wide, from_parts
 from pairlace.plans.pipeline import Network, analyse
 from pairlace.sources import readers, writers
 
@@ -473,9 +475,97 @@ def analysis_threshold(s, d):
     return s.createDataFrame([(network(s, d, run_aracne=False).save_threshold,)], "threshold double")
 
 
-@query("analysis_outliers", with_(*ANALYSIS, select=f"{PAIR}, coalesce(miw.mi, e.mi) AS mi_wo_gaps, round((1 - coalesce(miw.mi, e.mi) / e.mi) * 100, 4) AS gap_effect, CASE WHEN e.mi > f.extreme THEN 1 ELSE 0 END AS extreme FROM flagged e CROSS JOIN fences f LEFT JOIN miw ON miw.i = e.i AND miw.j = e.j WHERE e.mi >= f.outlier AND e.distance > {LD}"))
+E6 = E3.replace("cells AS (SELECT sample, p AS pos", "e3 AS (SELECT sample, p AS pos").replace("l_returnflag rf,", "CAST(l_partkey AS DOUBLE) n0, CAST(l_suppkey AS DOUBLE) n1, CAST(l_quantity AS DOUBLE) n2, l_returnflag rf,") + """,
+  cells AS (SELECT sample, 2 * pos pos, state FROM e3 UNION ALL SELECT sample, 2 * p + 1, CAST(floor((CASE p % 3 WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END) / k) AS BIGINT) % 4
+    FROM rows_, (SELECT p, [1, 3, 7, 11][p // 3 + 1] k FROM range(0, 12) r(p)) t)"""
+LINE_LD, LINE_KEEP = 3, 40
+WIDE = (
+    E6, xt_sql(), mi_sql(), "edges AS (SELECT i, j, mi, CAST(abs(i - j) AS BIGINT) distance FROM mi)", MAXIMA.replace(f"distance > {LD}", f"distance > {LINE_LD}"), FENCES,
+    f"tau AS (SELECT min(mi) threshold FROM (SELECT mi FROM edges ORDER BY mi DESC LIMIT {LINE_KEEP + 1}) t)", "saved AS MATERIALIZED (SELECT * FROM edges WHERE mi > (SELECT threshold FROM tau))",
+    "gappy AS (SELECT DISTINCT pos FROM cells WHERE state = 4)", FREE, xt_sql("xf", "freecells"), mi_sql("miw", "xf", "freecells"), aracne_sql("saved"),
+)
+
+
+@query("analysis_outliers", with_(*WIDE, select=f"CAST(e.i AS BIGINT) AS pos1, CAST(e.j AS BIGINT) AS pos2, e.distance, e.direct, e.mi, CASE WHEN e.i IN (FROM gappy) OR e.j IN (FROM gappy) THEN miw.mi ELSE e.mi END AS mi_wo_gaps, CASE WHEN e.i IN (FROM gappy) OR e.j IN (FROM gappy) THEN round((1 - miw.mi / e.mi) * 100, 4) ELSE 0.0 END AS gap_effect, CASE WHEN e.mi > f.extreme THEN 1 ELSE 0 END AS extreme FROM flagged e CROSS JOIN fences f LEFT JOIN miw ON miw.i = e.i AND miw.j = e.j WHERE e.mi >= f.outlier AND e.distance > {LINE_LD}"))
 def analysis_outliers(s, d):
-    return ints(network(s, d).outliers, "direct", "extreme").withColumn("gap_effect", F.round("gap_effect", 4))
+    """Coupled loci among many uncoupled ones, with the exact threshold found during the scan."""
+    setup = CouplingConfig(mi_values=LINE_KEEP, ld_threshold=LINE_LD, aracne_tolerance=TOL, filter_alignment=False, sample_reweighting=False, topology="linear", exact_threshold=True, output_base=0, mi_digits=6, block_loci=4)
+    return ints(analyse(from_lineitem_wide(s, d), setup).outliers, "direct", "extreme").withColumn("gap_effect", F.round("gap_effect", 4))
+
+
+@query("analysis_output_base", with_(*ANALYSIS, select="CAST(e.i + 1 AS BIGINT) AS pos1, CAST(e.j + 1 AS BIGINT) AS pos2, e.distance, e.direct, e.mi FROM flagged e"))
+def analysis_output_base(s, d):
+    """Positions are shown from 1; distances are those of the loci."""
+    return listed(network(s, d, output_base=1).couplings)
+
+
+@query("analysis_weights", with_(E1, PROFILE, "c2 AS (SELECT cells.* FROM cells JOIN kept USING (pos) WHERE sample % 3 <> 1)", "wts AS (SELECT DISTINCT sample, 1.0 / (1 + sample % 4) weight FROM c2)", xt_sql(cells="c2", weights="wts"), mi_sql(cells="c2"), EDGES, f"tau AS (SELECT min(mi) threshold FROM (SELECT mi FROM edges ORDER BY mi DESC LIMIT {KEEP + 1}) t)", "saved AS MATERIALIZED (SELECT * FROM edges WHERE mi > (SELECT threshold FROM tau))", aracne_sql("saved"), select=f"{PAIR} FROM flagged e"))
+def analysis_weights(s, d):
+    """The caller's weights and a list of samples: the filter sees all samples, MI the listed ones with their weights."""
+    cells = from_embeddings(s, d)
+    samples = cells.select("sample").distinct().where("sample % 3 <> 1")
+    weights = samples.withColumn("weight", 1.0 / (1 + F.col("sample") % 4))
+    return listed(analyse(cells, replace(SETUP, exact_threshold=True), samples=samples, weights=weights).couplings)
+
+
+LITERAL = """lit_pres AS (SELECT DISTINCT pos, state FROM cells), lit_pairs AS (SELECT DISTINCT i, j FROM xt),
+  lit_grid AS (SELECT g.i, g.j, a.state a, b.state b, coalesce(x.n, 0) + 0.5 n FROM lit_pairs g JOIN lit_pres a ON a.pos = g.i JOIN lit_pres b ON b.pos = g.j LEFT JOIN xt x ON x.i = g.i AND x.j = g.j AND x.a = a.state AND x.b = b.state),
+  lit_p AS (SELECT i, j, a, b, n / sum(n) OVER (PARTITION BY i, j) p FROM lit_grid),
+  lit_z AS (SELECT i, j, sum(p + 0.5) z FROM lit_p WHERE a <> 4 AND b <> 4 GROUP BY i, j),
+  lit_q AS (SELECT i, j, a, b, CASE WHEN a <> 4 THEN (p + 0.5) / z ELSE p / z END q FROM lit_p JOIN lit_z USING (i, j) WHERE b <> 4),
+  lit_joint AS (SELECT i, j, sum(q * ln(q)) h FROM lit_q WHERE a <> 4 GROUP BY i, j),
+  lit_second AS (SELECT i, j, sum(m * ln(m)) h FROM (SELECT i, j, b, sum(q) m FROM lit_q GROUP BY i, j, b) t GROUP BY i, j),
+  lit_first AS (SELECT i, j, sum(m * ln(m)) h FROM (SELECT i, j, a, sum(q) m FROM lit_q WHERE a <> 4 GROUP BY i, j, a) t GROUP BY i, j),
+  lit AS (SELECT i, j, lit_joint.h - lit_second.h - lit_first.h mi FROM lit_joint JOIN lit_second USING (i, j) JOIN lit_first USING (i, j))"""
+
+
+@query("mi_without_gaps_literal", with_(E1, xt_sql(), LITERAL, select="i, j, round(mi, 6) AS mi_wo_gaps FROM lit"))
+def mi_without_gaps_literal(s, d):
+    """Two passes over one table of shares, by the join plan."""
+    c = from_embeddings(s, d)
+    return m.mi_without_gaps(c, e1_mi(s, d), gap_mode="literal").withColumn("mi_wo_gaps", F.round("mi_wo_gaps", 6))
+
+
+@query("mi_block_literal", with_(E1, xt_sql(), LITERAL, select="CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(mi, 6) AS mi_wo_gaps FROM lit"))
+def mi_block_literal(s, d):
+    return m.block_mi(from_embeddings(s, d), block=16, gap_mode="literal").where("kind = 'edge'").select("i", "j", F.round("mi_wo_gaps", 6).alias("mi_wo_gaps"))
+
+
+@query("exact_scan", with_(E1, xt_sql(), mi_sql(), f"tau AS (SELECT min(mi) threshold FROM (SELECT mi FROM mi ORDER BY mi DESC LIMIT {KEEP + 1}) t)", select="CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, mi FROM mi WHERE mi > (SELECT threshold FROM tau)"))
+def exact_scan(s, d):
+    """The strongest pairs by tiles that tell a bounded number each, under a bound that rises from wave to wave."""
+    return th.exact_scan(pack(from_embeddings(s, d), None, 16), KEEP, digits=6)[0].where("kind = 'edge'").select("i", "j", "mi")
+
+
+@query("sample_weights_parts", with_(E4, weights_sql(0.9), select="sample, round(weight, 6) AS weight FROM wts"))
+def sample_weights_parts(s, d):
+    """Only samples that agree in some part of the loci are compared."""
+    return we.sample_weights(from_parts(s, d), 0.9, "parts").withColumn("weight", F.round("weight", 6))
+
+
+@query("network_extension", with_(E1, xt_sql(), mi_sql(), EDGES, aracne_sql(), select="CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, mi, direct FROM flagged"))
+def network_extension(s, d):
+    """A network that comes in three parts, pruned as each is appended."""
+    e = shared_copy(e1_mi(s, d).select("i", "j", "mi"))
+    part = F.pmod(F.col("i") * 7 + F.col("j"), F.lit(3))
+    net = ar.aracne(e.where(part == 1), TOL)
+    for k in (2, 0):
+        net = shared_copy(ar.extend_network(net, e.where(part == k), TOL))
+    return net.select("i", "j", "mi", F.col("direct").cast("int").alias("direct"))
+
+
+@query("sql_functions", with_(E1, xt_sql(), mi_sql(), draws_sql(iterations=1), select=f"CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, mi, CAST({DIST} AS BIGINT) AS distance FROM mi JOIN (SELECT DISTINCT i, j FROM drawn) p USING (i, j)"))
+def sql_functions(s, d):
+    """The registered functions in one SQL statement: drawn pairs, their MI and their distance on the circle."""
+    register(s)
+    view = f"cells_{uuid.uuid4().hex}"
+    from_embeddings(s, d).createOrReplaceTempView(view)
+    drawn = fn.sample_pair_count(GENOME, KEEP)
+    return s.sql(f"""
+        WITH p AS (SELECT u + 1 AS i, v + 1 AS j FROM sample_pairs({GENOME}, 1, {drawn}))
+        SELECT i, j, round(mi, 6) AS mi, circular_distance(i, j, {GENOME}) AS distance FROM (
+          SELECT p.i, p.j, pair_mi(a.state, b.state, 1.0D) AS mi
+          FROM p JOIN {view} a ON a.pos = p.i JOIN {view} b ON b.pos = p.j AND b.sample = a.sample GROUP BY p.i, p.j)""")
 
 
 @query("analysis_lines", with_(E3, xt_sql(), mi_sql(), "edges AS (SELECT i, j, mi, abs(i - j) distance FROM mi WHERE mi > 0.01)", "free3 AS (SELECT * FROM cells WHERE state <> 4)", xt_sql("xf", "free3"), mi_sql("miw", "xf", "free3"), "gappy AS (SELECT DISTINCT pos FROM cells WHERE state = 4)", aracne_sql(), select="CAST(e.i AS BIGINT) AS i, CAST(e.j AS BIGINT) AS j, CAST(e.distance AS BIGINT) AS distance, e.direct, e.mi, CASE WHEN e.i IN (FROM gappy) OR e.j IN (FROM gappy) THEN miw.mi ELSE e.mi END AS mi_wo_gaps FROM flagged e LEFT JOIN miw ON miw.i = e.i AND miw.j = e.j"))
@@ -503,10 +593,14 @@ def pruning_above(s, d):
     return ar.aracne(e1_mi(s, d).select("i", "j", "mi"), TOL, min_mi=0.02).select("i", "j", "mi", F.col("direct").cast("int").alias("direct"))
 
 
-@query("nothing_kept", with_(E1, PROFILE.replace("second >= 0.01 * n", "second > n"), KEPT, xt_sql(cells="c2"), select="CAST(i AS BIGINT) AS pos1, CAST(j AS BIGINT) AS pos2, CAST(0 AS BIGINT) AS distance, 0 AS direct, n AS mi FROM xt"))
+@query("nothing_kept", with_(E1, PROFILE, KEPT, "none2 AS (SELECT cells.* FROM cells JOIN (" + PROFILE.split("kept AS (")[1].rstrip(")").replace("second >= 0.01 * n", "second >= n") + ") USING (pos))", select="maf, CAST(count(DISTINCT pos) AS BIGINT) AS loci, CAST(count(DISTINCT pos) * (count(DISTINCT pos) - 1) // 2 AS BIGINT) AS couplings FROM (SELECT 0.01::DOUBLE maf) LEFT JOIN (SELECT 0.01::DOUBLE maf, pos FROM c2) USING (maf) GROUP BY maf UNION ALL SELECT 1.0::DOUBLE, CAST(count(DISTINCT pos) AS BIGINT), CAST(0 AS BIGINT) FROM none2"))
 def nothing_kept(s, d):
-    """No locus has a second allele in all samples: the listing is empty, with its columns."""
-    return listed(network(s, d, maf_threshold=1.0).couplings)
+    """The same analysis with a filter that keeps loci and one that keeps none: loci and positive couplings of each."""
+    rows = []
+    for maf in (0.01, 1.0):
+        loci = al.filter_positions(from_embeddings(s, d), maf=maf).select("pos").distinct().count()
+        rows.append((maf, loci, network(s, d, maf_threshold=maf, mi_threshold=0.0, mi_digits=None, run_aracne=False).couplings.count()))
+    return s.createDataFrame(rows, "maf double, loci long, couplings long")
 
 
 # ---- sources and sinks: written to the shared folder, read back ----------------------------------------------
@@ -584,9 +678,11 @@ def weights_scan(s, d):
     return readers.read_indexed_list(s, path, "sample", "weight", expected=w.count()).withColumn("weight", F.round("weight", 6))
 
 
-@query("weights_lines", with_(E1, weights_sql(0.9), select="sample, printf('%.6f', weight) AS value FROM wts"))
+@query("weights_lines", with_(E1, weights_sql(THETA), select="CAST(row_number() OVER (ORDER BY sample) - 1 AS BIGINT) AS place, printf('%.6f', weight) AS value FROM wts"))
 def weights_lines(s, d):
-    return we.sample_weights(from_embeddings(s, d), 0.9).select("sample", F.format_string("%.6f", "weight").alias("value"))
+    """Through the writer, at an identity where weights differ; the place in the file is the sample's."""
+    path = writers.write_weights(we.sample_weights(from_embeddings(s, d), THETA).withColumn("weight", F.round("weight", 6)), f"{folder(s)}/weights")
+    return readers.read_indexed_list(s, path, "place", "value", "string").withColumn("value", F.format_string("%.6f", F.col("value").cast("double")))
 
 
 @query("mapping_scan", with_(E1, select="sample, CAST(3 * pos + 7 AS BIGINT) AS pos, CAST(state AS INTEGER) AS state FROM cells"))
@@ -603,6 +699,25 @@ def couplings_scan(s, d):
     return readers.read_couplings(s, written(s, writers.couplings_lines(e1_couplings(s, d)), "couplings"))
 
 
+@query("couplings_order", with_(E1, xt_sql(), mi_sql(), EDGES, aracne_sql(), select="CAST(row_number() OVER (ORDER BY mi DESC, i, j) - 1 AS BIGINT) AS line, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM flagged"))
+def couplings_order(s, d):
+    """The place of each pair in the couplings file: strongest first."""
+    words = readers.read_indexed_list(s, written(s, writers.couplings_lines(e1_couplings(s, d)), "couplings"), "at", "word", "string")
+    of = lambda k: F.max(F.when(F.col("at") % 5 == k, F.col("word"))).cast("long")
+    return words.groupBy(F.floor(F.col("at") / 5).alias("line")).agg(of(0).alias("i"), of(1).alias("j"))
+
+
+@query("analysis_files", with_(*ANALYSIS, select="CAST(3 * e.i + 8 AS BIGINT) AS pos1, CAST(3 * e.j + 8 AS BIGINT) AS pos2, CAST(least(3 * abs(e.i - e.j), 200 - 3 * abs(e.i - e.j)) AS BIGINT) AS distance, e.direct, round(e.mi, 6) AS mi FROM flagged e"))
+def analysis_files(s, d):
+    """From files to files: an alignment and the positions of its columns are read, analysed, and the couplings written and read
+    back, with positions from 1."""
+    fasta = writers.write_alignment(from_embeddings(s, d), f"{folder(s)}/alignment", named(s, d))
+    columns = written(s, s.range(0, GENOME, 1, 3).select((3 * (F.col("id") + 1) + 7).cast("string").alias("value")))
+    cells = al.translate_loci(readers.read_fasta(s, fasta), readers.read_indexed_list(s, columns, "idx", "pos", "long", expected=GENOME))
+    net = analyse(cells, replace(SETUP, genome_size=200, output_base=1))
+    return readers.read_couplings(s, written(s, writers.couplings_lines(net.couplings), "couplings"))
+
+
 @query("edge_parts_scan", with_(E1, xt_sql(), mi_sql(), EDGES, aracne_sql(), select="CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, mi, direct FROM flagged"))
 def edge_parts_scan(s, d):
     """One network kept in two files, read as one and pruned."""

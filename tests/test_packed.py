@@ -212,3 +212,17 @@ def test_exact_threshold_in_the_analysis(spark):
     c = cells_of(spark, alignment(np.random.default_rng(6), 80, 20, rare=0.0))
     net = analyse(c, CouplingConfig(exact_threshold=True, mi_values=15, output_base=0, filter_alignment=False, run_aracne=False))
     assert 0 < net.couplings.count() <= 15 and net.couplings.where(F.col("mi") <= net.save_threshold).count() == 0
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 1, 0, 2)])
+def test_parts_in_any_order_give_the_whole(spark, order):
+    rng = np.random.default_rng(9)
+    e = sorted({tuple(sorted(rng.choice(25, 2, replace=False).tolist())) for _ in range(160)})
+    df = spark.createDataFrame([(a, b, round(float(rng.random()), 2), k % 4) for k, (a, b) in enumerate(e)], "i long, j long, mi double, part int").cache()
+    flags = lambda t: {(r.i, r.j): r.direct for r in t.collect()}
+    want = flags(ar.aracne(df.drop("part")))
+    net = ar.aracne(df.where(F.col("part") == order[0]).drop("part"))
+    for k in order[1:]:
+        net = ar.extend_network(net, df.where(F.col("part") == k).drop("part"))
+    again = ar.extend_network(net, df.drop("part").limit(40))  # known edges change nothing
+    assert flags(net) == want == flags(again) and not all(want.values())
