@@ -51,15 +51,15 @@ def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sample", F.posexplode("s").alias("p", "x")).select("sample", (F.col("p") + 1).alias("pos"), F.col("x").cast("tinyint").alias("state"))
 
 
-NOISE = ("l_partkey", "l_suppkey", "l_quantity")
+NOISE = 32
 
 
 def from_lineitem_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 8 loci of ``from_lineitem`` at even positions from 2, and 12 loci of little coupling at odd ones: most loci's largest MI
-    is small, so the coupled pairs are outliers."""
-    n = lambda c: F.col(c).cast("double")
+    """The 8 loci of ``from_lineitem`` at even positions from 2, and 32 loci of hardly any coupling at odd ones, remainders of the keys:
+    most loci's largest MI is small, so the coupled pairs are outliers."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    rest = [F.floor(n(c) / k).cast("long") % 4 for k in (1, 3, 7, 11) for c in NOISE]
+    mixed = lambda p: F.col("l_orderkey").cast("long") * (7919 * (p + 3)) + F.col("l_linenumber").cast("long") * 104729 + F.col("l_partkey").cast("long") * 31
+    rest = [(mixed(p) % 1000003) % 4 for p in range(NOISE)]
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey").cast("long") * 1000 + F.row_number().over(w)).alias("sample"), F.array(*rest).alias("s"))
     noise = rows.select("sample", F.posexplode("s").alias("p", "x")).select("sample", (2 * F.col("p") + 1).alias("pos"), F.col("x").cast("tinyint").alias("state"))
     return from_lineitem(spark, sf_dir).withColumn("pos", F.col("pos") * 2).unionByName(noise)

@@ -475,9 +475,8 @@ def analysis_threshold(s, d):
     return s.createDataFrame([(network(s, d, run_aracne=False).save_threshold,)], "threshold double")
 
 
-E6 = E3.replace("cells AS (SELECT sample, p AS pos", "e3 AS (SELECT sample, p AS pos").replace("l_returnflag rf,", "CAST(l_partkey AS DOUBLE) n0, CAST(l_suppkey AS DOUBLE) n1, CAST(l_quantity AS DOUBLE) n2, l_returnflag rf,") + """,
-  cells AS (SELECT sample, 2 * pos pos, state FROM e3 UNION ALL SELECT sample, 2 * p + 1, CAST(floor((CASE p % 3 WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END) / k) AS BIGINT) % 4
-    FROM rows_, (SELECT p, [1, 3, 7, 11][p // 3 + 1] k FROM range(0, 12) r(p)) t)"""
+E6 = E3.replace("cells AS (SELECT sample, p AS pos", "e3 AS (SELECT sample, p AS pos").replace("l_returnflag rf,", "CAST(l_orderkey AS BIGINT) ok, CAST(l_partkey AS BIGINT) pk, l_returnflag rf,") + """,
+  cells AS (SELECT sample, 2 * pos pos, state FROM e3 UNION ALL SELECT sample, 2 * p + 1, ((ok * (7919 * (p + 3)) + ln * 104729 + pk * 31) % 1000003) % 4 FROM rows_, range(0, 32) r(p))"""
 LINE_LD, LINE_KEEP = 3, 40
 WIDE = (
     E6, xt_sql(), mi_sql(), "edges AS (SELECT i, j, mi, CAST(abs(i - j) AS BIGINT) distance FROM mi)", MAXIMA.replace(f"distance > {LD}", f"distance > {LINE_LD}"), FENCES,
