@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 
 
 def shared_copy(df: DataFrame) -> DataFrame:
@@ -19,3 +19,10 @@ def shared_copy(df: DataFrame) -> DataFrame:
             folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def counted_copy(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    """A shared copy, with aggregates of its rows that are taken as they are written: no further job reads them."""
+    seen = Observation()
+    out = shared_copy(df.observe(seen, *[c.alias(name) for name, c in counts.items()]))
+    return out, seen.get

@@ -15,7 +15,7 @@ from pairlace.operators import mi as m
 from pairlace.operators import outliers as ou
 from pairlace.operators import threshold as th
 from pairlace.operators import weights as we
-from pairlace.operators.lineage import shared_copy
+from pairlace.operators.lineage import counted_copy, shared_copy
 from pairlace.operators.packed import pack
 
 
@@ -27,6 +27,7 @@ class Network:
     outlier_alignment: DataFrame
     weights: DataFrame
     save_threshold: float | None
+    counts: dict[str, int]
 
 
 def analyse(
@@ -35,7 +36,8 @@ def analyse(
 ) -> Network:
     """Include, exclude, filter, sample subset, weights, threshold, all pairs, fences, pruning, listings. The filter
     sees all samples unweighted; weights see the filtered loci only. The genome's length is that of the alignment as given,
-    before any list; listings are shifted by the output base."""
+    before any list; listings are shifted by the output base. ``counts`` are taken in passing: loci, samples, cells and gaps that
+    are analysed, edges saved, and those of them where a gap is."""
     c = cells
     genome = config.genome_size or (c.agg(F.max("pos")).first()[0] or 0) + 1
     if include is not None:
@@ -46,7 +48,7 @@ def analyse(
         c = al.filter_positions(c, maf=config.maf_threshold, gap=config.gap_threshold, denominator=config.maf_denominator, n_states=config.n_states, gap_state=config.gap_state)
     if samples is not None:
         c = al.subsample(c, samples)
-    c = shared_copy(c)
+    c, counts = counted_copy(c, cells=F.count("*"), gaps=F.count(F.when(F.col("state") == (-1 if config.gap_state is None else config.gap_state), 1)))
     if weights is None:
         weights = we.sample_weights(c, config.reweighting_threshold) if config.sample_reweighting else we.unit_weights(c)
     weights = shared_copy(weights)
@@ -61,7 +63,7 @@ def analyse(
         both, tau = th.exact_scan(packed, pairs_to_save(n_loci, config.mi_values), **how)
     else:
         both = shared_copy(m.block_mi(packed, threshold=tau, **how))
-    edges = both.where("kind = 'edge'").drop("kind")
+    edges, saved = counted_copy(both.where("kind = 'edge'").drop("kind"), edges=F.count("*"), with_gaps=F.count("mi_wo_gaps"))
     edges = edges.withColumn("distance", genome_distance(F.col("i"), F.col("j"), config.topology, genome))
     maxima = both.where("kind = 'max'").groupBy(F.col("i").alias("pos")).agg(F.max("mi").alias("mi"))
     fences = ou.outlier_thresholds(maxima)
@@ -74,5 +76,5 @@ def analyse(
     return Network(
         shown(edges).select("pos1", "pos2", "distance", "direct", "mi"),
         shown(ou.outliers(edges, fences, config.ld_threshold)).select("pos1", "pos2", "distance", "direct", "mi", "mi_wo_gaps", "gap_effect", "extreme"),
-        fences, ou.outlier_alignment(c, nodes), weights, tau,
+        fences, ou.outlier_alignment(c, nodes), weights, tau, {"loci": n_loci, "samples": packed.n_samples, **counts, **saved},
     )

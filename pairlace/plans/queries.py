@@ -492,6 +492,12 @@ def analysis_outliers(s, d):
     return ints(analyse(from_lineitem_wide(s, d), setup).outliers, "direct", "extreme").withColumn("gap_effect", F.round("gap_effect", 4))
 
 
+@query("analysis_counts", with_(*ANALYSIS, select="* FROM (SELECT 'cells' name, count(*) n FROM c2 UNION ALL SELECT 'edges', count(*) FROM saved UNION ALL SELECT 'gaps', count(*) FROM c2 WHERE state = 4 UNION ALL SELECT 'loci', count(DISTINCT pos) FROM c2 UNION ALL SELECT 'samples', count(DISTINCT sample) FROM c2 UNION ALL SELECT 'with_gaps', count(*) FROM saved WHERE i IN (SELECT pos FROM c2 WHERE state = 4) OR j IN (SELECT pos FROM c2 WHERE state = 4)) t"))
+def analysis_counts(s, d):
+    """What the analysis counts in passing."""
+    return s.createDataFrame(sorted(network(s, d).counts.items()), "name string, n long")
+
+
 @query("analysis_output_base", with_(*ANALYSIS, select="CAST(e.i + 1 AS BIGINT) AS pos1, CAST(e.j + 1 AS BIGINT) AS pos2, e.distance, e.direct, e.mi FROM flagged e"))
 def analysis_output_base(s, d):
     """Positions are shown from 1; distances are those of the loci."""
