@@ -1,12 +1,13 @@
 """Quality rules with robust multivariate outliers.
 
 Counts of each whole text give the base rules and a vector of transformed statistics. For each language and source the
-minimum-covariance-determinant estimate finds the centre and spread of the tightest three fifths: it starts from
-medians, and each step refits on the rows nearest by Mahalanobis distance. Rows too far from the centre are rejected.
+minimum-covariance-determinant estimate finds the centre and spread of the tightest three fifths: from two starts, medians and
+means, steps refit on the rows nearest by Mahalanobis distance until the determinant falls no more, and the start that ends with
+the smaller determinant counts. Rows too far from the centre are rejected.
 
 Steps are aggregates by group: sums of products, and quantiles over values rounded to hundredths, so that what a
-group gathers is bounded however many rows it has. A pair of language and source with few rows shares the group of its
-language, and a language with few rows the common one; a group that is still small rejects nothing. Null text has
+group gathers is bounded however many rows it has. Groups of all sizes are treated alike: a language's estimate is drawn
+towards that of all rows, and a source's towards its language's, as by a hundred more rows. Null text has
 no words and fails the base rules. Null language and source are values of their own. A very long text is measured in one chunk of its own. Rows at
 the same distance are taken or left together. Repeated rows get a row each; an empty table gives no rows. Extra columns
 are ignored.
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from pairlace.llm.common import WHITE, mix, only, stored, text_chunks, word_hashes, words_of
 
-WINDOW, LEAST_ROWS, SUBSET, STEPS = 8, 100, 0.6, 4
+WINDOW, SUBSET, STEPS, PRIOR_ROWS = 8, 0.6, 5, 100
+SCALE = 1.9  # the spread of a normal law in seven dimensions against that of its nearest three fifths
 FEATURES = ("log_words", "log_word_chars", "symbols", "upper", "dup_lines", "repeats", "marks")
 FLOOR = (0.4, 0.12, 0.35, 0.35, 0.15, 0.15, 0.35)  # least standard deviation of each, so that constants don't reject
 CUT = 40.0  # squared distance; about chi-square's 1 - 1e-6 for seven statistics
@@ -105,70 +107,105 @@ def measured(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(_measure, kinds)
 
 
-def grouped(rows: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """Adds ``grp``: language and source, or the language alone, or nothing, whichever has rows enough."""
-    both = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = F.col("n") < least
-    lang = both.where(small).groupBy("lang").agg(F.sum("n").alias("m"))
+def grouped(rows: DataFrame) -> DataFrame:
+    """Adds ``grp``, the language and source, and ``levels``: the groups whose estimates the row takes part in, its own, its
+    language's and the common one."""
     mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    names = both.join(lang.withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l")), "left")
-    grp = F.when(~small, F.concat_ws("/", mark("lang"), mark("source"))).when(F.col("m") >= least, mark("lang")).otherwise(F.lit("*"))
-    names = stored(names.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), grp.alias("grp")))  # its size is known when the join is planned
-    return rows.join(names, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
+    # the length says where the language ends, whatever characters it has
+    own, lang = F.concat(F.coalesce(F.length("lang"), F.lit(0)), mark("lang"), F.lit("/"), mark("source")), F.concat(F.lit("lang"), mark("lang"))
+    return rows.withColumn("grp", own).withColumn("levels", F.array(own, lang, F.lit("*")))
 
 
-def _distance(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Adds ``d2`` under the row's group's centre and inverse covariance."""
+def _distance(rows: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``d2`` under the centre and inverse covariance of the row's ``keys``. The model has a row a group and start."""
     k = len(FEATURES)
-    met = rows.join(model.select("grp", "mu", "inv"), "grp")
+    met = rows.join(model.select(*keys, "mu", "inv"), keys)
     diff = [F.col(f) - F.col("mu")[i] for i, f in enumerate(FEATURES)]
     met = met.withColumn("_d", F.array(*diff))
     d2 = sum((F.col("_d")[i] * F.col("_d")[j] * F.col("inv")[i * k + j] for i in range(k) for j in range(k)), F.lit(0.0))
     return met.withColumn("d2", d2).drop("_d", "mu", "inv")
 
 
-def _invert(batches):
+def _estimate(n: int, sums: list[float], products: list[list[float]]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centre, scaled covariance and log determinant of a group's nearest rows. The determinant has a small ridge, so that groups
+    with constant statistics can be compared too."""
+    m = np.array(sums) / n
+    cov = (np.array(products) / n - np.outer(m, m)) * SCALE
+    return m, cov, float(np.linalg.slogdet(cov + np.diag(np.array(FLOOR) ** 2 * 1e-2))[1])
+
+
+def floored(cov: np.ndarray) -> np.ndarray:
+    return cov + np.diag(np.maximum(np.array(FLOOR) ** 2 - np.diag(cov), 0) + 1e-6)
+
+
+MODEL = "grp string, start int, n long, mu array<double>, cov array<double>, inv array<double>, det double"
+
+
+def _step(batches):
     k = len(FEATURES)
-    floor = np.array(FLOOR) ** 2
     for pdf in batches:
-        mu, inv = [], []
+        out = []
         for r in pdf.itertuples(index=False):
-            m = np.array([getattr(r, f"s{i}") for i in range(k)]) / r.n
-            cov = np.array([[getattr(r, f"q{min(i, j)}_{max(i, j)}") for j in range(k)] for i in range(k)]) / r.n - np.outer(m, m)
-            cov = cov * r.scale + np.diag(np.maximum(floor - np.diag(cov * r.scale), 0) + 1e-6)
-            mu.append(m.tolist())
-            inv.append(np.linalg.inv(cov).ravel().tolist())
-        yield pd.DataFrame({"grp": pdf.grp, "mu": mu, "inv": inv})
-
-
-def fit(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS, least: int = LEAST_ROWS) -> DataFrame:
-    """``grp, mu, inv``: one row a group with rows enough; the spread is scaled to that of the whole for a normal law."""
-    big = rows.groupBy("grp").agg(F.count("*").alias("n"), F.array(*[F.median(f) for f in FEATURES]).alias("mu")).where(F.col("n") >= least)
-    big = stored(big.select("grp", "mu"))
-    dev = rows.join(big, "grp").groupBy("grp").agg(F.array(*[F.median(F.round(F.abs(F.col(f) - F.col("mu")[i]), 2)) for i, f in enumerate(FEATURES)]).alias("mad"))
+            mu, cov, det = _estimate(r.n, [getattr(r, f"s{i}") for i in range(k)], [[getattr(r, f"q{min(i, j)}_{max(i, j)}") for j in range(k)] for i in range(k)])
+            out.append((r.grp, r.start, r.n, mu.tolist(), cov.ravel().tolist(), np.linalg.inv(floored(cov)).ravel().tolist(), det))
+        yield pd.DataFrame(out, columns=["grp", "start", "n", "mu", "cov", "inv", "det"])
+
+
+def fit(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
+    """``grp, n, mu, cov``: of each group's starts the one with the least determinant, from ``rows`` of ``grp`` and the statistics. One start
+    is the medians with the spread around them, the other the mean of all rows with theirs; each goes on by concentration steps until no
+    determinant falls any more, or ``steps``. The spread is scaled to that of the whole for a normal law."""
     k = len(FEATURES)
-    wide = [F.greatest(F.col("mad")[i] * 1.4826, F.lit(FLOOR[i])) for i in range(k)]
-    inv = F.array(*[(1 / (wide[i] * wide[i]) if i == j else F.lit(0.0)) for i in range(k) for j in range(k)])
-    model = stored(big.join(dev, "grp").select("grp", "mu", inv.alias("inv")))
+    middle = rows.groupBy("grp").agg(F.array(*[F.median(f) for f in FEATURES]).alias("mu"))
+    middle = stored(middle)
+    dev = rows.join(middle, "grp").groupBy("grp").agg(F.array(*[F.median(F.round(F.abs(F.col(f) - F.col("mu")[i]), 2)) for i, f in enumerate(FEATURES)]).alias("mad"))
+    diagonal = lambda wide: F.array(*[(1 / (wide[i] * wide[i]) if i == j else F.lit(0.0)) for i in range(k) for j in range(k)])
+    first = middle.join(dev, "grp").select("grp", F.lit(0).alias("start"), "mu", diagonal([F.greatest(F.col("mad")[i] * 1.4826, F.lit(FLOOR[i])) for i in range(k)]).alias("inv"))
+    every = rows.groupBy("grp").agg(F.array(*[F.avg(f) for f in FEATURES]).alias("mu"), F.array(*[F.stddev_pop(f) for f in FEATURES]).alias("sd"))
+    second = every.select("grp", F.lit(1).alias("start"), "mu", diagonal([F.greatest(F.col("sd")[i], F.lit(FLOOR[i])) for i in range(k)]).alias("inv"))
+    model = stored(first.unionByName(second).withColumn("det", F.lit(float("inf"))))
     for _ in range(steps):
-        far = _distance(rows, model).withColumn("key", F.round(F.ln(F.col("d2") + 1e-3), 2))
-        bound = stored(far.groupBy("grp").agg(F.percentile("key", F.lit(subset)).alias("bound")))  # a row a group, so rows need not be dealt by it
-        near = far.join(bound, "grp").where("key <= bound")
+        far = _distance(rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))), model, ["grp", "start"]).withColumn("key", F.round(F.ln(F.col("d2") + 1e-3), 2))
+        bound = stored(far.groupBy("grp", "start").agg(F.percentile("key", F.lit(subset)).alias("bound")))  # a row a group and start
+        near = far.join(bound, ["grp", "start"]).where("key <= bound")
         sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)]
         sums += [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}_{j}") for i in range(k) for j in range(i, k)]
-        # 1.9: the spread of a normal law in seven dimensions against that of its nearest three fifths
-        moments = near.groupBy("grp").agg(F.count("*").alias("n"), *sums).withColumn("scale", F.lit(1.9))
-        model = stored(moments.mapInPandas(_invert, "grp string, mu array<double>, inv array<double>"))
-    return model
+        now = stored(near.groupBy("grp", "start").agg(F.count("*").alias("n"), *sums).mapInPandas(_step, MODEL))
+        falls = now.join(model.select("grp", "start", F.col("det").alias("_was")), ["grp", "start"]).where(F.col("det") < F.col("_was") - 1e-3).isEmpty()
+        model = now
+        if falls:
+            break
+    return stored(model.groupBy("grp").agg(F.min(F.struct("det", "start", "n", "mu", "cov")).alias("m")).select("grp", "m.n", "m.mu", "m.cov"))
+
+
+def _pool(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A group's estimate drawn towards its language's, and that towards the common one, by ``PRIOR_ROWS`` rows of it."""
+    k = len(FEATURES)
+    mus, inv = [], []
+    for r in pdf.itertuples(index=False):
+        mu, cov = np.array(r.mu_all), np.array(r.cov_all).reshape(k, k)
+        for n, m, c in ((r.n_lang, r.mu_lang, r.cov_lang), (r.n_own, r.mu_own, r.cov_own)):
+            w = n / (n + PRIOR_ROWS)
+            m, c = np.array(m), np.array(c).reshape(k, k)
+            cov = w * c + (1 - w) * cov + w * (1 - w) * np.outer(m - mu, m - mu)
+            mu = w * m + (1 - w) * mu
+        mus.append(mu.tolist())
+        inv.append(np.linalg.inv(floored(cov)).ravel().tolist())
+    return pd.DataFrame({"grp": pdf["grp"], "mu": mus, "inv": inv})
+
+
+def pooled(model: DataFrame, groups: DataFrame) -> DataFrame:
+    """``grp, mu, inv`` for each of ``groups`` (``grp, lang``, the names of groups and of their languages)."""
+    named = lambda by, name: model.select(F.col("grp").alias(by), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "mu", "cov")])
+    met = groups.join(named("grp", "own"), "grp").join(named("lang", "lang"), "lang").crossJoin(F.broadcast(named("_g", "all").where("_g = '*'").drop("_g")))  # one row
+    return met.mapInPandas(lambda batches: map(_pool, batches), "grp string, mu array<double>, inv array<double>")
 
 
 def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
-    """``doc_id``, the base counts, ``base_failed``, ``distance`` (squared; null where the group is too small) and
-    ``kept``."""
+    """``doc_id``, the base counts, ``base_failed``, ``distance`` (squared) and ``kept``."""
     rows = stored(grouped(stored(measured(docs))))
-    model = fit(rows)
-    scored = _distance(rows, model).select("doc_id", *BASE, F.col("d2").alias("distance"))
-    alone = rows.join(model.select("grp"), "grp", "left_anti").select("doc_id", *BASE, F.lit(None).cast("double").alias("distance"))
+    model = fit(rows.select(F.explode("levels").alias("grp"), *FEATURES))
+    own = stored(pooled(model, rows.select("grp", F.col("levels")[1].alias("lang")).distinct()))
+    scored = _distance(rows, own, ["grp"]).select("doc_id", *BASE, F.col("d2").alias("distance"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = scored.unionByName(alone).withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut))
+    return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cut))

@@ -63,6 +63,49 @@ def test_estimate_is_robust(spark):
     assert np.abs(np.array(mu)).max() < 0.3
 
 
+def plain_mcd(x, subset=0.6, starts=60):
+    """Concentration from many random starts: the least determinant of covariances of so many rows."""
+    rng, h = np.random.default_rng(0), int(np.ceil(subset * len(x)))
+    best = np.inf
+    for _ in range(starts):
+        at = rng.choice(len(x), 9, replace=False)
+        for _ in range(30):
+            mu, cov = x[at].mean(0), np.cov(x[at].T, bias=True) + np.diag(np.array(qr.FLOOR) ** 2 * 1e-2)
+            new = np.argsort(((x - mu) @ np.linalg.inv(cov) * (x - mu)).sum(1))[:h]
+            if set(new) == set(at):
+                break
+            at = new
+        best = min(best, np.linalg.slogdet(np.cov(x[at].T, bias=True) * qr.SCALE + np.diag(np.array(qr.FLOOR) ** 2 * 1e-2))[1])
+    return best
+
+
+def test_determinants_come_near_the_least(spark):
+    """Against many random starts, for clean groups, for one with a far cluster, and a small one."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for name, n, far in (("clean", 200, 0), ("cluster", 200, 60), ("small", 40, 8)):
+        x = rng.normal(0, 1, (n, 7)) * np.array([1, 0.5, 2, 1, 0.3, 0.3, 1])
+        x[:far] += 6
+        rows += [(name, *map(float, np.round(r, 2))) for r in x]
+    df = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{f} double" for f in qr.FEATURES))
+    for r in qr.fit(df).collect():
+        x = np.array([t[1:] for t in rows if t[0] == r.grp])
+        det = np.linalg.slogdet(np.array(r["cov"]).reshape(7, 7) + np.diag(np.array(qr.FLOOR) ** 2 * 1e-2))[1]
+        assert det <= plain_mcd(x) + 0.6 and np.abs(np.array(r.mu)).max() < 1
+
+
+def test_small_sources_lean_on_their_language(spark):
+    """A source of three odd rows doesn't make them usual; a large one has its own usual."""
+    rng = np.random.default_rng(8)
+    names = [f"word{k}" for k in range(900)]
+    plain = lambda n: " ".join(rng.choice(names, n))
+    odd = lambda: " ".join(f"#{x}|$%" for x in rng.choice(names, 200))
+    docs = [(k, plain(int(rng.integers(60, 400))), "en", "web", 0) for k in range(400)]
+    docs += [(1000 + k, odd(), "en", "tiny", 0) for k in range(3)] + [(2000 + k, odd(), "en", "codes", 0) for k in range(500)]
+    got = {r.doc_id: r.kept for r in qr.judge(spark.createDataFrame(docs, DOCS)).collect()}
+    assert sum(got[k] for k in range(400)) >= 397 and sum(got[2000 + k] for k in range(500)) >= 495
+
+
 def test_awkward_and_empty(spark):
     docs, n = awkward(spark)
     assert qr.judge(docs).count() == n
