@@ -40,7 +40,7 @@ SEPARATORS[list(b" \t")] = True
 BLOCK = 1 << 16  # buckets in a row of counts or bits
 LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 30
 CHUNK = 256 << 10  # bytes of text at a time: arrays that stay in the cache
-FLUSH_WORDS = 6_000_000  # words after which a task passes its counts on
+FLUSH_WORDS = 1_500_000  # words after which a task passes its counts on
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.random.default_rng(20240702).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -178,7 +178,7 @@ def count_pass(k: int, n_buckets: int, frequent, hashed, last: bool):
                     here &= ok[:-1] & ok[1:] & marked(own, buckets_of(g1, salt[:n], n_buckets))
                 if not last and n > 1:
                     both = np.flatnonzero(here[:-1] & here[1:] & (piece[: n - 1] == piece[k:]))
-                    buckets.append(buckets_of(longer(g1, h1, k)[both], salt[both], n_buckets))
+                    buckets.append(buckets_of(longer(g1, h1, k)[both], salt[both], n_buckets).astype(np.uint32))  # below 2**30
                 at = np.flatnonzero(here)
                 if len(at):
                     rep, count = unique_grams(g1[at], g2[at], salt[at])
