@@ -1,7 +1,7 @@
 """The pipeline's stages on planted cases, each on what its predecessor kept."""
 
 import numpy as np
-from data import DOCS
+from data import DOCS, awkward, empty
 
 import corpus_pipeline
 from pairlace.llm import queries
@@ -47,5 +47,17 @@ def test_stages(spark, tmp_path):
 
 
 def test_registered():
-    assert len(corpus_pipeline.STAGES) == 5 and sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{k}" for k in range(1, 11))
+    assert len(corpus_pipeline.STAGES) == 5 and sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{k}" for k in range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_run_on_awkward_rows(spark, tmp_path):
+    """The whole pipeline over nulls, repeated rows and ids, a very long text and clashing columns; and over no rows."""
+    docs, n = awkward(spark)
+    for name, rows in (("full", docs), ("none", empty(spark))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, 1, 0), (6, 0, 1), (None, 1, None), (7, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        spark.createDataFrame([(1, "no such passage of the benchmark is in any of these documents at all"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "full")).collect()
+    assert 0 < len(out) <= 3 * n and {r.slot for r in out if r.shard == out[0].shard} == set(range(sum(r.shard == out[0].shard for r in out)))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
