@@ -103,6 +103,7 @@ def tile_rows(p: Packed, n_states: int = N_STATES, pairs: DataFrame | None = Non
         at = p.ranks.select("pos", F.floor(F.col("rank") / (p.block * side)).cast("int").alias("tile"))
         asked = pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
         asked = asked.join(at.select(F.col("pos").alias("i"), F.col("tile").alias("ti")), "i").join(at.select(F.col("pos").alias("j"), F.col("tile").alias("tj")), "j")
+        asked = shared_copy(asked)  # read for the tiles that are needed, and for their rows
         grid = shared_copy(grid.join(asked.select("ti", "tj").distinct(), ["ti", "tj"]))
         rows = rows.join(F.broadcast(grid), ["ti", "tj"], "left_semi")  # two numbers a tile
         rows = rows.unionByName(asked.select("ti", "tj", F.lit(-1).alias("slice"), F.lit(ASKED).alias("at"), F.col("i").cast("long").alias("pos"), none("binary").alias("data"), none("array<double>").alias("w"), F.col("j").cast("long").alias("q")))
