@@ -7,6 +7,13 @@ rarest term first; what survives both is compared word by word with the document
 need no postings, so the index follows the benchmark's vocabulary, and no window can be missed: a window that
 occurs has each of its terms at its place.
 
+A proximity match is a stretch of words that becomes a whole window by ``CHANGES`` changes at most, each a word put in, left out
+or changed. The window's words in twos from its start are pairs; a change breaks one pair at most, so one of the window's
+``CHANGES + 1`` rarest pairs stands unbroken in the stretch. The index holds, under the rarer word of such a pair, the places
+where the other stands next to it; there the window's words before and after the pair are compared with the text by edit
+distance. Exact matches of whole windows are proximity matches too. Windows of fewer words (whole short items) have
+none: with so few words, likeness says little.
+
 Null and blank texts have no words. Repeated rows and ids each keep their own hits (a row is known by its id and a hash of
 id and text). A very long text is split where it is read, and its postings are rows like any others. Equally rare terms go by
 name. Items without an id are searched too: they count in ``n_items``, all as one, and give no name to ``items``. Empty tables give empty results; extra columns are ignored.
@@ -21,7 +28,7 @@ from pairlace.llm.common import lower_ascii, only, stored
 
 # Everything that is no word: ASCII but for digits and small letters, after A to Z are lowered.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW, PROBES, SMALL, CELL = 10, 2, 100_000, 64
+WINDOW, PROBES, SMALL, CELL, CHANGES = 10, 2, 100_000, 64, 2
 
 
 def index_words(text: Column) -> Column:
@@ -58,20 +65,53 @@ def probes(windows: DataFrame, counts: DataFrame, n_probes: int = PROBES) -> Dat
     return once.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n_probes).select("win", "item", "item_id", "at", "term", "off", "k")
 
 
-def postings(docs: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``term, key, doc_id, pos, from, context``: the index of the probe terms, stored in the shared folder. ``context``
-    has, for terms that are the rarest of a window, the words around the place, from word ``from`` on, enough for any
-    window that covers it. ``terms`` are ``term, anchor``. A vocabulary of up to
-    ``SMALL`` terms is broadcast; beyond, postings meet it in a shuffle and fetch their context afterwards."""
+def pairs(windows: DataFrame, counts: DataFrame, window: int = WINDOW, changes: int = CHANGES) -> DataFrame:
+    """``win, item, item_id, words, term, mate, off``: the ``changes + 1`` rarest pairs of each whole window, those whose
+    words' counts have the least product. ``term`` is the rarer word and ``mate`` the other, after ``+`` where it
+    comes next and ``-`` where it comes before; ``off`` is the place of the pair's first word."""
+    if changes + 1 > window // 2:
+        raise ValueError("a window needs more pairs than changes")
+    whole = windows.where(F.size("words") == window).select("win", "item", "item_id", "words")
+    starts = whole.withColumn("off", F.explode(F.array(*[F.lit(k) for k in range(0, window - 1, 2)])))
+    named = starts.select("*", F.get("words", F.col("off")).alias("a"), F.get("words", F.col("off") + 1).alias("b"))
+    known = named.join(counts.select(F.col("term").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("term").alias("b"), F.col("n").alias("nb")), "b")
+    w = Window.partitionBy("win").orderBy((F.col("na").cast("double") * F.col("nb")), "off")
+    rare = known.withColumn("k", F.row_number().over(w)).where(F.col("k") <= changes + 1)
+    first = F.col("na") <= F.col("nb")
+    return rare.select("win", "item", "item_id", "words", F.when(first, F.col("a")).otherwise(F.col("b")).alias("term"), F.when(first, F.concat(F.lit("+"), "b")).otherwise(F.concat(F.lit("-"), "a")).alias("mate"), "off")
+
+
+def wanted(probe: DataFrame, paired: DataFrame | None = None) -> DataFrame:
+    """``term, probe, anchor, mates``: the terms that need postings: everywhere if they are probes (with context if they are
+    the rarest of a window), else where one of ``mates`` is next to them."""
+    single = probe.groupBy("term").agg((F.min("k") == 1).alias("anchor")).withColumn("probe", F.lit(True))
+    if paired is None:
+        return single.select("term", "probe", "anchor", F.array().cast("array<string>").alias("mates"))
+    mates = paired.groupBy("term").agg(F.collect_set("mate").alias("mates"))
+    both = single.join(mates, "term", "full")
+    return both.select("term", F.coalesce("probe", F.lit(False)).alias("probe"), F.coalesce("anchor", F.lit(False)).alias("anchor"), F.coalesce("mates", F.array().cast("array<string>")).alias("mates"))
+
+
+def postings(docs: DataFrame, terms: DataFrame, window: int = WINDOW, changes: int = CHANGES) -> DataFrame:
+    """``term, key, doc_id, pos, probe, met, from, context``: the index of the ``wanted`` terms, stored in the shared folder.
+    ``met`` are the mates that stand next to the term. ``context`` has, for terms that are the rarest of a window or
+    have a mate there, the words around the place, from word ``from`` on, enough for any window that covers it with ``changes``
+    words more. A vocabulary of up to ``SMALL`` terms is broadcast; beyond, postings meet it in a shuffle
+    and fetch their context afterwards."""
     text = _keyed(docs).select("key", "doc_id", index_words(F.col("text")).alias("w"))
-    lo = F.greatest(F.lit(0), F.col("pos") - (window - 1))
-    around = F.slice("w", F.col("from") + 1, F.lit(2 * window - 1))
+    lo = F.greatest(F.lit(0), F.col("pos") - (window + changes))
+    around = F.slice("w", F.col("from") + 1, F.lit(2 * (window + changes) + 1))
+    beside = [F.concat(F.lit("+"), F.get("w", F.col("pos") + 1)).alias("next"), F.concat(F.lit("-"), F.get("w", F.col("pos") - 1)).alias("prev")]
     each = text.select("key", "doc_id", "w", F.posexplode("w").alias("pos", "term"))
+    sides = [F.coalesce(F.array_contains("mates", F.col(c)), F.lit(False)) for c in ("next", "prev")]
+    keep = F.col("probe") | sides[0] | sides[1]
     if terms.count() <= SMALL:
-        met = each.join(F.broadcast(terms), "term")
+        met = each.join(F.broadcast(terms), "term").select("*", *beside).where(keep)
     else:
-        met = each.drop("w").join(terms, "term").join(text.dropDuplicates(["key"]).select("key", "w"), "key")
-    return stored(met.withColumn("from", lo).select("term", "key", "doc_id", "pos", "from", F.when(F.col("anchor"), around).alias("context")))
+        met = each.select("key", "doc_id", "pos", "term", *beside).join(terms, "term").where(keep).join(text.dropDuplicates(["key"]).select("key", "w"), "key")
+    mates = F.array_compact(F.array(*[F.when(side, F.col(c)) for side, c in zip(sides, ("next", "prev"), strict=True)]))
+    out = met.withColumn("from", lo).select("term", "key", "doc_id", "pos", "probe", mates.alias("met"), "from", F.when(F.col("anchor") | sides[0] | sides[1], around).alias("context"))
+    return stored(out)
 
 
 def phrase_matches(index: DataFrame, windows: DataFrame, probe: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -87,10 +127,11 @@ def phrase_matches(index: DataFrame, windows: DataFrame, probe: DataFrame, windo
     # a window of one term repeated has no second list; its first stands in
     last = last.unionByName(first.join(last.select("item", "at"), ["item", "at"], "left_anti"))
     seats = lambda p: p.select("term", "item", "seat").distinct()
+    index = index.where("probe")
     open_ = index.join(seats(first), "term").withColumn("cell", cell(0)).select(shift.alias("a"), "key", "doc_id", "item", (F.col("pos") - F.col("seat")).alias("delta"), F.col("seat").alias("s1"), "from", "context")
     met = index.join(seats(last), "term").withColumn("cell", F.explode(F.sequence(cell(1 - window), cell(window - 1)))).select(shift.alias("a"), F.col("seat").alias("s2"))
-    pairs = first.select("item", "at", F.col("seat").alias("s1")).join(last.select("item", "at", F.col("seat").alias("s2")), ["item", "at"])
-    want = stored(pairs.join(windows.select("item", "item_id", "at", "words"), ["item", "at"]).distinct())
+    two = first.select("item", "at", F.col("seat").alias("s1")).join(last.select("item", "at", F.col("seat").alias("s2")), ["item", "at"])
+    want = stored(two.join(windows.select("item", "item_id", "at", "words"), ["item", "at"]).distinct())
     if want.count() <= SMALL:
         want = F.broadcast(want)
     cand = open_.join(met, "a").join(want, ["item", "s1", "s2"])
@@ -99,47 +140,71 @@ def phrase_matches(index: DataFrame, windows: DataFrame, probe: DataFrame, windo
     return cand.where((start >= F.col("from")) & same).select("key", "doc_id", "item_id", start.alias("start"), F.size("words").alias("length")).distinct()
 
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """``windows, probes, index, exact phrase matches`` of the benchmark in the documents."""
+def proximity_matches(index: DataFrame, paired: DataFrame, changes: int = CHANGES) -> DataFrame:
+    """``key, doc_id, item_id, changes``: the items of which a whole window occurs with ``changes`` changes at most, and
+    the fewest. Each word around an unbroken pair becomes a letter, its place in the window, so edit distances of
+    strings are those of words; what stands before the pair and what stands after it is compared by itself, over all
+    lengths that so many changes allow."""
+    near = index.where("size(met) > 0").select("key", "doc_id", "term", "pos", "from", "context", F.explode("met").alias("mate"))
+    paired = paired.select("item_id", "words", "term", "mate", "off").distinct()
+    if paired.count() <= SMALL:
+        paired = F.broadcast(paired)
+    letters = lambda words: F.array_join(F.transform(words, lambda x: F.char(F.lit(64) + F.array_position(F.col("words"), x))), "")
+    cand = near.join(paired, ["term", "mate"]).select(
+        "key", "doc_id", "item_id", "off", letters(F.col("context")).alias("c"), letters(F.col("words")).alias("w"),
+        (F.col("pos") - F.when(F.col("mate").startswith("-"), 1).otherwise(0) - F.col("from")).cast("int").alias("p"),
+    )
+    before, after = F.substring("w", F.lit(1), F.col("off")), F.substring("w", F.col("off") + 3, F.length("w"))
+    ahead, behind = [], []
+    for d in range(-changes, changes + 1):
+        lo = F.least(F.greatest(F.col("p") - F.col("off") + d, F.lit(0)), F.col("p"))
+        ahead.append(F.levenshtein(before, F.substring("c", lo + 1, F.col("p") - lo)))
+        behind.append(F.levenshtein(after, F.substring("c", F.col("p") + 3, F.greatest(F.length("w") - F.col("off") - 2 + d, F.lit(0)))))
+    n = cand.select("key", "doc_id", "item_id", (F.least(*ahead) + F.least(*behind)).alias("n"))
+    return n.where(F.col("n") <= changes).groupBy("key", "doc_id", "item_id").agg(F.min("n").alias("changes"))
+
+
+def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, changes: int | None = CHANGES) -> tuple[DataFrame, DataFrame | None]:
+    """``exact phrase matches, proximity matches`` of the benchmark in the documents, both from one index, stored; without
+    ``changes`` exact ones alone."""
     windows = stored(item_windows(benchmark, window))
-    vocabulary = stored(windows.select(F.explode("words").alias("term")).distinct())
-    probe = stored(probes(windows, stored(term_counts(docs, vocabulary))))
-    index = postings(docs, stored(probe.groupBy("term").agg((F.min("k") == 1).alias("anchor"))), window)
-    return windows, probe, index, stored(phrase_matches(index, windows, probe, window))
-
-
-def proximity_matches(index: DataFrame, probe: DataFrame, slop: int = 20) -> DataFrame:
-    """``key, doc_id, item_id, at, first, last``: windows whose rarest terms all stand within ``slop`` words of the
-    rarest one, in any order. Positions meet by cells of ``slop`` words, so a document's lists are never crossed."""
-    cell = lambda c: F.floor(F.col(c) / slop)
-    rare = probe.where("k = 1").select("win", "item_id", "at", "term")
-    base = index.join(rare, "term").select("key", "doc_id", "win", "item_id", "at", F.col("pos").alias("p1"))
-    near = base.withColumn("cell", F.explode(F.sequence(cell("p1") - 1, cell("p1") + 1)))
-    for k in range(2, PROBES + 1):
-        other = index.join(probe.where(F.col("k") == k).select("win", "term"), "term").select("key", "win", F.col("pos").alias("q"), cell("pos").alias("cell"))
-        met = near.join(other, ["key", "win", "cell"]).where(F.abs(F.col("q") - F.col("p1")) <= slop)
-        # the nearest place of each further term
-        met = met.groupBy("key", "win", "p1").agg(F.min_by("q", F.struct(F.abs(F.col("q") - F.col("p1")), F.col("q"))).alias(f"p{k}"))
-        has = probe.groupBy("win").agg(F.max("k").alias("_k"))
-        near = near.join(met, ["key", "win", "p1"], "left").join(has, "win").where((F.col("_k") < k) | F.col(f"p{k}").isNotNull()).drop("_k")
-    ends = [F.col(f"p{k}") for k in range(1, PROBES + 1)]
-    return near.select("key", "doc_id", "item_id", "at", F.least(*ends).alias("first"), F.greatest(*ends).alias("last")).distinct()
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items, contaminated``, a row for each row of ``docs``."""
-    hits = search(docs, benchmark, window)[3]
-    words = hits.select("key", "doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("p")).distinct().groupBy("key", "doc_id").agg(F.count("*").alias("n_hit"))
-    items = hits.groupBy(F.col("key").alias("_k"), F.col("doc_id").alias("_i")).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("nameless"))
-    rows = _keyed(docs).select("key", "doc_id", F.size(index_words(F.col("text"))).cast("long").alias("n_words"))
-    found = words.join(items, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_i"))).select("_k", "_i", "n_hit", "items", "nameless")
-    out = rows.join(found, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left")
-    out = out.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), (F.size("items") + F.coalesce("nameless", F.lit(0))).cast("long").alias("n_items"), "items", (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    counts = stored(term_counts(docs, stored(windows.select(F.explode("words").alias("term")).distinct())))
+    probe = stored(probes(windows, counts))
+    paired = None if changes is None else stored(pairs(windows, counts, window, changes))
+    index = postings(docs, stored(wanted(probe, paired)), window, changes or 0)
+    return stored(phrase_matches(index, windows, probe, window)), None if changes is None else stored(proximity_matches(index, paired, changes))
+
 
+def _items(hits: DataFrame, items: str, nameless: str) -> DataFrame:
+    """``_k, _i``, the named items met and whether one without an id was."""
+    return hits.groupBy(F.col("key").alias("_k"), F.col("doc_id").alias("_i")).agg(F.sort_array(F.collect_set("item_id")).alias(items), F.max(F.col("item_id").isNull().cast("int")).alias(nameless))
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents in which no window of the benchmark occurs; columns as given."""
-    hits = search(docs, benchmark, window)[3].select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")).distinct()
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, changes: int = CHANGES) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items, contaminated, n_near_items, near_items``, a row for each row of ``docs``. The
+    last two are items with proximity matches, those with exact matches of whole windows among them; the others are exact."""
+    hits, near = search(docs, benchmark, window, changes)
+    words = hits.select("key", "doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("p")).distinct().groupBy("key", "doc_id").agg(F.count("*").alias("n_hit"))
+    rows = _keyed(docs).select("key", "doc_id", F.size(index_words(F.col("text"))).cast("long").alias("n_words"))
+    same = (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_i"))
+    found = words.join(_items(hits, "items", "nameless"), same).select("_k", "_i", "n_hit", "items", "nameless")
+    out = rows.join(found, same, "left").drop("_k", "_i").join(_items(near, "near_items", "near_nameless"), same, "left")
+    none, zero = F.array().cast("array<string>"), F.lit(0)
+    for c in ("items", "near_items"):
+        out = out.withColumn(c, F.coalesce(c, none))
+    return out.select(
+        "doc_id", "n_words", F.coalesce("n_hit", zero).cast("long").alias("n_hit"), (F.size("items") + F.coalesce("nameless", zero)).cast("long").alias("n_items"), "items", (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
+        (F.size("near_items") + F.coalesce("near_nameless", zero)).cast("long").alias("n_near_items"), "near_items",
+    )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, changes: int | None = None) -> DataFrame:
+    """The documents in which no window of the benchmark occurs, nor, if ``changes`` are given, a whole window with so many
+    changes at most; columns as given."""
+    exact, near = search(docs, benchmark, window, changes)
+    hits = exact.select("key", "doc_id")
+    if near is not None:
+        hits = hits.unionByName(near.select("key", "doc_id"))
+    hits = hits.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")).distinct()
     doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
     return docs.join(hits, (F.xxhash64(doc_id, text) == hits["_key"]) & doc_id.eqNullSafe(hits["_id"]), "left_anti")

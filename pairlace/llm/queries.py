@@ -27,8 +27,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Words of the whole text, and each window of each item, met in DuckDB by the windows' joined words.
-OP2_SQL = r"""
+def least_changes(expected: str, found: str) -> str:
+    """The least edit distance of the string ``expected`` to ``found`` with ``{d}`` from -2 to 2."""
+    return "least(" + ", ".join(f"levenshtein({expected}, {found.format(d=d)})" for d in range(-2, 3)) + ")"
+
+
+# Words of the whole text, and each window of each item, met in DuckDB by the windows' joined words; windows with changes by any
+# two words next to each other, then by edit distance before and after them, a letter for each word of the window.
+OP2_SQL = rf"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(len(w), 10) k, array_to_string(list_slice(w, i, i + 9), ' ') s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i FROM b WHERE len(w) > 0)),
@@ -36,16 +42,23 @@ ks AS (SELECT DISTINCT k FROM bw),
 dw AS (SELECT doc_id, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) i FROM d, ks WHERE len(w) >= k)),
 hit AS (SELECT doc_id, item_id, i, dw.k FROM dw JOIN bw ON bw.s = dw.s AND bw.k = dw.k),
 pos AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) p FROM hit) GROUP BY doc_id),
+two AS (SELECT item_id, ws, off, ws[off + 1] a, ws[off + 2] b FROM (SELECT item_id, string_split(s, ' ') ws, unnest([0, 2, 4, 6, 8]) off FROM bw WHERE k = 10)),
+dp AS (SELECT doc_id, i, w[i] a, w[i + 1] b, list_slice(w, greatest(i - 10, 1), i + 11) c, least(i, 11) p FROM (SELECT doc_id, w, unnest(range(1, len(w))) i FROM d)),
+met AS (SELECT doc_id, item_id, off, p, array_to_string(list_transform(c, lambda x: chr(64 + coalesce(list_position(ws, x), 0)::INT)), '') c, array_to_string(list_transform(ws, lambda x: chr(64 + list_position(ws, x)::INT)), '') s
+  FROM dp JOIN two ON two.a = dp.a AND two.b = dp.b),
+nr AS (SELECT doc_id, count(DISTINCT item_id) n_near_items FROM met
+  WHERE {least_changes("substr(s, 1, off)", "substr(c, least(greatest(p - off + {d}, 1), p)::INT, (p - least(greatest(p - off + {d}, 1), p))::INT)")}
+  + {least_changes("substr(s, off + 3, 8 - off)", "substr(c, (p + 2)::INT, greatest(8 - off + {d}, 0)::INT)")} <= 2 GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) n_items, string_agg(x, ',' ORDER BY x) items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) x FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id"""
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near_items, 0) AS BIGINT) AS n_near_items
+FROM d LEFT JOIN nr ON nr.doc_id = d.doc_id LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id"""
 
 
 @query("op2_decontamination", OP2_SQL)
 def op2_decontamination(s, d):
     c = decontaminate.contamination(read(s, d, "documents"), read(s, d, "benchmark"))
-    return c.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return c.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near_items")
 
 
 @query("op5_mixing")

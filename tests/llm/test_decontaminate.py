@@ -67,12 +67,64 @@ def test_long_items_held_whole(spark):
     assert found(spark, docs, items) == want and [r[2] for r in want] == [700, 40, 0, 700]
 
 
-def test_proximity(spark):
-    items = spark.createDataFrame([(1, "zebra quartz common words here")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "quartz is near a zebra here"), (2, "zebra " + "pad " * 50 + "quartz"), (3, "common words here " * 5)], "doc_id long, text string")
-    _, probe, index, exact = de.search(docs, items)
-    assert exact.count() == 0
-    assert {r.doc_id for r in de.proximity_matches(index, probe, 20).collect()} == {1}
+def edits(win, w):
+    """The fewest changes that make a stretch of ``w`` into ``win``."""
+    row = [0] * (len(w) + 1)
+    for i, x in enumerate(win, 1):
+        new = [i]
+        for j, y in enumerate(w, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def brute_near(docs, items, changes, size=10):
+    out = []
+    for i, text in docs:
+        w, met = words(text), set()
+        for name, t in items:
+            b = words(t)
+            if any(edits(b[k : k + size], w) <= changes for k in range(len(b) - size + 1)):
+                met.add(str(name))
+        out.append((i, tuple(sorted(met))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("small", [de.SMALL, 0])
+def test_proximity_against_edit_distance(spark, small, monkeypatch):
+    """Words changed, put in and left out, at the ends of texts too: all windows within two changes are found and no others."""
+    monkeypatch.setattr(de, "SMALL", small)
+    rng = np.random.default_rng(15)
+    items = [(k, " ".join(words_of(rng, int(n), 50))) for k, n in enumerate([10, 10, 12, 30, 9, 3, 60])] + [(7, "a b " * 8), (8, None)]
+    docs = []
+    for k in range(150):
+        b = words(items[int(rng.integers(0, 7))][1])
+        lo = int(rng.integers(0, max(1, len(b) - 10)))
+        w = b[lo : lo + 10 + k % 3]
+        for _ in range(k % 5):
+            at, how = int(rng.integers(0, len(w))), int(rng.integers(0, 3))
+            w[at : at + (how != 1)] = [] if how == 2 else [words_of(rng, 1, 50)[0]]
+        pad = [words_of(rng, int(n), 50) for n in rng.integers(0, 12, 2) * (k % 4 > 0)]
+        docs.append((k, " ".join([*pad[0], *w, *pad[1]])))
+    docs += [(150, "b a b a a b a b a b"), (151, None), (152, ""), (153, "a " * 30), (1, docs[1][1]), (None, docs[2][1])]
+    want = brute_near(docs, items, 2)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, tuple(r.near_items)) for r in de.contamination(d, b).collect()), key=str)
+    exact = {(i, n) for i, _, _, n, *_ in brute(docs, items)}
+    assert got == want and sum(bool(m) for _, m in want) > 80 and sum(not m for _, m in want) > 20
+    assert sum(bool(m) and (i, 0) in exact for i, m in want) > 30  # by proximity alone
+    kept = {r.doc_id for r in de.drop_contaminated(d, b, changes=2).collect()}
+    gone = {i for i, m in want if m} | {i for i, _, hit, *_ in brute(docs, items) if hit}
+    assert kept == {i for i, _ in docs} - gone
+
+
+def test_ninth_word_changed(spark):
+    w = [f"t{k}" for k in range(15)]
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    often = ["x" if k % 3 == 2 else t for k, t in enumerate(w)]  # three changes in any ten words
+    docs = spark.createDataFrame([(1, " ".join([*w[:8], "x", *w[9:]])), (2, " ".join(often)), (3, " ".join(w))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.n_near_items) for r in de.contamination(docs, items).collect()}
+    assert got == {1: (0, 0, 1), 2: (0, 0, 0), 3: (15, 1, 1)}
 
 
 def test_awkward_and_empty(spark):
