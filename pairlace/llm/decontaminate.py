@@ -9,9 +9,8 @@ occurs has each of its terms at its place.
 
 A proximity match is a stretch of words that becomes a whole window by ``CHANGES`` changes at most, each a word put in, left out
 or changed. The window's words in twos from its start are pairs; a change breaks one pair at most, so one of the window's
-``CHANGES + 1`` rarest pairs stands unbroken in the stretch. The index holds, under the rarer word of such a pair, the places
-where the other stands next to it; there the window's words before and after the pair are compared with the text by edit
-distance. Exact matches of whole windows are proximity matches too. Windows of fewer words (whole short items) have
+``CHANGES + 1`` rarest pairs stands unbroken in the stretch. The index holds the places of such pairs; there
+the window's words before and after the pair are compared with the text by edit distance. Exact matches of whole windows are proximity matches too. Windows of fewer words (whole short items) have
 none: with so few words, likeness says little.
 
 Null and blank texts have no words. Repeated rows and ids each keep their own hits (a row is known by its id and a hash of
@@ -66,51 +65,44 @@ def probes(windows: DataFrame, counts: DataFrame, n_probes: int = PROBES) -> Dat
 
 
 def pairs(windows: DataFrame, counts: DataFrame, window: int = WINDOW, changes: int = CHANGES) -> DataFrame:
-    """``win, item, item_id, words, term, mate, off``: the ``changes + 1`` rarest pairs of each whole window, those whose
-    words' counts have the least product. ``term`` is the rarer word and ``mate`` the other, after ``+`` where it
-    comes next and ``-`` where it comes before; ``off`` is the place of the pair's first word."""
+    """``win, item_id, words, pair, off``: the ``changes + 1`` rarest pairs of each whole window, those whose words'
+    counts have the least product. ``pair`` is a hash of the two words and ``off`` the place of the first."""
     if changes + 1 > window // 2:
         raise ValueError("a window needs more pairs than changes")
-    whole = windows.where(F.size("words") == window).select("win", "item", "item_id", "words")
+    whole = windows.where(F.size("words") == window).select("win", "item_id", "words")
     starts = whole.withColumn("off", F.explode(F.array(*[F.lit(k) for k in range(0, window - 1, 2)])))
     named = starts.select("*", F.get("words", F.col("off")).alias("a"), F.get("words", F.col("off") + 1).alias("b"))
     known = named.join(counts.select(F.col("term").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("term").alias("b"), F.col("n").alias("nb")), "b")
     w = Window.partitionBy("win").orderBy((F.col("na").cast("double") * F.col("nb")), "off")
     rare = known.withColumn("k", F.row_number().over(w)).where(F.col("k") <= changes + 1)
-    first = F.col("na") <= F.col("nb")
-    return rare.select("win", "item", "item_id", "words", F.when(first, F.col("a")).otherwise(F.col("b")).alias("term"), F.when(first, F.concat(F.lit("+"), "b")).otherwise(F.concat(F.lit("-"), "a")).alias("mate"), "off")
-
-
-def wanted(probe: DataFrame, paired: DataFrame | None = None) -> DataFrame:
-    """``term, probe, anchor, mates``: the terms that need postings: everywhere if they are probes (with context if they are
-    the rarest of a window), else where one of ``mates`` is next to them."""
-    single = probe.groupBy("term").agg((F.min("k") == 1).alias("anchor")).withColumn("probe", F.lit(True))
-    if paired is None:
-        return single.select("term", "probe", "anchor", F.array().cast("array<string>").alias("mates"))
-    mates = paired.groupBy("term").agg(F.collect_set("mate").alias("mates"))
-    both = single.join(mates, "term", "full")
-    return both.select("term", F.coalesce("probe", F.lit(False)).alias("probe"), F.coalesce("anchor", F.lit(False)).alias("anchor"), F.coalesce("mates", F.array().cast("array<string>")).alias("mates"))
-
-
-def postings(docs: DataFrame, terms: DataFrame, window: int = WINDOW, changes: int = CHANGES) -> DataFrame:
-    """``term, key, doc_id, pos, probe, met, from, context``: the index of the ``wanted`` terms, stored in the shared folder.
-    ``met`` are the mates that stand next to the term. ``context`` has, for terms that are the rarest of a window or
-    have a mate there, the words around the place, from word ``from`` on, enough for any window that covers it with ``changes``
-    words more. A vocabulary of up to ``SMALL`` terms is broadcast; beyond, postings meet it in a shuffle
-    and fetch their context afterwards."""
+    return rare.select("win", "item_id", "words", F.xxhash64("a", "b").alias("pair"), "off")
+
+
+def postings(docs: DataFrame, terms: DataFrame, twos: DataFrame | None = None, window: int = WINDOW, changes: int = CHANGES) -> DataFrame:
+    """``term, key, doc_id, pos, probe, pair, from, context``: the index, stored in the shared folder. ``terms`` are
+    ``term, anchor``, the probes; ``twos`` are the hashes ``pair`` that count with the word after. A row is a place of either (``probe``, and
+    ``pair`` if it is one of them). ``context`` has, for terms that are the rarest of a window and for pairs, the words
+    around the place, from word ``from`` on, enough for any window that covers it with ``changes`` words more.
+    Vocabularies of up to ``SMALL`` terms and pairs are broadcast; beyond, postings meet them in a shuffle and fetch their context
+    afterwards. Only functions that Spark compiles are used up to the filter, else each word would carry a copy of its text."""
     text = _keyed(docs).select("key", "doc_id", index_words(F.col("text")).alias("w"))
     lo = F.greatest(F.lit(0), F.col("pos") - (window + changes))
     around = F.slice("w", F.col("from") + 1, F.lit(2 * (window + changes) + 1))
-    beside = [F.concat(F.lit("+"), F.get("w", F.col("pos") + 1)).alias("next"), F.concat(F.lit("-"), F.get("w", F.col("pos") - 1)).alias("prev")]
+    single = terms.select("term", "anchor", F.lit(True).alias("probe"))
     each = text.select("key", "doc_id", "w", F.posexplode("w").alias("pos", "term"))
-    sides = [F.coalesce(F.array_contains("mates", F.col(c)), F.lit(False)) for c in ("next", "prev")]
-    keep = F.col("probe") | sides[0] | sides[1]
-    if terms.count() <= SMALL:
-        met = each.join(F.broadcast(terms), "term").select("*", *beside).where(keep)
+    each = each.select("*", (F.lit(0).cast("long") if twos is None else F.xxhash64("term", F.get("w", F.col("pos") + 1))).alias("here"))
+    if terms.count() <= SMALL and (twos is None or twos.count() <= SMALL):
+        met = each.join(F.broadcast(single), "term", "left")
+        met = met.withColumn("pair", F.lit(None).cast("long")) if twos is None else met.join(F.broadcast(twos), F.col("here") == F.col("pair"), "left")
+        met = met.where(F.col("probe") | F.col("pair").isNotNull())
     else:
-        met = each.select("key", "doc_id", "pos", "term", *beside).join(terms, "term").where(keep).join(text.dropDuplicates(["key"]).select("key", "w"), "key")
-    mates = F.array_compact(F.array(*[F.when(side, F.col(c)) for side, c in zip(sides, ("next", "prev"), strict=True)]))
-    out = met.withColumn("from", lo).select("term", "key", "doc_id", "pos", "probe", mates.alias("met"), "from", F.when(F.col("anchor") | sides[0] | sides[1], around).alias("context"))
+        slim = each.drop("w")
+        met = slim.join(single, "term").withColumn("pair", F.lit(None).cast("long"))
+        if twos is not None:
+            two = slim.join(twos, F.col("here") == F.col("pair")).select("*", F.lit(False).alias("probe"), F.lit(False).alias("anchor"))
+            met = met.unionByName(two)
+        met = met.join(text.dropDuplicates(["key"]).select("key", "w"), "key")
+    out = met.withColumn("from", lo).select("term", "key", "doc_id", "pos", F.coalesce("probe", F.lit(False)).alias("probe"), "pair", "from", F.when(F.col("anchor") | F.col("pair").isNotNull(), around).alias("context"))
     return stored(out)
 
 
@@ -145,15 +137,13 @@ def proximity_matches(index: DataFrame, paired: DataFrame, changes: int = CHANGE
     the fewest. Each word around an unbroken pair becomes a letter, its place in the window, so edit distances of
     strings are those of words; what stands before the pair and what stands after it is compared by itself, over all
     lengths that so many changes allow."""
-    near = index.where("size(met) > 0").select("key", "doc_id", "term", "pos", "from", "context", F.explode("met").alias("mate"))
-    paired = paired.select("item_id", "words", "term", "mate", "off").distinct()
+    near = index.where("pair is not null").select("key", "doc_id", "pair", "context", (F.col("pos") - F.col("from")).cast("int").alias("p"))
+    paired = paired.select("item_id", "words", "pair", "off").distinct()
     if paired.count() <= SMALL:
         paired = F.broadcast(paired)
     letters = lambda words: F.array_join(F.transform(words, lambda x: F.char(F.lit(64) + F.array_position(F.col("words"), x))), "")
-    cand = near.join(paired, ["term", "mate"]).select(
-        "key", "doc_id", "item_id", "off", letters(F.col("context")).alias("c"), letters(F.col("words")).alias("w"),
-        (F.col("pos") - F.when(F.col("mate").startswith("-"), 1).otherwise(0) - F.col("from")).cast("int").alias("p"),
-    )
+    same = [F.get("context", F.col("p") + k) == F.get("words", F.col("off") + k) for k in (0, 1)]  # the words decide, not the hash
+    cand = near.join(paired, "pair").where(same[0] & same[1]).select("key", "doc_id", "item_id", "off", letters(F.col("context")).alias("c"), letters(F.col("words")).alias("w"), "p")
     before, after = F.substring("w", F.lit(1), F.col("off")), F.substring("w", F.col("off") + 3, F.length("w"))
     ahead, behind = [], []
     for d in range(-changes, changes + 1):
@@ -171,7 +161,8 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, changes:
     counts = stored(term_counts(docs, stored(windows.select(F.explode("words").alias("term")).distinct())))
     probe = stored(probes(windows, counts))
     paired = None if changes is None else stored(pairs(windows, counts, window, changes))
-    index = postings(docs, stored(wanted(probe, paired)), window, changes or 0)
+    terms = stored(probe.groupBy("term").agg((F.min("k") == 1).alias("anchor")))
+    index = postings(docs, terms, None if paired is None else stored(paired.select("pair").distinct()), window, changes or 0)
     return stored(phrase_matches(index, windows, probe, window)), None if changes is None else stored(proximity_matches(index, paired, changes))
 
 
