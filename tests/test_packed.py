@@ -16,7 +16,7 @@ from pairlace.operators import threshold as th
 from pairlace.operators import weights as we
 from pairlace.operators.alignment import RaggedAlignmentError
 from pairlace.plans.pipeline import analyse
-from pairlace.sources import readers
+from pairlace.sources import readers, writers
 
 
 def cells_of(spark, x):
@@ -226,3 +226,29 @@ def test_parts_in_any_order_give_the_whole(spark, order):
         net = ar.extend_network(net, df.where(F.col("part") == k).drop("part"))
     again = ar.extend_network(net, df.drop("part").limit(40))  # known edges change nothing
     assert flags(net) == want == flags(again) and not all(want.values())
+
+
+@pytest.mark.parametrize("sliced", [False, True])
+def test_distances_of_samples(spark, monkeypatch, sliced):
+    """Samples that lack loci, share none, or have cells twice, against a join; no row a locus and pair is sent."""
+    if sliced:
+        monkeypatch.setattr(pk, "SLICE_SAMPLES", 3)
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 5, (30, 9))
+    rows = [(s, p, int(x[s, p])) for s in range(30) for p in range(9) if rng.random() < 0.7 and (p < 4) == (s < 15) or s % 7 == 0]
+    c = spark.createDataFrame(rows + rows[::13] + [(3, 1, 2)], "sample long, pos int, state byte")
+    want = {}
+    for s, p, v in (cells := [tuple(r) for r in c.collect()]):
+        for t, q, u in cells:
+            if p == q:
+                n, d = want.get((s, t), (0, 0))
+                want[s, t] = n + 1, d + (u != v)
+    got = we.hamming_distances(c)
+    assert {(r.s, r.t): (r.n_loci, r.distance) for r in got.collect()} == {k: v for k, v in want.items() if k[0] < k[1]}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan and "Aggregate" not in plan
+    lines = {r.sample: r.value for r in writers.distance_matrix_lines(we.hamming_strips(c, square=True)).collect()}
+    assert lines == {s: " ".join(str(want[s, t][1]) for t in range(30) if (s, t) in want) for s in {k[0] for k in want}}
+    one = spark.createDataFrame([(5, 1, 0), (5, 2, 3)], "sample long, pos int, state byte")
+    assert we.hamming_distances(one).count() == 0 and writers.distance_matrix_lines(we.hamming_strips(one, square=True)).collect()[0].value == "0"
+    assert we.hamming_distances(one.where("false")).count() == 0
