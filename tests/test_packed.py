@@ -252,3 +252,21 @@ def test_distances_of_samples(spark, monkeypatch, sliced):
     one = spark.createDataFrame([(5, 1, 0), (5, 2, 3)], "sample long, pos int, state byte")
     assert we.hamming_distances(one).count() == 0 and writers.distance_matrix_lines(we.hamming_strips(one, square=True)).collect()[0].value == "0"
     assert we.hamming_distances(one.where("false")).count() == 0
+
+
+def test_gathered_cells_come_back(spark, monkeypatch):
+    """Scattered, repeated and missing cells; a slice is bounded in samples however few the loci, and no rows of cells are grouped."""
+    rng = np.random.default_rng(4)
+    rows = [(int(s) * 1000, int(p), int(v)) for s, p, v in zip(rng.integers(0, 400, 900), rng.integers(-3, 5000, 900), rng.integers(0, 5, 900))]
+    c = spark.createDataFrame(rows + rows[:20] + [(None, 1, 1), (1, None, 1)], "sample long, pos int, state byte")
+    held = pk.gather(c)
+    assert sorted(map(tuple, held.cells().collect())) == sorted(rows + rows[:20]) and held.cells().schema == c.schema
+    monkeypatch.setattr(pk, "SLICE_SAMPLES", 16)
+    x = cells_of(spark, alignment(rng, 200, 5))
+    p = pk.pack(x, None, 3)
+    assert p.slices == 13 and p.n_samples == 200 and max(len(r.data) for r in p.loci.collect()) < 40
+    assert sorted(r.sample for r in p.samples().collect()) == list(range(200))
+    got = {(r.i, r.j): round(r.mi, 9) for r in m.block_mi(p, block=3).where("kind = 'edge'").collect()}
+    assert got == {(r.i, r.j): round(r.mi, 9) for r in m.mi_pairs(x).collect()}
+    with pytest.raises(RaggedAlignmentError, match="more than one"):
+        pk.pack(x.unionByName(x.where("pos = 2 and sample = 7")), None, 3)
