@@ -33,8 +33,10 @@ def pair_counts(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, w: n
     for lo in range(0, len(u), step):
         a, b = u[lo : lo + step], v[lo : lo + step]
         code = x[a].astype(np.int32) * n_states + y[b] + np.arange(len(a), dtype=np.int32)[:, None] * cells
-        weight = None if w is None else np.broadcast_to(w, code.shape).ravel()
-        out[lo : lo + step] = np.bincount(code.ravel(), weight, len(a) * cells).reshape(-1, cells)
+        weight = None if w is None else np.broadcast_to(w, code.shape)
+        if not (met := (x[a] >= 0) & (y[b] >= 0)).all():  # samples that lack a locus
+            code, weight = code[met], None if w is None else weight[met]
+        out[lo : lo + step] = np.bincount(code.ravel(), None if w is None else weight.ravel(), len(a) * cells).reshape(-1, cells)
     return out.T.reshape(n_states, n_states, -1)
 
 

@@ -19,6 +19,8 @@ from pairlace.config import GAP, N_STATES
 from pairlace.functions.scalars import pair_count, xlogx
 from pairlace.operators.alignment import state_presence
 from pairlace.operators.kernels import block_counts, entropies, listed_counts, marginal_bound, presence, without_gaps
+from pairlace.operators.kernels import presence as presence_of
+from pairlace.operators.lineage import shared_copy
 from pairlace.operators.packed import Packed, Slice, pack, read_tile, tile_rows
 
 
@@ -70,14 +72,12 @@ def crosstable_sparse(cells: DataFrame, weights: DataFrame | None = None) -> Dat
     return grid.select("i", "j", "a", "b", n.alias("n")).where("n > 1e-9")
 
 
-def mi_from_crosstable(table: DataFrame, presence: DataFrame, alpha: float = 0.5, mask: str = "mask", n_states: int = N_STATES, literal: int | None = None) -> DataFrame:
-    """``i, j, mi``, or with the gap state as ``literal`` the gap-free MI by two passes over one table. The pseudocount goes to each pair of states present in the two loci, met or not. A pair of
+def mi_from_crosstable(table: DataFrame, presence: DataFrame, alpha: float = 0.5, mask: str = "mask", n_states: int = N_STATES) -> DataFrame:
+    """``i, j, mi``. The pseudocount goes to each pair of states present in the two loci, met or not. A pair of
     loci is one group of at most n_states squared counts, folded as an array; no window is needed."""
     p = presence.select("pos", F.col(mask).alias("p"))
     counts = table.groupBy("i", "j").agg(F.map_from_entries(F.collect_list(F.struct((F.col("a") * n_states + F.col("b")).alias("k"), "n"))).alias("c"))
     rows = counts.join(p.select(F.col("pos").alias("i"), F.col("p").alias("pi")), "i").join(p.select(F.col("pos").alias("j"), F.col("p").alias("pj")), "j")
-    if literal is not None:
-        return _literal_mi(rows, alpha, n_states, literal)
 
     def cell(a: int, b: int):
         here = (F.col("pi").bitwiseAND(1 << a) != 0) & (F.col("pj").bitwiseAND(1 << b) != 0)
@@ -105,43 +105,52 @@ def _mi_of_cells(rows: DataFrame, n_states: int) -> DataFrame:
     return rows.withColumn("mi", mi).drop("x")
 
 
-def _literal_mi(rows: DataFrame, alpha: float, n_states: int, gap: int) -> DataFrame:
-    """``i, j, mi`` from ``i, j, c, pi, pj``: counts of all states as a map, and the states present. See ``without_gaps``."""
-    states, real = range(n_states), [s for s in range(n_states) if s != gap]
-    k = lambda a, b: a * n_states + b
-    add = lambda xs: F.aggregate(F.array(*xs), F.lit(0.0), lambda s, v: s + v)
-    here = lambda a, b: (F.col("pi").bitwiseAND(1 << a) != 0) & (F.col("pj").bitwiseAND(1 << b) != 0)
-    first = F.array(*[F.when(here(a, b), F.coalesce(F.col("c")[F.lit(k(a, b))], F.lit(0.0)) + alpha).otherwise(F.lit(0.0)) for a in states for b in states])
-    rows = rows.withColumn("x", first).withColumn("z", F.aggregate("x", F.lit(0.0), lambda s, v: s + v))
-    rows = rows.withColumn("p", F.transform("x", lambda v: F.when(F.col("z") > 0, v / F.col("z")).otherwise(F.lit(0.0))))
-    rows = rows.withColumn("q", F.array(*[F.when(here(a, b) & F.lit(gap not in (a, b)), F.col("p")[k(a, b)] + alpha).otherwise(F.lit(0.0)) for a in states for b in states]))
-    rows = rows.withColumn("z", F.aggregate("q", F.lit(0.0), lambda s, v: s + v)).withColumn("z", F.when(F.col("z") > 0, F.col("z")).otherwise(F.lit(1.0)))
-    joint = add([xlogx(F.col("q")[k(a, b)] / F.col("z")) for a in real for b in real])
-    second = add([xlogx(add([F.col("q")[k(a, b)] for a in real] + [F.col("p")[k(gap, b)]]) / F.col("z")) for b in real])
-    one = add([xlogx(add([F.col("q")[k(a, b)] for b in real]) / F.col("z")) for a in real])
-    return rows.select("i", "j", (joint - second - one).alias("mi"))
-
-
 def mi_pairs(cells: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, pairs: DataFrame | None = None, plan: str = "sql") -> DataFrame:
     """``i, j, mi`` of all pairs or of ``pairs``, by ``sql`` or ``sparse``. Pairs that share no sample are absent."""
     table = crosstable_sparse(cells, weights) if plan == "sparse" else crosstable(cells, weights, pairs)
     return mi_from_crosstable(table, state_presence(cells, None), alpha)
 
 
-def mi_without_gaps(cells: DataFrame, edges: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, gap_state: int = GAP, gap_mode: str = "clean") -> DataFrame:
+def mi_without_gaps(cells: DataFrame, edges: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, gap_state: int = GAP, gap_mode: str = "clean", n_states: int = N_STATES, block: int = 128) -> DataFrame:
     """``i, j, mi_wo_gaps`` of the edges that have a gap in either locus: samples with a gap at either locus are
     left out, and the pseudocount goes to the states present without gaps; in ``literal`` mode the table with gaps is gone over a
-    second time (``kernels.without_gaps``). Others have no row."""
+    second time (``kernels.without_gaps``). Others have no row. Edges are counted in the tiles of packed loci, so what is sent follows
+    loci and edges, not samples times edges; samples may lack loci, and a cell that comes again counts again, as in a join on the sample."""
     presence = state_presence(cells, gap_state)
     gappy = presence.where("mask <> mask_wo_gaps").select("pos")
     touched = edges.select("i", "j").join(gappy.select(F.col("pos").alias("i"), F.lit(1).alias("gi")), "i", "left")
     touched = touched.join(gappy.select(F.col("pos").alias("j"), F.lit(1).alias("gj")), "j", "left").where("gi is not null or gj is not null").select("i", "j")
-    if gap_mode == "literal":
-        found = mi_from_crosstable(crosstable(cells, weights, touched), presence, alpha, "mask", literal=gap_state)
-        return touched.join(found, ["i", "j"], "left").select("i", "j", F.coalesce("mi", F.lit(0.0)).alias("mi_wo_gaps"))
-    real = cells.where(F.col("state") != gap_state)
-    found = mi_from_crosstable(crosstable(real, weights, touched), presence, alpha, "mask_wo_gaps")
-    return touched.join(found, ["i", "j"], "left").select("i", "j", F.coalesce("mi", F.lit(0.0)).alias("mi_wo_gaps"))
+    touched = shared_copy(touched)
+    packed_ = pack(cells, weights, block, ragged=True)
+    rest = [s for s in range(n_states) if s != gap_state]
+
+    def kernel(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = here_x = here_y = asked = None
+        for s in read_tile(batches, key[0] == key[1]):
+            if isinstance(s, pd.DataFrame):
+                asked = s
+                i, j = asked["pos"].to_numpy(), asked["q"].to_numpy()
+                counts, here_x, here_y = np.zeros((n_states, n_states, len(i))), np.zeros((n_states, len(i)), bool), np.zeros((n_states, len(i)), bool)
+                continue
+            (u, nu), (v, nv) = ((lo, np.searchsorted(pos, k, "right") - lo) for pos, k, lo in ((s.i, i, np.searchsorted(s.i, i)), (s.j, j, np.searchsorted(s.j, j))))
+            hx, hy = presence_of(s.x, n_states), presence_of(s.y, n_states)
+            for k in range(nu.max(initial=0)):  # rows of a locus: one, but for cells that come again
+                for r in range(nv.max(initial=0)):
+                    at = np.flatnonzero((nu > k) & (nv > r))
+                    counts[:, :, at] += listed_counts(s.x, s.y, u[at] + k, v[at] + r, s.w, n_states, block)
+                    here_x[:, at] |= hx[:, u[at] + k]
+                    here_y[:, at] |= hy[:, v[at] + r]
+        for lo in range(0, len(i), 1 << 16):
+            at = slice(lo, lo + (1 << 16))
+            c = counts[:, :, at]
+            met = (c if gap_mode == "literal" else c[np.ix_(rest, rest)]).sum((0, 1)) > 0
+            mi = without_gaps(c, here_x[:, None, at] & here_y[None, :, at], alpha, gap_state, gap_mode)
+            yield pd.DataFrame({"i": i[at], "j": j[at], "mi_wo_gaps": np.where(met, mi, 0.0)})
+
+    found = tile_rows(packed_, n_states, touched).groupBy("ti", "tj").applyInPandas(kernel, "i long, j long, mi_wo_gaps double")
+    found = found.withColumnsRenamed({"i": "_i", "j": "_j"})
+    named = touched.join(found, (F.least("i", "j") == F.col("_i")) & (F.greatest("i", "j") == F.col("_j")), "left")
+    return named.select("i", "j", F.coalesce("mi_wo_gaps", F.lit(0.0)).alias("mi_wo_gaps"))
 
 
 def with_gap_effect(edges: DataFrame, gap_free: DataFrame) -> DataFrame:

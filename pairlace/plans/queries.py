@@ -306,7 +306,7 @@ def mi_without_gaps(s, d):
 
 @query("gap_effect", with_(E1, xt_sql(), mi_sql(), WO, EDGES, select="t.i, t.j, t.mi, coalesce(miw.mi, t.mi) AS mi_wo_gaps, round((1 - coalesce(miw.mi, t.mi) / t.mi) * 100, 4) AS gap_effect FROM edges t LEFT JOIN miw ON miw.i = t.i AND miw.j = t.j"))
 def gap_effect(s, d):
-    edges = e1_mi(s, d).select("i", "j", "mi")
+    edges = shared_copy(e1_mi(s, d).select("i", "j", "mi"))
     free = m.mi_without_gaps(from_embeddings(s, d), edges).withColumn("mi_wo_gaps", F.round("mi_wo_gaps", 6))
     return m.with_gap_effect(edges, free).withColumn("gap_effect", F.round("gap_effect", 4))
 
@@ -526,7 +526,7 @@ LITERAL = """lit_pres AS (SELECT DISTINCT pos, state FROM cells), lit_pairs AS (
 
 @query("mi_without_gaps_literal", with_(E1, xt_sql(), LITERAL, select="i, j, round(mi, 6) AS mi_wo_gaps FROM lit"))
 def mi_without_gaps_literal(s, d):
-    """Two passes over one table of shares, by the join plan."""
+    """Two passes over one table of shares, for listed pairs."""
     c = from_embeddings(s, d)
     return m.mi_without_gaps(c, e1_mi(s, d), gap_mode="literal").withColumn("mi_wo_gaps", F.round("mi_wo_gaps", 6))
 

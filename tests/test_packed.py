@@ -270,3 +270,38 @@ def test_gathered_cells_come_back(spark, monkeypatch):
     assert got == {(r.i, r.j): round(r.mi, 9) for r in m.mi_pairs(x).collect()}
     with pytest.raises(RaggedAlignmentError, match="more than one"):
         pk.pack(x.unionByName(x.where("pos = 2 and sample = 7")), None, 3)
+
+
+@pytest.mark.parametrize("mode", ["clean", "literal"])
+@pytest.mark.parametrize("sliced", [False, True])
+def test_gap_free_mi_of_ragged_cells(spark, monkeypatch, mode, sliced):
+    """Samples that lack loci and cells that come twice, against loops over samples; no row a sample and edge is sent."""
+    if sliced:
+        monkeypatch.setattr(pk, "SLICE_SAMPLES", 9)
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 5, (40, 6))
+    rows = [(s, p, int(x[s, p])) for s in range(40) for p in range(6) if rng.random() < 0.8 and not (p == 0 and s < 20) and not (p == 5 and s >= 20)]
+    c = spark.createDataFrame(rows := rows + rows[::9] + [(21, 1, (int(x[21, 1]) + 1) % 4)], "sample long, pos int, state byte")
+    w = {s: float(v) for s, v in enumerate(rng.random(40))}
+    weights = spark.createDataFrame(list(w.items()), "sample long, weight double")
+    edges = spark.createDataFrame([(i, j) for i in range(6) for j in range(i + 1, 6)], "i int, j int")
+    found = m.mi_without_gaps(c, edges, weights, gap_mode=mode)
+    got = {(r.i, r.j): r.mi_wo_gaps for r in found.collect()}
+    here = np.zeros((5, 6), bool)
+    for _, p, v in rows:
+        here[v, p] = True
+    counts = np.zeros((5, 5, 6, 6))
+    for s, p, v in rows:
+        for t, q, u in rows:
+            if s == t:
+                counts[v, u, p, q] += w[s]
+    for i in range(6):
+        for j in range(i + 1, 6):
+            k = counts[:, :, i, j]
+            met = (k if mode == "literal" else k[:4, :4]).sum() > 0
+            want = float(kn.without_gaps(k, here[:, i][:, None] & here[:, j][None], 0.5, 4, mode)) if met else 0.0
+            assert math.isclose(got[i, j], want, abs_tol=1e-9)
+    assert got[0, 5] == 0.0 and len(got) == 15 and found.schema["i"].dataType == edges.schema["i"].dataType
+    assert "FlatMapGroupsInPandas" in found._jdf.queryExecution().executedPlan().toString()
+    turned = edges.select(F.col("j").alias("i"), F.col("i").alias("j"))
+    assert {(r.j, r.i): r.mi_wo_gaps for r in m.mi_without_gaps(c, turned, weights, gap_mode=mode).collect()} == got
