@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairlace.config import CouplingConfig
@@ -16,7 +16,7 @@ from pairlace.operators import outliers as ou
 from pairlace.operators import threshold as th
 from pairlace.operators import weights as we
 from pairlace.operators.lineage import counted_copy, shared_copy
-from pairlace.operators.packed import pack
+from pairlace.operators.packed import gather, pack
 
 
 @dataclass(frozen=True)
@@ -48,11 +48,16 @@ def analyse(
         c = al.filter_positions(c, maf=config.maf_threshold, gap=config.gap_threshold, denominator=config.maf_denominator, n_states=config.n_states, gap_state=config.gap_state)
     if samples is not None:
         c = al.subsample(c, samples)
-    c, counts = counted_copy(c, cells=F.count("*"), gaps=F.count(F.when(F.col("state") == (-1 if config.gap_state is None else config.gap_state), 1)))
+    seen = Observation()
+    held = gather(c.observe(seen, F.count("*").alias("cells"), F.count(F.when(F.col("state") == (-1 if config.gap_state is None else config.gap_state), 1)).alias("gaps")))
+    c, counts = held.cells(), seen.get
+    if weights is None and config.sample_reweighting:
+        weights = we.sample_weights(c, config.reweighting_threshold)
+    if weights is not None:
+        weights = shared_copy(weights)
+    packed = pack(held, weights, config.block_loci)
     if weights is None:
-        weights = we.sample_weights(c, config.reweighting_threshold) if config.sample_reweighting else we.unit_weights(c)
-    weights = shared_copy(weights)
-    packed = pack(c, weights, config.block_loci)
+        weights = we.unit_weights(packed.samples())
     n_loci, tau = packed.n_loci, config.mi_threshold
     if (tau is None or tau < 0) and not config.exact_threshold:
         keep = pairs_to_save(n_loci, config.mi_values)
