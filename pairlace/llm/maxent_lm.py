@@ -282,11 +282,16 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
         if tasks > FAN_IN:  # no worker gets a record of every task
             sent = sent.withColumn("task", F.pmod("task", F.lit(-(-tasks // FAN_IN)))).groupBy("blk", "task").applyInPandas(_adder(kind), "blk int, task int, g binary")
             kind = np.float32
-        summed = sorted(sent.groupBy("blk").applyInPandas(_adder(kind), "blk int, task int, g binary").collect(), key=lambda x: x.blk)
+        flat, told = np.zeros(n_rows * (CLASSES + 1) + 2 * n_slots + CLASSES + 1, np.float32), False
+        for x in sent.groupBy("blk").applyInPandas(_adder(kind), "blk int, task int, g binary").toLocalIterator():  # a partition's blocks at a time
+            v = np.frombuffer(x.g, np.float32)
+            flat[x.blk * BLOCK : x.blk * BLOCK + len(v)] = v
+            told = True
         now.destroy()  # else each round's weights stay on every executor's disk
-        if summed:
-            flat = np.concatenate([np.frombuffer(bytes(x.g), np.float32) for x in summed]) * np.float32(SCALE)
+        if told:
+            flat *= np.float32(SCALE)
             model = stepped(model, *np.split(flat, np.cumsum([n_rows * (CLASSES + 1), n_slots, n_slots])))
+        del flat
     fixed.destroy()
     return model
 
@@ -296,8 +301,11 @@ def stepped(model: Model, total: np.ndarray, inner: np.ndarray, fired_n: np.ndar
     full, p = total.reshape(-1, CLASSES + 1), np.maximum(np.exp(model.bias), 0.01)
     rows = model.rows + (full[:, :CLASSES] * CLASS_DAMP / (full[:, CLASSES:] * p + CLASS_PRIOR)).clip(-2, 2)
     bias = model.bias + (over[:CLASSES] * CLASS_DAMP / (over[CLASSES] * p + CLASS_PRIOR)).clip(-2, 2)
-    slots = model.slots + (DAMP * inner / (0.25 * fired_n + PRIOR)).clip(-3, 3)
-    return model._replace(rows=rows.astype(np.float32), bias=bias.astype(np.float32), slots=slots.astype(np.float32))
+    slots = model.slots.copy()
+    for lo in range(0, len(slots), 1 << 18):  # no copies of all slots
+        at = slice(lo, lo + (1 << 18))
+        slots[at] += (DAMP * inner[at] / (0.25 * fired_n[at] + PRIOR)).clip(-3, 3)
+    return model._replace(rows=rows.astype(np.float32), bias=bias.astype(np.float32), slots=slots)
 
 
 def fit(counts: DataFrame, learn: DataFrame) -> Model:
