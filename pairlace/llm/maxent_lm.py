@@ -12,9 +12,10 @@ are told apart by their counts. Half a count of each class is for the unknown wo
 probabilities.
 
 Training runs in rounds: each takes one slice of the training documents, tasks sum the gradient over their tokens at the
-current weights, blocks of the gradient are added up by Spark in two steps, so no worker gets a record of every task, and the
-driver steps every weight by its sum over how often it fired. All slices together are all training documents. The tables
-grow with the training vocabulary, up to ``MOST_ROWS`` rows for classes and ``MOST_SLOTS`` slots for branches.
+current weights, blocks of the gradient are added up by Spark in two steps, so no worker gets a record of every task, and every
+weight is stepped by its sum over how often it fired, those of slots where they are summed. A task sends the slots that fired
+and no others. All slices together are all training documents. The tables grow with the training vocabulary, up to
+``MOST_ROWS`` rows for classes and ``MOST_SLOTS`` slots for branches.
 
 Token counts are exact over the whole corpus. The most frequent tokens, ``HEAVY`` at most, are looked up in each task; the
 others join their counts in a shuffle that has no hot key left. Null text is empty and has the end token alone, and so has
@@ -55,6 +56,11 @@ class Model(NamedTuple):
     kinds: np.ndarray  #: distinct training tokens of each class
 
 
+def native(model: Model) -> Model:
+    """The same arrays with numpy's own dtype objects: unpickled ones have others, with which ``np.add.at`` is many times slower."""
+    return Model(*[v.view(v.dtype.type) if isinstance(v, np.ndarray) else v for v in model])
+
+
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``hash, tail, first``: A to Z lowered words and an end token for each text. A tail stands for a word's last two
     bytes and its length."""
@@ -236,12 +242,29 @@ def leaf_mass(counts: DataFrame, classes: np.ndarray, depth: int) -> np.ndarray:
     return mass[:n].astype(np.float32)
 
 
-def _adder(kind: type):
-    """Adds up the vectors of a group, of numbers of ``kind``, as single floats."""
+def pressed(v: np.ndarray) -> bytes:
+    """Half floats as bytes: how many, a bit for each, and those that are not zero."""
+    some = v != 0
+    return np.int32(len(v)).tobytes() + np.packbits(some).tobytes() + v[some].tobytes()
+
+
+def unpressed(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.int32, 1)[0])
+    some = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), 4), count=n).astype(bool)
+    out = np.zeros(n)
+    out[some] = np.frombuffer(data, np.float16, offset=4 + -(-n // 8))
+    return out
+
+
+def _adder(read, n_slots: int = 0):
+    """Adds up the vectors of a group, got by ``read``, as single floats. The last adder makes the steps of ``n_slots`` slots from the
+    pairs in their blocks."""
     def add(pdf):
         out, total = pdf.iloc[:1].copy(), 0.0
         for v in pdf.g:
-            total = total + np.frombuffer(v, kind).astype(np.float64)
+            total = total + read(v).astype(np.float64)
+        if int(out.blk.iloc[0]) * BLOCK < 2 * n_slots:
+            total = slot_steps(*(total.reshape(-1, 2).T * SCALE))
         out["g"] = [total.astype(np.float32).tobytes()]
         return out
 
@@ -261,51 +284,53 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
         def run(batches, now=now):
             from pyspark import TaskContext
 
-            total, over = np.zeros((n_rows, CLASSES + 1), np.float32), np.zeros(CLASSES + 1)
+            m, total, over = native(now.value), np.zeros((n_rows, CLASSES + 1), np.float32), np.zeros(CLASSES + 1)
             inner = np.zeros(n_slots, np.complex64)
             for batch in batches:
                 for _, _, data, offs in text_chunks(batch, limit=_CHUNK):
                     t = tokens(data, offs)
-                    over[:CLASSES] += gradient(*t, now.value, fixed.value, total, inner)
+                    over[:CLASSES] += gradient(*t, m, fixed.value, total, inner)
                     over[CLASSES] += len(t[0])
             if over[CLASSES]:
-                flat = (np.concatenate([total.reshape(-1), inner.real, inner.imag, over.astype(np.float32)]) / np.float32(SCALE)).astype(np.float16)
+                flat = (np.concatenate([inner.view(np.float32), total.reshape(-1), over.astype(np.float32)]) / np.float32(SCALE)).astype(np.float16)
                 for k in range(0, len(flat), 64 * BLOCK):
-                    part = [flat[j : j + BLOCK].tobytes() for j in range(k, min(len(flat), k + 64 * BLOCK), BLOCK)]
+                    part = [pressed(flat[j : j + BLOCK]) for j in range(k, min(len(flat), k + 64 * BLOCK), BLOCK)]
                     at = np.arange(len(part)) + k // BLOCK
                     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.full(len(part), TaskContext.get().partitionId()), pa.int32()), pa.array(part, pa.binary())], schema=schema)
 
         part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds)) == r).select("text")
         tasks = max(sc.defaultParallelism, part.rdd.getNumPartitions() // 8)
         sent = part.coalesce(tasks).mapInArrow(run, "blk int, task int, g binary")
-        kind = np.float16
+        read = unpressed
         if tasks > FAN_IN:  # no worker gets a record of every task
-            sent = sent.withColumn("task", F.pmod("task", F.lit(-(-tasks // FAN_IN)))).groupBy("blk", "task").applyInPandas(_adder(kind), "blk int, task int, g binary")
-            kind = np.float32
-        flat, told = np.zeros(n_rows * (CLASSES + 1) + 2 * n_slots + CLASSES + 1, np.float32), False
-        for x in sent.groupBy("blk").applyInPandas(_adder(kind), "blk int, task int, g binary").toLocalIterator():  # a partition's blocks at a time
-            v = np.frombuffer(x.g, np.float32)
-            flat[x.blk * BLOCK : x.blk * BLOCK + len(v)] = v
+            sent = sent.withColumn("task", F.pmod("task", F.lit(-(-tasks // FAN_IN)))).groupBy("blk", "task").applyInPandas(_adder(read), "blk int, task int, g binary")
+            read = lambda v: np.frombuffer(v, np.float32)
+        steps, rest, told = np.zeros(n_slots, np.float32), np.zeros((n_rows + 1) * (CLASSES + 1), np.float32), False
+        for x in sent.groupBy("blk").applyInPandas(_adder(read, n_slots), "blk int, task int, g binary").toLocalIterator():  # a partition's blocks at a time
+            v, at = np.frombuffer(x.g, np.float32), x.blk * BLOCK
+            into, at = (steps, at // 2) if at < 2 * n_slots else (rest, at - 2 * n_slots)
+            into[at : at + len(v)] = v
             told = True
         now.destroy()  # else each round's weights stay on every executor's disk
         if told:
-            flat *= np.float32(SCALE)
-            model = stepped(model, *np.split(flat, np.cumsum([n_rows * (CLASSES + 1), n_slots, n_slots])))
-        del flat
+            rest *= np.float32(SCALE)
+            model = stepped(model, rest[: -CLASSES - 1], steps, rest[-CLASSES - 1 :])
+        del steps, rest
     fixed.destroy()
     return model
 
 
-def stepped(model: Model, total: np.ndarray, inner: np.ndarray, fired_n: np.ndarray, over: np.ndarray) -> Model:
-    """Every weight moved by its gradient over how often it fired. Features that fire together each take a part."""
+def slot_steps(inner: np.ndarray, fired_n: np.ndarray) -> np.ndarray:
+    return (DAMP * inner / (0.25 * fired_n + PRIOR)).clip(-3, 3)
+
+
+def stepped(model: Model, total: np.ndarray, steps: np.ndarray, over: np.ndarray) -> Model:
+    """Every weight moved by its gradient over how often it fired (for slots: by their ``steps``). Features that fire together each
+    take a part."""
     full, p = total.reshape(-1, CLASSES + 1), np.maximum(np.exp(model.bias), 0.01)
     rows = model.rows + (full[:, :CLASSES] * CLASS_DAMP / (full[:, CLASSES:] * p + CLASS_PRIOR)).clip(-2, 2)
     bias = model.bias + (over[:CLASSES] * CLASS_DAMP / (over[CLASSES] * p + CLASS_PRIOR)).clip(-2, 2)
-    slots = model.slots.copy()
-    for lo in range(0, len(slots), 1 << 18):  # no copies of all slots
-        at = slice(lo, lo + (1 << 18))
-        slots[at] += (DAMP * inner[at] / (0.25 * fired_n[at] + PRIOR)).clip(-3, 3)
-    return model._replace(rows=rows.astype(np.float32), bias=bias.astype(np.float32), slots=slots)
+    return model._replace(rows=rows.astype(np.float32), bias=bias.astype(np.float32), slots=model.slots + steps)
 
 
 def fit(counts: DataFrame, learn: DataFrame) -> Model:

@@ -1,6 +1,7 @@
 """Language model: base scores against plain sums, factors that sum to one, held-out gain."""
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -198,3 +199,37 @@ def test_gradients_of_many_tasks_add_up_in_two_steps(spark, monkeypatch):
     monkeypatch.setattr(lm, "FAN_IN", 3)
     two = lm.fit(counts, docs)
     assert np.allclose(one.rows, two.rows, atol=1e-4) and np.allclose(one.slots, two.slots, atol=1e-4)
+
+
+def test_a_model_from_a_broadcast_keeps_the_dtypes_that_add_fast():
+    m, _ = small_model(np.random.default_rng(10), ["a b c"])
+    m = lm.native(pickle.loads(pickle.dumps(m._replace(rows=m.rows.astype(np.float32), bias=m.bias.astype(np.float32)))))
+    assert all(v.dtype is np.dtype(v.dtype.type) for v in m if isinstance(v, np.ndarray))
+    odds, _ = lm.class_odds(np.zeros((5, 2), np.int64), m.rows, m.bias)
+    assert odds.dtype is np.dtype(np.float32)  # np.add.at compares the objects
+
+
+def test_gradients_are_sent_where_slots_fired():
+    rng = np.random.default_rng(11)
+    for n, share in ((lm.BLOCK, 0.1), (33, 1), (7, 0)):
+        v = np.where(rng.random(n) < share, rng.normal(0, 1, n), 0).astype(np.float16)
+        data = lm.pressed(v)
+        assert (lm.unpressed(data) == v).all() and len(data) == 4 + -(-n // 8) + 2 * np.count_nonzero(v)
+
+
+def test_one_round_against_a_plain_step(spark):
+    rng = np.random.default_rng(12)
+    texts = [sentences(rng, k) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    data, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *[len(x.encode()) for x in texts]])
+    m, _ = small_model(rng, texts)
+    m = m._replace(rows=np.zeros((lm.LEAST_ROWS, lm.CLASSES), np.float32), bias=m.bias.astype(np.float32), slots=np.zeros(lm.LEAST_SLOTS, np.float32))
+    got = lm.train(docs, m, rounds=1)
+    total, both = np.zeros((lm.LEAST_ROWS, lm.CLASSES + 1)), np.zeros(lm.LEAST_SLOTS, np.complex64)
+    t = lm.tokens(data, offs)
+    over = lm.gradient(*t, m, lm.branch_biases(m.mass, m.depth), total, both)
+    slots = (lm.DAMP * both.real / (0.25 * both.imag + lm.PRIOR)).clip(-3, 3)
+    p = np.maximum(np.exp(m.bias), 0.01)
+    rows = (total[:, : lm.CLASSES] * lm.CLASS_DAMP / (total[:, lm.CLASSES :] * p + lm.CLASS_PRIOR)).clip(-2, 2)
+    assert np.count_nonzero(slots) > 500 and np.allclose(got.slots, slots, atol=5e-3) and np.allclose(got.rows, rows, atol=5e-3)
+    assert np.allclose(got.bias, m.bias + (over * lm.CLASS_DAMP / (len(t[0]) * p + lm.CLASS_PRIOR)).clip(-2, 2), atol=5e-3)
