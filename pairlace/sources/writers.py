@@ -167,8 +167,10 @@ def write_distances(distances: Distances, path: str, compression: str = "none")
 
 
 def distance_matrix_lines(distances: Distances) -> DataFrame:
-    """``sample, value``: the square form, a line of distances for each sample in order of the other; ``distances`` with ``square``. One
-    line's stretches come together, no more."""
+    """``sample, value``: the square form, a line of distances for each sample in order of the other; ``distances`` with ``square``. Where a
+    task can't hold all samples, one line's stretches come together, no more."""
+    if distances.ordered():
+        return distances.in_order(_matrix_lines, ROWS).select(F.col("s").alias("sample"), "value")
     parts = distances.in_tiles(_matrix_lines, ROWS).select("s", F.struct("part", "value").alias("p"))
     line = parts.groupBy("s").agg(F.array_sort(F.collect_list("p")).alias("l"))
     return line.select(F.col("s").alias("sample"), F.array_join("l.value", " ").alias("value"))

@@ -65,6 +65,18 @@ def test_lines_in_order(spark, some, way, compression, tmp_path):
         assert not re.search("Exchange|Sort|Aggregate", plan[: plan.index("MapInArrow")])
 
 
+def test_square_form(some, way):
+    """A line a sample, made at once where one task can hold all samples: no stretches of lines are sent."""
+    cells, want = some
+    distances = we.hamming_strips(cells, square=True)
+    lines, ids = writers.distance_matrix_lines(distances), sorted({s for s, _ in want})
+    got = [tuple(r) for r in lines.select("sample", "value").collect()]
+    assert len(got) == len(ids) and dict(got) == {s: " ".join(str(want[s, t][1]) for t in ids if (s, t) in want) for s in ids}
+    if distances.ordered():
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Exchange|Sort|Aggregate", plan[: plan.index("MapInArrow")])
+
+
 def test_one_sample_and_none(spark, tmp_path):
     one = spark.createDataFrame([(5, 1, 0), (5, 2, 3)], "sample long, pos int, state byte")
     for k, cells in enumerate((one, one.where("false"))):
