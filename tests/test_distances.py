@@ -3,7 +3,9 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pairlace.operators import packed as pk
 from pairlace.operators import weights as we
@@ -77,6 +79,22 @@ def test_square_form(some, way):
         assert not re.search("Exchange|Sort|Aggregate", plan[: plan.index("MapInArrow")])
 
 
+def test_rows_come_in_squares(spark):
+    """However wide a tile is, a sample's run of rows is short, so few values of both samples stand together."""
+    n = 3200
+    cells = spark.range(n).select(F.col("id").alias("sample"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pos")).withColumn("state", F.pmod(F.xxhash64("sample", "pos"), F.lit(5)).cast("byte"))
+
+    def runs(batches):
+        for b in batches:
+            s = b.column("s").to_numpy()
+            if len(s):
+                cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
+                yield pa.RecordBatch.from_arrays([pa.array([len(s)]), pa.array([np.diff(cut).max()])], names=["n", "most"])
+
+    with_runs = we.hamming_distances(cells).mapInArrow(runs, "n long, most long").agg(F.sum("n"), F.max("most")).first()
+    assert tuple(with_runs) == (n * (n - 1) // 2, we.BLOCK)
+
+
 def test_one_sample_and_none(spark, tmp_path):
     one = spark.createDataFrame([(5, 1, 0), (5, 2, 3)], "sample long, pos int, state byte")
     for k, cells in enumerate((one, one.where("false"))):
