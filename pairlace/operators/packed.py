@@ -10,7 +10,7 @@ cells of a locus as rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,6 +63,18 @@ class Gathered:
         rows = self.chunks.select("who", "loci", "data").mapInArrow(run, "sample long, pos long, state int")
         return rows.select(*[F.col(c).cast(self.schema[c].dataType).alias(c) for c in ("sample", "pos", "state")])
 
+    def counts(self, gap: int) -> dict:
+        """``cells, gaps, last``: how many cells, those in state ``gap``, and the last locus; chunks are read, no rows of cells made."""
+
+        def run(batches):
+            for batch in batches:
+                for loci, data in zip(batch.column("loci").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                    x = np.frombuffer(data, np.uint8)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(k)]) for k in (np.count_nonzero(x), np.count_nonzero(x == gap + ZERO), np.frombuffer(loci, np.int64).max())], names=["cells", "gaps", "last"])
+
+        found = self.chunks.select("loci", "data").mapInArrow(run, "cells long, gaps long, last long")
+        return found.agg(F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("gaps"), F.max("last").alias("last")).first().asDict()
+
 
 def _places(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values in order, and the place of each value among them; equal neighbours are looked up once."""
@@ -116,6 +128,45 @@ def gather(cells: DataFrame) -> Gathered:
     return Gathered(shared_copy(rows.mapInArrow(run, "n long, who binary, loci binary, data binary")), cells.schema)
 
 
+def gather_wide(rows: DataFrame, derive: Callable[[pa.RecordBatch], dict[int, pa.Array]] | None = None) -> Gathered:
+    """As ``gather``, from rows of a sample: ``sample``, and a column for each locus, named by its position. Columns are laid side by side as
+    they come, and no row for a cell is made; where a state is null, there is no cell. ``derive`` makes the states of further loci from
+    a batch's columns: expressions for many loci make a method that is too long for the JVM to compile."""
+    names, most = [c for c in rows.columns if c.lstrip("-").isdigit()], CHUNK_CELLS
+
+    def states(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        of = {int(c): batch.column(c) for c in names} | (derive(batch) if derive else {})
+        x = [of[p].fill_null(-ZERO).to_numpy(zero_copy_only=False).astype(np.int8) for p in sorted(of)]
+        return batch.column("sample").to_numpy(), np.array(sorted(of), np.int64), np.stack(x) + np.int8(ZERO)
+
+    def told(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        s, loci, x = np.concatenate([h[0] for h in held]), held[0][1], np.concatenate([h[2] for h in held], axis=1)
+        order = np.argsort(s, kind="stable")
+        again = np.arange(len(s)) - np.searchsorted(s[order], s[order])  # rows of the same sample before
+        for _, at in _cut(again):
+            part = x[:, order[at]]
+            p, i = part.any(1), part.any(0)
+            if p.any():
+                kept = (s[order[at]][i], loci[p], part[np.ix_(p, i)])
+                yield pa.RecordBatch.from_arrays([pa.array([len(kept[0])], pa.int64()), *[pa.array([v.tobytes()], pa.binary()) for v in kept]], names=["n", "who", "loci", "data"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(states(batch))
+                n += held[-1][2].size
+            if n >= most:
+                yield from told(held)
+                held, n = [], 0
+        if held:
+            yield from told(held)
+
+    wide = rows.withColumns({"sample": F.col("sample").cast("long"), **{c: F.col(f"`{c}`").cast("tinyint") for c in names}}).dropna(subset=["sample"])
+    kinds = StructType().add("sample", rows.schema["sample"].dataType).add("pos", "long").add("state", "byte")
+    return Gathered(shared_copy(wide.mapInArrow(run, "n long, who binary, loci binary, data binary")), kinds)
+
+
 def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
     h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

@@ -16,7 +16,7 @@ from pairlace.operators import outliers as ou
 from pairlace.operators import threshold as th
 from pairlace.operators import weights as we
 from pairlace.operators.lineage import counted_copy, shared_copy
-from pairlace.operators.packed import gather, pack
+from pairlace.operators.packed import Gathered, gather, pack
 
 
 @dataclass(frozen=True)
@@ -31,15 +31,19 @@ class Network:
 
 
 def analyse(
-    cells: DataFrame, config: CouplingConfig = CouplingConfig(), include: DataFrame | None = None, exclude: DataFrame | None = None,
+    cells: DataFrame | Gathered, config: CouplingConfig = CouplingConfig(), include: DataFrame | None = None, exclude: DataFrame | None = None,
     samples: DataFrame | None = None, weights: DataFrame | None = None,
 ) -> Network:
     """Include, exclude, filter, sample subset, weights, threshold, all pairs, fences, pruning, listings. The filter
     sees all samples unweighted; weights see the filtered loci only. The genome's length is that of the alignment as given,
-    before any list; listings are shifted by the output base. ``counts`` are taken in passing: loci, samples, cells and gaps that
+    before any list, and needed on a circle only; gathered cells are not laid out again where nothing is left out; listings are shifted by the output base. ``counts`` are taken in passing: loci, samples, cells and gaps that
     are analysed, edges saved, and those of them where a gap is."""
-    c = cells
-    genome = config.genome_size or (c.agg(F.max("pos")).first()[0] or 0) + 1
+    given = cells if isinstance(cells, Gathered) else None
+    c = cells if given is None else given.cells()
+    circular, genome = config.topology == "circular", config.genome_size
+    whole = include is None and exclude is None and samples is None and not config.filter_alignment
+    if circular and not genome and not whole:
+        genome = (c.agg(F.max("pos")).first()[0] or 0) + 1
     if include is not None:
         c = al.include_loci(c, include)
     if exclude is not None:
@@ -48,9 +52,16 @@ def analyse(
         c = al.filter_positions(c, maf=config.maf_threshold, gap=config.gap_threshold, denominator=config.maf_denominator, n_states=config.n_states, gap_state=config.gap_state)
     if samples is not None:
         c = al.subsample(c, samples)
-    seen = Observation()
-    held = gather(c.observe(seen, F.count("*").alias("cells"), F.count(F.when(F.col("state") == (-1 if config.gap_state is None else config.gap_state), 1)).alias("gaps")))
-    c, counts = held.cells(), seen.get
+    gap = -1 if config.gap_state is None else config.gap_state
+    if whole and given is not None:
+        held, counts = given, given.counts(gap)
+    else:
+        seen = Observation()
+        held = gather(c.observe(seen, F.count("*").alias("cells"), F.count(F.when(F.col("state") == gap, 1)).alias("gaps"), F.max("pos").alias("last")))
+        c, counts = held.cells(), dict(seen.get)
+    last = counts.pop("last")
+    if circular and not genome:
+        genome = (last or 0) + 1
     if weights is None and config.sample_reweighting:
         weights = we.sample_weights(c, config.reweighting_threshold)
     if weights is not None:
@@ -62,7 +73,7 @@ def analyse(
     if (tau is None or tau < 0) and not config.exact_threshold:
         keep = pairs_to_save(n_loci, config.mi_values)
         tau = th.estimate_threshold(packed, None, keep, config.pseudocount, config.threshold_iterations, config.threshold_pairs, config.mi_digits, config.block_loci, config.n_states).first()[0]
-    circle = genome if config.topology == "circular" else None
+    circle = genome if circular else None
     how = {"alpha": config.pseudocount, "ld": config.ld_threshold, "genome_size": circle, "n_states": config.n_states, "gap_state": config.gap_state, "digits": config.mi_digits, "gap_mode": config.gap_mode}
     if config.exact_threshold:
         both, tau = th.exact_scan(packed, pairs_to_save(n_loci, config.mi_values), **how)

@@ -21,7 +21,7 @@ from pairlace.operators import threshold as th
 from pairlace.operators import weights as we
 from pairlace.operators.lineage import shared_copy
 from pairlace.operators.packed import pack
-from pairlace.plans.fixtures import from_documents, from_embeddings, from_lineitem, from_lineitem_wide, from_parts
+from pairlace.plans.fixtures import from_documents, from_embeddings, from_lineitem, from_parts, wide_lineitem
 from pairlace.plans.pipeline import Network, analyse
 from pairlace.sources import readers, writers
 
@@ -489,7 +489,7 @@ WIDE = (
 def analysis_outliers(s, d):
     """Coupled loci among many uncoupled ones, with the exact threshold found during the scan."""
     setup = CouplingConfig(mi_values=LINE_KEEP, ld_threshold=LINE_LD, aracne_tolerance=TOL, filter_alignment=False, sample_reweighting=False, topology="linear", exact_threshold=True, output_base=0, mi_digits=6, block_loci=4)
-    return ints(analyse(from_lineitem_wide(s, d), setup).outliers, "direct", "extreme").withColumn("gap_effect", F.round("gap_effect", 4))
+    return ints(analyse(wide_lineitem(s, d), setup).outliers, "direct", "extreme").withColumn("gap_effect", F.round("gap_effect", 4))
 
 
 @query("analysis_counts", with_(*ANALYSIS, select="* FROM (SELECT 'cells' name, count(*) n FROM c2 UNION ALL SELECT 'edges', count(*) FROM saved UNION ALL SELECT 'gaps', count(*) FROM c2 WHERE state = 4 UNION ALL SELECT 'loci', count(DISTINCT pos) FROM c2 UNION ALL SELECT 'samples', count(DISTINCT sample) FROM c2 UNION ALL SELECT 'with_gaps', count(*) FROM saved WHERE i IN (SELECT pos FROM c2 WHERE state = 4) OR j IN (SELECT pos FROM c2 WHERE state = 4)) t"))
