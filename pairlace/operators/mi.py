@@ -21,7 +21,7 @@ from pairlace.operators.alignment import state_presence
 from pairlace.operators.kernels import block_counts, entropies, listed_counts, marginal_bound, presence, without_gaps
 from pairlace.operators.kernels import presence as presence_of
 from pairlace.operators.lineage import shared_copy
-from pairlace.operators.packed import Packed, Slice, pack, read_tile, tile_rows
+from pairlace.operators.packed import Packed, Slice, pack, read_tile, shares_of, tile_rows
 
 
 def _weighted(cells: DataFrame, weights: DataFrame | None) -> DataFrame:
@@ -162,6 +162,9 @@ def with_gap_effect(edges: DataFrame, gap_free: DataFrame) -> DataFrame:
 
 
 EDGES = "kind string, i long, j long, mi double, mi_wo_gaps double"
+COUNTS = "ti int, tj int, p int, q int, i binary, j binary, here_x binary, here_y binary, counts binary"
+COUNTS_OF = [c.split()[0] for c in COUNTS.split(", ")]
+COUNTED = 128  # loci on a side of what a tile of several slices multiplies at once
 
 
 def _rounded(v: np.ndarray, digits: int | None) -> np.ndarray:
@@ -187,6 +190,18 @@ class _Tile:
             c = block_counts(s.x[p : p + self.block], s.y[q : q + self.block], s.w, self.n_states)
             self.counts[p, q] = self.counts[p, q] + c if (p, q) in self.counts else c
 
+    def told(self, key: tuple) -> pd.DataFrame:
+        loci = {"i": self.i.tobytes(), "j": self.j.tobytes(), "here_x": self.here_x.tobytes(), "here_y": self.here_y.tobytes()}
+        return pd.DataFrame([{"ti": key[0], "tj": key[1], "p": p, "q": q, **loci, "counts": c.tobytes()} for (p, q), c in self.counts.items()], columns=COUNTS_OF)
+
+    def join(self, row) -> None:
+        """Adds what a share of the tile's slices told."""
+        self.i, self.j = np.frombuffer(row.i, np.int64), np.frombuffer(row.j, np.int64)
+        here = tuple(np.frombuffer(x, bool).reshape(self.n_states, -1) for x in (row.here_x, row.here_y))
+        self.here_x, self.here_y = here if self.here_x is None else (self.here_x | here[0], self.here_y | here[1])
+        c = np.frombuffer(row.counts).reshape(self.n_states, self.n_states, len(self.i[row.p : row.p + self.block]), -1)
+        self.counts[row.p, row.q] = self.counts[row.p, row.q] + c if (row.p, row.q) in self.counts else c
+
     def blocks(self) -> list[tuple[int, int]]:
         return [(p, q) for p in range(0, len(self.i), self.block) for q in range(p if self.own else 0, len(self.j), self.block)]
 
@@ -275,29 +290,53 @@ def block_mi(
     largest of all; none if ``maxima`` is off. Kind ``skipped`` counts the pairs of a tile that the loci's entropies rule out, with a threshold. ``digits``
     rounds MI before anything is compared, so that plans that add in another order agree. With ``top`` a tile tells only its ``top``
     strongest edges (ties by position); ``tiles`` is a condition on ``ti, tj``. Rows that leave the kernel are edges and maxima,
-    however many slices the samples have."""
+    however many slices the samples have; where few loci have many slices, counts of shares of the slices are added up first."""
     if gap_mode not in ("clean", "literal"):
         raise ValueError("gap_mode is 'clean' or 'literal'")
     packed_ = cells if isinstance(cells, Packed) else pack(cells, weights, block)
-    side, whole = packed_.block, packed_.slices == 1
+    whole = packed_.slices == 1
+    side, shares = shares_of(packed_, n_states)
+    at_once = packed_.block if whole else packed_.block * max(1, COUNTED // packed_.block)
+
+    def start() -> tuple[_Tile, _Found]:
+        return _Tile(at_once, n_states), _Found(alpha, threshold, ld, genome_size, gap_state, gap_mode, digits, top)
+
+    def result(tile: _Tile, found: _Found) -> pd.DataFrame:
+        for (p, q), counts in tile.counts.items():
+            found.take(tile.i[p : p + at_once], tile.j[q : q + at_once], tile.here_x[:, p : p + at_once], tile.here_y[:, q : q + at_once], counts)
+        if not maxima:
+            found.best = {}
+        return found.rows()
 
     def kernel(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tile, found = _Tile(side, n_states), _Found(alpha, threshold, ld, genome_size, gap_state, gap_mode, digits, top)
+        tile, found = start()
         for s in read_tile(batches, key[0] == key[1]):
             if not whole:
                 tile.add(s)
             elif len(s.i) and len(s.j):
                 tile.see(s)
                 _bounded_scan(tile, s, found, maxima)
-        for (p, q), counts in tile.counts.items():
-            found.take(tile.i[p : p + side], tile.j[q : q + side], tile.here_x[:, p : p + side], tile.here_y[:, q : q + side], counts)
-        if not maxima:
-            found.best = {}
-        yield found.rows()
+        yield result(tile, found)
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, _ = start()
+        for s in read_tile(batches, key[0] == key[1]):
+            tile.add(s)
+        yield tile.told(key)
+
+    def add_up(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, found = start()
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                tile.join(row)
+        yield result(tile, found)
 
-    rows = tile_rows(packed_, n_states)
+    rows = tile_rows(packed_, n_states, side=side, shares=shares)
     rows = rows if tiles is None else rows.where(tiles)
-    out = rows.groupBy("ti", "tj").applyInPandas(kernel, EDGES)
+    if shares > 1:
+        out = rows.groupBy("ti", "tj", "share").applyInPandas(count, COUNTS).groupBy("ti", "tj").applyInPandas(add_up, EDGES)
+    else:
+        out = rows.groupBy("ti", "tj").applyInPandas(kernel, EDGES)
     return out.withColumn("mi_wo_gaps", F.when(~F.isnan("mi_wo_gaps"), F.col("mi_wo_gaps")))
 
 

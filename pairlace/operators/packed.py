@@ -313,19 +313,30 @@ def pack(cells: DataFrame | Gathered, weights: DataFrame | None = None, block: i
     return Packed(rows.select("blk", F.col("pos").cast(kind).alias("pos"), "slice", "data"), ws, ranks, n_loci, n_samples, slices, block, lists)
 
 
-def side_of(p: Packed, n_states: int = N_STATES) -> int:
-    """Blocks on a side of a tile."""
+def side_of(p: Packed, n_states: int = N_STATES, spread: bool = True) -> int:
+    """Blocks on a side of a tile; without ``spread``, as many as fit, however few tiles there are then."""
     n_blocks = max(1, -(-p.n_loci // p.block))
-    side = tile_side(n_blocks, p.block * -(-p.n_samples // p.slices), p.loci.sparkSession.sparkContext.defaultParallelism)
+    side = tile_side(n_blocks, p.block * -(-p.n_samples // p.slices), p.loci.sparkSession.sparkContext.defaultParallelism, spread)
     if p.slices > 1:
         side = min(side, max(1, int((COUNT_BYTES / (8 * n_states**2 * p.block**2)) ** 0.5)))
     return side
 
 
-def tile_rows(p: Packed, n_states: int = N_STATES, pairs: DataFrame | None = None) -> DataFrame:
+def shares_of(p: Packed, n_states: int = N_STATES) -> tuple[int, int]:
+    """Blocks on a side of a tile, and the shares into which a tile's slices are dealt. Small tiles keep all cores busy but send a locus
+    many times; a few large tiles in shares send it a few times, and then the counts of each share. What sends less is taken."""
+    n_blocks, cores = max(1, -(-p.n_loci // p.block)), p.loci.sparkSession.sparkContext.defaultParallelism
+    small, large = side_of(p, n_states), side_of(p, n_states, spread=False)
+    often, seldom = -(-n_blocks // small), -(-n_blocks // large)
+    shares = min(p.slices, -(-8 * cores // (seldom * (seldom + 1))))
+    cells, counts = p.n_loci * p.n_samples, 4 * (p.n_loci * n_states) ** 2
+    return (large, shares) if shares > 1 and cells * seldom + counts * shares < cells * often else (small, 1)
+
+
+def tile_rows(p: Packed, n_states: int = N_STATES, pairs: DataFrame | None = None, side: int | None = None, shares: int = 1) -> DataFrame:
     """``ti, tj, slice, at, pos, data, w, q``: what each tile needs, in order of slices. With ``pairs`` only tiles that hold
-    some of them, which come first (``pos`` with ``q``, slice -1)."""
-    side, n_blocks = side_of(p, n_states), max(1, -(-p.n_loci // p.block))
+    some of them, which come first (``pos`` with ``q``, slice -1). With ``shares`` also ``share``, and in order within it."""
+    side, n_blocks = side or side_of(p, n_states), max(1, -(-p.n_loci // p.block))
     none = lambda kind: F.lit(None).cast(kind)
     rows = deal(p.loci, n_blocks, side).select("ti", "tj", "slice", "at", F.col("pos").cast("long").alias("pos"), "data", none("array<double>").alias("w"), none("long").alias("q"))
     last = (n_blocks - 1) // side
@@ -344,7 +355,10 @@ def tile_rows(p: Packed, n_states: int = N_STATES, pairs: DataFrame | None = Non
         rows = rows.unionByName(ws.select("ti", "tj", "slice", F.lit(WEIGHTS).alias("at"), none("long").alias("pos"), none("binary").alias("data"), "w", none("long").alias("q")))
     if p.slices == 1 and pairs is None:
         return rows
-    return rows.repartition("ti", "tj").sortWithinPartitions("ti", "tj", "slice", "at")
+    if shares > 1:
+        rows = rows.withColumn("share", F.pmod("slice", F.lit(shares)))
+    key = ["ti", "tj", "share"] if shares > 1 else ["ti", "tj"]
+    return rows.repartition(*key).sortWithinPartitions(*key, "slice", "at")
 
 
 @dataclass

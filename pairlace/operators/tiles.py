@@ -18,11 +18,11 @@ def packed(states: Column) -> Column:
     return F.array_join(F.transform(states, lambda x: F.chr(x.cast("int") + ZERO)), "").cast("binary")
 
 
-def tile_side(n_blocks: int, block_bytes: int, parallelism: int) -> int:
-    """Blocks a side: as many as fit ``TILE_BYTES`` in two sides, but few enough that every core gets tiles."""
+def tile_side(n_blocks: int, block_bytes: int, parallelism: int, spread: bool = True) -> int:
+    """Blocks a side: as many as fit ``TILE_BYTES`` in two sides, but with ``spread`` few enough that every core gets tiles."""
     fits = max(1, TILE_BYTES // max(1, 2 * block_bytes))
-    spread = max(1, int(n_blocks / max(1.0, (4 * parallelism) ** 0.5)))
-    return max(1, min(fits, spread))
+    most = max(1, int(n_blocks / max(1.0, (4 * parallelism) ** 0.5))) if spread else n_blocks
+    return max(1, min(fits, most))
 
 
 def deal(rows: DataFrame, n_blocks: int, side: int) -> DataFrame:

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlace.config import CouplingConfig
+from pairlace.operators import mi as m
 from pairlace.operators import packed as pk
+from pairlace.operators import threshold as th
 from pairlace.plans.fixtures import from_lineitem, wide_lineitem
 from pairlace.plans.pipeline import analyse
 
@@ -84,3 +86,43 @@ def test_wide_lineitem(spark, tmp_path):
     for ok, ln, pk_, *_ in rows:
         want |= {(ok * 1000 + ln, 2 * p + 1, (ok * (7919 * (p + 3)) + ln * 104729 + pk_ * 31) % 1000003 % 4) for p in range(32)}
     assert {tuple(r) for r in wide_lineitem(spark, str(tmp_path)).cells().collect()} == want and len(want) == 30 * 40
+
+
+@pytest.mark.parametrize("gap_mode", ["clean", "literal"])
+def test_few_loci_in_many_slices_are_sent_once(spark, monkeypatch, gap_mode):
+    """Shares of the slices are counted apart and added up: the same edges and maxima as at once, with weights and waves, and a locus is
+    sent to few tiles."""
+    rng = np.random.default_rng(6)
+    n = 12_000
+    x = np.repeat(rng.integers(0, 5, (n, 3)), 2, axis=1)
+    x = np.where(rng.random(x.shape) < 0.4, rng.integers(0, 4, x.shape), x)
+    rows = spark.createDataFrame([(s, *map(int, line)) for s, line in enumerate(x)], "sample long, " + ", ".join(f"`{p}` int" for p in range(1, 7)))
+    held = pk.gather_wide(rows)
+    weights = spark.range(n).select(F.col("id").alias("sample"), (1.0 / (1 + F.col("id") % 7)).alias("weight"))
+    how = {"gap_mode": gap_mode, "ld": 1}
+
+    def told(df):
+        """Edges, and over all tiles each locus's largest MI."""
+        out = {}
+        for r in df.where("kind <> 'skipped'").collect():
+            key, v = (r.kind, r.i, r.j), (round(r.mi, 9), r.mi_wo_gaps and round(r.mi_wo_gaps, 9))
+            assert r.kind == "max" or key not in out
+            out[key] = max(v, out.get(key, v), key=lambda x: x[0])
+        return out
+
+    whole = pk.pack(held, weights, 2)
+    assert whole.slices == 1 and pk.shares_of(whole)[1] == 1
+    want = told(m.block_mi(whole, **how))
+    monkeypatch.setattr(pk, "SLICE_SAMPLES", 1000)
+    sliced = pk.pack(held, weights, 2)
+    side, shares = pk.shares_of(sliced)
+    assert sliced.slices == 12 and shares == 12 and side == 3 > pk.side_of(sliced)
+    assert pk.tile_rows(sliced, side=side, shares=shares).where("data is not null").count() == 6 * 12
+    got = m.block_mi(sliced, **how)
+    assert told(got) == want and sum(k[0] == "edge" for k in want) == 15
+    edges, tau = th.exact_scan(sliced, 4, **how)
+    best = sorted((v[0] for k, v in want.items() if k[0] == "edge"), reverse=True)
+    assert {k: v for k, v in told(edges).items() if k[0] == "edge"} == {k: v for k, v in want.items() if k[0] == "edge" and v[0] > best[4]} and round(tau, 9) == best[4]
+    monkeypatch.setattr(pk, "COUNT_BYTES", 8 * 25 * 16)  # several large tiles
+    side, shares = pk.shares_of(sliced)
+    assert side == 2 and shares > 1 and told(m.block_mi(sliced, **how)) == want
